@@ -165,3 +165,14 @@ def shingles(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     short = (counts[words.row] < width) & (at == 0)
     keep = whole | short
     return words.row[keep], mix(acc[keep])
+
+
+#: Ids that may be broadcast: 8 MB.
+BROADCAST_IDS = 1_000_000
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id isn't among `ids`; rows without an id stay."""
+    ids = shared_checkpoint(ids.distinct())
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(ids.hint("broadcast") if small else ids, "doc_id", "left_anti")

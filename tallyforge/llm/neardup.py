@@ -14,11 +14,10 @@ advanced until no point can change the text's largest register, so a text costs
 about its number of shingles plus m log m points, not their product.
 
 Copies of equal text are one class before any comparison, so their number never
-matters. Within a bucket, members are compared with a leader, not with each
-other: pairs that both match a leader are already connected. Members that
-failed go on to finer buckets (see `_verifier`) under new leaders, until a
-round judges no new pair; the distance 1 - similarity is a metric, which tells
-who may still be near to whom.
+matters. Within a bucket, members are compared with a leader, not with each other: pairs
+that both match the leader are already connected. Members that failed, and
+might still be linked to each other, meet again by their rarest entries, an
+exact prefix filter, under new leaders until no such pair is left.
 
 Defined results: null and empty texts (no word) are never linked to anything;
 a text of fewer than five words is one shingle; repeated rows are copies; an
@@ -32,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks
@@ -41,6 +40,8 @@ from .blocks import shared_checkpoint
 BANDS, ROWS = 26, 5
 SIMILARITY = 0.8
 WORDS = 5
+#: Leaders of a bucket of rare entries in each round.
+LEADERS = 8
 
 
 def bags(texts: pa.Array, width: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,90 +116,95 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def overlaps(left: pa.Array, right: pa.Array) -> dict[str, np.ndarray]:
-    """What the whole multisets of each pair of texts share, and the entries of the right one beyond the left one."""
+def weighted_jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """Similarity of each pair of texts, from the whole multisets."""
     n = len(left)
     lr, lk, lc = bags(left)
     rr, rk, rc = bags(right)
     row, key, count = np.concatenate([lr, rr]), np.concatenate([lk, rk]), np.concatenate([lc, rc])
-    is_right = np.arange(len(row)) >= len(lr)
-    order = np.lexsort((is_right, key, row))
-    row, key, count, is_right = row[order], key[order], count[order], is_right[order]
+    order = np.lexsort((key, row))
+    row, key, count = row[order], key[order], count[order]
     twice = np.flatnonzero((row[1:] == row[:-1]) & (key[1:] == key[:-1])) if len(row) else np.zeros(0, np.int64)
     both = np.bincount(row[twice], weights=np.minimum(count[twice], count[twice + 1]), minlength=n)
-    size_left, size_right = np.bincount(lr, weights=lc, minlength=n), np.bincount(rr, weights=rc, minlength=n)
-    rest = np.where(is_right, count, 0)
-    rest[twice + 1] -= np.minimum(count[twice], count[twice + 1])
-    beyond = np.flatnonzero(rest > 0)
-    return {"similarity": both / np.maximum(size_left + size_right - both, 1), "size": size_right, "rest": np.bincount(row[beyond], weights=rest[beyond], minlength=n), "row": row[beyond], "key": key[beyond]}
-
-
-def weighted_jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
-    """Similarity of each pair of texts, from the whole multisets."""
-    return overlaps(left, right)["similarity"]
-
+    total = np.bincount(row, weights=count, minlength=n)
+    return both / np.maximum(total - both, 1)
 
-#: Hashes of what a failed member holds beyond its leader; members that share one meet again.
-REST_HASHES = 16
 
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in blocks.text_slices(batches, "left_text", blocks.SLICE_BYTES // 2):
+        s = weighted_jaccard(part.column(2), part.column(3))
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s)], ["leader", "cls", "similarity"])
 
-def _verifier(similarity: float):
-    """Judges pairs, and names the buckets in which a member has to meet others still.
 
-    A member near to the limit goes on in the leader's own bucket. One that is
-    far from it can only be linked to others through what it holds beyond the
-    leader, so it goes on in buckets of that rest: members whose likeness is
-    just a passage that they share with the leader part here. One with hardly
-    any rest lies inside a much longer leader and meets others of its size.
-    """
-    floor = 2 * similarity - 1
-    least_rest = 0.16
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks.text_slices(batches, "left_text", blocks.SLICE_BYTES // 4):
-            n = part.num_rows
-            got = overlaps(part.column(2), part.column(3))
-            s = got["similarity"]
-            base = blocks.mix(np.array([int.from_bytes(x.as_py()[:8], "little") for x in part.column(0)], np.uint64))
-            rest = np.full((n, REST_HASHES), np.iinfo(np.uint64).max, np.uint64)
-            for k in range(REST_HASHES):
-                np.minimum.at(rest[:, k], got["row"], blocks.mix(got["key"] ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & blocks._MASK)))
-            rest = blocks.mix(rest ^ base[:, None])
-            size = np.floor(np.log(np.maximum(got["size"], 1)) / -np.log(similarity)).astype(np.uint64)
-            keys = []
-            for i in range(n):
-                if s[i] >= floor:
-                    keys.append([base[i]])
-                elif got["rest"][i] >= least_rest * got["size"][i]:
-                    keys.append(rest[i])
-                else:
-                    keys.append(blocks.mix(base[i] ^ (np.array([size[i], size[i] + np.uint64(1)], np.uint64) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F)))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(s), pa.array([np.asarray(k, np.uint64).view(np.int64) for k in keys], pa.list_(pa.int64()))], ["leader", "cls", "similarity", "keys"]
-            )
-
-    return verify
-
-
-def _judge(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(leader, cls, similarity, keys) of the pairs; `texts` holds (cls, text) once for each class."""
+def _judge(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(leader, cls, similarity) of the pairs; `texts` holds (cls, text) once for each class."""
     joined = (
         pairs.join(texts.select(F.col("cls").alias("leader"), F.col("text").alias("left_text")), "leader")
         .join(texts.withColumnRenamed("text", "right_text"), "cls")
         .select("leader", "cls", "left_text", "right_text")
     )
-    return joined.mapInArrow(_verifier(similarity), "leader binary, cls binary, similarity double, keys array<long>")
+    return joined.mapInArrow(_verify, "leader binary, cls binary, similarity double")
 
 
-def _leaders(members: DataFrame) -> DataFrame:
-    """(bucket, leader) of buckets where a pair may be unseen.
+def _with_leaders(members: DataFrame, leaders: int) -> DataFrame:
+    """(bucket, cls, part, leader) of buckets whose members aren't all known to be connected.
 
-    The leader is the least by a hash that differs from bucket to bucket, so
-    that a class meets other leaders elsewhere; members that failed come first.
+    `part` tells members apart that aren't known to be connected; it is the
+    class itself at first. The leaders are least by hashes that differ from
+    bucket to bucket, so that a class meets others elsewhere; members that
+    aren't connected to any come first.
     """
-    order = F.struct("passed", F.xxhash64("bucket", "cls").alias("o"), "cls")
-    found = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("l"))
-    return found.where((F.col("n") > 1) & ~F.col("l.passed")).select("bucket", F.col("l.cls").alias("leader"))
+    order = [F.min(F.struct((F.col("part") != F.col("cls")).alias("joined"), F.xxhash64("bucket", "cls", F.lit(k)).alias("o"), "cls")).alias(f"l{k}") for k in range(leaders)]
+    found = members.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), *order).where("low != high")
+    names = F.array_distinct(F.array(*[F.col(f"l{k}.cls") for k in range(leaders)]))
+    # A checkpoint, so that the join below shuffles both sides anew and a large bucket can be split.
+    chosen = shared_checkpoint(found.select("bucket", names.alias("leaders")))
+    met = members.join(chosen, "bucket").select("bucket", "cls", "part", F.array_contains("leaders", F.col("cls")).alias("leads"), F.explode("leaders").alias("leader"))
+    return shared_checkpoint(met.where((F.col("cls") < F.col("leader")) | ~F.col("leads") & (F.col("cls") != F.col("leader"))))
+
+
+def _open_members(todo: DataFrame, seen: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, cls, part) of the members of each bucket that can be linked to others of it in ways not yet seen.
+
+    Leaders have met everyone. As the distance 1 - similarity is a metric, a
+    member that passed has no unseen link to one that failed if it is much
+    nearer to the leader than the best of those.
+    """
+    judged = shared_checkpoint(todo.join(seen, ["leader", "cls"]))
+    failed = F.col("similarity") < similarity
+    best = judged.where(failed).groupBy("bucket", "leader").agg(F.max("similarity").alias("best"))
+    reach = F.coalesce(failed | (F.col("similarity") <= F.col("best") + (1 - similarity)), F.lit(False))
+    each = judged.where(~F.col("leads")).join(shared_checkpoint(best), ["bucket", "leader"], "left").groupBy("bucket", "cls")
+    out = each.agg(F.bool_and(reach).alias("open"), F.min(F.when(~failed, F.col("leader"))).alias("joined"), F.min("part").alias("part"))
+    return out.where("open").select("bucket", "cls", F.coalesce("joined", "part").alias("part"))
+
+
+def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in blocks.text_slices(batches, "text", blocks.SLICE_BYTES // 2):
+        row, key, count = bags(part.column(1))
+        size = np.bincount(row, weights=count, minlength=part.num_rows).astype(np.int64)
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        row, key = np.repeat(row, count), blocks.mix(np.repeat(key, count) + nth.astype(np.uint64))
+        for k in range(0, len(row), 200_000):
+            at = row[k : k + 200_000]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(size[at]), pa.array(key[k : k + 200_000].view(np.int64))], ["cls", "size", "token"])
+
+
+def _rare_buckets(classes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, cls, part): classes by the rare entries that a partner must share (the exact prefix filter).
+
+    With the entries of every multiset in one order, rarest first, two of the
+    given similarity share one among the first n - ceil(similarity * n) + 1 of
+    each. Texts that are alike in a common passage only have rare entries of
+    their own in front, and so never meet here.
+    """
+    entries = shared_checkpoint(texts.join(classes, "cls", "left_semi").select("cls", "text").mapInArrow(_expanded, "cls binary, size long, token long"))
+    often = shared_checkpoint(entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    known = entries.join(often, "token")
+    w = Window.partitionBy("cls")
+    ranked = known.select("cls", "token", "size", F.row_number().over(w.orderBy("df", "token")).alias("at"), F.count(F.lit(1)).over(w).alias("n"))
+    prefix = F.col("size") - F.ceil(F.col("size") * similarity) + 1
+    return ranked.where(F.col("size") - F.col("n") + F.col("at") <= prefix).select(F.col("token").alias("bucket"), "cls", F.col("cls").alias("part"))
 
 
 def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -210,25 +216,22 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, D
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = shared_checkpoint(rows.mapInArrow(_signatures, "doc_id long, cls binary, bands array<long>"))
     classes = signed.groupBy("cls").agg(F.first("bands").alias("bands"))
-    members = classes.select(F.explode("bands").alias("bucket"), "cls", F.lit(False).alias("passed"))
-    leaders = shared_checkpoint(_leaders(members))
-    todo = shared_checkpoint(members.join(leaders, "bucket"))
+    todo = _with_leaders(classes.select(F.explode("bands").alias("bucket"), "cls", F.col("cls").alias("part")), 1)
+    met = todo.select("cls").unionByName(todo.select(F.col("leader").alias("cls"))).distinct()
     own = rows.withColumn("cls", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    texts = shared_checkpoint(filter_by_bloom(own, todo.select("cls").distinct(), "cls").dropDuplicates(["cls"]).select("cls", "text"))
-    seen = None
-    while True:
-        # A class often meets the same leader in several buckets: each pair is judged once.
-        pairs = shared_checkpoint(todo.where(F.col("cls") != F.col("leader")).select("leader", "cls").distinct())
-        new = _judge(pairs if seen is None else pairs.join(seen, ["leader", "cls"], "left_anti"), texts, similarity)
-        new = shared_checkpoint(new)
-        if seen is not None and new.isEmpty():
-            break
-        seen = new if seen is None else shared_checkpoint(seen.unionByName(new))
-        judged = pairs.join(seen, ["leader", "cls"])
-        members = shared_checkpoint(judged.select(F.explode("keys").alias("bucket"), "cls", (F.col("similarity") >= similarity).alias("passed")).distinct())
-        leaders = shared_checkpoint(_leaders(members))
-        todo = members.join(leaders, "bucket")
-    return signed.select("doc_id", "cls"), seen.where(F.col("similarity") >= similarity).select("leader", "cls", "similarity")
+    texts = shared_checkpoint(filter_by_bloom(own, met, "cls").dropDuplicates(["cls"]).select("cls", "text"))
+    # A class often meets the same leader in several buckets: each pair is judged once.
+    seen = shared_checkpoint(_judge(todo.select("leader", "cls").distinct(), texts))
+    # The bands have done their work; what they left open goes through the exact filter.
+    left = shared_checkpoint(_open_members(todo, seen, similarity))
+    apart = left.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high")
+    still = left.join(shared_checkpoint(apart.select("bucket")), "bucket").select("cls").distinct()
+    todo = _with_leaders(_rare_buckets(still, texts, similarity), LEADERS)
+    while not todo.isEmpty():
+        pairs = todo.select("leader", "cls").distinct()
+        seen = shared_checkpoint(seen.unionByName(_judge(pairs.join(seen, ["leader", "cls"], "left_anti"), texts)))
+        todo = _with_leaders(_open_members(todo, seen, similarity), LEADERS)
+    return signed.select("doc_id", "cls", (F.size("bands") > 0).alias("has_words")), seen.where(F.col("similarity") >= similarity)
 
 
 #: Bits of a Bloom filter that goes to all tasks at most: 2 MB.
@@ -283,7 +286,7 @@ def components(edges: DataFrame, left: str = "leader", right: str = "cls") -> Da
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, group_id, n_links) of every row.
+    """(doc_id, class_id, group_id, n_links, has_words) of every row.
 
     class_id is the least id of the rows of equal text, group_id the least id
     of all rows that links connect; n_links counts the links of the row's class.
@@ -299,15 +302,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     linked = shared_checkpoint(grouped.join(least, "root").select("cls", "group_id", "n_links"))
     named = shared_checkpoint(first.join(linked, "cls", "left"))
     return members.join(named, "cls", "left").select(
-        "doc_id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+        "doc_id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "has_words"
     )
 
 
 def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without those that copy, or nearly copy, a document of a lesser id. Texts without a word all stay."""
     judged = near_duplicates(docs, similarity)
-    dropped = judged.where(F.col("group_id") != F.col("doc_id")).select("doc_id")
-    empty = F.length(F.trim(F.coalesce("text", F.lit("")))) == 0
-    drop = dropped.distinct().withColumn("_drop", F.lit(True))
-    kept = docs.join(drop, "doc_id", "left").where(F.col("_drop").isNull() | empty).drop("_drop")
-    return kept.select(*docs.columns)
+    return blocks.drop_ids(docs, judged.where((F.col("group_id") != F.col("doc_id")) & F.col("has_words")).select("doc_id")).select(*docs.columns)
