@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import blocks, neardup, quality
+from tallyforge.llm import blocks, bpe, decontaminate, neardup, quality, secrets
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -26,9 +26,29 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return neardup.keep_one_of_each(docs)
 
 
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; the documents stay."""
+    return secrets.redact(docs)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left, with a round trip through the decoder."""
+    import public_tokenizers
+
+    return bpe.encode_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_classifier", quality_stage),
     ("minhash_near_dedup", near_dedup_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("secret_scans", secret_stage),
+    ("byte_bpe", token_stage),
 ]
 
 #: Classifiers and sketches have no SQL form; tests hold the pipeline against a brute-force version.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, neardup, quality, secrets
+from . import bpe, decontaminate, neardup, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,17 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(_table(spark, sf_dir, "documents"))
 
 
+def _tokenizer() -> tuple[str, str]:
+    """Place of the public rank file and the pattern that goes with it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(_table(spark, sf_dir, "documents"), *_tokenizer())
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -29,6 +40,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES = {
     "op2_secret_scans": op2_secret_scans,
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,

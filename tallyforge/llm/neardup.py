@@ -42,6 +42,8 @@ SIMILARITY = 0.8
 WORDS = 5
 #: Leaders of a bucket of rare entries in each round.
 LEADERS = 8
+#: Members of a bucket of rare entries that are compared directly; larger ones go through leaders.
+FEW = 64
 
 
 def bags(texts: pa.Array, width: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,8 +148,8 @@ def _judge(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(_verify, "leader binary, cls binary, similarity double")
 
 
-def _with_leaders(members: DataFrame, leaders: int) -> DataFrame:
-    """(bucket, cls, part, leader) of buckets whose members aren't all known to be connected.
+def _with_leaders(members: DataFrame, leaders: int, least: int = 1) -> DataFrame:
+    """(bucket, cls, part, leads, leader) of buckets of more than `least` members that aren't all known to be connected.
 
     `part` tells members apart that aren't known to be connected; it is the
     class itself at first. The leaders are least by hashes that differ from
@@ -155,7 +157,7 @@ def _with_leaders(members: DataFrame, leaders: int) -> DataFrame:
     aren't connected to any come first.
     """
     order = [F.min(F.struct((F.col("part") != F.col("cls")).alias("joined"), F.xxhash64("bucket", "cls", F.lit(k)).alias("o"), "cls")).alias(f"l{k}") for k in range(leaders)]
-    found = members.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), *order).where("low != high")
+    found = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), *order).where((F.col("low") != F.col("high")) & (F.col("n") > least))
     names = F.array_distinct(F.array(*[F.col(f"l{k}.cls") for k in range(leaders)]))
     # A checkpoint, so that the join below shuffles both sides anew and a large bucket can be split.
     chosen = shared_checkpoint(found.select("bucket", names.alias("leaders")))
@@ -191,7 +193,7 @@ def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rare_buckets(classes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(bucket, cls, part): classes by the rare entries that a partner must share (the exact prefix filter).
+    """(bucket, cls, size): classes by the rare entries that a partner must share (the exact prefix filter).
 
     With the entries of every multiset in one order, rarest first, two of the
     given similarity share one among the first n - ceil(similarity * n) + 1 of
@@ -200,21 +202,21 @@ def _rare_buckets(classes: DataFrame, texts: DataFrame, similarity: float) -> Da
     """
     entries = shared_checkpoint(texts.join(classes, "cls", "left_semi").select("cls", "text").mapInArrow(_expanded, "cls binary, size long, token long"))
     often = shared_checkpoint(entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    known = entries.join(often, "token")
     w = Window.partitionBy("cls")
-    ranked = known.select("cls", "token", "size", F.row_number().over(w.orderBy("df", "token")).alias("at"), F.count(F.lit(1)).over(w).alias("n"))
+    ranked = entries.join(often, "token").select("cls", "token", "size", F.row_number().over(w.orderBy("df", "token")).alias("at"), F.count(F.lit(1)).over(w).alias("n"))
     prefix = F.col("size") - F.ceil(F.col("size") * similarity) + 1
-    return ranked.where(F.col("size") - F.col("n") + F.col("at") <= prefix).select(F.col("token").alias("bucket"), "cls", F.col("cls").alias("part"))
+    return ranked.where(F.col("size") - F.col("n") + F.col("at") <= prefix).select(F.col("token").alias("bucket"), "cls", "size")
 
 
-def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(members, links): doc_id and class of every row, and the linked pairs of classes.
+def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, links, roots): class of every row, linked pairs of classes, component of every linked class.
 
     Every class that is linked to another appears in a link; pairs whose
-    classes are already connected through a common leader aren't listed.
+    classes are already connected through a common leader aren't all listed.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = shared_checkpoint(rows.mapInArrow(_signatures, "doc_id long, cls binary, bands array<long>"))
+    members = signed.select("doc_id", "cls", (F.size("bands") > 0).alias("has_words"))
     classes = signed.groupBy("cls").agg(F.first("bands").alias("bands"))
     todo = _with_leaders(classes.select(F.explode("bands").alias("bucket"), "cls", F.col("cls").alias("part")), 1)
     met = todo.select("cls").unionByName(todo.select(F.col("leader").alias("cls"))).distinct()
@@ -222,16 +224,33 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, D
     texts = shared_checkpoint(filter_by_bloom(own, met, "cls").dropDuplicates(["cls"]).select("cls", "text"))
     # A class often meets the same leader in several buckets: each pair is judged once.
     seen = shared_checkpoint(_judge(todo.select("leader", "cls").distinct(), texts))
+    linked = seen.where(F.col("similarity") >= similarity)
+    roots = components(linked)
     # The bands have done their work; what they left open goes through the exact filter.
-    left = shared_checkpoint(_open_members(todo, seen, similarity))
+    named = roots.select(F.col("node").alias("cls"), "root")
+    part = F.coalesce("root", "cls").alias("part")
+    left = _open_members(todo, seen, similarity).join(named, "cls", "left").select("bucket", "cls", part)
+    left = shared_checkpoint(left)
     apart = left.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high")
-    still = left.join(shared_checkpoint(apart.select("bucket")), "bucket").select("cls").distinct()
-    todo = _with_leaders(_rare_buckets(still, texts, similarity), LEADERS)
+    still = left.join(apart.select("bucket"), "bucket", "left_semi").select("cls").distinct()
+    rare = shared_checkpoint(_rare_buckets(still, texts, similarity).join(named, "cls", "left").select("bucket", "cls", "size", part))
+    sizes = rare.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
+    few = rare.join(sizes.where((F.col("low") != F.col("high")) & (F.col("n") <= FEW)).select("bucket"), "bucket")
+    other = few.select("bucket", F.col("cls").alias("leader"), F.col("part").alias("other_part"), F.col("size").alias("other_size"))
+    near_size = (F.col("size") >= similarity * F.col("other_size")) & (F.col("other_size") >= similarity * F.col("size"))
+    pairs = few.join(other, "bucket").where((F.col("leader") < F.col("cls")) & (F.col("part") != F.col("other_part")) & near_size)
+    new = shared_checkpoint(_judge(pairs.select("leader", "cls").distinct(), texts))
+    found = linked.unionByName(new.where(F.col("similarity") >= similarity))
+    todo = _with_leaders(rare.select("bucket", "cls", "part"), LEADERS, FEW)
     while not todo.isEmpty():
         pairs = todo.select("leader", "cls").distinct()
         seen = shared_checkpoint(seen.unionByName(_judge(pairs.join(seen, ["leader", "cls"], "left_anti"), texts)))
+        found = found.unionByName(seen.where(F.col("similarity") >= similarity)).distinct()
         todo = _with_leaders(_open_members(todo, seen, similarity), LEADERS)
-    return signed.select("doc_id", "cls", (F.size("bands") > 0).alias("has_words")), seen.where(F.col("similarity") >= similarity)
+    if not found.join(linked, ["leader", "cls"], "left_anti").isEmpty():
+        found = shared_checkpoint(found)
+        roots = components(found)
+    return members, found, roots
 
 
 #: Bits of a Bloom filter that goes to all tasks at most: 2 MB.
@@ -291,16 +310,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     class_id is the least id of the rows of equal text, group_id the least id
     of all rows that links connect; n_links counts the links of the row's class.
     """
-    members, found = links(docs, similarity)
-    members = shared_checkpoint(members)
-    first = shared_checkpoint(members.groupBy("cls").agg(F.min("doc_id").alias("class_id")))
+    members, found, roots = links(docs, similarity)
     ends = found.select(F.col("leader").alias("cls")).unionByName(found.select("cls"))
     degree = ends.groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
-    rooted = components(found).withColumnRenamed("node", "cls")
-    grouped = first.join(rooted, "cls").join(degree, "cls")
-    least = shared_checkpoint(grouped.groupBy("root").agg(F.min("class_id").alias("group_id")))
-    linked = shared_checkpoint(grouped.join(least, "root").select("cls", "group_id", "n_links"))
-    named = shared_checkpoint(first.join(linked, "cls", "left"))
+    first = members.groupBy("cls").agg(F.min("doc_id").alias("class_id"))
+    named = shared_checkpoint(first.join(roots.withColumnRenamed("node", "cls"), "cls", "left").join(degree, "cls", "left"))
+    least = shared_checkpoint(named.where("root is not null").groupBy("root").agg(F.min("class_id").alias("group_id")))
+    named = shared_checkpoint(named.join(least, "root", "left").drop("root"))
     return members.join(named, "cls", "left").select(
         "doc_id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "has_words"
     )
