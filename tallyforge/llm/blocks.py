@@ -6,6 +6,7 @@ task's memory depends on the slice size and on its longest single text only.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,6 +44,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffles, broadcasts and checkpoints of steps that are over.
+
+    Spark drops them when the driver's garbage is collected, which may take
+    very long while a job of many short steps runs.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the text of each holds about `size` bytes.
 

@@ -225,7 +225,9 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, D
     # A class often meets the same leader in several buckets: each pair is judged once.
     seen = shared_checkpoint(_judge(todo.select("leader", "cls").distinct(), texts))
     linked = seen.where(F.col("similarity") >= similarity)
+    blocks.release(docs.sparkSession)
     roots = components(linked)
+    blocks.release(docs.sparkSession)
     # The bands have done their work; what they left open goes through the exact filter.
     named = roots.select(F.col("node").alias("cls"), "root")
     part = F.coalesce("root", "cls").alias("part")
@@ -240,6 +242,7 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, D
     near_size = (F.col("size") >= similarity * F.col("other_size")) & (F.col("other_size") >= similarity * F.col("size"))
     pairs = few.join(other, "bucket").where((F.col("leader") < F.col("cls")) & (F.col("part") != F.col("other_part")) & near_size)
     new = shared_checkpoint(_judge(pairs.select("leader", "cls").distinct(), texts))
+    blocks.release(docs.sparkSession)
     found = linked.unionByName(new.where(F.col("similarity") >= similarity))
     todo = _with_leaders(rare.select("bucket", "cls", "part"), LEADERS, FEW)
     while not todo.isEmpty():
@@ -250,6 +253,7 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, D
     if not found.join(linked, ["leader", "cls"], "left_anti").isEmpty():
         found = shared_checkpoint(found)
         roots = components(found)
+    blocks.release(docs.sparkSession)
     return members, found, roots
 
 
@@ -287,18 +291,18 @@ def filter_by_bloom(rows: DataFrame, wanted: DataFrame, key: str, bits: int | No
 def components(edges: DataFrame, left: str = "leader", right: str = "cls") -> DataFrame:
     """(node, root) for every node of the edges: the least node of its component.
 
-    Labels fall to the least label of the neighbours, then jump to their
-    label's own label, until none changes. No component meets in one task.
+    Labels fall to the least label of the neighbours and of their own label's
+    label, until none changes. No component meets in one task.
     """
     one = edges.select(F.col(left).alias("a"), F.col(right).alias("b"))
     both = shared_checkpoint(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = shared_checkpoint(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
+    label = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).select(F.col("a").alias("node"), "root")
+    label = shared_checkpoint(label)
     while True:
-        near = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        lower = label.join(near, F.col("node") == F.col("a")).select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        lower = shared_checkpoint(lower)
-        jump = lower.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        new = shared_checkpoint(lower.join(jump, "root", "left").select("node", "was", F.coalesce(F.least("root", "far"), "root").alias("root")))
+        near = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near")).withColumnRenamed("a", "node")
+        jump = label.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        new = label.join(jump, "root", "left").join(near, "node", "left")
+        new = shared_checkpoint(new.select("node", F.col("root").alias("was"), F.least("root", "near", "far").alias("root")))
         if new.where(F.col("root") != F.col("was")).isEmpty():
             return new.select("node", "root")
         label = new.select("node", "root")
@@ -315,8 +319,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     degree = ends.groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
     first = members.groupBy("cls").agg(F.min("doc_id").alias("class_id"))
     named = shared_checkpoint(first.join(roots.withColumnRenamed("node", "cls"), "cls", "left").join(degree, "cls", "left"))
-    least = shared_checkpoint(named.where("root is not null").groupBy("root").agg(F.min("class_id").alias("group_id")))
-    named = shared_checkpoint(named.join(least, "root", "left").drop("root"))
+    least = named.where("root is not null").groupBy("root").agg(F.min("class_id").alias("group_id"))
+    named = named.join(least, "root", "left").drop("root")
     return members.join(named, "cls", "left").select(
         "doc_id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "has_words"
     )
