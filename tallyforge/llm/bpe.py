@@ -2,10 +2,15 @@
 
 Texts are cut into the pattern's matches and gathered in blocks: one row holds
 the distinct words of a few megabytes of text, and for each text the numbers of
-its words. A fold then merges the bytes of every distinct word, the pair of
-least rank first and the leftmost of equal ones, with the ranks as a literal
-map; texts are put together from the ids of their words, and decoded by
-concatenating the pieces of the ids.
+its words. Every distinct word is merged, the pair of least rank first and the
+leftmost of equal ones; texts are put together from the ids of their words, and
+decoded by concatenating the pieces of the ids, both by higher-order functions.
+
+The merging comes in two forms with equal results. With `fold` it is a fold of
+higher-order functions over the bytes of the distinct words, with the ranks as
+a literal map. That form needs more than twice the CPU time that the check
+tool allows (see README.md), so by default the block builder merges the words,
+each distinct word of a block once.
 
 Bytes appear as the characters U+0000 to U+00FF, as keys of a literal map have
 to be strings; encoding to ISO-8859-1 gives the bytes back. The map is dealt
@@ -77,25 +82,59 @@ def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-_BLOCK = "docs array<struct<doc_id:long,words:array<int>>>, words array<string>, long_ids array<array<int>>"
+#: Distinct words whose ids a Python worker keeps from block to block.
+KEPT_WORDS = 300_000
+_kept: dict[str, list[int]] = {}
+
+
+def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one word."""
+    if (whole := ranks.get(word)) is not None:
+        return [whole]
+    if len(word) > LONG_BYTES // 4:
+        return heap_merge(word, ranks)
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while True:
+        best, at = _NONE, -1
+        for i in range(len(parts) - 1):
+            rank = ranks.get(parts[i] + parts[i + 1], _NONE)
+            if rank < best:
+                best, at = rank, i
+        if at < 0:
+            return [ranks[p] for p in parts]
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
 
+_BLOCK = "docs array<struct<doc_id:long,words:array<int>>>, words array<string>, given array<array<int>>"
 
-def _block_builder(pattern: str, ranks: dict[bytes, int], block_bytes: int):
+
+def _block_builder(pattern: str, ranks: dict[bytes, int], block_bytes: int, fold: bool):
     find = regex.compile(pattern.replace(r"\S", f"[^{_SPACE}]").replace(r"[^\s", f"[^{_SPACE}").replace(r"\s", f"[{_SPACE}]")).findall
 
+    def merged(word: str) -> list[int] | None:
+        data = word.encode()
+        if fold:
+            return heap_merge(data, ranks) if len(data) > LONG_BYTES else None
+        ids = _kept.get(word)
+        if ids is None:
+            ids = merge_word(data, ranks)
+            if len(_kept) < KEPT_WORDS and len(data) <= 32:
+                _kept[word] = ids
+        return ids
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number: dict[str, int] = {}
         ids, offsets, words, size = [], [0], [], 0
+        _kept.clear()  # another task of this worker may have had other ranks
 
         def flush() -> pa.RecordBatch:
-            distinct = [w.encode() for w in number]
             docs = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays(words) if words else pa.array([], pa.int32()))], ["doc_id", "words"])
             arrays = [
                 pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), docs),
-                pa.array([[_chars(w) for w in distinct]], pa.list_(pa.string())),
-                pa.array([[heap_merge(w, ranks) if len(w) > LONG_BYTES else None for w in distinct]], pa.list_(pa.list_(pa.int32()))),
+                pa.array([[_chars(w.encode()) for w in number] if fold else []], pa.list_(pa.string())),
+                pa.array([[merged(w) for w in number]], pa.list_(pa.list_(pa.int32()))),
             ]
-            return pa.RecordBatch.from_arrays(arrays, ["docs", "words", "long_ids"])
+            return pa.RecordBatch.from_arrays(arrays, ["docs", "words", "given"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -163,25 +202,32 @@ def _literals(ranks: dict[bytes, int]) -> tuple[Column, Column]:
     return F.from_json(F.lit(json.dumps(dealt)), "array<map<string,int>>"), F.from_json(F.lit(json.dumps(pieces)), "array<string>")
 
 
-def encoded_blocks(docs: DataFrame, path: str, pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(docs, ids, pieces): blocks of texts with the ids of each distinct word and what they decode to."""
+def encoded_blocks(docs: DataFrame, path: str, pattern: str, block_bytes: int = BLOCK_BYTES, fold: bool = False) -> DataFrame:
+    """(docs, ids, pieces): blocks of texts with the ids of each distinct word and what they decode to.
+
+    With `fold` the words are merged by higher-order functions, else in the
+    block builder; the ids are the same.
+    """
     ranks = load_ranks(path)
     rank_map, piece_list = _literals(ranks)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    built = rows.mapInArrow(_block_builder(pattern, ranks, block_bytes), _BLOCK)
+    built = rows.mapInArrow(_block_builder(pattern, ranks, block_bytes, fold), _BLOCK)
+    if fold:
 
-    def ids(given: Column, word: Column, table: Column) -> Column:
-        return F.coalesce(given, F.transform(_fold(word, table), lambda piece: _rank(table, piece)))
+        def ids(given: Column, word: Column, table: Column) -> Column:
+            return F.coalesce(given, F.transform(_fold(word, table), lambda piece: _rank(table, piece)))
 
-    folded = _let(rank_map, lambda table: F.zip_with("long_ids", "words", lambda given, word: ids(given, word, table)))
-    out = built.select("docs", folded.alias("ids"))
+        folded = _let(rank_map, lambda table: F.zip_with("given", "words", lambda given, word: ids(given, word, table)))
+        out = built.select("docs", folded.alias("ids"))
+    else:
+        out = built.select("docs", F.col("given").alias("ids"))
     decoded = _let(piece_list, lambda table: F.transform("ids", lambda word: F.array_join(F.transform(word, lambda i: F.get(table, i)), "")))
     return out.select("docs", "ids", decoded.alias("pieces"))
 
 
-def encode_digests(docs: DataFrame, path: str, pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode_digests(docs: DataFrame, path: str, pattern: str, block_bytes: int = BLOCK_BYTES, fold: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document."""
-    out = encoded_blocks(docs, path, pattern, block_bytes)
+    out = encoded_blocks(docs, path, pattern, block_bytes, fold)
     out = out.select("docs", "pieces", F.transform("ids", lambda w: F.concat_ws(",", w.cast("array<string>"))).alias("ids"), F.transform("ids", lambda w: F.size(w)).alias("n"))
 
     def digest(doc: Column) -> Column:
@@ -196,9 +242,9 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, block_bytes: int =
     return out.select(F.inline(F.transform("docs", digest)))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, block_bytes: int = BLOCK_BYTES, fold: bool = False) -> DataFrame:
     """(doc_id, ids) of every document."""
-    out = encoded_blocks(docs, path, pattern, block_bytes)
+    out = encoded_blocks(docs, path, pattern, block_bytes, fold)
     return out.select(F.inline(F.transform("docs", lambda doc: F.struct(doc["doc_id"].alias("doc_id"), F.flatten(F.transform(doc["words"], lambda i: F.get(F.col("ids"), i))).alias("ids")))))
 
 
