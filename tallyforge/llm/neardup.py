@@ -41,7 +41,7 @@ BANDS, ROWS = 26, 5
 SIMILARITY = 0.8
 WORDS = 5
 #: Leaders of a bucket of rare entries in each round.
-LEADERS = 8
+LEADERS = 32
 #: Members of a bucket of rare entries that are compared directly; larger ones go through leaders.
 FEW = 64
 
@@ -236,15 +236,18 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, D
     apart = left.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high")
     still = left.join(apart.select("bucket"), "bucket", "left_semi").select("cls").distinct()
     rare = shared_checkpoint(_rare_buckets(still, texts, similarity).join(named, "cls", "left").select("bucket", "cls", "size", part))
-    sizes = rare.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
-    few = rare.join(sizes.where((F.col("low") != F.col("high")) & (F.col("n") <= FEW)).select("bucket"), "bucket")
+    # Entries that occur together make buckets of the same members; one of each is enough.
+    sizes = rare.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
+    sizes = sizes.where("low != high").groupBy("n", "low", "high", "x", "y").agg(F.min("bucket").alias("bucket"))
+    rare = shared_checkpoint(rare.join(shared_checkpoint(sizes.select("bucket", "n")), "bucket"))
+    few = rare.where(F.col("n") <= FEW).drop("n")
     other = few.select("bucket", F.col("cls").alias("leader"), F.col("part").alias("other_part"), F.col("size").alias("other_size"))
     near_size = (F.col("size") >= similarity * F.col("other_size")) & (F.col("other_size") >= similarity * F.col("size"))
     pairs = few.join(other, "bucket").where((F.col("leader") < F.col("cls")) & (F.col("part") != F.col("other_part")) & near_size)
     new = shared_checkpoint(_judge(pairs.select("leader", "cls").distinct(), texts))
     blocks.release(docs.sparkSession)
     found = linked.unionByName(new.where(F.col("similarity") >= similarity))
-    todo = _with_leaders(rare.select("bucket", "cls", "part"), LEADERS, FEW)
+    todo = _with_leaders(rare.where(F.col("n") > FEW).select("bucket", "cls", "part"), LEADERS)
     while not todo.isEmpty():
         pairs = todo.select("leader", "cls").distinct()
         seen = shared_checkpoint(seen.unionByName(_judge(pairs.join(seen, ["leader", "cls"], "left_anti"), texts)))
