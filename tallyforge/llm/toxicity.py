@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import blocks
 
 #: Fitting sample: documents of each label at most, and their greatest length in bytes.
-FIT_ROWS, FIT_BYTES = 2000, 1 << 16
+FIT_ROWS, FIT_BYTES = 1000, 1 << 16
 CHAIN = 128
 BUCKETS = 1 << 18
 #: A marking feature occurs in so many toxic documents, and these are such a share of its documents.
@@ -52,14 +52,14 @@ class Tokens:
         self.buf, self.offsets, self.start, self.end, self.row = raw, offsets, words.start, words.end, words.row
         self.n_rows = len(offsets) - 1
         if not len(self.start):
-            self.features = np.zeros((0, N_FEATURES), np.int64)
+            self.features = np.zeros((0, N_FEATURES), np.int32)
             self.first, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
             return
         ranged = blocks.RangeHash(buf)
         ranges = [(self.start, self.end)]
         ranges += [(self.start, np.minimum(self.start + k, self.end)) for k in (4, 6, 8)]
         ranges += [(np.maximum(self.end - 4, self.start), self.end)]
-        self.features = np.column_stack([(blocks.mix(ranged(a, b) + np.uint64(k)) % np.uint64(BUCKETS)).astype(np.int64) for k, (a, b) in enumerate(ranges)])
+        self.features = np.column_stack([(blocks.mix(ranged(a, b) + np.uint64(k)) % np.uint64(BUCKETS)).astype(np.int32) for k, (a, b) in enumerate(ranges)])
         breaks = np.concatenate([[0], np.cumsum(_BREAK[raw])])
         new = np.ones(len(self.start), bool)
         new[1:] = (self.row[1:] != self.row[:-1]) | (breaks[self.start[1:]] > breaks[self.end[:-1]])
@@ -134,7 +134,7 @@ def fit(texts: list[str], toxic: np.ndarray, *, epochs: int = 12, chains: int =
     label = toxic[tokens.row]
     marked = np.zeros(len(label), bool)
     for k in range(N_FEATURES):
-        pair = np.unique(tokens.row * BUCKETS + tokens.features[:, k])
+        pair = np.unique(tokens.row * BUCKETS + tokens.features[:, k].astype(np.int64))
         row, feature = pair // BUCKETS, pair % BUCKETS
         bad = np.bincount(feature[toxic[row]], minlength=BUCKETS)
         good = np.bincount(feature[~toxic[row]], minlength=BUCKETS) * (toxic.sum() / max((~toxic).sum(), 1))
