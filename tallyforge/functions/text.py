@@ -43,6 +43,11 @@ SCAN_LINES = 6
 _LETTER = r"[A-Za-zÀ-ÿĀ-žİıŞşĞğ]"
 
 
+def let(value: Column, body) -> Column:
+    """`body` of a value that is worked out once, however often `body` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalise(text: Column) -> Column:
     """One kind of line end; a space where a label was glued to its value; plain spaces."""
     text = F.regexp_replace(text, "\r\n?", "\n")
@@ -55,15 +60,15 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
 
 def parse_amount(raw: Column) -> Column:
     """The last separator decides: two digits after it are cents, three make it a thousands separator, else there is no amount."""
-    s = F.translate(F.regexp_replace(raw, r"^(?U:\s)+|(?U:\s)+$| ", ""), "−", "-")
-    negative = F.startswith(s, F.lit("-"))
-    s = F.regexp_replace(s, "^-+", "")
-    tail = F.regexp_extract(s, r"(?s)[.,]([^.,]*)$", 1)
-    head = F.regexp_extract(s, r"(?s)^(.*)[.,][^.,]*$", 1)
-    plain = F.translate(s, ".,", "")
-    digits = F.when(~s.rlike("[.,]"), s).when(F.length(tail) == 2, F.concat(F.translate(head, ".,", ""), F.lit("."), tail)).when(F.length(tail) == 3, plain)
-    value = F.when(digits.rlike(r"^\d+(\.\d*)?$"), digits.try_cast("double"))
-    return F.when(negative, -value).otherwise(value)
+    stripped = F.translate(F.regexp_replace(raw, r"^(?U:\s)+|(?U:\s)+$| ", ""), "−", "-")
+
+    def value(s: Column) -> Column:
+        tail = F.regexp_extract(s, r"(?s)[.,]([^.,]*)$", 1)
+        head = F.regexp_extract(s, r"(?s)^(.*)[.,][^.,]*$", 1)
+        digits = F.when(~s.rlike("[.,]"), s).when(F.length(tail) == 2, F.concat(F.translate(head, ".,", ""), F.lit("."), tail)).when(F.length(tail) == 3, F.translate(s, ".,", ""))
+        return let(digits, lambda d: F.when(d.rlike(r"^\d+(\.\d*)?$"), d.try_cast("double")))
+
+    return let(stripped, lambda s: F.when(F.startswith(s, F.lit("-")), -value(F.regexp_replace(s, "^-+", ""))).otherwise(value(s)))
 
 
 def _day(y: Column, m: Column, d: Column) -> Column:
@@ -78,7 +83,10 @@ def _month(name: Column) -> Column:
 
 def parse_date(raw: Column, prefer_us: Column) -> Column:
     """Year first, day or month first, or with a month's name; a part over 12 tells day from month, else `prefer_us` does."""
-    s = F.regexp_replace(F.regexp_replace(raw, r"^(?U:\s)+|(?U:\s)+$", ""), "[.,]+$", "")
+    return let(F.regexp_replace(F.regexp_replace(raw, r"^(?U:\s)+|(?U:\s)+$", ""), "[.,]+$", ""), lambda s: _parsed_date(s, prefer_us))
+
+
+def _parsed_date(s: Column, prefer_us: Column) -> Column:
     get = lambda p, g: F.regexp_extract(s, p, g)
     iso = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$"
     num = r"^(\d{1,2})[./-](\d{1,2})[./-](\d{2,4})$"
@@ -128,8 +136,11 @@ def _words(c: Column) -> Column:
 
 def looks_like_a_name(line: Column) -> Column:
     """Whether a line reads like a company's name rather than boilerplate, an address, a label or debris."""
-    low, words = F.lower(line), _words(line)
-    n = F.size(words)
+    return let(line, lambda x: let(_words(x), lambda words: _name_like(x, words)))
+
+
+def _name_like(line: Column, words: Column) -> Column:
+    low, n = F.lower(line), F.size(words)
     boilerplate = F.lit(False)
     for start in BOILERPLATE:
         boilerplate = boilerplate | F.startswith(low, F.lit(start))
@@ -148,19 +159,28 @@ def clean_vendor(name: Column) -> Column:
     s = F.regexp_replace(name, r"(?U)^[^\w(]+", "")
     s = F.regexp_replace(s, r"(?iU)\s*[·|\-–—:.]*\s*(?:tax\s*)?(?:invoice|credit\s*note|receipt|statement)\s*$", "")
     s = F.get(F.split(s, r"(?iU)\s+(?:Document|Invoice|Customer|Tax\s+invoice|Date|VAT|Bill\s+to)\b", 2), F.lit(0))
-    words = _words(s)
+    return let(_words(s), lambda words: let(_good_words(words), lambda kept: _without_point(F.array_join(kept, " "))))
+
+
+def _good_words(words: Column) -> Column:
+    """Without bad words at the head, where the last word always stays, and then without bad ones at the tail."""
     bad_head = lambda w: w.rlike(r"(?U)[^\w&'.-]") | ((F.length(w) <= 2) & ~w.isin("A", "I"))
     bad_tail = lambda w: ~w.rlike(_LETTER) | w.rlike(r"[+?*=<>|~^_@#%]")
-    # The last word always stays at the head; words go from the tail while they are bad.
     size = F.size(words)
     first = F.aggregate(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), F.lit(1), lambda at, i: F.when((i == at) & (i < size) & bad_head(F.get(words, i - 1)), i + 1).otherwise(at))
-    kept = F.when(size > 0, F.slice(words, first, size)).otherwise(words)
-    back = F.reverse(kept)
-    count = F.size(kept)
-    drop = F.aggregate(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), F.lit(0), lambda n, i: F.when((i == n) & (i < count) & bad_tail(F.get(back, i)), n + 1).otherwise(n))
-    s = F.array_join(F.slice(kept, F.lit(1), F.greatest(count - drop, F.lit(0))), " ")
-    s = F.regexp_replace(s, r"^[ ,\-·]+|[ ,\-·]+$", "")
-    return F.when(F.endswith(s, F.lit(".")) & ~s.rlike(_I + ABBREVIATIONS), F.regexp_replace(s, r"\.$", "")).otherwise(s)
+    kept = F.when(size > 0, F.slice(words, first, F.greatest(size, F.lit(1)))).otherwise(words)
+
+    def tail(kept: Column) -> Column:
+        count = F.size(kept)
+        last = F.aggregate(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), F.lit(0), lambda n, i: F.when((i == n) & (i < count) & bad_tail(F.get(kept, count - 1 - i)), n + 1).otherwise(n))
+        return F.slice(kept, F.lit(1), F.greatest(count - last, F.lit(0)))
+
+    return let(kept, tail)
+
+
+def _without_point(joined: Column) -> Column:
+    trimmed = F.regexp_replace(joined, r"^[ ,\-·]+|[ ,\-·]+$", "")
+    return let(trimmed, lambda s: F.when(F.endswith(s, F.lit(".")) & ~s.rlike(_I + ABBREVIATIONS), F.regexp_replace(s, r"\.$", "")).otherwise(s))
 
 
 def vendor_lines(text: Column) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import match, report, statement
-from .fixtures import RESULTS, VIEWS, invoices, ledger
+from ..operators import extract, match, report, statement
+from ..operators import ledger as sheets
+from .fixtures import PAGE_VENDOR, RESULTS, VIEWS, doc_text, invoices, ledger, ledger_grid, page_invoices
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +84,27 @@ def extraction_progress(spark, sf_dir):
     return report.extraction_progress(invoices(spark, sf_dir))
 
 
+def extracted_fields(spark, sf_dir):
+    out = extract.extract_invoices(doc_text(spark, sf_dir))
+    return out.select("inv_ord", "source_file", "invoice_number", "vendor", F.date_format("invoice_date", "yyyy-MM-dd").alias("invoice_date"), "amount", "extraction_method")
+
+
+def extraction_accuracy(spark, sf_dir):
+    truth = page_invoices(spark, sf_dir).select(F.col("source_file").alias("file"), "vendor", "invoice_number", "invoice_date", "amount", F.lit("").alias("scanned"), F.concat(F.lit("t"), F.col("inv_ord") % 3).alias("template"))
+    return extract.score_against_truth(extract.extract_invoices(doc_text(spark, sf_dir)), truth)
+
+
+def ledger_from_grid(spark, sf_dir):
+    out = sheets.ledger_rows(ledger_grid(spark, sf_dir))
+    return out.select("row_index", F.date_format("ledger_date", "yyyy-MM-dd").alias("ledger_date"), "description", "reference", "amount")
+
+
+def document_fields(spark, sf_dir):
+    """Free text rarely holds invoice fields; what it holds is read without failing."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("inv_ord"), F.col("doc_id").cast("string").alias("source_file"), "text")
+    return report.extraction_progress(extract.extract_invoices(docs)).select("done")
+
+
 _SUMS = ", ".join(
     [
         "count(*) AS invoice_count", "count(*) FILTER (amount IS NULL) AS unreadable_count",
@@ -99,7 +121,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         reconcile_detail, reconcile_extra_rows, reconcile_summary, flag_histogram, flagged_mismatches, unmatched_ledger, coverage_counts, vendor_statements,
-        statement_totals, statement_lines, duplicate_numbers, reference_matches, combined_payments, near_pairs, latest_date, extraction_progress,
+        statement_totals, statement_lines, duplicate_numbers, reference_matches, combined_payments, near_pairs, latest_date, extraction_progress, extracted_fields, extraction_accuracy, ledger_from_grid, document_fields,
     )
 }
 
@@ -120,5 +142,9 @@ ORACLES = {
     "combined_payments": RESULTS + "SELECT inv_ord, row_index FROM combined",
     "near_pairs": f"WITH {VIEWS} SELECT inv_ord, row_index FROM (SELECT *, unnest([-2, -1, 0, 1, 2]) AS dc FROM inv) inv JOIN led ON floor(led.amount * 100) = floor(inv.amount * 100) + dc AND abs(led.amount - inv.amount) <= 0.01 AND abs(ledger_date - invoice_date) <= 5",
     "latest_date": RESULTS + "SELECT d AS as_of FROM last_day",
+    "extracted_fields": f"WITH {VIEWS} SELECT inv_ord, source_file, invoice_number, {PAGE_VENDOR} AS vendor, strftime(invoice_date, '%Y-%m-%d') AS invoice_date, amount, extraction_method FROM inv",
+    "extraction_accuracy": f"WITH {VIEWS}, t AS (SELECT 'clean' AS kind, concat('t', inv_ord % 3) AS template, CASE WHEN amount IS NULL THEN 0 ELSE 1 END AS known FROM inv) SELECT kind, template, count(*) AS n, 1.0::double AS number, 1.0::double AS vendor, 1.0::double AS date, avg(known) AS amount FROM t GROUP BY GROUPING SETS ((kind), (kind, template))",
+    "ledger_from_grid": f"WITH {VIEWS} SELECT CAST(row_index * 2 AS int) AS row_index, strftime(ledger_date, '%Y-%m-%d') AS ledger_date, description, reference, amount FROM led",
+    "document_fields": "SELECT count(*) AS done FROM documents",
     "extraction_progress": f"WITH {VIEWS} SELECT count(*) AS done, count(*) FILTER (invoice_number IS NULL OR amount IS NULL OR invoice_date IS NULL) AS partial FROM inv",
 }

@@ -138,3 +138,50 @@ WITH {_ONCE}, first_named AS MATERIALIZED (
   SELECT *, CASE WHEN age_days IS NULL THEN 'undated' WHEN age_days <= 30 THEN 'd0_30' WHEN age_days <= 60 THEN 'd31_60' WHEN age_days <= 90 THEN 'd61_90' ELSE 'd90_plus' END AS bucket FROM lines
 )
 """
+
+
+PAGE_VENDOR = """CASE WHEN inv_ord % 31 = 0 THEN NULL ELSE concat(
+  CASE inv_ord % 4 WHEN 0 THEN 'Nordlake' WHEN 1 THEN 'Amber' WHEN 2 THEN 'Stonebridge' ELSE 'Linden' END, ' ',
+  CASE inv_ord % 3 WHEN 0 THEN 'Traders' WHEN 1 THEN 'Works Ltd' ELSE 'Consulting' END) END"""
+
+
+def page_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The invoices under vendor names that read like a company's."""
+    from pyspark.sql import functions as F
+
+    return invoices(spark, sf_dir).withColumn("vendor", F.expr(PAGE_VENDOR))
+
+
+def doc_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The invoices written out as pages: label, number format and date format vary with the key."""
+    from pyspark.sql import functions as F
+
+    inv = page_invoices(spark, sf_dir)
+    k = F.col("inv_ord")
+    label = F.when(k % 3 == 0, "Invoice No: ").when(k % 3 == 1, "Invoice number ").otherwise("Receipt # ")
+    plain = F.format_number("amount", 2)
+    amount = F.when(k % 4 == 0, plain).when(k % 4 == 1, F.translate(plain, ",.", ".,")).otherwise(F.replace(plain, F.lit(","), F.lit("")))
+    day = lambda f: F.date_format("invoice_date", f)
+    date = F.when(k % 5 == 0, day("yyyy-MM-dd")).when(k % 5 == 1, day("dd/MM/yyyy")).when(k % 5 == 2, day("d MMMM yyyy")).when(k % 5 == 3, day("MMM d, yyyy")).otherwise(day("dd.MM.yyyy"))
+    total = F.when(k % 2 == 0, "Total due: ").otherwise("Total payable ")
+    lines = F.array_compact(F.array(F.concat(F.lit("From: "), "vendor"), F.lit("Page 1 of 1"), F.concat(label, "invoice_number"), F.concat(F.lit("Invoice date: "), date), F.lit("subtotal 1.00"), F.concat(total, amount)))
+    return inv.select("inv_ord", "source_file", F.array_join(lines, "\n").alias("text"), F.lit("text").alias("method"))
+
+
+def ledger_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger as a sheet of typed cells under the header Date, Description, Reference, Debit, Credit, with blank rows between."""
+    from pyspark.sql import functions as F
+
+    cell = lambda kind, **v: F.struct(
+        F.lit(kind).alias("kind"), v.get("str", F.lit(None).cast("string")).alias("str"), v.get("num", F.lit(None).cast("double")).alias("num"), v.get("dt", F.lit(None).cast("date")).alias("dt")
+    )
+    text = lambda c: F.when(F.col(c).isNotNull(), cell("string", str=F.col(c)))
+    money = F.when(F.col("amount").isNotNull(), cell("float", num=F.col("amount")))
+    zero = cell("int", num=F.lit(0.0))
+    rows = ledger(spark, sf_dir).withColumn("odd", F.col("row_index") % 2 == 1)
+    cells = F.array(F.when(F.col("ledger_date").isNotNull(), cell("date", dt=F.col("ledger_date"))), text("description"), text("reference"), F.when(F.col("odd"), money).otherwise(zero), F.when(~F.col("odd"), money))
+    body = rows.select((F.col("row_index") * 2).cast("long").alias("row_index"), cells.alias("cells"))
+    blank = rows.where("row_index % 10 = 0").select((F.col("row_index") * 2 + 1).cast("long").alias("row_index"), F.array().cast(body.schema["cells"].dataType).alias("cells"))
+    names = F.array(*[cell("string", str=F.lit(n)) for n in ("Date", " Description ", "Reference", "Debit", "Credit")])
+    head = spark.range(1, 2).select(F.col("id").alias("row_index"), names.cast(body.schema["cells"].dataType).alias("cells"))
+    return head.unionByName(body).unionByName(blank)
