@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, neardup, quality, secrets, sharding, toxicity, urlfilter
+from . import audio, bpe, decontaminate, language, neardup, quality, secrets, sharding, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,12 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no sound, so every vector of `embeddings` is played as one; ids divisible by 100 are looked up among all."""
+    recordings = audio.sonify(_table(spark, sf_dir, "embeddings"))
+    return audio.align(recordings, _table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("rec_id")))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -59,6 +66,7 @@ QUERIES = {
     "op2_secret_scans": op2_secret_scans,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_audio_fingerprints": op5_audio_fingerprints,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_url_filters": op7_url_filters,
     "op8_toxicity": op8_toxicity,
