@@ -164,7 +164,7 @@ def shingles(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     first = np.concatenate([[0], np.cumsum(counts)[:-1]])
     acc = np.zeros(n, dtype=np.uint64)
     factor = 1
-    for k in range(width):
+    for k in range(min(width, n)):
         shifted = np.zeros(n, dtype=np.uint64)
         shifted[: n - k] = words.hash[k:] if k else words.hash
         same = np.zeros(n, dtype=bool)
