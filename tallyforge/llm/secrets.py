@@ -8,8 +8,8 @@ below its middle, and serial correlation of neighbouring symbols. Fisher's rule
 combines the three into one p-value for "this is random".
 
 Ordinary strings crowd near zero, random ones spread evenly over 0 to 1, so in
-each stratum of encoding and length the strings above 1/2 tell how many random
-ones lie above any lower cut; the rest above that cut are false discoveries. The
+each stratum of encoding and length the strings above the highest cut tell how
+many random ones lie above any lower cut; the rest above that cut are false discoveries. The
 cut of a stratum is the least one at which their share stays below the limit,
 which makes the scan stricter where strings are too short to tell apart.
 
@@ -32,7 +32,7 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 LEAST_VALUE = 6
 #: Share of false discoveries that a stratum may have, and the cuts that are tried.
 FALSE_DISCOVERIES = 0.05
-CUTS = (0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5)
+CUTS = (0.01, 0.02, 0.05, 0.1, 0.15, 0.2)
 #: Random strings that a stratum must show before it may have a cut.
 LEAST_EVIDENCE = 3
 
@@ -135,9 +135,11 @@ def discovery_cuts(found: DataFrame, limit: float = FALSE_DISCOVERIES) -> dict[s
     counts = each.groupBy("stratum").agg(*[F.sum((F.col("p") >= c).cast("long")).alias(f"c{k}") for k, c in enumerate(CUTS)])
     cuts = {}
     for row in counts.collect():
-        random = row[f"c{len(CUTS) - 1}"] / (1 - CUTS[-1])
+        top = CUTS[-1]
+        random = row[f"c{len(CUTS) - 1}"] / (1 - top)
         if random < LEAST_EVIDENCE:
             continue
+        random += 1.64 * (random * top / (1 - top)) ** 0.5  # the count's own sampling error
         for k, cut in enumerate(CUTS):
             above = row[f"c{k}"]
             if above and 1 - random * (1 - cut) / above <= limit:
