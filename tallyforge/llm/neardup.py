@@ -35,7 +35,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks
-from .blocks import shared_checkpoint
 
 BANDS, ROWS = 26, 5
 SIMILARITY = 0.8
@@ -46,6 +45,15 @@ LEADERS = 32
 FEW = 64
 
 
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """A checkpoint whose joins sort and merge.
+
+    The job has dozens of small joins; as broadcasts their tables would pile up
+    in the driver, whose memory must not grow with the corpus.
+    """
+    return blocks.shared_checkpoint(df).hint("merge")
+
+
 def bags(texts: pa.Array, width: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, shingle, count) of all texts, ordered by row and shingle."""
     buf, offsets = blocks.text_buffer(texts)

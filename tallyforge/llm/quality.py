@@ -59,7 +59,7 @@ def features(texts: pa.Array) -> np.ndarray:
         return np.bincount(row[at], minlength=n)
 
     length = words.end - words.start
-    first, last = (buf[words.start], buf[words.end - 1]) if len(length) else (buf, buf)
+    first, last = (buf[words.start], buf[words.end - 1]) if len(length) else (buf[:0], buf[:0])
     repeats = np.zeros(len(length), bool)
     repeats[1:] = (words.hash[1:] == words.hash[:-1]) & (words.row[1:] == words.row[:-1])
     s_row, s_key = blocks.shingles(words)
