@@ -97,21 +97,34 @@ WITH {_ONCE}, first_named AS MATERIALIZED (
 ), free AS MATERIALIZED (SELECT * FROM led WHERE row_index NOT IN (SELECT row_index FROM combined)
 ), open_inv AS MATERIALIZED (
   SELECT * FROM inv WHERE (invoice_number IS NOT NULL OR (amount IS NOT NULL AND invoice_date IS NOT NULL)) AND inv_ord NOT IN (SELECT inv_ord FROM combined)
+), early AS MATERIALIZED (
+  -- an invoice without rows of its number takes its only near row before a later invoice that the row refers to
+  SELECT i.inv_ord, min(f.row_index) AS row_index
+  FROM (SELECT *, unnest([-2, -1, 0, 1, 2]) AS dc FROM open_inv) i JOIN free f ON floor(f.amount * 100) = floor(i.amount * 100) + dc AND abs(f.amount - i.amount) <= 0.01 AND abs(f.ledger_date - i.invoice_date) <= 5
+  WHERE coalesce(i.invoice_number, '') NOT IN (SELECT reference FROM free WHERE reference IS NOT NULL)
+  GROUP BY i.inv_ord, i.invoice_number HAVING count(*) = 1 AND min(f.reference) IN (SELECT invoice_number FROM open_inv o WHERE o.invoice_number IS NOT NULL AND o.inv_ord > i.inv_ord)
+), free2 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY reference ORDER BY row_index) AS nth FROM free WHERE row_index NOT IN (SELECT row_index FROM early)
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY invoice_number ORDER BY inv_ord) AS copy FROM open_inv
-), refs AS MATERIALIZED (SELECT reference, min(row_index) AS first_row, count(*) AS n, sum(amount) AS total FROM free WHERE reference IS NOT NULL GROUP BY reference
-), by_ref AS MATERIALIZED (
+), refs AS MATERIALIZED (SELECT reference, min(row_index) AS first_row, count(*) AS n, sum(amount) AS total FROM free2 WHERE reference IS NOT NULL GROUP BY reference
+), first_copy AS MATERIALIZED (
   SELECT r.inv_ord, r.amount, first_row, coalesce(n >= 2 AND abs(total - r.amount) <= 0.01, false) AS parts, n, reference
   FROM ranked r JOIN refs ON r.invoice_number = reference WHERE copy = 1
+), by_ref AS MATERIALIZED (
+  SELECT * FROM first_copy
+  UNION ALL
+  SELECT r.inv_ord, r.amount, f.row_index, false, 1, f.reference FROM ranked r JOIN first_copy c ON c.reference = r.invoice_number AND NOT c.parts
+  JOIN free2 f ON f.reference = r.invoice_number AND f.nth = r.copy WHERE r.copy > 1
 ), taken AS MATERIALIZED (
-  SELECT free.row_index FROM by_ref b JOIN free ON free.reference = b.reference WHERE b.parts OR free.row_index = b.first_row
+  SELECT f.row_index FROM by_ref b JOIN free2 f ON f.reference = b.reference WHERE b.parts OR f.row_index = b.first_row
 ), band AS (
   SELECT i.inv_ord, min(f.row_index) AS row_index, count(*) AS n
-  FROM (SELECT *, unnest([-2, -1, 0, 1, 2]) AS dc FROM open_inv) i JOIN free f ON floor(f.amount * 100) = floor(i.amount * 100) + dc AND abs(f.amount - i.amount) <= 0.01 AND abs(f.ledger_date - i.invoice_date) <= 5
-  WHERE i.inv_ord NOT IN (SELECT inv_ord FROM by_ref) AND f.row_index NOT IN (SELECT row_index FROM taken) GROUP BY i.inv_ord HAVING count(*) = 1
+  FROM (SELECT *, unnest([-2, -1, 0, 1, 2]) AS dc FROM open_inv) i JOIN free2 f ON floor(f.amount * 100) = floor(i.amount * 100) + dc AND abs(f.amount - i.amount) <= 0.01 AND abs(f.ledger_date - i.invoice_date) <= 5
+  WHERE i.inv_ord NOT IN (SELECT inv_ord FROM by_ref) AND i.inv_ord NOT IN (SELECT inv_ord FROM early) AND f.row_index NOT IN (SELECT row_index FROM taken) GROUP BY i.inv_ord HAVING count(*) = 1
 ), assigned AS MATERIALIZED (
   SELECT inv_ord, row_index, 'combined' AS kind, NULL AS reference FROM combined
   UNION ALL SELECT inv_ord, first_row, CASE WHEN parts THEN 'parts' ELSE 'match' END, CASE WHEN parts THEN reference END FROM by_ref
   UNION ALL SELECT inv_ord, row_index, 'match', NULL FROM band
+  UNION ALL SELECT inv_ord, row_index, 'match', NULL FROM early
 ), copies AS (SELECT invoice_number, count(*) AS n FROM inv WHERE invoice_number IS NOT NULL GROUP BY invoice_number
 ), judged AS MATERIALIZED (
   SELECT inv.*, a.row_index, a.kind, a.reference AS part_reference, l.ledger_date, l.description, l.amount AS row_amount,
