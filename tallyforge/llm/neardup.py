@@ -94,7 +94,10 @@ def bagminhash(row: np.ndarray, key: np.ndarray, count: np.ndarray, n_rows: int,
             points = blocks.mix(keys[:, None] + (np.arange(step, step + batch, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F))
         step += batch
         uniform = ((points >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
-        times = time[:, None] + np.cumsum(-np.log(uniform) / widths[:, None], axis=1)
+        # Added one after another onto the running time: batch borders, which other texts decide, leave no trace in the last bits.
+        waits = -np.log(uniform) / widths[:, None]
+        waits[:, 0] += time
+        times = np.cumsum(waits, axis=1)
         drawn = blocks.mix(points ^ np.uint64(0xE7037ED1A0B428DB))
         level = starts[:, None] + widths[:, None] * ((drawn >> np.uint64(32)).astype(np.float64) * 2.0**-32)
         register = (drawn & np.uint64(0xFFFFFFFF)) * np.uint64(m) >> np.uint64(32)

@@ -95,6 +95,19 @@ def test_bagminhash_estimates_weighted_jaccard():
     assert abs((got[0] == got[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.03
 
 
+def test_bagminhash_is_the_same_alone_and_in_a_full_slice():
+    rng = np.random.default_rng(2)
+    sizes = np.concatenate([[1, 5, 20, 50, 200, 3000], rng.integers(1, 400, 1500)])
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    key, count = rng.integers(0, 1 << 63, len(row)).astype(np.uint64), rng.integers(1, 4, len(row))
+    whole = neardup.bagminhash(row, key, count, len(sizes))
+    for i in [*range(6), *rng.integers(6, len(sizes), 60)]:
+        own = row == i
+        assert (neardup.bagminhash(row[own] * 0, key[own], count[own], 1)[0] == whole[i]).all()
+    part = row < 40
+    assert (neardup.bagminhash(row[part], key[part], count[part], 40) == whole[:40]).all()
+
+
 def test_near_duplicate_edges(spark):
     got = neardup.near_duplicates(frame(spark, EDGES)).collect()
     assert len(got) == len(EDGES)
