@@ -2,11 +2,12 @@
 
 Arrivals are appended as small immutable shards, one folder of Parquet files
 each. Runs of shards of a similar size are merged into larger ones: the tier of
-a shard is the power of FAN_IN that its size has over that of the smallest, and
-when a tier holds FAN_IN shards they are merged, until files reach TARGET_BYTES,
-beyond which shards stay as they are. A merge writes its new shard first; the
-next version of the manifest, which names all live shards, is then renamed into
-place in one step. Readers take the highest version, so a lost executor or
+a shard is the power of FAN_IN that its size has over the target divided by
+FAN_IN ** TIERS, and when a tier below the target holds FAN_IN shards, or some
+that reach the target together, they are merged. A shard stays as it is once its files hold TARGET_BYTES of text each; one
+in more files than that, however large, is written anew in as many as fit. A merge
+writes its new shard first; the next version of the manifest, which names all live
+shards, is then renamed into place in one step. Readers take the highest version, so a lost executor or
 driver leaves the last version whole, and shards that no manifest names are
 rubbish that a later sweep removes.
 
@@ -21,8 +22,10 @@ shard.
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +33,12 @@ from .blocks import ensure_checkpoint_dir
 
 FAN_IN = 4
 TARGET_BYTES = 128 << 20
-#: Arrivals that the query deals its table into.
+#: Arrivals that the query deals its table into at least; large tables make more, each of a bounded size.
 ARRIVALS = 16
+#: Powers of FAN_IN below the target that are tiers of their own.
+TIERS = 6
+#: Merges that run at once; each is a job of one task or few.
+MERGES = 16
 
 
 @dataclass(frozen=True)
@@ -40,6 +47,7 @@ class Shard:
     rows: int
     bytes: int
     tier: int
+    files: int
 
 
 def _text_bytes(df: DataFrame) -> tuple[int, int]:
@@ -67,33 +75,51 @@ class ShardStore:
         if not version:
             return []
         rows = self.spark.read.parquet(f"{self.folder}/manifest/v{version:08d}").orderBy("path").collect()
-        return [Shard(r.path, r.rows, r.bytes, r.tier) for r in rows]
+        return [Shard(r.path, r.rows, r.bytes, r.tier, r.files) for r in rows]
 
     def commit(self, shards: list[Shard], base: int) -> int:
         """Publish the next version; fails if another writer published it first."""
         staged = f"{self.folder}/manifest/_{uuid.uuid4().hex}"
-        schema = "path string, rows long, bytes long, tier int"
-        self.spark.createDataFrame([(s.path, s.rows, s.bytes, s.tier) for s in shards], schema).coalesce(1).write.parquet(staged)
+        schema = "path string, rows long, bytes long, tier int, files int"
+        self.spark.createDataFrame([(s.path, s.rows, s.bytes, s.tier, s.files) for s in shards], schema).coalesce(1).write.parquet(staged)
         final = self._path(f"{self.folder}/manifest/v{base + 1:08d}")
         if self._fs.exists(final) or not self._fs.rename(self._path(staged), final):
             self._fs.delete(self._path(staged), True)
             raise RuntimeError(f"version {base + 1} was published by another writer")
         return base + 1
 
-    def _write(self, df: DataFrame, tier: int, n: int, size: int) -> Shard:
+    def tier(self, size: int) -> int:
+        """TIERS and more for sizes that reach the target, one less for each power of `fan_in` below it, 0 at least."""
+        tier, top = 0, self.target
+        while size >= top:
+            tier, top = tier + 1, top * self.fan_in
+        if tier:
+            return TIERS + tier - 1
+        tier = TIERS
+        while tier and size * self.fan_in ** (TIERS - tier) < self.target:
+            tier -= 1
+        return tier
+
+    def _fitting(self, size: int) -> int:
+        """The files of a shard of that size: each holds the target at least, where the shard does."""
+        return max(1, size // self.target)
+
+    def _write(self, df: DataFrame, n: int, size: int) -> Shard:
+        tier, files = self.tier(size), self._fitting(size)
         name = f"{self.folder}/shards/t{tier}-{uuid.uuid4().hex}"
-        files = max(1, -(-size // self.target))
-        # Without a key, rows are dealt evenly: no source or length can fill one file.
-        df.repartition(int(files)).write.parquet(name)
-        return Shard(name, n, size, tier)
+        # One file is written by one task without a shuffle. Several are dealt evenly without a key: no source or length can fill one.
+        (df.coalesce(1) if files == 1 else df.repartition(files)).write.parquet(name)
+        return Shard(name, n, size, tier, files)
 
     def append(self, df: DataFrame) -> Shard:
-        """One arrival becomes a shard of tier 0."""
+        """One arrival becomes a shard."""
         base = self.version()
         name = f"{self.folder}/shards/t0-{uuid.uuid4().hex}"
         df.write.parquet(name)
-        n, size = _text_bytes(self.spark.read.schema(df.schema).parquet(name))
-        shard = Shard(name, n, size, 0)
+        back = self.spark.read.schema(df.schema).parquet(name)
+        n, size = _text_bytes(back)
+        files = back.agg(F.count_distinct("_metadata.file_path")).first()[0]
+        shard = Shard(name, n, size, self.tier(size), max(1, files))
         self.commit([*self.live(base), shard], base)
         return shard
 
@@ -103,33 +129,43 @@ class ShardStore:
         name = f"{self.folder}/shards/t0-{uuid.uuid4().hex}"
         df.write.partitionBy(arrival).parquet(name)
         schema = df.drop(arrival).schema
-        each = df.groupBy(arrival).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).orderBy(arrival).collect()
-        shards = [Shard(f"{name}/{arrival}={r[0]}", r.n, r.b, 0) for r in each]
+        size, files = F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_distinct("_metadata.file_path")
+        each = self.spark.read.schema(df.schema).parquet(name).groupBy(arrival).agg(F.count(F.lit(1)).alias("n"), size.alias("b"), files.alias("f")).orderBy(arrival).collect()
+        shards = [Shard(f"{name}/{arrival}={r[0]}", r.n, r.b, self.tier(r.b), r.f) for r in each]
         if not shards:
-            shards = [self._write(self.spark.createDataFrame([], schema), 0, 0, 0)]
+            shards = [self._write(self.spark.createDataFrame([], schema), 0, 0)]
         self.commit([*self.live(base), *shards], base)
         return shards
 
     def compact(self, schema) -> int:
-        """Merge until no tier holds FAN_IN shards below the target; returns the version reached."""
+        """Merge until no tier below the target holds FAN_IN shards or the target, and no shard more files than fit; returns the version reached."""
         version = self.version()
+
+        def merge(run: list[Shard]) -> Shard:
+            rows = self.spark.read.schema(schema).parquet(*[s.path for s in run])
+            return self._write(rows, sum(s.rows for s in run), sum(s.bytes for s in run))
+
         while True:
             shards = self.live(version)
             tiers: dict[int, list[Shard]] = {}
             for s in shards:
                 if s.bytes < self.target:
                     tiers.setdefault(s.tier, []).append(s)
-            full = [t for t, members in sorted(tiers.items()) if len(members) >= self.fan_in]
-            if not full:
+            runs = []
+            for _, members in sorted(tiers.items()):
+                run: list[Shard] = []
+                for s in sorted(members, key=lambda s: (s.bytes, s.path)):
+                    run.append(s)
+                    if len(run) == self.fan_in or sum(x.bytes for x in run) >= self.target:  # below twice the target: one file
+                        runs.append(run)
+                        run = []
+            gone = {s for run in runs for s in run}
+            alone = [s for s in shards if s not in gone and s.files > self._fitting(s.bytes)]
+            runs, gone = runs + [[s] for s in alone], gone | set(alone)
+            if not runs:
                 return version
-            merged, gone = [], set()
-            for tier in full:
-                members = sorted(tiers[tier], key=lambda s: (s.bytes, s.path))
-                for k in range(0, len(members) - self.fan_in + 1, self.fan_in):
-                    run = members[k : k + self.fan_in]
-                    rows = self.spark.read.schema(schema).parquet(*[s.path for s in run])
-                    merged.append(self._write(rows, tier + 1, sum(s.rows for s in run), sum(s.bytes for s in run)))
-                    gone |= set(run)
+            with ThreadPoolExecutor(MERGES) as pool:
+                merged = [f.result() for f in [pool.submit(inheritable_thread_target(self.spark)(merge), run) for run in runs]]
             version = self.commit([s for s in shards if s not in gone] + merged, version)
             for s in gone:  # no later version names them
                 self._fs.delete(self._path(s.path), True)
@@ -141,15 +177,20 @@ class ShardStore:
 
 
 def compact_documents(docs: DataFrame, arrivals: int = ARRIVALS, fan_in: int = FAN_IN, target: int = TARGET_BYTES, folder: str | None = None) -> DataFrame:
-    """Append the documents as `arrivals` shards, compact them, and read the live version back.
+    """Append the documents as `arrivals` shards or more, compact them, and read the live version back.
+
+    Each task of the input deals its rows into as many arrivals as keep one below about the target divided by
+    `fan_in`, so their number grows with the table, each is one file, and nothing is shuffled.
 
     Returns (doc_id, n_bytes, text_sha256) of every row as the final shards hold it.
     """
     spark = docs.sparkSession
     folder = folder or f"{ensure_checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}"
     store = ShardStore(spark, folder, fan_in, target)
-    numbered = docs.withColumn("_arrival", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(arrivals)).cast("int"))
-    store.append_many(numbered, "_arrival")
+    parts = max(1, docs.rdd.getNumPartitions())
+    each = max(-(-arrivals // parts), -(-_text_bytes(docs)[1] * 4 * fan_in // (5 * target * parts)))
+    dealt = F.spark_partition_id() * F.lit(each) + F.pmod(F.monotonically_increasing_id(), F.lit(each))
+    store.append_many(docs.withColumn("_arrival", dealt.cast("int")), "_arrival")
     store.compact(docs.schema)
     rows = store.read(docs.schema)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

@@ -299,6 +299,34 @@ def test_sharding(spark, tmp_path, tables):
     assert sharding.compact_documents(frame(spark, [])).count() == 0
 
 
+def files_of(store, shard):
+    """Bytes of text in each file of a shard."""
+    back = store.spark.read.parquet(shard.path)
+    return [r.b for r in back.groupBy("_metadata.file_path").agg(F.sum(F.octet_length("text")).alias("b")).collect()]
+
+
+def test_shards_beyond_the_target_get_large_files(spark, tmp_path, tables):
+    docs = tables[0].repartition(40).cache()
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    target = total // 20
+    store = sharding.ShardStore(spark, str(tmp_path / "a"), fan_in=2, target=target)
+    for k in range(3):  # each of six targets, in forty files
+        assert store.append(docs.where(F.col("doc_id") % 3 == k)).bytes > target
+    store.compact(docs.schema)
+    sizes = [b for s in store.live() for b in files_of(store, s)]
+    assert min(sizes) > 0.5 * target and max(sizes) < 2.5 * target and sum(sizes) == total
+    # The query's own arrivals follow the size of its table, and its files reach the target.
+    got = sharding.compact_documents(docs, arrivals=4, fan_in=4, target=target, folder=str(tmp_path / "b"))
+    assert got.count() == docs.count()
+    store = sharding.ShardStore(spark, str(tmp_path / "b"), 4, target)
+    live = store.live()
+    first = [s for s in live if s.bytes >= target]
+    assert len(store.live(1)) == 80 and max(s.bytes for s in store.live(1)) < target
+    assert sum(s.bytes for s in first) > 0.8 * total and all(min(files_of(store, s)) > 0.5 * target for s in first)
+    tiers = collections.Counter(s.tier for s in live if s.bytes < target)
+    assert max(tiers.values(), default=0) < 4 and all(s.files == len(files_of(store, s)) == 1 for s in live if s.bytes < target)
+
+
 def test_decontamination(spark):
     rng = random.Random(8)
     items = [(k, f"If {words(rng, 6)} Anna has {3 + k} km and {words(rng, 8)} then Bert has {3 + k} kg of {words(rng, 6)}.") for k in range(12)]
