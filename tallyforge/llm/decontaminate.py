@@ -7,14 +7,17 @@ meet in a hash join; a window counts if the values in its placeholders are
 consistent too, that is, if equal benchmark values stand where equal document
 values stand and unequal where unequal. So an item is caught if its numbers or
 names were swapped for others, but not where a template merely looks alike.
+Windows of few literal words, as in tables or lists of names, count where all
+their words are equal, values included; they add to the share of an item that is
+held, but can't lower that of its other windows.
 
 A number is a word of digits with separators; a unit is a word of the list
 below after a number; a name is a capitalised word that doesn't begin a
 sentence or line.
 
 Defined results: null and empty texts match nothing, on either side; an item of
-fewer than eight words is one window of its own length, of two literal words at
-least; repeated items are items of their own; repeated rows of one doc_id count
+fewer than eight words is one window of its own length; an item of one word is
+held by documents of that word only; repeated items are items of their own; repeated rows of one doc_id count
 as one document; other columns are ignored.
 """
 
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
@@ -32,7 +35,7 @@ from . import blocks
 WINDOW = 8
 #: Share of an item's windows that a document has to hold, and their least number.
 COVERAGE, LEAST_WINDOWS = 0.3, 3
-#: Literal words that a window needs, so that rows of numbers don't match each other.
+#: Literal words that a window needs to match by its template, so that rows of other numbers don't match each other.
 LEAST_LITERALS = 4
 #: Benchmark windows whose hashes may go to all tasks (8 bytes each); beyond that all document windows are shuffled.
 BROADCAST_WINDOWS = 2_000_000
@@ -102,17 +105,29 @@ def template(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return row, np.where(kind == _LITERAL, value, _PLACE[kind]), value, kind
 
 
-def windows(row: np.ndarray, token: np.ndarray, kind: np.ndarray, width: int, least: int = LEAST_LITERALS) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the runs of `width` tokens within a text that hold enough literals."""
+def windows(row: np.ndarray, token: np.ndarray, value: np.ndarray, kind: np.ndarray, width: int, least: int, both: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, hash, exact) of the runs of `width` words within a text.
+
+    Runs of `least` literals hash their template, others (`exact`) the words
+    themselves. An item's first word is literal even if it is a name elsewhere:
+    with `both`, runs that hold `least` literals just so have either hash.
+    """
     n = len(row) - width + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     acc = np.zeros(n, np.uint64)
     for k in range(width):
         acc = acc * np.uint64(0xD6E8FEB86659FD93) + token[k : k + n]
     literal = np.concatenate([[0], np.cumsum(kind == _LITERAL)])
-    at = np.flatnonzero((row[:n] == row[width - 1 :]) & (literal[width:] - literal[:-width] >= min(least, width)))
-    return at, blocks.mix(acc[at] + np.uint64(width))
+    literal = literal[width:] - literal[:-width]
+    inside = row[:n] == row[width - 1 :]
+    at = np.flatnonzero(inside & (literal >= least))
+    few = np.flatnonzero(inside & (literal < least + both))
+    words = np.zeros(len(few), np.uint64)
+    for k in range(width):
+        words = words * np.uint64(0xD6E8FEB86659FD93) + value[few + k]
+    hashes = np.concatenate([blocks.mix(acc[at] + np.uint64(width)), blocks.mix(words + np.uint64(width + 1000))])
+    return np.concatenate([at, few]), hashes, np.arange(len(at) + len(few)) >= len(at)
 
 
 def slots(at: np.ndarray, value: np.ndarray, kind: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +144,7 @@ def slots(at: np.ndarray, value: np.ndarray, kind: np.ndarray, width: int) -> tu
     return pattern, values
 
 
-_SCHEMA = "id long, width int, position int, window long, pattern long, slots long"
+_SCHEMA = "id long, width int, position int, window long, pattern long, slots long, exact boolean"
 
 
 def _emit(ids: pa.Array, texts: pa.Array, widths: list[int], wanted: np.ndarray | None, whole: bool) -> pa.RecordBatch:
@@ -139,34 +154,36 @@ def _emit(ids: pa.Array, texts: pa.Array, widths: list[int], wanted: np.ndarray
     first = np.concatenate([[0], np.cumsum(count)[:-1]])
     parts = []
     for width in widths:
-        at, key = windows(row, token, kind, width, LEAST_LITERALS if width == WINDOW else 2)
-        if whole:
+        at, key, exact = windows(row, token, value, kind, width, LEAST_LITERALS if width == WINDOW else 2, whole)
+        if whole or width == 1:
             keep = (count[row[at]] == width) | ((width == WINDOW) & (count[row[at]] >= WINDOW))
-            at, key = at[keep], key[keep]
+            at, key, exact = at[keep], key[keep], exact[keep]
         if wanted is not None:
             keep = _isin(key, wanted)
-            at, key = at[keep], key[keep]
+            at, key, exact = at[keep], key[keep], exact[keep]
         pattern, values = slots(at, value, kind, width)
-        parts.append((row[at], np.full(len(at), width), at - first[row[at]], key, pattern, values))
-    r, w, p, key, pattern, values = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 6
-    arrays = [ids.take(pa.array(r.astype(np.int64))), pa.array(w, pa.int32()), pa.array(p, pa.int32()), *(pa.array(x.astype(np.uint64).view(np.int64)) for x in (key, pattern, values))]
-    return pa.RecordBatch.from_arrays(arrays, ["id", "width", "position", "window", "pattern", "slots"])
+        pattern[exact] = values[exact] = 0  # the hash holds them
+        parts.append((row[at], np.full(len(at), width), at - first[row[at]], key, pattern, values, exact))
+    r, w, p, key, pattern, values, exact = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 7
+    arrays = [ids.take(pa.array(r.astype(np.int64))), pa.array(w, pa.int32()), pa.array(p, pa.int32()), *(pa.array(x.astype(np.uint64).view(np.int64)) for x in (key, pattern, values)), pa.array(exact.astype(bool))]
+    return pa.RecordBatch.from_arrays(arrays, ["id", "width", "position", "window", "pattern", "slots", "exact"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = LEAST_WINDOWS) -> DataFrame:
     """(doc_id, item_id, n_windows, coverage, reparameterised) of every document that holds an item.
 
-    n_windows counts the item's windows that the document holds; reparameterised
+    n_windows counts the item's windows that the document holds; coverage is their
+    share, or that of the windows that match by template, if greater; reparameterised
     says that some of them match by their template only, with other values.
     """
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks.text_slices(batches):
-            yield _emit(part.column(0), part.column(1), list(range(2, WINDOW + 1)), None, True)
+            yield _emit(part.column(0), part.column(1), list(range(1, WINDOW + 1)), None, True)
 
     bench = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(items, _SCHEMA)
     bench = blocks.shared_checkpoint(bench.withColumnRenamed("id", "item_id"))
-    widths = sorted(r.width for r in bench.select("width").distinct().collect())  # 2 to 8
+    widths = sorted(r.width for r in bench.select("width").distinct().collect())  # 1 to 8
     bounded = bench.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     wanted = np.unique(bench.select("window").toArrow().column("window").to_numpy().view(np.uint64)) if bounded else None
 
@@ -176,14 +193,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
     found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(candidates, _SCHEMA)
     found = found.select(F.col("id").alias("doc_id"), "window", "pattern", F.col("slots").alias("doc_slots"))
-    side = bench.select("item_id", "position", "window", "pattern", "slots")
+    side = bench.select("item_id", "position", "window", "pattern", "slots", "exact")
     # Its size was just checked; Spark shuffles both sides otherwise.
     met = found.join(F.broadcast(side) if bounded else side, ["window", "pattern"])
-    each = met.groupBy("doc_id", "item_id", "position").agg(F.min((F.col("doc_slots") == F.col("slots")).cast("int")).alias("same"))
-    held = each.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_windows"), F.min("same").alias("same"))
-    sizes = bench.groupBy("item_id").agg(F.count_distinct("position").alias("n"))
-    out = held.join(F.broadcast(sizes) if bounded else sizes, "item_id").where((F.col("n_windows") >= F.least(F.lit(least), F.col("n"))) & (F.col("n_windows") >= F.lit(coverage) * F.col("n")))
-    return out.select("doc_id", "item_id", "n_windows", (F.col("n_windows") / F.col("n")).alias("coverage"), (F.col("same") == 0).alias("reparameterised"))
+    each = met.groupBy("doc_id", "item_id", "position").agg(F.min((F.col("doc_slots") == F.col("slots")).cast("int")).alias("same"), F.min("exact").alias("exact"))
+    held = each.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_windows"), F.count_if(~F.col("exact")).alias("n_template"), F.min("same").alias("same"))
+    sizes = bench.groupBy("item_id").agg(F.count_distinct("position").alias("n"), F.count_if(~F.col("exact")).alias("n_t"))
+
+    def enough(windows: str, of: str) -> Column:
+        return (F.col(windows) > 0) & (F.col(windows) >= F.least(F.lit(least), F.col(of))) & (F.col(windows) >= F.lit(coverage) * F.col(of))
+
+    out = held.join(F.broadcast(sizes) if bounded else sizes, "item_id").where(enough("n_windows", "n") | enough("n_template", "n_t"))
+    share = F.greatest(F.col("n_windows") / F.col("n"), F.when(F.col("n_t") > 0, F.col("n_template") / F.col("n_t")))
+    return out.select("doc_id", "item_id", "n_windows", share.alias("coverage"), (F.col("same") == 0).alias("reparameterised"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -344,6 +344,18 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(frame(spark, []), bench).count() == 0
 
 
+def test_items_of_few_literals(spark):
+    rng = random.Random(12)
+    numbers = "Add 12 34 and 56 78 90 then 11 22 33 44 55 66 77 88 99"
+    names = "Anna Bert Carl Dora Emil Fritz Gerda Hans Ida Jan Karl"
+    bench = [(0, numbers), (1, names), (2, "7 12 88"), (3, "Paris"), (4, "MIX 5 km 6 kg GO ON 8 the of")]
+    rows = [(k, f"{words(rng, 9)} {t} {words(rng, 9)}") for k, (_, t) in enumerate(bench)]
+    rows += [(10, "so Add 12 35 and 56 78 91 then 11 22 34 44 54 66 76 88 98"), (11, "Bert Anna Dora Carl Fritz Emil Hans Gerda Jan Ida"), (12, "7 12 89"), (13, " Paris. ")]
+    got = decontaminate.contaminated(frame(spark, rows), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(0, 0), (1, 1), (2, 2), (4, 4), (13, 3)}
+    assert not any(r.reparameterised for r in got) and all(0 < r.coverage <= 1 for r in got)
+
+
 def wav(notes):
     t = np.arange(audio.HOP) / audio.RATE
     x = np.concatenate([np.sin(2 * np.pi * 220 * 2 ** (n / 12) * t) for n in notes])
