@@ -11,7 +11,10 @@ Ordinary strings crowd near zero, random ones spread evenly over 0 to 1, so in
 each stratum of encoding and length the strings above the highest cut tell how
 many random ones lie above any lower cut; the rest above that cut are false discoveries. The
 cut of a stratum is the least one at which their share stays below the limit,
-which makes the scan stricter where strings are too short to tell apart.
+which makes the scan stricter where strings are too short to tell apart. A
+stratum of few random strings takes in the neighbouring lengths of its encoding
+until they show enough; where all lengths together don't, their counts decide,
+and at the strictest cut where nothing lies above it. So every candidate is judged.
 
 Defined results: a null text is empty and has no span; repeated rows get equal
 results; an empty table gives an empty result; other columns are ignored.
@@ -33,7 +36,7 @@ LEAST_VALUE = 6
 #: Share of false discoveries that a stratum may have, and the cuts that are tried.
 FALSE_DISCOVERIES = 0.05
 CUTS = (0.01, 0.02, 0.05, 0.1, 0.15, 0.2)
-#: Random strings that a stratum must show before it may have a cut.
+#: Random strings that a stratum must show to have a cut without its neighbours.
 LEAST_EVIDENCE = 3
 
 _ALPHABETS = {
@@ -126,25 +129,28 @@ def with_candidates(docs: DataFrame) -> DataFrame:
 
 
 def discovery_cuts(found: DataFrame, limit: float = FALSE_DISCOVERIES) -> dict[str, float]:
-    """The cut of each stratum that has one, from all p-values of the corpus.
+    """The cut of each stratum, from all p-values of the corpus.
 
     `found` has a column `candidates`. The sums come back as one row for each
     stratum: three encodings times the half octaves of length, a few dozen.
     """
     each = found.select(F.explode("candidates.t").alias("t")).select("t.stratum", "t.p")
     counts = each.groupBy("stratum").agg(*[F.sum((F.col("p") >= c).cast("long")).alias(f"c{k}") for k, c in enumerate(CUTS)])
-    cuts = {}
+    strata: dict[str, dict[int, list[int]]] = {}
     for row in counts.collect():
-        top = CUTS[-1]
-        random = row[f"c{len(CUTS) - 1}"] / (1 - top)
-        if random < LEAST_EVIDENCE:
-            continue
-        random += 1.64 * (random * top / (1 - top)) ** 0.5  # the count's own sampling error
-        for k, cut in enumerate(CUTS):
-            above = row[f"c{k}"]
-            if above and 1 - random * (1 - cut) / above <= limit:
-                cuts[row.stratum] = cut
-                break
+        enc, length = row.stratum.split("/")
+        strata.setdefault(enc, {})[int(length)] = [row[f"c{k}"] for k in range(len(CUTS))]
+    top, cuts = CUTS[-1], {}
+    for enc, lengths in strata.items():
+        for length in lengths:
+            for reach in sorted({abs(other - length) for other in lengths}):
+                above = [sum(column) for column in zip(*[c for other, c in lengths.items() if abs(other - length) <= reach], strict=True)]
+                random = above[-1] / (1 - top)
+                if random >= LEAST_EVIDENCE:
+                    break
+            random += 1.64 * (random * top / (1 - top)) ** 0.5  # the count's own sampling error
+            fits = (cut for cut, n in zip(CUTS, above, strict=True) if n and 1 - random * (1 - cut) / n <= limit)
+            cuts[f"{enc}/{length}"] = next(fits, top)
     return cuts
 
 

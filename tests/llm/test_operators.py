@@ -144,6 +144,16 @@ def test_secrets(spark):
     assert secrets.secret_spans(frame(spark, [])).count() == 0
 
 
+def test_a_lone_secret_is_found(spark):
+    rng = random.Random(21)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    ordinary = [(k, f"{words(rng, 9)} {'wordsrunningtogether' * 2} {'another_long_name_of_a_function' * 4}") for k in range(40)]
+    keys = ["".join(rng.choices(alphabet, k=n)) for alphabet, n in ((b64, 120), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 64))]
+    lone = frame(spark, [*ordinary, *[(900 + k, f"see {key} here") for k, key in enumerate(keys)]])
+    got = {r.doc_id: r.spans for r in secrets.secret_spans(lone).collect() if r.n_random}
+    assert got == {900 + k: f"random:4:{4 + len(key)}" for k, key in enumerate(keys)}
+
+
 @pytest.mark.parametrize("fold", [False, True])
 def test_bpe(spark, fold):
     tiktoken, tokenizers = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
