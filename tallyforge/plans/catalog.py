@@ -99,10 +99,25 @@ def ledger_from_grid(spark, sf_dir):
     return out.select("row_index", F.date_format("ledger_date", "yyyy-MM-dd").alias("ledger_date"), "description", "reference", "amount")
 
 
-def document_fields(spark, sf_dir):
-    """Free text rarely holds invoice fields; what it holds is read without failing."""
+def _document_invoices(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("inv_ord"), F.col("doc_id").cast("string").alias("source_file"), "text")
-    return report.extraction_progress(extract.extract_invoices(docs)).select("done")
+    return extract.extract_invoices(docs)
+
+
+def document_fields(spark, sf_dir):
+    """Free text rarely holds invoice fields; what it holds is read without failing.
+
+    A document is done when its fields have been read, and is counted by how
+    many they are, so that no field's extraction is pruned.
+    """
+    counts = _document_invoices(spark, sf_dir).agg(*[F.count_if(extract.field_count() == k).alias(f"n{k}") for k in range(5)])
+    return counts.select(sum((F.col(f"n{k}") for k in range(1, 5)), F.col("n0")).alias("done"))
+
+
+def document_field_values(spark, sf_dir):
+    """The fields of every document."""
+    out = _document_invoices(spark, sf_dir)
+    return out.select(F.col("inv_ord").alias("doc_id"), "invoice_number", "vendor", F.date_format("invoice_date", "yyyy-MM-dd").alias("invoice_date"), "amount", "extraction_method")
 
 
 _SUMS = ", ".join(
@@ -121,7 +136,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         reconcile_detail, reconcile_extra_rows, reconcile_summary, flag_histogram, flagged_mismatches, unmatched_ledger, coverage_counts, vendor_statements,
-        statement_totals, statement_lines, duplicate_numbers, reference_matches, combined_payments, near_pairs, latest_date, extraction_progress, extracted_fields, extraction_accuracy, ledger_from_grid, document_fields,
+        statement_totals, statement_lines, duplicate_numbers, reference_matches, combined_payments, near_pairs, latest_date, extraction_progress, extracted_fields, extraction_accuracy, ledger_from_grid, document_fields, document_field_values,
     )
 }
 

@@ -24,6 +24,20 @@ def test_pages(spark):
     assert got == {k: v for k, (_, v) in PAGES.items()}
 
 
+def test_fields_of_documents(spark, tmp_path):
+    from tallyforge.plans import catalog
+
+    rows = [(k, t) for k, (t, _) in enumerate(PAGES.values())]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.invoice_number, r.vendor, r.invoice_date, r.amount) for r in catalog.QUERIES["document_field_values"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(v for _, v in PAGES.values()))
+    counted = catalog.QUERIES["document_fields"](spark, str(tmp_path))
+    assert [tuple(r) for r in counted.collect()] == [(len(PAGES),)]
+    # Its count needs the texts and all four fields.
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "text#" in plan and all(f"isnotnull({c}#" in plan for c in ("invoice_number", "vendor", "invoice_date", "amount"))
+
+
 def test_amounts_and_dates(spark):
     amounts = {"1,234.56": 1234.56, "1.234,56": 1234.56, "1234.56": 1234.56, "1,234": 1234.0, "12,3": None, "-5.00": -5.0, "−5.00": -5.0, "": None, "77": 77.0, "1\n234.56": None}
     rows = spark.createDataFrame([(k,) for k in amounts], "s string").select("s", X.parse_amount(F.col("s")).alias("v")).collect()
