@@ -6,8 +6,8 @@ task's memory depends on the slice size and on its longest single text only.
 
 from __future__ import annotations
 
-import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,34 +24,41 @@ _MASK = (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` in the folder that the cluster names.
-
-    A folder of our own is set only where spark.checkpoint.dir is unset, as it
-    is in local tests.
-    """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The shared folder that the session names. A folder of this machine serves in its place for a local master only."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
     return folder
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffles, broadcasts and checkpoints of steps that are over.
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of `df` in the shared folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    Spark drops them when the driver's garbage is collected, which may take
-    very long while a job of many short steps runs.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+class Tables:
+    """Steps of one job, each written as Parquet to the shared folder and read again, so that no plan spans two of them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{ensure_checkpoint_dir(spark)}/job-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def forget(self, *names: str) -> None:
+        """Delete steps that no later one reads."""
+        for name in names:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -178,12 +185,16 @@ def shingles(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return words.row[keep], mix(acc[keep])
 
 
-#: Ids that may be broadcast: 8 MB.
-BROADCAST_IDS = 1_000_000
+#: Rows of keys that may go to all tasks: some tens of MB.
+BROADCAST_KEYS = 300_000
+
+
+def bounded(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """`keys` marked for broadcast if they are few; `keys` should be a written step, as it is counted."""
+    return keys.hint("broadcast") if keys.limit(most + 1).count() <= most else keys
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents whose doc_id isn't among `ids`; rows without an id stay."""
-    ids = shared_checkpoint(ids.distinct())
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(ids.hint("broadcast") if small else ids, "doc_id", "left_anti")
+    ids = Tables(docs.sparkSession).keep(ids.distinct(), "ids")
+    return docs.join(bounded(ids), "doc_id", "left_anti")

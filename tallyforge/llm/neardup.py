@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks
@@ -45,15 +45,6 @@ LEADERS = 32
 FEW = 64
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """A checkpoint whose joins sort and merge.
-
-    The job has dozens of small joins; as broadcasts their tables would pile up
-    in the driver, whose memory must not grow with the corpus.
-    """
-    return blocks.shared_checkpoint(df).hint("merge")
-
-
 def bags(texts: pa.Array, width: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, shingle, count) of all texts, ordered by row and shingle."""
     buf, offsets = blocks.text_buffer(texts)
@@ -120,13 +111,10 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = np.broadcast_to(salt, (n, BANDS)).copy()
         for k in range(ROWS):
             acc = blocks.mix(acc ^ registers[:, :, k]) + np.uint64(k)
-        bands = acc.view(np.int64)
-        filled = np.bincount(row, minlength=n) > 0
+        size = np.bincount(row, weights=count, minlength=n).astype(np.int64)
         digests = [hashlib.md5((x.as_py() or "").encode()).digest() for x in texts]
-        yield pa.RecordBatch.from_arrays(
-            [part.column(0), pa.array(digests, pa.binary()), pa.array([list(b) if f else [] for b, f in zip(bands, filled, strict=True)], pa.list_(pa.int64()))],
-            ["doc_id", "cls", "bands"],
-        )
+        bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(acc.view(np.int64).reshape(-1)))
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(size), bands], ["doc_id", "cls", "size", "bands"])
 
 
 def weighted_jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
@@ -150,46 +138,51 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _judge(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(leader, cls, similarity) of the pairs; `texts` holds (cls, text) once for each class."""
-    joined = (
-        pairs.join(texts.select(F.col("cls").alias("leader"), F.col("text").alias("left_text")), "leader")
-        .join(texts.withColumnRenamed("text", "right_text"), "cls")
-        .select("leader", "cls", "left_text", "right_text")
-    )
-    return joined.mapInArrow(_verify, "leader binary, cls binary, similarity double")
-
-
-def _with_leaders(members: DataFrame, leaders: int, least: int = 1) -> DataFrame:
-    """(bucket, cls, part, leads, leader) of buckets of more than `least` members that aren't all known to be connected.
-
-    `part` tells members apart that aren't known to be connected; it is the
-    class itself at first. The leaders are least by hashes that differ from
-    bucket to bucket, so that a class meets others elsewhere; members that
-    aren't connected to any come first.
+    """(leader, cls, similarity) of the pairs; `texts` holds (cls, text) once for each class.
+
+    The members' texts are fetched first: a leader of many then meets their
+    rows, sorted, and its text crosses the network once for each task.
     """
-    order = [F.min(F.struct((F.col("part") != F.col("cls")).alias("joined"), F.xxhash64("bucket", "cls", F.lit(k)).alias("o"), "cls")).alias(f"l{k}") for k in range(leaders)]
-    found = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), *order).where((F.col("low") != F.col("high")) & (F.col("n") > least))
-    names = F.array_distinct(F.array(*[F.col(f"l{k}.cls") for k in range(leaders)]))
-    # A checkpoint, so that the join below shuffles both sides anew and a large bucket can be split.
-    chosen = shared_checkpoint(found.select("bucket", names.alias("leaders")))
-    met = members.join(chosen, "bucket").select("bucket", "cls", "part", F.array_contains("leaders", F.col("cls")).alias("leads"), F.explode("leaders").alias("leader"))
-    return shared_checkpoint(met.where((F.col("cls") < F.col("leader")) | ~F.col("leads") & (F.col("cls") != F.col("leader"))))
+    own = pairs.select("leader", "cls").join(texts.withColumnRenamed("text", "right_text"), "cls")
+    both = own.join(texts.select(F.col("cls").alias("leader"), F.col("text").alias("left_text")), "leader")
+    return both.select("leader", "cls", "left_text", "right_text").mapInArrow(_verify, "leader binary, cls binary, similarity double")
+
+
+def _near_size(a: str, b: str, similarity: float) -> Column:
+    """Bags of very different sizes can't be that similar."""
+    return (F.col(a) >= similarity * F.col(b)) & (F.col(b) >= similarity * F.col(a))
 
 
-def _open_members(todo: DataFrame, seen: DataFrame, similarity: float) -> DataFrame:
-    """(bucket, cls, part) of the members of each bucket that can be linked to others of it in ways not yet seen.
+def _open_members(met: DataFrame, seen: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, cls, size, part, n) of the members of each bucket that can be linked to others of it in ways not yet seen.
 
-    Leaders have met everyone. As the distance 1 - similarity is a metric, a
-    member that passed has no unseen link to one that failed if it is much
-    nearer to the leader than the best of those.
+    Leaders have met everyone of their bucket, or differ too much in size. As
+    1 - similarity is a metric, a member that passed has no unseen link to one
+    that failed if it is much nearer to the leader than the best of those. A
+    bucket whose open members are all connected already is settled.
     """
-    judged = shared_checkpoint(todo.join(seen, ["leader", "cls"]))
+    bound = F.least("size", "leader_size") / F.greatest("size", "leader_size")
+    judged = met.join(seen, ["leader", "cls"], "left").withColumn("similarity", F.coalesce("similarity", bound))
     failed = F.col("similarity") < similarity
     best = judged.where(failed).groupBy("bucket", "leader").agg(F.max("similarity").alias("best"))
-    reach = F.coalesce(failed | (F.col("similarity") <= F.col("best") + (1 - similarity)), F.lit(False))
-    each = judged.where(~F.col("leads")).join(shared_checkpoint(best), ["bucket", "leader"], "left").groupBy("bucket", "cls")
-    out = each.agg(F.bool_and(reach).alias("open"), F.min(F.when(~failed, F.col("leader"))).alias("joined"), F.min("part").alias("part"))
-    return out.where("open").select("bucket", "cls", F.coalesce("joined", "part").alias("part"))
+    reached = judged.where(~F.col("leads")).join(best, ["bucket", "leader"]).where(failed | (F.col("similarity") <= F.col("best") + (1 - similarity)))
+    each = reached.groupBy("bucket", "cls").agg(F.count(F.lit(1)).alias("times"), F.min("size").alias("size"), F.max("leaders").alias("leaders"))
+    named = each.where("times >= leaders").join(parts, "cls", "left").select("bucket", "cls", "size", F.coalesce("part", "cls").alias("part"))
+    apart = named.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high")
+    return named.join(apart.select("bucket", "n"), "bucket")
+
+
+def _led(members: DataFrame, leaders: int) -> DataFrame:
+    """(bucket, cls, size, leader, leader_size, leaders, leads) of the members of buckets (bucket, cls, size, part).
+
+    Leaders have the least hashes, which differ from bucket to bucket; members
+    connected to none come first. `leads` tells pairs of leaders.
+    """
+    order = [F.min(F.struct((F.col("part") != F.col("cls")).alias("joined"), F.xxhash64("bucket", "cls", F.lit(k)).alias("o"), "cls", "size")).alias(f"l{k}") for k in range(leaders)]
+    chosen = members.groupBy("bucket").agg(*order).select("bucket", F.array_distinct(F.transform(F.array(*[f"l{k}" for k in range(leaders)]), lambda x: F.struct(x["cls"].alias("cls"), x["size"].alias("size")))).alias("ls"))
+    met = members.join(chosen, "bucket").select("bucket", "cls", "size", F.size("ls").alias("leaders"), F.exists("ls", lambda x: x["cls"] == F.col("cls")).alias("leads"), F.explode("ls").alias("l"))
+    met = met.select("bucket", "cls", "size", F.col("l.cls").alias("leader"), F.col("l.size").alias("leader_size"), "leaders", "leads")
+    return met.where((F.col("cls") < F.col("leader")) | ~F.col("leads") & (F.col("cls") != F.col("leader")))
 
 
 def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,144 +196,155 @@ def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(size[at]), pa.array(key[k : k + 200_000].view(np.int64))], ["cls", "size", "token"])
 
 
-def _rare_buckets(classes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(bucket, cls, size): classes by the rare entries that a partner must share (the exact prefix filter).
+def _rare_buckets(tables: blocks.Tables, still: DataFrame, texts: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, cls, size, part, n): classes by the rare entries that a partner must share (the exact prefix filter).
 
     With the entries of every multiset in one order, rarest first, two of the
     given similarity share one among the first n - ceil(similarity * n) + 1 of
     each. Texts that are alike in a common passage only have rare entries of
-    their own in front, and so never meet here.
+    their own in front, and so never meet here. Entries that occur together make
+    buckets of the same members; one of each is enough.
     """
-    entries = shared_checkpoint(texts.join(classes, "cls", "left_semi").select("cls", "text").mapInArrow(_expanded, "cls binary, size long, token long"))
-    often = shared_checkpoint(entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    entries = tables.keep(texts.join(still, "cls", "left_semi").select("cls", "text").mapInArrow(_expanded, "cls binary, size long, token long"), "entries")
+    often = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     w = Window.partitionBy("cls")
     ranked = entries.join(often, "token").select("cls", "token", "size", F.row_number().over(w.orderBy("df", "token")).alias("at"), F.count(F.lit(1)).over(w).alias("n"))
     prefix = F.col("size") - F.ceil(F.col("size") * similarity) + 1
-    return ranked.where(F.col("size") - F.col("n") + F.col("at") <= prefix).select(F.col("token").alias("bucket"), "cls", "size")
+    rare = ranked.where(F.col("size") - F.col("n") + F.col("at") <= prefix).select(F.col("token").alias("bucket"), "cls", "size")
+    rare = tables.keep(rare.join(parts, "cls", "left").select("bucket", "cls", "size", F.coalesce("part", "cls").alias("part")), "rare")
+    sizes = rare.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
+    sizes = sizes.where("low != high").groupBy("n", "low", "high", "x", "y").agg(F.min("bucket").alias("bucket"))
+    return rare.join(sizes.select("bucket", "n"), "bucket")
 
 
-def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, links, roots): class of every row, linked pairs of classes, component of every linked class.
+def _direct_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """(leader, cls) of the pairs within buckets of at most FEW members that aren't connected yet."""
+    few = members.where(F.col("n") <= FEW)
+    other = few.select("bucket", F.col("cls").alias("leader"), F.col("part").alias("other_part"), F.col("size").alias("other_size"))
+    met = few.join(other, "bucket").where((F.col("leader") < F.col("cls")) & (F.col("part") != F.col("other_part")))
+    return met.where(_near_size("size", "other_size", similarity)).select("leader", "cls")
+
+
+def _texts(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """(cls, text) once for each class of `members`, taken from the row of its least id."""
+    wanted = blocks.bounded(members.select("cls", F.col("class_id").alias("doc_id")))
+    own = rows.withColumn("cls", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    found = own.alias("o").join(wanted.alias("w"), (F.col("o.cls") == F.col("w.cls")) & F.col("o.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
+    return found.select("o.cls", "o.text").dropDuplicates(["cls"])
+
+
+def classes_of(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(signed, groups): (doc_id, cls, size) of every row, and (cls, class_id, group) of every class that has words.
 
-    Every class that is linked to another appears in a link; pairs whose
-    classes are already connected through a common leader aren't all listed.
+    Each step is a table of its own. First every class meets the leader of each
+    of its buckets, the class that meets most others. Buckets that this leaves
+    open are settled pair by pair if they are small; the members of larger ones
+    meet again by their rarest entries, which loses no pair.
     """
+    tables = blocks.Tables(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = shared_checkpoint(rows.mapInArrow(_signatures, "doc_id long, cls binary, bands array<long>"))
-    members = signed.select("doc_id", "cls", (F.size("bands") > 0).alias("has_words"))
-    classes = signed.groupBy("cls").agg(F.first("bands").alias("bands"))
-    todo = _with_leaders(classes.select(F.explode("bands").alias("bucket"), "cls", F.col("cls").alias("part")), 1)
-    met = todo.select("cls").unionByName(todo.select(F.col("leader").alias("cls"))).distinct()
-    own = rows.withColumn("cls", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    texts = shared_checkpoint(filter_by_bloom(own, met, "cls").dropDuplicates(["cls"]).select("cls", "text"))
+    signed = tables.keep(rows.mapInArrow(_signatures, "doc_id long, cls binary, size long, bands array<long>"), "signed")
+    classes = tables.keep(signed.where("size > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.first("size").alias("size"), F.first("bands").alias("bands")), "classes")
+
+    each = classes.select("cls", "size", "class_id", F.explode("bands").alias("bucket"))
+    shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = each.join(shared, "bucket").groupBy("cls").agg(F.sum("n").alias("weight"), F.min("class_id").alias("class_id"), F.min("size").alias("size"), F.collect_list("bucket").alias("buckets"))
+    members = tables.keep(met, "members")
+    inside = members.select("cls", "size", "weight", F.explode("buckets").alias("bucket"))
+    first = inside.groupBy("bucket").agg(F.max(F.struct("weight", "cls", "size")).alias("l"))
+    led = inside.join(first, "bucket").where(F.col("cls") != F.col("l.cls"))
+    todo = tables.keep(led.select("bucket", "cls", "size", F.col("l.cls").alias("leader"), F.col("l.size").alias("leader_size"), F.lit(1).alias("leaders"), F.lit(False).alias("leads")), "todo")
+    texts = tables.keep(_texts(rows, members), "texts")
     # A class often meets the same leader in several buckets: each pair is judged once.
-    seen = shared_checkpoint(_judge(todo.select("leader", "cls").distinct(), texts))
+    seen = tables.keep(_judge(todo.where(_near_size("size", "leader_size", similarity)).select("leader", "cls").distinct(), texts), "seen")
     linked = seen.where(F.col("similarity") >= similarity)
-    blocks.release(docs.sparkSession)
-    roots = components(linked)
-    blocks.release(docs.sparkSession)
-    # The bands have done their work; what they left open goes through the exact filter.
-    named = roots.select(F.col("node").alias("cls"), "root")
-    part = F.coalesce("root", "cls").alias("part")
-    left = _open_members(todo, seen, similarity).join(named, "cls", "left").select("bucket", "cls", part)
-    left = shared_checkpoint(left)
-    apart = left.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high")
-    still = left.join(apart.select("bucket"), "bucket", "left_semi").select("cls").distinct()
-    rare = shared_checkpoint(_rare_buckets(still, texts, similarity).join(named, "cls", "left").select("bucket", "cls", "size", part))
-    # Entries that occur together make buckets of the same members; one of each is enough.
-    sizes = rare.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
-    sizes = sizes.where("low != high").groupBy("n", "low", "high", "x", "y").agg(F.min("bucket").alias("bucket"))
-    rare = shared_checkpoint(rare.join(shared_checkpoint(sizes.select("bucket", "n")), "bucket"))
-    few = rare.where(F.col("n") <= FEW).drop("n")
-    other = few.select("bucket", F.col("cls").alias("leader"), F.col("part").alias("other_part"), F.col("size").alias("other_size"))
-    near_size = (F.col("size") >= similarity * F.col("other_size")) & (F.col("other_size") >= similarity * F.col("size"))
-    pairs = few.join(other, "bucket").where((F.col("leader") < F.col("cls")) & (F.col("part") != F.col("other_part")) & near_size)
-    new = shared_checkpoint(_judge(pairs.select("leader", "cls").distinct(), texts))
-    blocks.release(docs.sparkSession)
+    weights = members.select(F.col("cls").alias("leader"), "weight")
+    parts = tables.keep(linked.join(weights, "leader").groupBy("cls").agg(F.max(F.struct("weight", "leader")).alias("l")).select("cls", F.col("l.leader").alias("part")), "parts")
+    left = tables.keep(_open_members(todo, seen, parts, similarity), "left")
+    tables.forget("members", "todo")
+
+    still = left.where(F.col("n") > FEW).select("cls").distinct()
+    pairs, large = _direct_pairs(left, similarity), None
+    if not still.isEmpty():
+        rare = tables.keep(_rare_buckets(tables, still, texts, parts, similarity), "rare_pairs")
+        pairs = pairs.unionByName(_direct_pairs(rare, similarity))
+        large = rare.where(F.col("n") > FEW)
+    new = tables.keep(_judge(pairs.distinct().join(seen, ["leader", "cls"], "left_anti"), texts), "new")
     found = linked.unionByName(new.where(F.col("similarity") >= similarity))
-    todo = _with_leaders(rare.where(F.col("n") > FEW).select("bucket", "cls", "part"), LEADERS)
-    while not todo.isEmpty():
-        pairs = todo.select("leader", "cls").distinct()
-        seen = shared_checkpoint(seen.unionByName(_judge(pairs.join(seen, ["leader", "cls"], "left_anti"), texts)))
-        found = found.unionByName(seen.where(F.col("similarity") >= similarity)).distinct()
-        todo = _with_leaders(_open_members(todo, seen, similarity), LEADERS)
-    if not found.join(linked, ["leader", "cls"], "left_anti").isEmpty():
-        found = shared_checkpoint(found)
-        roots = components(found)
-    blocks.release(docs.sparkSession)
-    return members, found, roots
-
-
-#: Bits of a Bloom filter that goes to all tasks at most: 2 MB.
-BLOOM_BITS = 1 << 24
-
-
-def filter_by_bloom(rows: DataFrame, wanted: DataFrame, key: str, bits: int | None = None) -> DataFrame:
-    """Rows whose key is in `wanted`; a Bloom filter of bounded size drops most others before the shuffle."""
-    if bits is None:
-        bits = int(min(BLOOM_BITS, max(1 << 10, 1 << (16 * wanted.count()).bit_length())))
-    spots = [F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(bits)) for seed in (1, 2, 3)]
-    words = (
-        wanted.select(F.explode(F.array(*spots)).alias("at"))
-        .groupBy((F.col("at") / 64).cast("int").alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set"))
-    )
-    filled = np.zeros(bits // 64, np.uint64)
-    got = words.toArrow()  # bits / 64 rows at most
-    filled[got.column("word").to_numpy()] = got.column("set").to_numpy().astype(np.int64).view(np.uint64)
-    names = rows.columns
-
-    def may_hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            keep = np.ones(part.num_rows, bool)
-            for k in range(3):
-                at = part.column(len(names) + k).to_numpy(zero_copy_only=False).astype(np.int64)
-                keep &= (filled[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-            yield part.select(names).filter(pa.array(keep))
-
-    probed = rows.select("*", *[s.alias(f"_spot{k}") for k, s in enumerate(spots)])
-    return probed.mapInArrow(may_hold, rows.schema).join(wanted, key, "left_semi")
-
-
-def components(edges: DataFrame, left: str = "leader", right: str = "cls") -> DataFrame:
-    """(node, root) for every node of the edges: the least node of its component.
+    step = 0
+    while large is not None and not large.isEmpty():
+        step += 1
+        todo = tables.keep(_led(large, LEADERS), f"todo{step}")
+        new = tables.keep(_judge(todo.where(_near_size("size", "leader_size", similarity)).select("leader", "cls").distinct(), texts), f"new{step}")
+        found = found.unionByName(new.where(F.col("similarity") >= similarity))
+        large = tables.keep(_open_members(todo, new, parts, similarity), f"large{step}")
+
+    # Links between classes of one part are settled; the others join parts.
+    a, b = (parts.select(F.col("cls").alias(c), F.col("part").alias(f"{c}_part")) for c in ("leader", "cls"))
+    joined = found.select("leader", "cls").join(a, "leader", "left").join(b, "cls", "left")
+    joined = joined.select(F.coalesce("leader_part", "leader").alias("a"), F.coalesce("cls_part", "cls").alias("b")).where("a != b").distinct()
+    roots = components(tables.keep(joined, "joined"))
+    group = classes.select("cls", "class_id").join(parts, "cls", "left").select("cls", "class_id", F.coalesce("part", "cls").alias("node")).join(roots, "node", "left")
+    return signed.select("doc_id", "cls", "size"), tables.keep(group.select("cls", "class_id", F.coalesce("root", "node").alias("group")), "groups")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of the edges (a, b): the least node of its component.
 
     Labels fall to the least label of the neighbours and of their own label's
     label, until none changes. No component meets in one task.
     """
-    one = edges.select(F.col(left).alias("a"), F.col(right).alias("b"))
-    both = shared_checkpoint(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).select(F.col("a").alias("node"), "root")
-    label = shared_checkpoint(label)
-    while True:
+    tables = blocks.Tables(edges.sparkSession)
+    both = tables.keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
+    label = tables.keep(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).select(F.col("a").alias("node"), "root"), "label")
+    step, moved = 0, not both.isEmpty()
+    while moved:
+        step += 1
         near = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near")).withColumnRenamed("a", "node")
         jump = label.select(F.col("node").alias("root"), F.col("root").alias("far"))
         new = label.join(jump, "root", "left").join(near, "node", "left")
-        new = shared_checkpoint(new.select("node", F.col("root").alias("was"), F.least("root", "near", "far").alias("root")))
-        if new.where(F.col("root") != F.col("was")).isEmpty():
-            return new.select("node", "root")
+        new = tables.keep(new.select("node", F.col("root").alias("was"), F.least("root", "near", "far").alias("root")), f"label{step}")
+        moved = not new.where(F.col("root") != F.col("was")).isEmpty()
         label = new.select("node", "root")
+    return label
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, group_id, n_links, has_words) of every row.
+    """(doc_id, class_id, copy_id, has_words) of every row.
 
-    class_id is the least id of the rows of equal text, group_id the least id
-    of all rows that links connect; n_links counts the links of the row's class.
+    class_id is the least id of all rows that links connect, copy_id that of
+    the rows of equal text.
     """
-    members, found, roots = links(docs, similarity)
-    ends = found.select(F.col("leader").alias("cls")).unionByName(found.select("cls"))
-    degree = ends.groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
-    first = members.groupBy("cls").agg(F.min("doc_id").alias("class_id"))
-    named = shared_checkpoint(first.join(roots.withColumnRenamed("node", "cls"), "cls", "left").join(degree, "cls", "left"))
-    least = named.where("root is not null").groupBy("root").agg(F.min("class_id").alias("group_id"))
-    named = named.join(least, "root", "left").drop("root")
-    return members.join(named, "cls", "left").select(
-        "doc_id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "has_words"
-    )
+    signed, groups = classes_of(docs, similarity)
+    least = groups.groupBy("group").agg(F.min("class_id").alias("least"))
+    named = groups.join(least, "group").select("cls", F.col("class_id").alias("copy_id"), "least")
+    # A text without a word is a class with its copies, and linked to nothing.
+    blank = signed.where("size = 0").groupBy("cls").agg(F.min("doc_id").alias("copy_id")).select("cls", "copy_id", F.col("copy_id").alias("least"))
+    out = signed.join(named.unionByName(blank), "cls")
+    return out.select("doc_id", F.col("least").alias("class_id"), "copy_id", (F.col("size") > 0).alias("has_words"))
 
 
 def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents without those that copy, or nearly copy, a document of a lesser id. Texts without a word all stay."""
-    judged = near_duplicates(docs, similarity)
-    return blocks.drop_ids(docs, judged.where((F.col("group_id") != F.col("doc_id")) & F.col("has_words")).select("doc_id")).select(*docs.columns)
+    """The documents without those that copy, or nearly copy, one of a lesser id. Texts without a word all stay.
+
+    Rows are told apart by id and text: of rows that are equal in both one stays.
+    """
+    tables = blocks.Tables(docs.sparkSession)
+    signed, groups = classes_of(docs, similarity)
+    first = groups.groupBy("group").agg(F.min(F.struct(F.col("class_id").isNull().alias("none"), "class_id", "cls")).alias("k"))
+    keepers = groups.join(first, "group").select("cls", F.when(F.col("cls") == F.col("k.cls"), F.col("class_id")).alias("keep"), (F.col("cls") == F.col("k.cls")).alias("stays"))
+    goes = ~F.col("stays") | ~F.col("doc_id").eqNullSafe(F.col("keep"))
+    judged = signed.where("size > 0").groupBy("doc_id", "cls").agg(F.count(F.lit(1)).alias("n")).join(keepers, "cls").select("doc_id", "cls", goes.alias("goes"), "n")
+    judged = tables.keep(judged.where("goes or n > 1"), "judged")
+    names, key = docs.columns, [F.col("doc_id").cast("long").alias("_id"), F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))).alias("_cls")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *key)
+
+    def same(side: str) -> Column:
+        return (F.col("_cls") == F.col(f"{side}.cls")) & F.col("_id").eqNullSafe(F.col(f"{side}.doc_id"))
+
+    kept = rows.join(blocks.bounded(judged.where("goes").select("doc_id", "cls")).alias("g"), same("g"), "left_anti")
+    twice = judged.where("not goes").select("doc_id", "cls")
+    if not twice.isEmpty():
+        twice = blocks.bounded(twice)
+        kept = kept.join(twice.alias("t"), same("t"), "left_anti").unionByName(kept.join(twice.alias("t"), same("t"), "left_semi").dropDuplicates(["_id", "_cls"]))
+    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in names])

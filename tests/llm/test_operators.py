@@ -81,7 +81,7 @@ def test_near_duplicates(spark, copies):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     got = neardup.near_duplicates(frame(spark, copies)).collect()
-    assert groups_of((r.doc_id, r.group_id) for r in got) == groups_of((i, find(i)) for i in bags)
+    assert groups_of((r.doc_id, r.class_id) for r in got) == groups_of((i, find(i)) for i in bags)
     kept = {r.doc_id for r in neardup.keep_one_of_each(frame(spark, copies)).collect()}
     assert kept == {find(i) for i in bags}
 
@@ -108,12 +108,42 @@ def test_bagminhash_is_the_same_alone_and_in_a_full_slice():
     assert (neardup.bagminhash(row[part], key[part], count[part], 40) == whole[:40]).all()
 
 
+def test_near_duplicates_around_hubs(spark, monkeypatch):
+    """Copies of a text that are each like it, and not like each other; buckets are larger than what is compared directly."""
+    monkeypatch.setattr(neardup, "FEW", 4)
+    monkeypatch.setattr(neardup, "LEADERS", 3)
+    rng = random.Random(31)
+    rows, k, passage = [], 0, words(rng, 80)
+    for _ in range(4):
+        base = words(rng, 100).split()
+        rows.append((k, " ".join(base)))
+        for n in range(1, 31):
+            text = list(base)
+            at = rng.randrange(85)
+            text[at : at + (5 if n % 2 else 14)] = words(rng, 5 if n % 2 else 14).split()
+            rows.append((k + n, " ".join(text)))
+        k += 31
+    rows += [(k + n, f"{words(rng, 45)} {passage}") for n in range(40)]
+    bags = {i: bag(t) for i, t in rows}
+    root = {i: i for i in bags}
+    for i in bags:
+        for j in bags:
+            if i < j and jaccard(bags[i], bags[j]) >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = {x: a if r == b else r for x, r in root.items()}
+    got = neardup.near_duplicates(frame(spark, rows)).collect()
+    assert 40 < len(set(root.values())) < len(rows) - 30
+    assert groups_of((r.doc_id, r.class_id) for r in got) == groups_of(root.items())
+
+
 def test_near_duplicate_edges(spark):
     got = neardup.near_duplicates(frame(spark, EDGES)).collect()
     assert len(got) == len(EDGES)
-    assert {r.group_id for r in got if r.doc_id == 904} == {904}
+    assert {r.class_id for r in got if r.doc_id == 904} == {904}
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
-    assert neardup.keep_one_of_each(frame(spark, EDGES)).count() == len(EDGES) - 0  # equal ids can't be told apart
+    kept = neardup.keep_one_of_each(frame(spark, [*EDGES, (None, "no id"), (907, "no id"), (905, "another text of its own")])).collect()
+    assert collections.Counter(r.doc_id for r in kept) == {901: 1, 902: 1, 903: 1, 904: 1, 905: 2, 906: 1, 907: 1}
+    assert kept[0].asDict().keys() == {"doc_id", "text", "cls", "row", "score"}
 
 
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)""")
