@@ -16,12 +16,14 @@ about its number of shingles plus m log m points, not their product.
 Copies of equal text are one class before any comparison, so their number never
 matters. Within a bucket, members are compared with a leader, not with each other: pairs
 that both match the leader are already connected. Members that failed, and
-might still be linked to each other, meet again by their rarest entries, an
-exact prefix filter, under new leaders until no such pair is left.
+might still be linked to each other, go through an exact filter on the entries
+that they share.
 
 Defined results: null and empty texts (no word) are never linked to anything;
-a text of fewer than five words is one shingle; repeated rows are copies; an
-empty table gives an empty result; other columns are ignored.
+a text of fewer than five words is one shingle; repeated rows are copies; ties
+between ids or leaders go to the least id and the greatest digest; a very long
+text is one slice of its own; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,10 +41,6 @@ from . import blocks
 BANDS, ROWS = 26, 5
 SIMILARITY = 0.8
 WORDS = 5
-#: Leaders of a bucket of rare entries in each round.
-LEADERS = 32
-#: Members of a bucket of rare entries that are compared directly; larger ones go through leaders.
-FEW = 64
 
 
 def bags(texts: pa.Array, width: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,9 +152,9 @@ def _near_size(a: str, b: str, similarity: float) -> Column:
 
 
 def _open_members(met: DataFrame, seen: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
-    """(bucket, cls, size, part, n) of the members of each bucket that can be linked to others of it in ways not yet seen.
+    """(cls) that can be linked to others of a bucket in ways not yet seen.
 
-    Leaders have met everyone of their bucket, or differ too much in size. As
+    The leader has met everyone of its bucket, or differs too much in size. As
     1 - similarity is a metric, a member that passed has no unseen link to one
     that failed if it is much nearer to the leader than the best of those. A
     bucket whose open members are all connected already is settled.
@@ -164,25 +162,11 @@ def _open_members(met: DataFrame, seen: DataFrame, parts: DataFrame, similarity:
     bound = F.least("size", "leader_size") / F.greatest("size", "leader_size")
     judged = met.join(seen, ["leader", "cls"], "left").withColumn("similarity", F.coalesce("similarity", bound))
     failed = F.col("similarity") < similarity
-    best = judged.where(failed).groupBy("bucket", "leader").agg(F.max("similarity").alias("best"))
-    reached = judged.where(~F.col("leads")).join(best, ["bucket", "leader"]).where(failed | (F.col("similarity") <= F.col("best") + (1 - similarity)))
-    each = reached.groupBy("bucket", "cls").agg(F.count(F.lit(1)).alias("times"), F.min("size").alias("size"), F.max("leaders").alias("leaders"))
-    named = each.where("times >= leaders").join(parts, "cls", "left").select("bucket", "cls", "size", F.coalesce("part", "cls").alias("part"))
-    apart = named.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high")
-    return named.join(apart.select("bucket", "n"), "bucket")
-
-
-def _led(members: DataFrame, leaders: int) -> DataFrame:
-    """(bucket, cls, size, leader, leader_size, leaders, leads) of the members of buckets (bucket, cls, size, part).
-
-    Leaders have the least hashes, which differ from bucket to bucket; members
-    connected to none come first. `leads` tells pairs of leaders.
-    """
-    order = [F.min(F.struct((F.col("part") != F.col("cls")).alias("joined"), F.xxhash64("bucket", "cls", F.lit(k)).alias("o"), "cls", "size")).alias(f"l{k}") for k in range(leaders)]
-    chosen = members.groupBy("bucket").agg(*order).select("bucket", F.array_distinct(F.transform(F.array(*[f"l{k}" for k in range(leaders)]), lambda x: F.struct(x["cls"].alias("cls"), x["size"].alias("size")))).alias("ls"))
-    met = members.join(chosen, "bucket").select("bucket", "cls", "size", F.size("ls").alias("leaders"), F.exists("ls", lambda x: x["cls"] == F.col("cls")).alias("leads"), F.explode("ls").alias("l"))
-    met = met.select("bucket", "cls", "size", F.col("l.cls").alias("leader"), F.col("l.size").alias("leader_size"), "leaders", "leads")
-    return met.where((F.col("cls") < F.col("leader")) | ~F.col("leads") & (F.col("cls") != F.col("leader")))
+    best = judged.where(failed).groupBy("bucket").agg(F.max("similarity").alias("best"))
+    reached = judged.join(best, "bucket").where(failed | (F.col("similarity") <= F.col("best") + (1 - similarity)))
+    named = reached.join(parts, "cls", "left").select("bucket", "cls", F.coalesce("part", "cls").alias("part"))
+    apart = named.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high")
+    return named.join(apart.select("bucket"), "bucket", "left_semi").select("cls").distinct()
 
 
 def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,33 +180,39 @@ def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(size[at]), pa.array(key[k : k + 200_000].view(np.int64))], ["cls", "size", "token"])
 
 
-def _rare_buckets(tables: blocks.Tables, still: DataFrame, texts: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
-    """(bucket, cls, size, part, n): classes by the rare entries that a partner must share (the exact prefix filter).
+def _open_pairs(tables: blocks.Tables, still: DataFrame, texts: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
+    """(leader, cls) of the pairs of classes `still` that may be linked and aren't connected, by an exact filter.
 
-    With the entries of every multiset in one order, rarest first, two of the
-    given similarity share one among the first n - ceil(similarity * n) + 1 of
-    each. Texts that are alike in a common passage only have rare entries of
-    their own in front, and so never meet here. Entries that occur together make
-    buckets of the same members; one of each is enough.
+    With the common entries of every multiset in one order, rarest first, two
+    linked classes meet in the bucket of the first entry that they share, and
+    all that they share stands there or later in both. So a class stays in a
+    bucket only if enough follows for a link to the smallest other class. Texts
+    alike in a common passage have rare entries of their own in front, edited copies
+    far from all others have too few common ones; both leave. In a bucket, the
+    members of the part that most belong to need no pairs among themselves.
     """
     entries = tables.keep(texts.join(still, "cls", "left_semi").select("cls", "text").mapInArrow(_expanded, "cls binary, size long, token long"), "entries")
     often = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     w = Window.partitionBy("cls")
-    ranked = entries.join(often, "token").select("cls", "token", "size", F.row_number().over(w.orderBy("df", "token")).alias("at"), F.count(F.lit(1)).over(w).alias("n"))
-    prefix = F.col("size") - F.ceil(F.col("size") * similarity) + 1
-    rare = ranked.where(F.col("size") - F.col("n") + F.col("at") <= prefix).select(F.col("token").alias("bucket"), "cls", "size")
-    rare = tables.keep(rare.join(parts, "cls", "left").select("bucket", "cls", "size", F.coalesce("part", "cls").alias("part")), "rare")
-    sizes = rare.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
-    sizes = sizes.where("low != high").groupBy("n", "low", "high", "x", "y").agg(F.min("bucket").alias("bucket"))
-    return rare.join(sizes.select("bucket", "n"), "bucket")
-
-
-def _direct_pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """(leader, cls) of the pairs within buckets of at most FEW members that aren't connected yet."""
-    few = members.where(F.col("n") <= FEW)
-    other = few.select("bucket", F.col("cls").alias("leader"), F.col("part").alias("other_part"), F.col("size").alias("other_size"))
-    met = few.join(other, "bucket").where((F.col("leader") < F.col("cls")) & (F.col("part") != F.col("other_part")))
-    return met.where(_near_size("size", "other_size", similarity)).select("leader", "cls")
+    ranked = entries.join(often, "token").select("cls", "token", "size", F.row_number().over(w.orderBy("df", "token")).alias("at"), F.count(F.lit(1)).over(w).alias("common"))
+    rare = ranked.select("cls", F.col("token").alias("bucket"), "size", (F.col("common") - F.col("at") + 1).alias("rest")).where(F.col("rest") >= similarity * F.col("size"))
+    rare = tables.keep(rare.join(parts, "cls", "left").select("bucket", "cls", "size", "rest", F.coalesce("part", "cls").alias("part")), "rare")
+    smallest = rare.groupBy("bucket").agg(F.min("size").alias("smallest"))
+    enough = F.col("rest") >= _least_overlap(F.col("size"), F.greatest(F.col("smallest"), F.ceil(similarity * F.col("size") - 1e-6)), similarity)
+    fitting = tables.keep(rare.join(smallest, "bucket").where(enough).drop("smallest"), "fitting")
+    most = fitting.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("m"), F.count(F.lit(1)).alias("parts"))
+    open_ = tables.keep(fitting.join(most.where("parts > 1").select("bucket", F.col("m.part").alias("main")), "bucket"), "open")
+    apart = open_.where("part != main")
+    other = open_.select("bucket", F.col("cls").alias("b"), F.col("part").alias("b_part"), F.col("size").alias("b_size"), F.col("rest").alias("b_rest"))
+    once = (F.col("b_part") == F.col("main")) | (F.col("b") < F.col("cls"))
+    met = (F.col("part") != F.col("b_part")) & once & (F.least("rest", "b_rest") >= _least_overlap(F.col("size"), F.col("b_size"), similarity))
+    pairs = apart.join(other, (apart.bucket == other.bucket) & met)
+    return pairs.select(F.least("b", "cls").alias("leader"), F.greatest("b", "cls").alias("cls")).distinct()
+
+
+def _least_overlap(a: Column, b: Column, similarity: float) -> Column:
+    """Entries that two multisets of these sizes share at least if they are that similar."""
+    return F.ceil(similarity / (1 + similarity) * (a + b) - 1e-6)
 
 
 def _texts(rows: DataFrame, members: DataFrame) -> DataFrame:
@@ -237,9 +227,9 @@ def classes_of(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
     """(signed, groups): (doc_id, cls, size) of every row, and (cls, class_id, group) of every class that has words.
 
     Each step is a table of its own. First every class meets the leader of each
-    of its buckets, the class that meets most others. Buckets that this leaves
-    open are settled pair by pair if they are small; the members of larger ones
-    meet again by their rarest entries, which loses no pair.
+    of its buckets, the class that meets most others. The members of buckets
+    that this leaves open meet again by their rarest entries, which loses no
+    pair.
     """
     tables = blocks.Tables(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -253,39 +243,38 @@ def classes_of(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
     inside = members.select("cls", "size", "weight", F.explode("buckets").alias("bucket"))
     first = inside.groupBy("bucket").agg(F.max(F.struct("weight", "cls", "size")).alias("l"))
     led = inside.join(first, "bucket").where(F.col("cls") != F.col("l.cls"))
-    todo = tables.keep(led.select("bucket", "cls", "size", F.col("l.cls").alias("leader"), F.col("l.size").alias("leader_size"), F.lit(1).alias("leaders"), F.lit(False).alias("leads")), "todo")
+    todo = tables.keep(led.select("bucket", "cls", "size", F.col("l.cls").alias("leader"), F.col("l.size").alias("leader_size")), "todo")
     texts = tables.keep(_texts(rows, members), "texts")
     # A class often meets the same leader in several buckets: each pair is judged once.
     seen = tables.keep(_judge(todo.where(_near_size("size", "leader_size", similarity)).select("leader", "cls").distinct(), texts), "seen")
     linked = seen.where(F.col("similarity") >= similarity)
-    weights = members.select(F.col("cls").alias("leader"), "weight")
-    parts = tables.keep(linked.join(weights, "leader").groupBy("cls").agg(F.max(F.struct("weight", "leader")).alias("l")).select("cls", F.col("l.leader").alias("part")), "parts")
+    parts = tables.keep(_parts(linked, None), "parts")
     left = tables.keep(_open_members(todo, seen, parts, similarity), "left")
     tables.forget("members", "todo")
 
-    still = left.where(F.col("n") > FEW).select("cls").distinct()
-    pairs, large = _direct_pairs(left, similarity), None
-    if not still.isEmpty():
-        rare = tables.keep(_rare_buckets(tables, still, texts, parts, similarity), "rare_pairs")
-        pairs = pairs.unionByName(_direct_pairs(rare, similarity))
-        large = rare.where(F.col("n") > FEW)
-    new = tables.keep(_judge(pairs.distinct().join(seen, ["leader", "cls"], "left_anti"), texts), "new")
-    found = linked.unionByName(new.where(F.col("similarity") >= similarity))
-    step = 0
-    while large is not None and not large.isEmpty():
-        step += 1
-        todo = tables.keep(_led(large, LEADERS), f"todo{step}")
-        new = tables.keep(_judge(todo.where(_near_size("size", "leader_size", similarity)).select("leader", "cls").distinct(), texts), f"new{step}")
-        found = found.unionByName(new.where(F.col("similarity") >= similarity))
-        large = tables.keep(_open_members(todo, new, parts, similarity), f"large{step}")
+    found = linked
+    if not left.isEmpty():
+        pairs = _open_pairs(tables, left, texts, parts, similarity)
+        new = tables.keep(_judge(pairs.join(seen, ["leader", "cls"], "left_anti"), texts), "new")
+        found = linked.unionByName(new.where(F.col("similarity") >= similarity))
+    parts = _parts(found.select("leader", "cls"), parts)
+    group = classes.select("cls", "class_id").join(parts, "cls", "left")
+    return signed.select("doc_id", "cls", "size"), tables.keep(group.select("cls", "class_id", F.coalesce("part", "cls").alias("group")), "groups")
+
 
-    # Links between classes of one part are settled; the others join parts.
+def _parts(links: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """(cls, part): the component of every linked class, from the links (leader, cls) and the components known before.
+
+    Each class stands for its greatest neighbour, or for its known component, so that only few nodes are left to connect.
+    """
+    if parts is None:
+        both = links.select("leader", "cls").unionByName(links.select(F.col("cls").alias("leader"), F.col("leader").alias("cls")))
+        parts = blocks.Tables(links.sparkSession).keep(both.groupBy("cls").agg(F.greatest(F.max("leader"), F.col("cls")).alias("part")), "near")
     a, b = (parts.select(F.col("cls").alias(c), F.col("part").alias(f"{c}_part")) for c in ("leader", "cls"))
-    joined = found.select("leader", "cls").join(a, "leader", "left").join(b, "cls", "left")
-    joined = joined.select(F.coalesce("leader_part", "leader").alias("a"), F.coalesce("cls_part", "cls").alias("b")).where("a != b").distinct()
-    roots = components(tables.keep(joined, "joined"))
-    group = classes.select("cls", "class_id").join(parts, "cls", "left").select("cls", "class_id", F.coalesce("part", "cls").alias("node")).join(roots, "node", "left")
-    return signed.select("doc_id", "cls", "size"), tables.keep(group.select("cls", "class_id", F.coalesce("root", "node").alias("group")), "groups")
+    ends = links.join(a, "leader", "left").join(b, "cls", "left").select("leader", "cls", F.coalesce("leader_part", "leader").alias("a"), F.coalesce("cls_part", "cls").alias("b"))
+    roots = components(ends.where("a != b").select("a", "b").distinct())
+    nodes = parts.select("cls", "part").unionByName(ends.select(F.col("leader").alias("cls"), F.col("a").alias("part"))).unionByName(ends.select("cls", F.col("b").alias("part"))).distinct()
+    return nodes.join(roots.withColumnRenamed("node", "part"), "part", "left").select("cls", F.coalesce("root", "part").alias("part"))
 
 
 def components(edges: DataFrame) -> DataFrame:

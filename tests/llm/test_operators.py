@@ -108,10 +108,8 @@ def test_bagminhash_is_the_same_alone_and_in_a_full_slice():
     assert (neardup.bagminhash(row[part], key[part], count[part], 40) == whole[:40]).all()
 
 
-def test_near_duplicates_around_hubs(spark, monkeypatch):
-    """Copies of a text that are each like it, and not like each other; buckets are larger than what is compared directly."""
-    monkeypatch.setattr(neardup, "FEW", 4)
-    monkeypatch.setattr(neardup, "LEADERS", 3)
+def test_near_duplicates_around_hubs(spark):
+    """Copies of a text that are each like it, and not like each other."""
     rng = random.Random(31)
     rows, k, passage = [], 0, words(rng, 80)
     for _ in range(4):
