@@ -1,30 +1,36 @@
 """Size-tiered compaction of document shards, with a versioned manifest.
 
 Arrivals are appended as small immutable shards, one folder of Parquet files
-each. Runs of shards of a similar size are merged into larger ones: the tier of
-a shard is the power of FAN_IN that its size has over the target divided by
-FAN_IN ** TIERS, and when a tier below the target holds FAN_IN shards, or some
-that reach the target together, they are merged. A shard stays as it is once its files hold TARGET_BYTES of text each; one
-in more files than that, however large, is written anew in as many as fit. A merge
-writes its new shard first; the next version of the manifest, which names all live
-shards, is then renamed into place in one step. Readers take the highest version, so a lost executor or
-driver leaves the last version whole, and shards that no manifest names are
-rubbish that a later sweep removes.
-
-The main path consists of DataFrame reads and writes; sizes are sums over
-columns, and the manifest is a small table of its own.
+each. Sizes are bytes of files. The tier of a shard is the power of FAN_IN below
+the target that its size reaches; when a tier below the target holds FAN_IN
+shards, or some that reach the target together, they are merged. A shard stays
+as it is once its files hold the target each; one in more files than that, however
+large, is written anew in as many as fit.
+
+A merge writes its new shard first; then the next version of the manifest, one
+file that names all live shards, is moved to a name that mustn't exist, so of
+two writers one fails. Shards that a version names are never changed; the last
+KEPT_VERSIONS versions stay readable, and a sweep deletes older manifests and the
+shards that only they name. Readers take the highest version, so a lost
+executor or driver leaves the last version whole.
+
+The main path consists of DataFrame reads and writes; the driver sees the
+manifest and file sizes, a row for each shard.
 
 Defined results: null and empty texts are rows like others; rows are kept as
-they are, repeated ones too, with all columns; an empty table gives one empty
-shard.
+they are, repeated ones too, with all columns, whatever their names or types; a
+very long text is a row of one file; of shards of equal size those of lesser path are
+merged first; an empty table gives one empty shard.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +45,8 @@ ARRIVALS = 16
 TIERS = 6
 #: Merges that run at once; each is a job of one task or few.
 MERGES = 16
+#: Versions that stay readable.
+KEPT_VERSIONS = 2
 
 
 @dataclass(frozen=True)
@@ -50,44 +58,73 @@ class Shard:
     files: int
 
 
-def _text_bytes(df: DataFrame) -> tuple[int, int]:
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
-    return int(row.n), int(row.b)
+def _unused(name: str, taken: list[str]) -> str:
+    """`name`, longer by underscores where a column has it already."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
 
 
 class ShardStore:
-    """A folder of immutable shards and manifests `v00000001`, `v00000002`, ...; the highest is the state."""
-
-    def __init__(self, spark: SparkSession, folder: str, fan_in: int = FAN_IN, target: int = TARGET_BYTES):
-        self.spark, self.folder, self.fan_in, self.target = spark, folder, fan_in, target
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    """A folder of immutable shards and manifests `v00000001.json`, `v00000002.json`, ...; the highest is the state."""
+
+    def __init__(self, spark: SparkSession, folder: str, fan_in: int = FAN_IN, target: int = TARGET_BYTES, kept: int = KEPT_VERSIONS):
+        self.spark, self.folder, self.fan_in, self.target, self.kept = spark, folder, fan_in, target, kept
+        self._jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._path = self._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(folder).getFileSystem(conf)
+        self._context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
         self._fs.mkdirs(self._path(f"{folder}/manifest"))
+        self._fs.mkdirs(self._path(f"{folder}/shards"))
+
+    def _names(self, sub: str) -> list[str]:
+        return [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.folder}/{sub}"))]
+
+    def versions(self) -> list[int]:
+        return sorted(int(n[1:9]) for n in self._names("manifest") if n.startswith("v"))
 
     def version(self) -> int:
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.folder}/manifest"))]
-        return max([int(n[1:]) for n in names if n.startswith("v")], default=0)
+        return max(self.versions(), default=0)
 
     def live(self, version: int | None = None) -> list[Shard]:
-        """The shards that a version names; their number is bounded by the arrivals, not by the rows."""
+        """The shards that a version names; their number is bounded by the arrivals and by the bytes over the target."""
         version = self.version() if version is None else version
         if not version:
             return []
-        rows = self.spark.read.parquet(f"{self.folder}/manifest/v{version:08d}").orderBy("path").collect()
+        schema = "path string, rows long, bytes long, tier int, files int"
+        rows = self.spark.read.schema(schema).json(f"{self.folder}/manifest/v{version:08d}.json").orderBy("path").collect()
         return [Shard(r.path, r.rows, r.bytes, r.tier, r.files) for r in rows]
 
     def commit(self, shards: list[Shard], base: int) -> int:
         """Publish the next version; fails if another writer published it first."""
-        staged = f"{self.folder}/manifest/_{uuid.uuid4().hex}"
-        schema = "path string, rows long, bytes long, tier int, files int"
-        self.spark.createDataFrame([(s.path, s.rows, s.bytes, s.tier, s.files) for s in shards], schema).coalesce(1).write.parquet(staged)
-        final = self._path(f"{self.folder}/manifest/v{base + 1:08d}")
-        if self._fs.exists(final) or not self._fs.rename(self._path(staged), final):
-            self._fs.delete(self._path(staged), True)
-            raise RuntimeError(f"version {base + 1} was published by another writer")
+        staged, final = (self._path(f"{self.folder}/manifest/{n}") for n in (f"_{uuid.uuid4().hex}", f"v{base + 1:08d}.json"))
+        out = self._fs.create(staged, False)
+        out.write(bytearray("".join(json.dumps(asdict(s)) + "\n" for s in shards).encode()))
+        out.close()
+        try:  # a move that doesn't overwrite
+            self._context.rename(staged, final, self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError as e:
+            self._fs.delete(staged, False)
+            if "AlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            raise RuntimeError(f"version {base + 1} was published by another writer") from None
         return base + 1
 
+    def sweep(self) -> None:
+        """Delete the manifests before the last `kept` ones, and the shards that only they name."""
+        versions = self.versions()
+        old, new = versions[: -self.kept], versions[-self.kept :]
+        named = {s.path for v in new for s in self.live(v)}
+        for path in {s.path for v in old for s in self.live(v)} - named:
+            self._fs.delete(self._path(path), True)
+        for v in old:
+            self._fs.delete(self._path(f"{self.folder}/manifest/v{v:08d}.json"), False)
+
+    def _measured(self, path: str) -> tuple[int, int]:
+        """(bytes, number) of a shard's files."""
+        sizes = [f.getLen() for f in self._fs.listStatus(self._path(path)) if f.getPath().getName().startswith("part-")]
+        return sum(sizes), len(sizes)
+
     def tier(self, size: int) -> int:
         """TIERS and more for sizes that reach the target, one less for each power of `fan_in` below it, 0 at least."""
         tier, top = 0, self.target
@@ -104,41 +141,57 @@ class ShardStore:
         """The files of a shard of that size: each holds the target at least, where the shard does."""
         return max(1, size // self.target)
 
-    def _write(self, df: DataFrame, n: int, size: int) -> Shard:
-        tier, files = self.tier(size), self._fitting(size)
-        name = f"{self.folder}/shards/t{tier}-{uuid.uuid4().hex}"
+    def _shard(self, path: str, rows: int) -> Shard:
+        size, files = self._measured(path)
+        return Shard(path, rows, size, self.tier(size), max(1, files))
+
+    def _write(self, df: DataFrame, rows: int, size: int) -> Shard:
+        files = self._fitting(size)
+        name = f"{self.folder}/shards/{uuid.uuid4().hex}"
         # One file is written by one task without a shuffle. Several are dealt evenly without a key: no source or length can fill one.
         (df.coalesce(1) if files == 1 else df.repartition(files)).write.parquet(name)
-        return Shard(name, n, size, tier, files)
+        return self._shard(name, rows)
 
     def append(self, df: DataFrame) -> Shard:
         """One arrival becomes a shard."""
         base = self.version()
-        name = f"{self.folder}/shards/t0-{uuid.uuid4().hex}"
+        name = f"{self.folder}/shards/{uuid.uuid4().hex}"
         df.write.parquet(name)
-        back = self.spark.read.schema(df.schema).parquet(name)
-        n, size = _text_bytes(back)
-        files = back.agg(F.count_distinct("_metadata.file_path")).first()[0]
-        shard = Shard(name, n, size, self.tier(size), max(1, files))
+        shard = self._shard(name, self.spark.read.schema(df.schema).parquet(name).count())
         self.commit([*self.live(base), shard], base)
         return shard
 
     def append_many(self, df: DataFrame, arrival: str) -> list[Shard]:
         """Many arrivals at once, told apart by the column `arrival`: one shard each, one write, one version."""
         base = self.version()
-        name = f"{self.folder}/shards/t0-{uuid.uuid4().hex}"
+        name = f"{self.folder}/shards/{uuid.uuid4().hex}"
         df.write.partitionBy(arrival).parquet(name)
-        schema = df.drop(arrival).schema
-        size, files = F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_distinct("_metadata.file_path")
-        each = self.spark.read.schema(df.schema).parquet(name).groupBy(arrival).agg(F.count(F.lit(1)).alias("n"), size.alias("b"), files.alias("f")).orderBy(arrival).collect()
-        shards = [Shard(f"{name}/{arrival}={r[0]}", r.n, r.b, self.tier(r.b), r.f) for r in each]
+        each = self.spark.read.schema(df.schema).parquet(name).groupBy(arrival).agg(F.count(F.lit(1)).alias("n")).orderBy(arrival).collect()
+        shards = [self._shard(f"{name}/{arrival}={r[0]}", r.n) for r in each]
         if not shards:
-            shards = [self._write(self.spark.createDataFrame([], schema), 0, 0)]
+            shards = [self._write(self.spark.createDataFrame([], df.drop(arrival).schema), 0, 0)]
         self.commit([*self.live(base), *shards], base)
         return shards
 
+    def runs(self, shards: list[Shard]) -> list[list[Shard]]:
+        """What is to be merged: runs of a tier below the target, and shards in more files than fit."""
+        tiers: dict[int, list[Shard]] = {}
+        for s in shards:
+            if s.bytes < self.target:
+                tiers.setdefault(s.tier, []).append(s)
+        out = []
+        for _, members in sorted(tiers.items()):
+            run: list[Shard] = []
+            for s in sorted(members, key=lambda s: (s.bytes, s.path)):
+                run.append(s)
+                if len(run) == self.fan_in or sum(x.bytes for x in run) >= self.target:  # below twice the target: one file
+                    out.append(run)
+                    run = []
+        gone = {s for run in out for s in run}
+        return out + [[s] for s in shards if s not in gone and s.files > self._fitting(s.bytes)]
+
     def compact(self, schema) -> int:
-        """Merge until no tier below the target holds FAN_IN shards or the target, and no shard more files than fit; returns the version reached."""
+        """Merge until nothing is left to be merged; returns the version reached."""
         version = self.version()
 
         def merge(run: list[Shard]) -> Shard:
@@ -147,33 +200,18 @@ class ShardStore:
 
         while True:
             shards = self.live(version)
-            tiers: dict[int, list[Shard]] = {}
-            for s in shards:
-                if s.bytes < self.target:
-                    tiers.setdefault(s.tier, []).append(s)
-            runs = []
-            for _, members in sorted(tiers.items()):
-                run: list[Shard] = []
-                for s in sorted(members, key=lambda s: (s.bytes, s.path)):
-                    run.append(s)
-                    if len(run) == self.fan_in or sum(x.bytes for x in run) >= self.target:  # below twice the target: one file
-                        runs.append(run)
-                        run = []
-            gone = {s for run in runs for s in run}
-            alone = [s for s in shards if s not in gone and s.files > self._fitting(s.bytes)]
-            runs, gone = runs + [[s] for s in alone], gone | set(alone)
+            runs = self.runs(shards)
             if not runs:
                 return version
             with ThreadPoolExecutor(MERGES) as pool:
                 merged = [f.result() for f in [pool.submit(inheritable_thread_target(self.spark)(merge), run) for run in runs]]
+            gone = {s for run in runs for s in run}
             version = self.commit([s for s in shards if s not in gone] + merged, version)
-            for s in gone:  # no later version names them
-                self._fs.delete(self._path(s.path), True)
+            self.sweep()
 
-    def read(self, schema) -> DataFrame:
-        """All rows of the live shards, with the path of each row's shard in `_shard`."""
-        parts = self.spark.read.schema(schema).parquet(*[s.path for s in self.live()])
-        return parts.withColumn("_shard", F.regexp_extract(F.col("_metadata.file_path"), r"/(t\d+-[0-9a-f]+)", 1))
+    def read(self, schema, version: int | None = None) -> DataFrame:
+        """All rows of a version's shards, the last one's by default."""
+        return self.spark.read.schema(schema).parquet(*[s.path for s in self.live(version)])
 
 
 def compact_documents(docs: DataFrame, arrivals: int = ARRIVALS, fan_in: int = FAN_IN, target: int = TARGET_BYTES, folder: str | None = None) -> DataFrame:
@@ -182,19 +220,26 @@ def compact_documents(docs: DataFrame, arrivals: int = ARRIVALS, fan_in: int = F
     Each task of the input deals its rows into as many arrivals as keep one below about the target divided by
     `fan_in`, so their number grows with the table, each is one file, and nothing is shuffled.
 
-    Returns (doc_id, n_bytes, text_sha256) of every row as the final shards hold it.
+    Returns (doc_id, n_bytes, text_sha256) of every row as the final shards hold it, with the rows that the manifest
+    counts and whether it is settled: no shard is left to be merged, and every file of a shard beyond the target holds it.
     """
     spark = docs.sparkSession
     folder = folder or f"{ensure_checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}"
     store = ShardStore(spark, folder, fan_in, target)
     parts = max(1, docs.rdd.getNumPartitions())
-    each = max(-(-arrivals // parts), -(-_text_bytes(docs)[1] * 4 * fan_in // (5 * target * parts)))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("b")).first().b
+    each = max(-(-arrivals // parts), -(-size * 4 * fan_in // (5 * target * parts)))
     dealt = F.spark_partition_id() * F.lit(each) + F.pmod(F.monotonically_increasing_id(), F.lit(each))
-    store.append_many(docs.withColumn("_arrival", dealt.cast("int")), "_arrival")
+    arrival = _unused("_arrival", docs.columns)
+    store.append_many(docs.withColumn(arrival, dealt.cast("int")), arrival)
     store.compact(docs.schema)
-    rows = store.read(docs.schema)
+    live = store.live()
+    settled = not store.runs(live) and all(s.bytes >= s.files * store.target for s in live if s.bytes >= store.target)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
+    return store.read(docs.schema).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"),
+        F.lit(sum(s.rows for s in live)).cast("long").alias("manifest_rows"), F.lit(settled).alias("settled"),
+    )
 
 
-ORACLE = "SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256 FROM documents"
+ORACLE = "SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256, CAST(count(*) OVER () AS BIGINT) AS manifest_rows, true AS settled FROM documents"
