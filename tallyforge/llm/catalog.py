@@ -37,8 +37,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables hold no sound, so every vector of `embeddings` is played as one; ids divisible by 100 are looked up among all."""
-    recordings = audio.sonify(_table(spark, sf_dir, "embeddings"))
-    return audio.align(recordings, _table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("rec_id")))
+    vectors = _table(spark, sf_dir, "embeddings")
+    # A vector of a few hundred bytes becomes seconds of sound: far more tasks than the table has files.
+    recordings = audio.sonify(vectors.repartition(16 * max(vectors.rdd.getNumPartitions(), 4)))
+    return audio.align(recordings, vectors.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("rec_id")))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +48,9 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge_urls(_table(spark, sf_dir, "pages"))
+    """Blocks the hosts of the corpus that have a label of games of chance."""
+    pages = _table(spark, sf_dir, "pages")
+    return urlfilter.judge_urls(pages, urlfilter.listed_hosts(pages))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,34 +1,41 @@
 """URL filters: rules on host and path, and a Bloom filter cascade of listed hosts.
 
-The cascade answers membership of a key exactly for a known universe. Level 0
-encodes the listed keys; level 1 encodes the other keys of the universe that
-level 0 wrongly accepts; level 2 the listed keys that level 1 wrongly accepts,
-and so on until no key is left. A key's answer is the parity of the first level
-that rejects it. The universe are all hosts of the corpus, so pages are judged
-by bit tests against the filters, without a join.
-
-The filters' size is known before they leave the cluster: BITS_PER_KEY bits for
-each encoded key. If they exceed MAX_BYTES the operator joins the listed hosts
-instead, with the same result.
-
-Defined results: a null url, or one without `://`, has an empty host and path
-and is never listed; repeated rows get equal results; an empty table gives an
-empty result; other columns are ignored.
+The listed hosts are a table. The cascade answers membership of a key exactly
+for a known universe: level 0 encodes the listed keys; level 1 encodes the other
+keys of the universe that level 0 wrongly accepts; level 2 the listed keys that
+level 1 wrongly accepts, and so on until no key is left. A key's answer is the
+parity of the first level that rejects it. The universe are all hosts of the
+corpus, so pages are judged by bit tests against the filters, without a join.
+
+The bits of a level are set in tasks and combined by words; the filters go to
+the tasks as binary arrays. Their size is known before they are built:
+BITS_PER_KEY bits for each encoded key. Where a level would exceed what is left
+of MAX_BYTES, some ten million listed hosts, the operator joins the listed
+hosts instead, with the same result.
+
+Defined results: a null url, or one without `://`, has an empty host and path,
+which can be listed like any other; a host listed twice is listed; of rules of
+equal length the later one wins; very long urls and repeated rows are judged like
+others; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import shared_checkpoint
+from .blocks import Tables, mix
 
 #: (host, path, verdict); the longest fitting rule wins.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: Labels of hosts that put them on the list.
 LISTED_LABELS = ("casino", "casino-win", "bet", "bets", "free-bets", "poker", "slots", "jackpot", "win")
 BITS_PER_KEY, HASHES, MAX_LEVELS = 12, 5, 64
-MAX_BYTES = 64 << 20
+MAX_BYTES = 16 << 20
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -57,77 +64,108 @@ def listed_label(host: Column, labels=LISTED_LABELS) -> Column:
     return F.arrays_overlap(parts, F.array(*[F.lit(x) for x in labels]))
 
 
-def _spots(key: Column, level: int, bits: int) -> list[Column]:
-    """Bit positions of a key in a filter: two hashes, combined."""
-    one, two = (F.pmod(F.xxhash64(key, F.lit(2 * level + k)), F.lit(bits)) for k in (0, 1))
-    return [F.pmod(one + F.lit(k) * (two + 1), F.lit(bits)) for k in range(HASHES)]
+def _hashes(key: Column) -> list[Column]:
+    return [F.xxhash64(key, F.lit(k)).alias(f"_h{k}") for k in (0, 1)]
 
 
-def _accepts(key: Column, level: int, bits: int, words: Column) -> Column:
-    """Whether a filter, an array of 32-bit words, has all bits of the key."""
-    test = None
-    for at in _spots(key, level, bits):
-        hit = F.get(words, F.shiftright(at, 5).cast("int")).bitwiseAND(F.pow(F.lit(2.0), (at % 32).cast("double")).cast("long")) != 0
-        test = hit if test is None else test & hit
-    return test
+def _spots(one: np.ndarray, two: np.ndarray, level: int, bits: int) -> np.ndarray:
+    """(HASHES x n) bit positions in a level's filter, from two hashes of each key."""
+    a, b = (mix(x.view(np.uint64) + np.uint64(0x9E3779B9 * (2 * level + k + 1))) for k, x in enumerate((one, two)))
+    return np.stack([(a + np.uint64(j) * (b | np.uint64(1))) % np.uint64(bits) for j in range(HASHES)])
 
 
-class Cascade:
-    """Levels of (bits, words); `contains` is exact for every key of the universe it was built from."""
+def _accepts(one: np.ndarray, two: np.ndarray, level: int, words: np.ndarray) -> np.ndarray:
+    at = _spots(one, two, level, 64 * len(words))
+    return ((words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1).all(0)
 
-    def __init__(self, levels: list[tuple[int, list[int]]]):
-        self.levels = levels
-
-    def contains(self, key: Column) -> Column:
-        answer = F.lit(len(self.levels) % 2 == 1)
-        for level in reversed(range(len(self.levels))):
-            bits, words = self.levels[level]
-            literal = F.split(F.lit(",".join(map(str, words))), ",").cast("array<long>")  # folded to one literal
-            answer = F.when(_accepts(key, level, bits, literal), answer).otherwise(F.lit(level % 2 == 1))
-        return answer
 
+class Cascade:
+    """Levels of 64-bit words; `contains` is exact for every key of the universe it was built from."""
 
-def build_cascade(universe: DataFrame, key: str = "key", listed: str = "listed") -> Cascade | None:
-    """The cascade of the keys with `listed` true; None if it would exceed MAX_BYTES."""
-    keys = shared_checkpoint(universe.select(F.col(key).alias("key"), F.col(listed).alias("listed")))
-    levels: list[tuple[int, list[int]]] = []
+    def __init__(self, spark, levels: list[np.ndarray]):
+        self.levels = levels
+        self._sent = spark.sparkContext.broadcast(levels)
+
+    def contains(self, rows: DataFrame, key: str, name: str) -> DataFrame:
+        """Adds the boolean column `name`: whether the key is listed."""
+        sent, names = self._sent, rows.columns
+
+        def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            levels = sent.value
+            for part in batches:
+                one, two = (np.asarray(part.column(len(names) + k), np.int64) for k in (0, 1))
+                answer, open_ = np.zeros(len(one), bool), np.ones(len(one), bool)
+                for level, words in enumerate(levels):
+                    passed = _accepts(one, two, level, words)
+                    answer[open_ & ~passed] = level % 2 == 1
+                    open_ &= passed
+                answer[open_] = len(levels) % 2 == 1
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(answer)], [*names, name])
+
+        out = rows.select("*", *_hashes(F.col(key)))
+        return out.mapInArrow(test, rows.withColumn(name, F.lit(True)).schema)
+
+
+def build_cascade(universe: DataFrame, key: str = "key", listed: str = "listed", max_bytes: int = MAX_BYTES) -> Cascade | None:
+    """The cascade of the keys with `listed` true; None if it would exceed `max_bytes`."""
+    spark = universe.sparkSession
+    tables = Tables(spark)
+    wrong = tables.keep(universe.select(*_hashes(F.col(key)), F.col(listed).alias("listed")), "keys")
+    levels: list[np.ndarray] = []
     encode = True
-    wrong = keys
     for level in range(MAX_LEVELS):
         own = wrong.where(F.col("listed") == encode)
         n = own.count()
         if not n and level:
-            return Cascade(levels)
-        bits = max(64, -(-n * BITS_PER_KEY // 32) * 32)
-        if sum(b for b, _ in levels) + bits > 8 * MAX_BYTES:
+            return Cascade(spark, levels)
+        size = max(1, -(-n * BITS_PER_KEY // 64))
+        if 8 * (sum(map(len, levels)) + size) > max_bytes:
             return None
-        spots = own.select(F.explode(F.array(*_spots(F.col("key"), level, bits))).alias("at"))
-        filled = spots.groupBy(F.shiftright("at", 5).cast("int").alias("word")).agg(F.bit_or(F.pow(F.lit(2.0), (F.col("at") % 32).cast("double")).cast("long")).alias("set"))
-        words = [0] * (bits // 32)
-        for row in filled.toLocalIterator():  # bits / 32 rows at most
-            words[row.word] = row.set
-        levels.append((bits, words))
-        literal = F.split(F.lit(",".join(map(str, words))), ",").cast("array<long>")
+
+        def fill(batches: Iterator[pa.RecordBatch], level=level, size=size) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                at = _spots(*(np.asarray(part.column(k), np.int64) for k in (0, 1)), level, 64 * size).reshape(-1)
+                word, where = np.unique(at >> np.uint64(6), return_inverse=True)
+                bits = np.zeros(len(word), np.uint64)
+                np.bitwise_or.at(bits, where, np.uint64(1) << (at & np.uint64(63)))
+                yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(bits.view(np.int64))], ["word", "bits"])
+
+        filled = own.select("_h0", "_h1").mapInArrow(fill, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+        got = filled.toArrow()  # `size` rows at most
+        words = np.zeros(size, np.uint64)
+        words[np.asarray(got.column("word"))] = np.asarray(got.column("bits"), np.int64).view(np.uint64)
+        levels.append(words)
+        sent = spark.sparkContext.broadcast(words)
+
+        def accepted(batches: Iterator[pa.RecordBatch], level=level, sent=sent) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                yield part.filter(pa.array(_accepts(*(np.asarray(part.column(k), np.int64) for k in (0, 1)), level, sent.value)))
+
         # Keys of the other kind that this level accepts, and its own, which the next level may accept wrongly.
-        wrong = shared_checkpoint(wrong.where((F.col("listed") == encode) | _accepts(F.col("key"), level, bits, literal)))
+        wrong = tables.keep(wrong.mapInArrow(accepted, wrong.schema), f"level{level}")
         if not wrong.where(F.col("listed") != encode).count():
-            return Cascade(levels)
+            return Cascade(spark, levels)
         encode = not encode
     return None
 
 
-def judge_urls(pages: DataFrame, rules=RULES, labels=LISTED_LABELS) -> DataFrame:
-    """(page_id, host, path, rule, verdict) of every page: the rule's verdict, else block for a listed host and allow for others."""
+def listed_hosts(pages: DataFrame, labels=LISTED_LABELS) -> DataFrame:
+    """(host): the hosts of the pages that have a listed label."""
+    return pages.select(host_and_path(F.col("url"))[0].alias("host")).distinct().where(listed_label(F.col("host"), labels))
+
+
+def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(page_id, host, path, rule, verdict) of every page: the rule's verdict, else block for a host of `listed` (host) and allow for others."""
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    universe = rows.select(F.col("host").alias("key")).distinct().withColumn("listed", listed_label(F.col("key"), labels))
-    cascade = build_cascade(universe)
-    ruled = rows.withColumn("found", matching_rule(F.col("host"), F.col("path"), rules))
+    blocked = listed.select(F.col("host").cast("string").alias("key")).distinct().withColumn("listed", F.lit(True))
+    universe = rows.select(F.col("host").alias("key")).distinct().join(blocked, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed"))
+    cascade = build_cascade(universe, max_bytes=max_bytes)
     if cascade is not None:
-        judged = ruled.withColumn("is_listed", cascade.contains(F.col("host")))
+        judged = cascade.contains(rows, "host", "is_listed")
     else:
-        hosts = universe.where("listed").select(F.col("key").alias("host"), F.lit(True).alias("is_listed"))
-        judged = ruled.join(hosts, "host", "left")
+        judged = rows.join(blocked.select(F.col("key").alias("host"), F.col("listed").alias("is_listed")), "host", "left")
+    judged = judged.withColumn("found", matching_rule(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce("found.verdict", F.when(F.coalesce("is_listed", F.lit(False)), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"))
 
