@@ -16,9 +16,10 @@ stratum of few random strings takes in the neighbouring lengths of its encoding
 until they show enough; where all lengths together don't, their counts decide,
 and at the strictest cut where nothing lies above it. So every candidate is judged.
 
-Defined results: a null text is empty and has no span; repeated rows get equal
-results; an empty table gives an empty result; other columns are ignored.
-Offsets count code points, and ends are exclusive.
+Defined results: a null text is empty and has no span; a null id stays null;
+repeated rows get equal results; spans of one start come in the order of their
+kinds; a very long text is scanned whole; an empty table gives an empty result;
+other columns are ignored. Offsets count code points, and ends are exclusive.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import Tables
+
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A pattern of a least length finds the same spans as an open one whose short matches are dropped: the runs are maximal.
@@ -121,13 +124,6 @@ def _battery(tok: Column) -> Column:
     return F.struct(F.concat_ws("/", enc, length_class.cast("string")).alias("stratum"), p.alias("p"))
 
 
-def with_candidates(docs: DataFrame) -> DataFrame:
-    """Adds `candidates`, array<struct<start,end,t:struct<stratum,p>>>: long strings with the battery's result."""
-    found = _located(docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))), {"cand": CANDIDATE})
-    tested = F.transform("_s_cand", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), _battery(c["tok"]).alias("t")))
-    return found.withColumn("candidates", tested).drop("_text", "_s_cand")
-
-
 def discovery_cuts(found: DataFrame, limit: float = FALSE_DISCOVERIES) -> dict[str, float]:
     """The cut of each stratum, from all p-values of the corpus.
 
@@ -187,28 +183,27 @@ def _with_spans(found: DataFrame, cuts: dict[str, float]) -> DataFrame:
 
 
 def secret_spans(docs: DataFrame, limit: float = FALSE_DISCOVERIES) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans) of every document."""
-    from .blocks import shared_checkpoint
-
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random) of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = shared_checkpoint(_with_found(rows).drop("text"))
+    found = Tables(docs.sparkSession).keep(_with_found(rows).drop("text"), "found")
     out = _with_spans(found, discovery_cuts(found, limit))
     return out.select(
         "doc_id",
         *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]],
-        (F.size("spans") - F.size("base")).cast("long").alias("n_random"),
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(F.col("spans")).alias("spans"),
+        (F.size("spans") - F.size("base")).cast("long").alias("n_random"),
     )
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", limit: float = FALSE_DISCOVERIES) -> DataFrame:
     """The documents with `mark` in place of every span, overlapping ones as one; n_chars, where present, follows."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    cuts = discovery_cuts(with_candidates(docs.select("text")).select("candidates"), limit)
+    text = F.coalesce(F.col("_row.text").cast("string"), F.lit(""))
     names = docs.columns
-    inner = docs.select(F.struct(*names).alias("_row"), "text")
-    spans = _with_spans(_with_found(inner), cuts)
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "text")
+    # Rows may share their id, so they are written with what was found in them: the battery runs once.
+    found = Tables(docs.sparkSession).keep(_with_found(inner).drop("text").select("_row", "assign", "access", "hex", "candidates"), "found")
+    spans = _with_spans(found, discovery_cuts(found, limit))
 
     def merge(acc: Column, s: Column) -> Column:
         last = F.element_at(acc, -1)
