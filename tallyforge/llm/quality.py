@@ -9,8 +9,10 @@ distributions, and a small network minimises the non-negative unbiased risk
 Labelled negatives are never used: neither for training nor for the prior.
 
 Defined results: a null or empty text is scored from its features like any
-other (all rates zero); repeated rows get equal scores; columns other than the
-id and the text are ignored, whatever their names.
+other (all rates zero); repeated rows get equal scores, and so do equal texts
+anywhere; a score at the threshold is accepted; a very long text is one slice of
+its own; an empty table gives an empty result; columns other than the id and
+the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -173,19 +175,24 @@ def held_out(doc_id: Column) -> Column:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in blocks.text_slices(batches):
-        x = features(part.column(1))
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(x), pa.list_(pa.float32()))], ["positive", "x"])
+        x = features(part.column(2))
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(x), pa.list_(pa.float32()))], ["doc_id", "positive", "x"])
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Features of at most `rows` trusted positives and `rows` unlabelled texts, chosen by a hash of the id."""
+    """Features of at most `rows` trusted positives and `rows` unlabelled texts, chosen by a hash of the id and ordered by it.
+
+    Ids whose labels contradict each other aren't trusted; of texts of one id the least is taken.
+    """
     order = F.xxhash64("doc_id")
-    trusted = labels.where((F.col("quality") == 1) & ~held_out(F.col("doc_id"))).select("doc_id").distinct().orderBy(order, "doc_id").limit(rows)
+    marked = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    trusted = marked.where("quality = 1").select("doc_id").orderBy(order, "doc_id").limit(rows)
     web = docs.where(~held_out(F.col("doc_id"))).select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(rows)
     chosen = trusted.withColumn("positive", F.lit(True)).unionByName(web.withColumn("positive", F.lit(False)))
     # `rows` bounds the broadcast side: two lists of ids of a fixed length.
-    drawn = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("positive", "text")
-    got = drawn.mapInArrow(_extract, "positive boolean, x array<float>").toPandas()
+    drawn = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "positive").agg(F.min(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
+    drawn = drawn.select(F.col("doc_id").cast("long"), "positive", "text")
+    got = drawn.mapInArrow(_extract, "doc_id long, positive boolean, x array<float>").toPandas().sort_values("doc_id", kind="stable")
     x = np.stack(got.x) if len(got) else np.zeros((0, N_FEATURES), np.float32)
     is_positive = got.positive.to_numpy(dtype=bool)
     return x[is_positive].astype(np.float64), x[~is_positive].astype(np.float64)

@@ -13,7 +13,9 @@ needs bounded memory for its chains.
 
 Defined results: a null or empty text has no word, hence no span, and gets the
 curve's score for no evidence; repeated rows get equal results; without labels
-of both kinds every score is 0; other columns are ignored.
+of both kinds, on texts short enough to learn from, every score is 0; a score at
+the threshold is toxic; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -186,13 +188,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | None:
-    """A model from at most `rows` toxic and `rows` other labelled documents, chosen by a hash of the id."""
-    usable = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic").distinct()
+    """A model from at most `rows` toxic and `rows` other labelled documents, chosen by a hash of the id.
+
+    Ids whose labels contradict each other teach nothing; of texts of one id the least is taken.
+    """
+    usable = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
     order = F.xxhash64("doc_id")
     picked = usable.where("toxic = 1").orderBy(order, "doc_id").limit(rows).unionByName(usable.where("toxic = 0").orderBy(order, "doc_id").limit(rows))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # `rows` bounds the broadcast side.
-    drawn = docs.select("doc_id", text.alias("text")).where(F.octet_length("text") <= FIT_BYTES).join(F.broadcast(picked), "doc_id").toPandas()
+    drawn = docs.select("doc_id", text.alias("text")).where(F.octet_length("text") <= FIT_BYTES).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas()
     toxic = drawn.toxic.to_numpy() == 1
     if not toxic.any() or toxic.all():
         return None
