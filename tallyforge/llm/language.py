@@ -1,18 +1,19 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a word byte by byte in both directions and labels every
-position with a language; it is trained in numpy by backpropagation through
-time. The probabilities of all positions of a whole text are pooled by their
-mean into the document's probabilities.
+The network reads a text byte by byte in both directions, across white space,
+and labels every position with a language; it is trained in numpy by
+backpropagation through time. The probabilities of all positions of a whole
+text are pooled by their mean into the document's probabilities.
 
-Its states start anew with each word (a run of bytes other than white space, cut
-after WORD_BYTES bytes), so equal words give equal labels and each distinct word
-of a slice is read once, however often it occurs: that is exact, and it is
-what lets the network read whole texts at corpus scale.
+So that many texts advance together and a very long one needs no long loop,
+texts are read in segments of SEGMENT_BYTES. Each direction starts CONTEXT_BYTES
+before a segment, where the text has them, and so has its state when it reaches the
+first position that counts; every position is labelled once.
 
 Defined results: null texts and texts without a letter are `und` with score 0;
-without a labelled document to learn from all texts are `und`; repeated rows
-get equal results; other columns are ignored.
+without a labelled document that is short enough to learn from all texts are
+`und`; ties go to the first language in order; repeated rows get equal results;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +30,12 @@ from . import blocks
 
 #: Fitting sample: labelled documents at most, and their greatest length in bytes.
 FIT_ROWS, FIT_BYTES = 1500, 1 << 16
-WORD_BYTES = 24
+SEGMENT_BYTES, CONTEXT_BYTES = 1024, 64
 HIDDEN = 12
-#: Distinct words whose labels a task keeps from slice to slice.
-KEPT_WORDS = 400_000
+#: Segments that advance together.
+TOGETHER = 4096
+#: Bytes of each passage that the network is trained on.
+PASSAGE_BYTES = 48
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -50,41 +54,50 @@ class Network:
             "v": draw(2 * hidden, len(languages)), "c": np.zeros(len(languages), np.float32),
         }
 
-    def states(self, words: np.ndarray, live: np.ndarray, side: int) -> np.ndarray:
-        """States (steps x words x hidden) of one direction; words come longest first, `live` counts those with a byte at each step."""
+    def _advance(self, rows: np.ndarray, live: np.ndarray, side: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(step, states) of one direction; rows come longest first, `live` counts those with a byte at each step."""
         x, u, h = self.params[f"x{side}"], self.params[f"u{side}"], self.hidden
-        out = np.zeros((len(live), len(words), h), np.float32)
-        state = np.zeros((len(words), h), np.float32)
+        columns, state = np.ascontiguousarray(rows.T), np.zeros((len(rows), h), x.dtype)
         for t, m in enumerate(live):
-            a, b = x[words[:m, t]], state[:m] @ u
+            state = state[:m]
+            a, b = x[columns[t, :m]], state @ u
             gates = _sigmoid(a[:, : 2 * h] + b[:, : 2 * h])
             new = np.tanh(a[:, 2 * h :] + gates[:, h:] * b[:, 2 * h :])
-            state = new + gates[:, :h] * (state[:m] - new)
-            out[t, :m] = state
+            state = new + gates[:, :h] * (state - new)
+            yield t, state
+
+    def states(self, rows: np.ndarray, live: np.ndarray, side: int) -> np.ndarray:
+        """States (steps x rows x hidden) of one direction."""
+        out = np.zeros((len(live), len(rows), self.hidden), np.float32)
+        for t, state in self._advance(rows, live, side):
+            out[t, : live[t]] = state
         return out
 
-    def label(self, words: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Sums of the probabilities of all positions of each word (words x languages)."""
+    def label(self, rows: np.ndarray, length: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Sums of the probabilities of the positions from `begin` to `end` of each row of bytes (rows x languages)."""
+        p, out = self.params, np.zeros((len(rows), len(self.languages)), np.float32)
         order = np.argsort(-length, kind="stable")
-        words, length = words[order], length[order]
-        out = np.zeros((len(words), len(self.languages)), np.float32)
-        for k in range(0, len(words), 8192):
-            w, n = words[k : k + 8192], length[k : k + 8192].astype(np.int64)
+        for k in range(0, len(rows), TOGETHER):
+            at = order[k : k + TOGETHER]
+            w, n = rows[at], length[at].astype(np.int64)
+            first, last = begin[at], end[at]
             steps = int(n[0])
             live = np.searchsorted(-n, -np.arange(1, steps + 1), side="right")
+            half = [p["v"][: self.hidden], p["v"][self.hidden :]]
+            ahead = np.empty((steps, len(at), len(self.languages)), np.float32)
+            for t, state in self._advance(w, live, 0):
+                ahead[t, : live[t]] = state @ half[0] + p["c"]
             there = np.maximum(n[:, None] - 1 - np.arange(steps), 0)
-            ahead = self.states(w, live, 0)
-            back = self.states(np.take_along_axis(w, there, 1), live, 1)
-            total = np.zeros((len(w), len(self.languages)), np.float32)
-            for t, m in enumerate(live):
-                at = n[:m] - 1 - t
-                logits = np.concatenate([ahead[t, :m], back[at, np.arange(m)]], axis=1) @ self.params["v"] + self.params["c"]
+            total, each = np.zeros((len(at), len(self.languages)), np.float32), np.arange(len(at))
+            for t, state in self._advance(np.take_along_axis(w, there, 1), live, 1):
+                m = live[t]
+                position = n[:m] - 1 - t
+                logits = ahead[position, each[:m]] + state @ half[1]
                 e = np.exp(logits - logits.max(1, keepdims=True))
-                total[:m] += e / e.sum(1, keepdims=True)
-            out[k : k + 8192] = total
-        result = np.empty_like(out)
-        result[order] = out
-        return result
+                counts = (position >= first[:m]) & (position < last[:m])
+                total[:m] += e * (counts / e.sum(1))[:, None]
+            out[at] = total
+        return out
 
     def gradient(self, words: np.ndarray, length: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
         """Gradient of the mean cross-entropy over all positions, by backpropagation through time."""
@@ -118,7 +131,7 @@ class Network:
         d_back = np.zeros((steps, n, h), np.float32)
         np.add.at(d_back, (there.T, np.arange(n)[None, :]), d_both[:, :, h:] * mask)
         for side, d_out in ((0, d_both[:, :, :h]), (1, d_back)):
-            flow = np.zeros((n, h), np.float32)
+            flow, steps_a = np.zeros((n, h), np.float32), np.zeros((steps, n, 3 * h), p["v"].dtype)
             for t in range(steps - 1, -1, -1):
                 state, gates, new, b = tapes[side][t]
                 z, r = gates[:, :h], gates[:, h:]
@@ -129,47 +142,64 @@ class Network:
                 d_r = d_new * b[:, 2 * h :] * r * (1 - r)
                 d_a = np.concatenate([d_z, d_r, d_new], axis=1)
                 d_b = np.concatenate([d_z, d_r, d_new * r], axis=1)
-                np.add.at(grads[f"x{side}"], inputs[side][:, t], d_a)
+                steps_a[t] = d_a
                 grads[f"u{side}"] += state.T @ d_b
                 flow = live * z + flow * (1 - mask[t]) + d_b @ p[f"u{side}"].T
+            seen, flat = np.ascontiguousarray(inputs[side].T).reshape(-1), steps_a.reshape(-1, 3 * h)
+            grads[f"x{side}"] += np.stack([np.bincount(seen, weights=flat[:, k], minlength=256) for k in range(3 * h)], axis=1).astype(flat.dtype)
         return grads
 
 
-def word_matrix(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, length, row, hash, bytes) of all words of a slice, cut after WORD_BYTES bytes, in lower case."""
-    raw, offsets = blocks.text_buffer(texts)
-    buf = blocks.fold_case(raw)
-    words = blocks.segment(buf, offsets)
-    pieces = -(-(words.end - words.start) // WORD_BYTES)
-    row = np.repeat(words.row, pieces)
+def gather(buf: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """(ranges x longest) bytes of ranges of a buffer, 0 beyond their ends."""
+    width = np.arange(int(length.max()) if len(length) else 0)
+    return np.where(width < length[:, None], buf[np.minimum(start[:, None] + width, len(buf) - 1)], 0).astype(np.uint8)
+
+
+def segments(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, length, begin, end): byte ranges of segments with their context, and the positions in them that count."""
+    sizes = np.diff(offsets)
+    pieces = -(-sizes // SEGMENT_BYTES)
+    row = np.repeat(np.arange(len(sizes)), pieces)
     nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    start = np.repeat(words.start, pieces) + nth * WORD_BYTES
-    end = np.minimum(start + WORD_BYTES, np.repeat(words.end, pieces))
-    key = blocks.RangeHash(buf)(start, end) if len(start) else np.zeros(0, np.uint64)
-    return start, end - start, row, key, buf
+    first = offsets[row] + nth * SEGMENT_BYTES
+    last = np.minimum(first + SEGMENT_BYTES, offsets[row + 1])
+    start, stop = np.maximum(first - CONTEXT_BYTES, offsets[row]), np.minimum(last + CONTEXT_BYTES, offsets[row + 1])
+    return row, start, stop - start, first - start, last - start
 
 
-def gather(buf: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    at = np.minimum(start[:, None] + np.arange(WORD_BYTES), len(buf) - 1)
-    return np.where(np.arange(WORD_BYTES) < length[:, None], buf[at], 0).astype(np.uint8)
+def probabilities(network: Network, texts: pa.Array) -> np.ndarray:
+    """Mean of the probabilities of all positions of each text (texts x languages); zero for an empty one."""
+    raw, offsets = blocks.text_buffer(texts)
+    buf = blocks.fold_case(raw)
+    row, start, length, begin, end = segments(offsets)
+    out = np.zeros((len(texts), len(network.languages)))
+    for k in range(0, len(row), TOGETHER):
+        part = slice(k, k + TOGETHER)
+        sums = network.label(gather(buf, start[part], length[part]), length[part], begin[part], end[part])
+        np.add.at(out, row[part], sums)
+    return out / np.maximum(np.diff(offsets), 1)[:, None]
 
 
-def fit(texts: list[str], langs: list[str], *, steps: int = 500, batch: int = 512, rate: float = 0.02, seed: int = 5) -> Network:
-    """Train on words drawn evenly from the languages; every position carries its document's language."""
+def fit(texts: list[str], langs: list[str], *, steps: int = 300, batch: int = 128, rate: float = 0.02, seed: int = 5) -> Network:
+    """Train on passages drawn evenly from the languages; every position carries its document's language."""
     rng = np.random.default_rng(seed)
     languages = sorted(set(langs))
     network = Network(languages, rng)
-    start, length, row, _, buf = word_matrix(pa.array(texts, pa.string()))
-    target = np.array([languages.index(x) for x in langs])[row]
-    pools = [np.flatnonzero(target == k) for k in range(len(languages))]
+    raw, offsets = blocks.text_buffer(pa.array(texts, pa.string()))
+    buf, sizes = blocks.fold_case(raw), np.diff(offsets)
+    target = np.array([languages.index(x) for x in langs])
+    pools = [np.flatnonzero((target == k) & (sizes > 0)) for k in range(len(languages))]
     pools = [p for p in pools if len(p)]
     moments = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in network.params.items()}
     for step in range(1, steps + 1):
         if not pools:
             break
         at = np.concatenate([rng.choice(p, batch // len(pools) + 1) for p in pools])
-        at = at[np.argsort(-length[at])]
-        grads = network.gradient(gather(buf, start[at], length[at]), length[at], target[at])
+        start = offsets[at] + (rng.random(len(at)) * np.maximum(sizes[at] - PASSAGE_BYTES + 1, 1)).astype(np.int64)
+        length = np.minimum(PASSAGE_BYTES, offsets[at + 1] - start)
+        order = np.argsort(-length)
+        grads = network.gradient(gather(buf, start[order], length[order]), length[order], target[at[order]])
         slow = rate * min(1.0, 2 * (1 - step / (steps + 1)))
         for k, g in grads.items():
             g = np.clip(g, -1, 1)
@@ -187,10 +217,11 @@ def held_out(doc_id: Column) -> Column:
 
 def fit_documents(docs: DataFrame, rows: int = FIT_ROWS) -> Network | None:
     """A network from at most `rows` labelled documents, chosen by a hash of the id."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.octet_length("text") <= FIT_BYTES))
+    text = F.col("text").cast("string")
+    usable = docs.select("doc_id", text.alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.octet_length("text") <= FIT_BYTES))
     picked = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    # `rows` bounds the broadcast side.
-    drawn = usable.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id").toPandas().sort_values(["doc_id", "text"], kind="stable")
+    # `rows` bounds the broadcast side, and one text is taken of each id.
+    drawn = usable.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("d")).select("doc_id", "d.text", "d.lang").toPandas().sort_values("doc_id", kind="stable")
     return fit(drawn.text.tolist(), drawn.lang.tolist()) if len(drawn) else None
 
 
@@ -199,34 +230,19 @@ def languages(docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     network = fit_documents(docs, rows)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, labels = np.zeros(0, np.uint64), np.zeros((0, len(network.languages)), np.float32)
         names = np.array(network.languages, dtype=object)
         for part in blocks.text_slices(batches):
-            n = part.num_rows
-            start, length, row, key, buf = word_matrix(part.column(1))
-            distinct, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-            at = np.minimum(np.searchsorted(known, distinct), max(len(known) - 1, 0))
-            have = known[at] == distinct if len(known) else np.zeros(len(distinct), bool)
-            sums = np.zeros((len(distinct), len(names)), np.float32)
-            sums[have] = labels[at[have]]
-            new = first[~have]
-            if len(new):
-                sums[~have] = network.label(gather(buf, start[new], length[new]), length[new])
-                if len(known) + len(new) <= KEPT_WORDS:
-                    known, labels = np.concatenate([known, distinct[~have]]), np.concatenate([labels, sums[~have]])
-                    order = np.argsort(known)
-                    known, labels = known[order], labels[order]
-            pooled = np.column_stack([np.bincount(row, weights=sums[inverse, k], minlength=n) for k in range(len(names))])
-            pooled /= np.maximum(np.bincount(row, weights=length, minlength=n), 1)[:, None]
+            n, lettered = part.num_rows, np.asarray(part.column(2))
+            texts = pc.if_else(part.column(2), part.column(1), pa.scalar("", pa.string()))
+            pooled = probabilities(network, texts)
             best = pooled.argmax(1)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[best], pa.string()), pa.array(np.clip(pooled[np.arange(n), best], 0, 1))], ["doc_id", "lang_pred", "score"])
+            score = np.where(lettered, np.clip(pooled[np.arange(n), best], 0, 1), 0.0)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.where(lettered, names[best], "und"), pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    lettered = F.col("text").rlike(r"\p{L}")
-    out = rows_in.where(~lettered).select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("lettered", F.col("text").rlike(r"\p{L}"))
     if network is None:
         out = rows_in.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     else:
-        out = out.unionByName(rows_in.where(lettered).mapInArrow(predict, "doc_id long, lang_pred string, score double"))
+        out = rows_in.mapInArrow(predict, "doc_id long, lang_pred string, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
