@@ -130,7 +130,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.evidence(tokens, p) @ self.curve, -30, 30)))
 
 
-def fit(texts: list[str], toxic: np.ndarray, *, epochs: int = 12, chains: int = 30_000, seed: int = 11) -> Model:
+def fit(texts: list[str], toxic: np.ndarray, share: float = 0.5, *, epochs: int = 12, chains: int = 30_000, seed: int = 11) -> Model:
     rng = np.random.default_rng(seed)
     tokens = Tokens(pa.array(texts, pa.string()))
     label = toxic[tokens.row]
@@ -140,7 +140,11 @@ def fit(texts: list[str], toxic: np.ndarray, *, epochs: int = 12, chains: int =
         row, feature = pair // BUCKETS, pair % BUCKETS
         bad = np.bincount(feature[toxic[row]], minlength=BUCKETS)
         good = np.bincount(feature[~toxic[row]], minlength=BUCKETS) * (toxic.sum() / max((~toxic).sum(), 1))
-        marks = (bad >= LEAST_DOCS) & (bad >= LEAST_SHARE * (bad + good))
+        # Its share must be beyond chance among all features that are frequent enough to be tried (Chernoff's bound).
+        total = bad + good
+        at = np.clip(bad / np.maximum(total, 1), 1e-9, 1 - 1e-9)
+        beyond = total * (at * np.log(2 * at) + (1 - at) * np.log(2 * (1 - at))) >= np.log(N_FEATURES * max(1, (total >= LEAST_DOCS).sum()))
+        marks = (bad >= LEAST_DOCS) & (at >= LEAST_SHARE) & beyond
         marked |= marks[tokens.features[:, k]]
     gold = (marked & label).astype(np.float64)
     chain = np.repeat(np.arange(len(tokens.first)), tokens.length)
@@ -170,8 +174,8 @@ def fit(texts: list[str], toxic: np.ndarray, *, epochs: int = 12, chains: int =
             transition = transition - 0.3 * gt / np.sqrt(seen_t)
     model = Model(weights, bias, transition, np.zeros(5))
     x = model.evidence(tokens, model.words(tokens))
-    # Toxic documents are over-represented in the sample; weights give the curve even classes.
-    each = np.where(toxic, 0.5 / max(toxic.sum(), 1), 0.5 / max((~toxic).sum(), 1))
+    # Toxic documents are over-represented in the sample; weights give the curve their share among all labels.
+    each = np.where(toxic, share / max(toxic.sum(), 1), (1 - share) / max((~toxic).sum(), 1))
     curve, moment, spread = np.zeros(5), np.zeros(5), np.zeros(5)
     for t in range(1, 1501):
         p = 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
@@ -193,6 +197,7 @@ def fit_documents(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> M
     Ids whose labels contradict each other teach nothing; of texts of one id the least is taken.
     """
     usable = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
+    share = usable.agg(F.avg("toxic").alias("share")).first().share
     order = F.xxhash64("doc_id")
     picked = usable.where("toxic = 1").orderBy(order, "doc_id").limit(rows).unionByName(usable.where("toxic = 0").orderBy(order, "doc_id").limit(rows))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -202,7 +207,7 @@ def fit_documents(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> M
     if not toxic.any() or toxic.all():
         return None
     order = np.argsort(drawn.doc_id.to_numpy(), kind="stable")
-    return fit([drawn.text.iloc[i] for i in order], toxic[order])
+    return fit([drawn.text.iloc[i] for i in order], toxic[order], float(share))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = FIT_ROWS) -> DataFrame:
