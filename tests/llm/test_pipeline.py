@@ -39,3 +39,25 @@ def test_run(spark):
         assert got[i].decoded_sha256 == hashlib.sha256(left[i].encode()).hexdigest()
     for i in set(left) - set(clean):
         assert got[i].decoded_sha256 != hashlib.sha256(left[i].encode()).hexdigest()
+
+
+def test_stages_keep_edges(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, an empty table and columns of clashing names through all stages."""
+    d = "/root/testdata/sf0.001"
+    documents = spark.read.parquet(f"{d}/documents.parquet")
+    good = documents.where("length(text) > 400").limit(30)
+    odd = spark.createDataFrame([(None, "no id at all"), (901, None), (902, ""), (903, "word " * 40_000), (904, "twice the same row"), (904, "twice the same row")], "doc_id long, text string")
+    names = {"lang": "string", "source": "string", "n_chars": documents.schema["n_chars"].dataType.simpleString()}
+    odd = odd.selectExpr("doc_id", "text", *[f"cast(null as {t}) as {c}" for c, t in names.items()]).select(*documents.columns)
+    clash = good.unionByName(odd).selectExpr("*", "'c' as cls", "'s' as score", "'i' as item_id", "'p' as spans", "1 as size", "2 as base")
+    docs = clash
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, d)
+        if name != "byte_bpe":
+            assert out.columns == clash.columns
+            assert stage(spark, clash.limit(0), d).count() == 0
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    assert docs.count() > 0
+    kept = corpus_pipeline.near_dedup_stage(spark, odd, d).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["901", "902", "903", "904", "None"]
