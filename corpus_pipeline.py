@@ -2,6 +2,13 @@
 
 Each stage's result is written as Parquet and read again as the next one's
 `docs`. All but the last return the columns of `documents`.
+
+Defined results: documents without an id stay documents of their own; null and
+empty texts are scored like others, never linked to another document, hold no
+benchmark item or secret, and have no token; very long texts go through whole;
+of rows equal in id and text one stays; of near copies the one of the least id
+stays, and of equal ids the one of the least digest; an empty table gives an
+empty result; further columns go along up to the last stage.
 """
 
 from __future__ import annotations
