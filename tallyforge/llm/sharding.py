@@ -225,7 +225,7 @@ def compact_documents(docs: DataFrame, arrivals: int = ARRIVALS, fan_in: int = F
     """
     spark = docs.sparkSession
     folder = folder or f"{ensure_checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}"
-    store = ShardStore(spark, folder, fan_in, target)
+    store = ShardStore(spark, folder, fan_in, target, kept=1)  # nobody else reads this folder
     parts = max(1, docs.rdd.getNumPartitions())
     size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("b")).first().b
     each = max(-(-arrivals // parts), -(-size * 4 * fan_in // (5 * target * parts)))
