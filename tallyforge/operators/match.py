@@ -74,11 +74,13 @@ def near_pairs(invoices: DataFrame, ledger: DataFrame) -> DataFrame:
     invoice looks into its own and the neighbouring buckets. A pair meets in
     just one bucket, so the join is an equi join without duplicates.
     """
-    cents = lambda c: F.floor(c * 100)
+    # Amounts too large to have cents are near only to equal ones.
+    large = F.abs("amount") >= 1e15
+    cents = lambda c: F.when(large, F.xxhash64(c)).otherwise(F.floor(F.when(~large, c) * 100))
     span = DATE_WINDOW_DAYS + 1
     days = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / span)
-    usable = F.col("amount").isNotNull() & ~F.isnan("amount") & (F.abs("amount") < 1e15)
-    left = invoices.where(usable & F.col("invoice_date").isNotNull()).select("inv_ord", "vendor", "invoice_date", "amount", F.explode(F.array(*[F.lit(k) for k in range(-2, 3)])).alias("dc"))
+    usable = F.col("amount").isNotNull() & ~F.isnan("amount")
+    left = invoices.where(usable & F.col("invoice_date").isNotNull()).select("inv_ord", "vendor", "invoice_date", "amount", F.explode(F.when(large, F.array(F.lit(0))).otherwise(F.array(*[F.lit(k) for k in range(-2, 3)]))).alias("dc"))
     left = left.select("*", (cents(F.col("amount")) + F.col("dc")).alias("c"), F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)])).alias("dd"))
     left = left.select("inv_ord", "vendor", "invoice_date", F.col("amount").alias("inv_amount"), "c", (days(F.col("invoice_date")) + F.col("dd")).alias("d"))
     right = ledger.where(usable & F.col("ledger_date").isNotNull()).select("row_index", "description", "ledger_date", "amount", cents(F.col("amount")).alias("c"), days(F.col("ledger_date")).alias("d"))

@@ -11,22 +11,22 @@ from .match import status
 DETAIL_COLUMNS = ("Status", "Invoice #", "Vendor", "Invoice Date", "Invoice Amount", "Ledger Row", "Ledger Date", "Ledger Description", "Ledger Amount", "Source File", "Read Via")
 READ_VIA = {"text": "text layer", "ocr": "OCR (verify)", "none": "unreadable"}
 FLAG_LABELS = {
-    "unreadable_invoice": "Unreadable invoice",
-    "no_ledger_entry": "No ledger entry",
-    "no_invoice": "No invoice",
-    "amount_mismatch": "Amount mismatch",
+    "unreadable_invoice": "Could not read invoice",
+    "no_ledger_entry": "No matching payment",
+    "no_invoice": "Payment with no invoice",
+    "amount_mismatch": "Amount differs",
     "duplicate_invoice": "Duplicate invoice",
     "paid_in_instalments": "Paid in instalments",
-    "combined_payment": "Combined payment",
+    "combined_payment": "Paid with other invoices",
 }
 FLAG_MEANINGS = {
-    "unreadable_invoice": "Number, vendor, date or amount could not be read.",
-    "no_ledger_entry": "The ledger has no row for this invoice.",
-    "no_invoice": "No invoice explains this ledger row.",
-    "amount_mismatch": "Invoice and ledger row differ in their amount.",
-    "duplicate_invoice": "This invoice number occurs more than once.",
-    "paid_in_instalments": "Several ledger rows add up to this invoice.",
-    "combined_payment": "One ledger row pays this invoice and others.",
+    "unreadable_invoice": "Not every field could be read from this PDF, even after OCR for scans. Nothing was guessed; check the file by hand.",
+    "no_ledger_entry": "The invoice exists but no matching payment appears in the ledger.",
+    "no_invoice": "A payment appears in the ledger with no invoice on file to support it.",
+    "amount_mismatch": "The invoice and the ledger entry were matched, but the amounts differ.",
+    "duplicate_invoice": "This invoice number appears more than once, so the same invoice may be recorded twice.",
+    "paid_in_instalments": "Several ledger rows carry this invoice number and together they add up to the invoice. Nothing is wrong; it was paid in parts.",
+    "combined_payment": "One ledger entry settles this invoice together with others; its reference names them all and the amount is their sum.",
 }
 
 

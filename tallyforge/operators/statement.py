@@ -7,6 +7,8 @@ import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 from ..model import AMOUNT_TOLERANCE
 
 # Names and labels of the age buckets.
@@ -39,6 +41,7 @@ def statement_lines(results: DataFrame, as_of: datetime.date | None = None, comb
     counts as settled by its share.
     """
     if as_of is None:
+        results = cut(results)  # read for the date, and again for the lines
         as_of = latest_date(results).first().as_of  # one row
     left = open_amount()
     if not combined_as_full:

@@ -177,5 +177,6 @@ def write_report(path: str, results: DataFrame) -> None:
 
 
 def manifest_files(spark: SparkSession, path: str) -> DataFrame:
-    """(name) of the files that a JSON manifest lists under `files`."""
-    return spark.read.json(path, multiLine=True).select(F.explode("files").alias("name"))
+    """(name, kind) of the files of a JSON manifest: those under `invoices`, and the one under `ledger`."""
+    found = spark.read.schema("invoices array<string>, ledger string").json(path, multiLine=True)
+    return found.select(F.explode("invoices").alias("name"), F.lit("invoice").alias("kind")).unionByName(found.where("ledger is not null").select(F.col("ledger").alias("name"), F.lit("ledger").alias("kind")))
