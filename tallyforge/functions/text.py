@@ -71,6 +71,12 @@ def parse_amount(raw: Column) -> Column:
     return let(stripped, lambda s: F.when(F.startswith(s, F.lit("-")), -value(F.regexp_replace(s, "^-+", ""))).otherwise(value(s)))
 
 
+def format_amount(amount: Column, style: Column) -> Column:
+    """Two decimals in the style `us` (1,234.56), `eu` (1.234,56) or `plain` (1234.56), a minus first."""
+    us = F.format_number(amount, 2)
+    return F.when(style == "eu", F.translate(us, ",.", ".,")).when(style == "plain", F.translate(us, ",", "")).otherwise(us)
+
+
 def _day(y: Column, m: Column, d: Column) -> Column:
     text = F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
     return F.when(F.length(y) > 0, F.try_to_date(text, "yyyy-MM-dd"))

@@ -1,10 +1,11 @@
-"""Checkpoints in the folder that all executors share."""
+"""Checkpoints in the folder that all executors share, and numbering of rows."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -16,3 +17,16 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def numbered(df: DataFrame, by: str) -> DataFrame:
+    """Adds n, 1 for the row of the least `by`: rows are range partitioned, counted, and numbered within their partition."""
+    spread = cut(df.repartitionByRange(by).withColumn("_p", F.spark_partition_id()))
+    sizes = spread.groupBy("_p").agg(F.count(F.lit(1)).alias("size")).orderBy("_p").collect()  # one row a partition
+    before, total = [], 0
+    for r in sizes:
+        before.append((r._p, total))
+        total += r["size"]
+    offsets = df.sparkSession.createDataFrame(before or [(0, 0)], "_p int, _before long")
+    at = F.row_number().over(Window.partitionBy("_p").orderBy(by))
+    return spread.join(F.broadcast(offsets), "_p").withColumn("n", at + F.col("_before")).drop("_p", "_before")

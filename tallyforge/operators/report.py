@@ -29,6 +29,8 @@ FLAG_MEANINGS = {
     "combined_payment": "One ledger entry settles this invoice together with others; its reference names them all and the amount is their sum.",
 }
 
+NOTE = "Flagged items are records to review, not confirmed errors."
+
 
 def _lookup(values: dict[str, str], key: Column) -> Column:
     table = F.create_map(*[F.lit(x) for item in values.items() for x in item])
@@ -74,6 +76,26 @@ def summary(results: DataFrame) -> DataFrame:
     )
 
 
+def summary_lines(results: DataFrame) -> DataFrame:
+    """(item, value): the summary as a report shows it, the flags by their labels."""
+    total = summary(results)
+    rate = F.when(F.col("match_rate").isNull(), "n/a").otherwise(F.concat(F.floor(F.col("match_rate") * 100 + 0.5).cast("string"), F.lit("%")))
+    cells = [("Total items", F.col("total").cast("string")), ("Matched clean", F.col("matched").cast("string")), ("Flagged", F.col("flagged").cast("string")), ("Match rate", rate)]
+    head = total.select(F.explode(F.array(*[F.struct(F.lit(k).alias("item"), v.alias("value")) for k, v in cells])).alias("r")).select("r.*")
+    flags = flag_counts(results).select(flag_label(F.col("flag")).alias("item"), F.col("n").cast("string").alias("value"))
+    note = results.sparkSession.range(1).select(F.lit("Note").alias("item"), F.lit(NOTE).alias("value"))
+    return head.unionByName(flags).unionByName(note)
+
+
+def one_line(results: DataFrame) -> DataFrame:
+    """(line): what went in and came out, for a console."""
+    counts = results.agg(
+        F.count("invoice").alias("inv"), (F.count_distinct("ledger_row.row_index") + F.coalesce(F.sum(F.size("extra_rows")), F.lit(0))).alias("led"),
+        F.count(F.lit(1)).alias("total"), F.count_if(F.size("flags") == 0).alias("clean"),
+    )
+    return counts.select(F.format_string("%d invoices, %d ledger rows -> %d/%d matched clean, %d flagged", "inv", "led", "clean", "total", F.col("total") - F.col("clean")).alias("line"))
+
+
 def flag_counts(results: DataFrame) -> DataFrame:
     return results.select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
 

@@ -81,6 +81,12 @@ def in_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.col("vendor").isNull(), (F.col("outstanding") + F.col("overpaid")).desc(), "first_ord")
 
 
+def open_ages(totals: DataFrame) -> DataFrame:
+    """(vendor, grand, bucket, label, amount) of statement totals, for the age buckets in which anything is open."""
+    each = F.array(*[F.struct(F.lit(b).alias("bucket"), F.lit(AGE_LABELS[b]).alias("label"), F.col(b).alias("amount")) for b in AGE_BUCKETS])
+    return totals.select("vendor", "grand", F.explode(F.filter(each, lambda e: e["amount"] != 0)).alias("e")).select("vendor", "grand", "e.*")
+
+
 def statement_totals(lines: DataFrame) -> DataFrame:
     """The vendors' statements and, where `grand` is true, the totals over all of them, in one pass."""
     amounts = {k: c.alias(k) for k, c in statement_amounts().items()}

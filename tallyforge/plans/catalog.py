@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import extract, match, report, statement
 from ..operators import ledger as sheets
+from . import forms
 from .fixtures import PAGE_VENDOR, RESULTS, VIEWS, doc_text, invoices, ledger, ledger_grid, page_invoices
 
 
@@ -138,7 +139,7 @@ QUERIES = {
         reconcile_detail, reconcile_extra_rows, reconcile_summary, flag_histogram, flagged_mismatches, unmatched_ledger, coverage_counts, vendor_statements,
         statement_totals, statement_lines, duplicate_numbers, reference_matches, combined_payments, near_pairs, latest_date, extraction_progress, extracted_fields, extraction_accuracy, ledger_from_grid, document_fields, document_field_values,
     )
-}
+} | forms.QUERIES
 
 ORACLES = {
     "reconcile_detail": RESULTS
@@ -148,7 +149,9 @@ ORACLES = {
     "flag_histogram": RESULTS + "SELECT flag, count(*) AS n FROM (SELECT unnest(string_split(status, ', ')) AS flag FROM results) WHERE flag != 'matched' GROUP BY flag",
     "flagged_mismatches": RESULTS + "SELECT inv_ord, CAST(round(abs(amount - row_amount) * 100) AS bigint) AS cents FROM results WHERE contains(status, 'amount_mismatch')",
     "unmatched_ledger": RESULTS + "SELECT row_index, description FROM results WHERE inv_ord IS NULL",
-    "coverage_counts": f"WITH {VIEWS} SELECT 'invoices' AS side, count(*) AS went_in, count(*) AS came_out FROM inv UNION ALL SELECT 'ledger rows', count(*), count(*) FROM led",
+    "coverage_counts": RESULTS
+    + "SELECT 'invoices' AS side, (SELECT count(*) FROM inv) AS went_in, (SELECT count(*) FROM results WHERE inv_ord IS NOT NULL) AS came_out UNION ALL "
+    + "SELECT 'ledger rows', (SELECT count(*) FROM led), (SELECT count(*) FROM (SELECT row_index FROM results WHERE row_index IS NOT NULL UNION SELECT row_index FROM used))",
     "vendor_statements": RESULTS + f"SELECT vendor, {_SUMS} FROM aged GROUP BY vendor",
     "statement_totals": RESULTS + f"SELECT vendor, grouping(vendor) = 1 AS grand, {_SUMS} FROM aged GROUP BY ROLLUP (vendor)",
     "statement_lines": RESULTS + "SELECT inv_ord, vendor, CAST(round(outstanding * 100) AS bigint) AS cents, CAST(age_days AS int) AS age_days, bucket FROM aged",
@@ -162,4 +165,4 @@ ORACLES = {
     "ledger_from_grid": f"WITH {VIEWS} SELECT CAST(row_index * 2 AS int) AS row_index, strftime(ledger_date, '%Y-%m-%d') AS ledger_date, description, reference, amount FROM led",
     "document_fields": "SELECT count(*) AS done FROM documents",
     "extraction_progress": f"WITH {VIEWS} SELECT count(*) AS done, count(*) FILTER (invoice_number IS NULL OR amount IS NULL OR invoice_date IS NULL) AS partial FROM inv",
-}
+} | forms.ORACLES

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.text import format_amount
+from ..operators.lineage import numbered
+
 VIEWS = """
 inv AS (
   SELECT o_orderkey AS inv_ord, concat('inv_', lpad(CAST(o_orderkey AS varchar(20)), 12, '0'), '.pdf') AS source_file,
@@ -64,24 +67,6 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(raw, "ord").select((F.col("n") + 1).cast("int").alias("row_index"), "ledger_date", "description", "reference", "amount")
 
 
-def numbered(df: DataFrame, by: str) -> DataFrame:
-    """Adds n, 1 for the row of the least `by`: rows are range partitioned, counted, and numbered within their partition."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
-    from ..operators.lineage import cut
-
-    spread = cut(df.repartitionByRange(by).withColumn("_p", F.spark_partition_id()))
-    sizes = spread.groupBy("_p").agg(F.count(F.lit(1)).alias("size")).orderBy("_p").collect()  # one row a partition
-    before, total = [], 0
-    for r in sizes:
-        before.append((r._p, total))
-        total += r["size"]
-    offsets = df.sparkSession.createDataFrame(before or [(0, 0)], "_p int, _before long")
-    at = F.row_number().over(Window.partitionBy("_p").orderBy(by))
-    return spread.join(F.broadcast(offsets), "_p").withColumn("n", at + F.col("_before")).drop("_p", "_before")
-
-
 #: Engines that don't keep the result of a view that is read often are told to.
 _ONCE = VIEWS.replace("inv AS (", "inv AS MATERIALIZED (").replace("led AS (", "led AS MATERIALIZED (")
 
@@ -172,8 +157,7 @@ def doc_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     inv = page_invoices(spark, sf_dir)
     k = F.col("inv_ord")
     label = F.when(k % 3 == 0, "Invoice No: ").when(k % 3 == 1, "Invoice number ").otherwise("Receipt # ")
-    plain = F.format_number("amount", 2)
-    amount = F.when(k % 4 == 0, plain).when(k % 4 == 1, F.translate(plain, ",.", ".,")).otherwise(F.replace(plain, F.lit(","), F.lit("")))
+    amount = format_amount(F.col("amount"), F.when(k % 4 == 0, "us").when(k % 4 == 1, "eu").otherwise("plain"))
     day = lambda f: F.date_format("invoice_date", f)
     date = F.when(k % 5 == 0, day("yyyy-MM-dd")).when(k % 5 == 1, day("dd/MM/yyyy")).when(k % 5 == 2, day("d MMMM yyyy")).when(k % 5 == 3, day("MMM d, yyyy")).otherwise(day("dd.MM.yyyy"))
     total = F.when(k % 2 == 0, "Total due: ").otherwise("Total payable ")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import numbered
+
 
 def file_kind(name: Column) -> Column:
     """pdf, spreadsheet or ignored, by the extension in any case."""
@@ -34,8 +36,6 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _ordered(rows: DataFrame) -> DataFrame:
-    from ..plans.fixtures import numbered
-
     return numbered(rows, "path").withColumnRenamed("n", "inv_ord").drop("path")
 
 
@@ -69,17 +69,38 @@ def read_invoices(spark: SparkSession, folder: str, text_layer: Callable[[bytes]
     return _ordered(files.mapInPandas(read, "path string, source_file string, text string, method string"))
 
 
+# Points within which fragments share a line, and beyond which a gap is a space.
+LINE_HEIGHT, GAP = 2, 1
+
+
 def page_text(fragments: DataFrame) -> DataFrame:
     """(source_file, text) of positioned fragments (source_file, x, end, y, str) of first pages.
 
-    Fragments less than 2 points apart in height are a line; lines go from top
-    to bottom, fragments from left to right with a space at gaps over 1 point.
+    In the order of drawing (`ord`; without it from top to bottom), a fragment
+    joins the first line whose first fragment is within 2 points of its height,
+    or begins a line. Lines go from top to bottom, fragments from left to right
+    with a space at gaps over 1 point unless one is there; lines are trimmed.
+    Null and empty fragments count for nothing. A page is one row: its fragments
+    are bounded by what is printed on it.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source_file").orderBy(F.col("y").desc(), "x")
-    lines = fragments.withColumn("new", F.coalesce((F.lag("y").over(w) - F.col("y") > 2).cast("int"), F.lit(0))).withColumn("line", F.sum("new").over(w))
-    v = Window.partitionBy("source_file", "line").orderBy("x")
-    spaced = lines.withColumn("piece", F.concat(F.when(F.col("x") - F.lag("end").over(v) > 1, " ").otherwise(""), F.col("str")))
-    joined = spaced.groupBy("source_file", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "piece"))), lambda p: p["piece"]), "").alias("s"))
-    return joined.groupBy("source_file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "s"))), lambda p: p["s"]), "\n").alias("text"))
+    order = [F.col("ord")] if "ord" in fragments.columns else [-F.col("y"), F.col("x")]
+    drawn = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], "x", "end", "y", "str")
+    pages = fragments.groupBy("source_file").agg(F.array_sort(F.collect_list(F.when(F.col("str") != "", drawn))).alias("f"))
+    near = lambda a, b: F.abs(a - b) <= LINE_HEIGHT
+    heights = F.aggregate("f", F.array().cast("array<double>"), lambda acc, p: F.when(F.exists(acc, lambda h: near(h, p["y"])), acc).otherwise(F.concat(acc, F.array(p["y"].cast("double")))))
+    pages = pages.withColumn("heights", heights)
+    place = lambda p, i: F.struct(F.array_position(F.transform("heights", lambda h: near(h, p["y"])), True).alias("line"), p["x"].alias("x"), i.alias("i"), p["end"].alias("end"), p["str"].alias("str"))
+    pages = pages.withColumn("placed", F.array_sort(F.transform("f", place)))
+    lines = F.array_sort(F.transform("heights", lambda h, i: F.struct((-h).alias("y"), (i + 1).cast("long").alias("line"))))
+    texts = F.transform(lines, lambda line: _joined(F.filter("placed", lambda p: p["line"] == line["line"])))
+    return pages.select("source_file", F.array_join(texts, "\n").alias("text"))
+
+
+def _joined(parts: Column) -> Column:
+    start = F.struct(F.lit("").alias("out"), F.lit(None).cast("double").alias("end"))
+
+    def add(acc: Column, p: Column) -> Column:
+        wide = F.coalesce(p["x"] - acc["end"] > GAP, F.lit(False)) & ~F.endswith(acc["out"], F.lit(" ")) & ~F.startswith(p["str"], F.lit(" "))
+        return F.struct(F.concat(acc["out"], F.when(wide, " ").otherwise(""), p["str"]).alias("out"), p["end"].cast("double").alias("end"))
+
+    return F.aggregate(parts, start, add, lambda acc: F.regexp_replace(acc["out"], r"(?U)^\s+|\s+$", ""))
