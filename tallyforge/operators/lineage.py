@@ -1,4 +1,4 @@
-"""Checkpoints in the folder that all executors share, and numbering of rows."""
+"""Checkpoints in the folder that all executors share, dealing and numbering of rows."""
 
 from __future__ import annotations
 
@@ -19,6 +19,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows over the session's number of shuffle partitions, ahead of costly work on each; a number that is named isn't lowered for small inputs."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def numbered(df: DataFrame, by: str) -> DataFrame:
     """Adds n, 1 for the row of the least `by`: rows are range partitioned, counted, and numbered within their partition."""
     spread = cut(df.repartitionByRange(by).withColumn("_p", F.spark_partition_id()))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import ratio_possible, vendor_contained, vendor_similar
 from ..model import AMOUNT_MISMATCH, AMOUNT_TOLERANCE, COMBINED, DATE_WINDOW_DAYS, DUPLICATE, INSTALMENTS, NO_INVOICE, NO_LEDGER_ENTRY, UNREADABLE
-from .lineage import cut
+from .lineage import cut, spread
 
 
 def amounts_close(a: Column, b: Column) -> Column:
@@ -97,7 +97,7 @@ def with_vendor_hits(pairs: DataFrame) -> DataFrame:
     sure = open_.where("inside").select("inv_ord", "row_index", F.lit(True).alias("hit"))
     possible = ratio_possible(F.col("vendor"), F.col("description"))
     never = open_.where(~F.col("inside") & ~possible).select("inv_ord", "row_index", F.lit(False).alias("hit"))
-    tested = open_.where(~F.col("inside") & possible).select("inv_ord", "row_index", F.coalesce(vendor_similar(F.col("vendor"), F.col("description")), F.lit(False)).alias("hit"))
+    tested = spread(open_.where(~F.col("inside") & possible), "inv_ord", "row_index").select("inv_ord", "row_index", F.coalesce(vendor_similar(F.col("vendor"), F.col("description")), F.lit(False)).alias("hit"))
     return single.unionByName(sure).unionByName(never).unionByName(tested)
 
 
@@ -192,7 +192,7 @@ def assign(invoices: DataFrame, ledger: DataFrame) -> DataFrame:
         lists = near_them.groupBy("inv_ord").agg(F.array_sort(F.collect_list(F.struct("row_index", "hit"))).alias("near"))
         left = who.join(lists, "inv_ord", "left").withColumn("node", i(F.col("inv_ord"))).join(roots, "node").select("root", "inv_ord", "invoice_number", "amount", "near")
         right = rows.withColumn("node", r(F.col("row_index"))).join(roots, "node").select(F.concat("root", F.lit("")).alias("root"), "row_index", "reference", "amount")
-        decided = decided.unionByName(left.groupBy("root").cogroup(right.groupBy("root")).applyInPandas(_decide_component, _DECISION))
+        decided = decided.unionByName(spread(left, "root").groupBy("root").cogroup(spread(right, "root").groupBy("root")).applyInPandas(_decide_component, _DECISION))
 
     settled = combined.select("inv_ord", "row_index", none.alias("extra"), F.lit("combined").alias("kind"))
     skipped = invoices.where(~searchable()).join(combined.select("inv_ord"), "inv_ord", "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.text import format_amount
-from ..operators.lineage import numbered
+from ..operators.lineage import numbered, spread
 
 VIEWS = """
 inv AS (
@@ -154,7 +154,7 @@ def doc_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The invoices written out as pages: label, number format and date format vary with the key."""
     from pyspark.sql import functions as F
 
-    inv = page_invoices(spark, sf_dir)
+    inv = spread(page_invoices(spark, sf_dir), "inv_ord")  # the order table may be a single split
     k = F.col("inv_ord")
     label = F.when(k % 3 == 0, "Invoice No: ").when(k % 3 == 1, "Invoice number ").otherwise("Receipt # ")
     amount = format_amount(F.col("amount"), F.when(k % 4 == 0, "us").when(k % 4 == 1, "eu").otherwise("plain"))
