@@ -32,6 +32,7 @@ import json
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -41,7 +42,7 @@ from . import blocks
 
 LONG_BYTES = 256
 #: Text bytes of a block; it bounds a row's distinct words.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 _BUCKETS = 8192
 _NONE = 2**31 - 1
 #: White space as the tokenizer's regular expressions know it.
@@ -108,6 +109,14 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 _BLOCK = "docs array<struct<doc_id:long,words:array<int>>>, words array<string>, given array<array<int>>"
 
 
+class _Numbers(dict):
+    """Numbers of words in the order of their first appearance."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def _block_builder(pattern: str, ranks: dict[bytes, int], block_bytes: int, fold: bool):
     find = regex.compile(pattern.replace(r"\S", f"[^{_SPACE}]").replace(r"[^\s", f"[^{_SPACE}").replace(r"\s", f"[{_SPACE}]")).findall
 
@@ -123,7 +132,7 @@ def _block_builder(pattern: str, ranks: dict[bytes, int], block_bytes: int, fold
         return ids
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number: dict[str, int] = {}
+        number = _Numbers()
         ids, offsets, words, size = [], [0], [], 0
         _kept.clear()  # another task of this worker may have had other ranks
 
@@ -140,13 +149,13 @@ def _block_builder(pattern: str, ranks: dict[bytes, int], block_bytes: int, fold
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
                 found = find(text)
-                words.append(pa.array([number.setdefault(w, len(number)) for w in found], pa.int32()))
+                words.append(pa.array(np.fromiter(map(number.__getitem__, found), np.int32, len(found))))
                 ids.append(doc_id)
                 offsets.append(offsets[-1] + len(found))
                 size += len(text)
                 if size >= block_bytes:
                     yield flush()
-                    number = {}
+                    number = _Numbers()
                     ids, offsets, words, size = [], [0], [], 0
         if ids:
             yield flush()
