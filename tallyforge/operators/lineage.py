@@ -35,3 +35,20 @@ def numbered(df: DataFrame, by: str) -> DataFrame:
     offsets = df.sparkSession.createDataFrame(before or [(0, 0)], "_p int, _before long")
     at = F.row_number().over(Window.partitionBy("_p").orderBy(by))
     return spread.join(F.broadcast(offsets), "_p").withColumn("n", at + F.col("_before")).drop("_p", "_before")
+
+
+def ranked(df: DataFrame, key: str, by: str, amount: str | None = None) -> DataFrame:
+    """Adds nth, 1 for the row of the least `by` among those of its key, and upto, the sum of `amount` so far if one is named.
+
+    Rows are range partitioned by both, so that a key of very many rows is dealt over tasks.
+    """
+    pieces = cut(df.repartitionByRange(key, by).withColumn("_p", F.spark_partition_id()))
+    value = F.coalesce(F.col(amount), F.lit(0.0)) if amount else F.lit(0.0)
+    sizes = pieces.groupBy(key, "_p").agg(F.count(F.lit(1)).alias("_size"), F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition at most
+    sizes = sizes.select(key, "_p", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_rows"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_total"))
+    here = Window.partitionBy(key, "_p").orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = pieces.join(sizes, [key, "_p"]).withColumn("nth", F.row_number().over(here) + F.col("_rows"))
+    if amount:
+        out = out.withColumn("upto", F.sum(value).over(here) + F.col("_total"))
+    return out.drop("_p", "_rows", "_total")

@@ -3,9 +3,13 @@
 Combined payments are settled first, as sets. Then each invoice, in order, takes
 all rows of its number if they add up to it, else the first row of its number,
 else the one row that is near in amount and date. An invoice whose candidate
-rows nobody else may want is decided by column expressions. The others form
-components of a graph of invoices, numbers and rows; each component is decided
-by a small loop of its own, as an invoice's choice depends on nothing outside.
+rows nobody else may want is decided by column expressions. Of invoices that
+carry one number, the k-th takes the k-th row of it, until the rows from there
+on add up to it, if no other invoice is near to these rows; and an invoice that
+comes after as many of its number as there are rows finds none left in any case.
+The others form components of a graph of invoices, numbers and rows; each
+component is decided by a small loop of its own, as an invoice's choice depends
+on nothing outside.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import ratio_possible, vendor_contained, vendor_similar
 from ..model import AMOUNT_MISMATCH, AMOUNT_TOLERANCE, COMBINED, DATE_WINDOW_DAYS, DUPLICATE, INSTALMENTS, NO_INVOICE, NO_LEDGER_ENTRY, UNREADABLE
-from .lineage import cut, spread
+from .lineage import cut, ranked, spread
 
 
 def amounts_close(a: Column, b: Column) -> Column:
@@ -149,6 +153,37 @@ def _components(edges: DataFrame) -> DataFrame:
         label = new.select("node", "root")
 
 
+def _settle_copies(open_: DataFrame, rows: DataFrame, near: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """What is known of invoices whose number several carry and rows have: decided ones, late ones, and rows of closed numbers; None without such invoices.
+
+    A number is closed if no invoice of another number is near to its rows; it
+    is decided whole. Late invoices, (inv_ord, invoice_number), find no row of
+    their number left, be it closed or not.
+    """
+    several = open_.where(has_number(F.col("invoice_number"))).groupBy("invoice_number").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("invoice_number")
+    carried = cut(open_.join(several, "invoice_number").join(refs, "inv_ord").select("inv_ord", "invoice_number", "amount", "n_rows"))
+    if carried.isEmpty():
+        return None
+    copies = cut(ranked(carried, "invoice_number", "inv_ord"))
+    numbers = cut(copies.where("nth = 1").select("invoice_number", "n_rows"))
+    theirs = cut(rows.select("row_index", F.col("reference").alias("invoice_number"), "amount").join(numbers, "invoice_number"))
+    own = open_.select("inv_ord", F.col("invoice_number").alias("own"))
+    others = near.join(theirs, "row_index").join(own, "inv_ord").where(~F.col("own").eqNullSafe(F.col("invoice_number"))).select("invoice_number").distinct()
+    closed = cut(theirs.join(others, "invoice_number", "left_anti"))
+    # From the last row on, so that the sum so far is that of a row and all after it.
+    back = ranked(closed.withColumn("back", -F.col("row_index")), "invoice_number", "back", "amount")
+    back = back.select("invoice_number", "row_index", (F.col("n_rows") - F.col("nth") + 1).alias("nth"), F.col("upto").alias("rest"))
+    turns = cut(copies.join(back, ["invoice_number", "nth"]))
+    whole = turns.where((F.col("nth") < F.col("n_rows")) & amounts_close(F.col("rest"), F.col("amount"))).groupBy("invoice_number").agg(F.min("nth").alias("stop"))
+    turns = cut(turns.join(whole, "invoice_number", "left"))
+    extra = turns.where("nth = stop").select("invoice_number", "inv_ord", "row_index").join(closed.select("invoice_number", F.col("row_index").alias("r")), "invoice_number").where("r > row_index")
+    extra = extra.groupBy("inv_ord").agg(F.array_sort(F.collect_list("r")).alias("extra"))
+    decided = turns.where("stop is null or nth <= stop").join(extra, "inv_ord", "left")
+    decided = decided.select("inv_ord", F.col("row_index").cast("int").alias("row_index"), F.coalesce("extra", F.array().cast("array<int>")).alias("extra"), F.when(F.col("extra").isNotNull(), "instalments").otherwise("match").alias("kind"))
+    late = copies.where("nth > n_rows").select("inv_ord", "invoice_number").unionByName(turns.where("nth > stop").select("inv_ord", "invoice_number"))
+    return cut(decided), cut(late), closed.select("row_index")
+
+
 def assign(invoices: DataFrame, ledger: DataFrame) -> DataFrame:
     """(inv_ord, row_index, extra, kind): what each invoice takes; kind is combined, instalments, match, none or skipped."""
     combined = cut(combined_payments(invoices, ledger))
@@ -157,6 +192,17 @@ def assign(invoices: DataFrame, ledger: DataFrame) -> DataFrame:
     rows = cut(rows.select("row_index", "ledger_date", "description", "reference", "amount"))
     near = cut(with_vendor_hits(near_pairs(open_, rows)))
     refs = cut(by_reference(open_, rows))
+    settled = _settle_copies(open_, rows, near, refs)
+    if settled is not None:
+        early, late, closed = settled
+        gone = early.select("inv_ord")
+        named = near.join(late, "inv_ord").join(rows.select("row_index", "reference"), "row_index").where("reference = invoice_number").select("inv_ord", "row_index")
+        near = cut(near.join(gone, "inv_ord", "left_anti").join(closed, "row_index", "left_anti").join(named, ["inv_ord", "row_index"], "left_anti"))
+        refs = cut(refs.join(gone.unionByName(late.select("inv_ord")), "inv_ord", "left_anti"))
+        rows = cut(rows.join(closed, "row_index", "left_anti"))
+        late = late.select("inv_ord", F.lit(True).alias("late"))
+        open_ = open_.join(gone, "inv_ord", "left_anti").join(late, "inv_ord", "left")
+        open_ = cut(open_.withColumn("invoice_number", F.when(F.col("late").isNull(), F.col("invoice_number"))).drop("late"))
     # Who may want a row: invoices near to it, and invoices of its number; of a number that several carry, all rows are contested.
     copies = open_.where(has_number(F.col("invoice_number"))).groupBy("invoice_number").agg(F.count(F.lit(1)).alias("copies"), F.min("inv_ord").alias("inv_ord"))
     owned = rows.where(has_number(F.col("reference"))).select("row_index", F.col("reference").alias("invoice_number")).join(copies, "invoice_number")
@@ -194,10 +240,12 @@ def assign(invoices: DataFrame, ledger: DataFrame) -> DataFrame:
         right = rows.withColumn("node", r(F.col("row_index"))).join(roots, "node").select(F.concat("root", F.lit("")).alias("root"), "row_index", "reference", "amount")
         decided = decided.unionByName(spread(left, "root").groupBy("root").cogroup(spread(right, "root").groupBy("root")).applyInPandas(_decide_component, _DECISION))
 
-    settled = combined.select("inv_ord", "row_index", none.alias("extra"), F.lit("combined").alias("kind"))
+    if settled is not None:
+        decided = decided.unionByName(early)
+    in_sets = combined.select("inv_ord", "row_index", none.alias("extra"), F.lit("combined").alias("kind"))
     skipped = invoices.where(~searchable()).join(combined.select("inv_ord"), "inv_ord", "left_anti")
     skipped = skipped.select("inv_ord", F.lit(None).cast("int").alias("row_index"), none.alias("extra"), F.lit("skipped").alias("kind"))
-    return cut(decided.unionByName(settled).unionByName(skipped))
+    return cut(decided.unionByName(in_sets).unionByName(skipped))
 
 
 def reconcile(invoices: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """One scenario for each rule of the reconciliation, all in one job: scenarios don't share numbers or amounts."""
 
 import datetime
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 
@@ -97,6 +99,30 @@ def test_summary_and_statements(results):
     assert statement.statement_totals(lines).where("grand").first().invoice_count == len(INVOICES)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_against_the_plain_rule(spark, seed):
+    """Invoices and rows that contest few numbers and amounts, against the rule over all of them in one loop."""
+    rng = random.Random(seed)
+    numbers = [None, *(f"X-{k}" for k in range(12))]
+    invoices = [(k, f"{k}.pdf", rng.choice(numbers), rng.choice(["Acme", "Birch"]), day(rng.randrange(12)), rng.choice([10.0, 20.0, 30.0, 50.0, None]), "text") for k in range(60)]
+    ledger = [(k, day(rng.randrange(12)), rng.choice(["acme paid", "birch", "x"]), rng.choice(numbers), rng.choice([10.0, 20.0, 30.0])) for k in range(2, 72)]
+    # One number that most carry, whose rows no other invoice is near to, and one whose rows others are near to.
+    invoices += [(k, f"{k}.pdf", "HOT", "Acme", day(rng.randrange(12)), rng.choice([1.5, 3.0, 10.0]), "text") for k in range(60, 130)]
+    ledger += [(k, day(40 + rng.randrange(12)), "x", "HOT", 1.5) for k in range(72, 90)]
+    invoices += [(k, f"{k}.pdf", "WARM", "Acme", day(rng.randrange(12)), 10.0, "text") for k in range(130, 150)]
+    ledger += [(k, day(rng.randrange(12)), "x", "WARM", 10.0) for k in range(90, 95)]
+    inv, led = spark.createDataFrame(invoices, INVOICE), spark.createDataFrame(ledger, LEDGER_ROW)
+    near = match.with_vendor_hits(match.near_pairs(inv.where(match.searchable()), led)).toPandas()
+    near = {k: [{"row_index": r.row_index, "hit": r.hit} for r in g.sort_values("row_index").itertuples()] for k, g in near.groupby("inv_ord")}
+    plain = inv.where(match.searchable()).toPandas()
+    plain["near"] = [near.get(k) for k in plain.inv_ord]
+    none = lambda x: None if pd.isna(x) else int(x)
+    want = {r.inv_ord: (none(r.row_index), list(r.extra), r.kind) for r in match._decide_component(None, plain, led.toPandas()).itertuples()}
+    got = {r.inv_ord: (r.row_index, list(r.extra), r.kind) for r in match.assign(inv, led).where("kind != 'skipped'").collect()}
+    assert got == want
+    assert {"instalments", "match", "none"} <= {kind for _, _, kind in want.values()}
+
+
 def test_coverage_error(spark, results):
     invoices = spark.createDataFrame([(k, "x", None, None, None, None, "none") for k in range(3)], INVOICE)
     with pytest.raises(match.CoverageError):
