@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, decontaminate, language, neardup, quality, secrets, sharding, spelling, toxicity, urlfilter, whitening
+from . import audio, bpe, decontaminate, language, neardup, neighbours, quality, secrets, sharding, spelling, toxicity, urlfilter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"))
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
@@ -85,6 +89,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 
