@@ -132,8 +132,13 @@ def extract_date(text: Column) -> Column:
     return F.coalesce(F.get(dates, F.lit(0)), parse_date(_found(text, "(?U)" + BARE_DATE), us))
 
 
-def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+#: White space of any kind, inside brackets of a pattern with (?U); the separators of records and fields count as well.
+BLANK = r"\s\x1c-\x1f"
+
+
+def strip(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, rf"(?U)^[{BLANK}]+|[{BLANK}]+$", "")
 
 
 def _words(c: Column) -> Column:
@@ -193,5 +198,5 @@ def vendor_lines(text: Column) -> Column:
     """The value of a vendor label on its line, that on the next line, and the first lines that aren't blank; empty if missing."""
     same = F.regexp_extract(text, rf"(?imdU)^{VENDOR_LABEL}\s*:?\s*(\S.*)$", 1)
     after = F.regexp_extract(text, rf"(?imdU)^{VENDOR_LABEL}\s*:?\s*$\n(.+)$", 1)
-    lines = F.filter(F.transform(F.split(text, r"[\n\r\f\x0b\x1c-\x1e\x85\u2028\u2029]"), _strip), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, r"[\n\r\f\x0b\x1c-\x1e\x85\u2028\u2029]"), strip), lambda x: x != "")
     return F.concat(F.array(same, after), F.slice(lines, F.lit(1), F.lit(SCAN_LINES)))

@@ -16,7 +16,7 @@ def extract_invoices(docs: DataFrame) -> DataFrame:
     its own, so no pattern runs twice over a text; the plan has no shuffle and
     runs on streams as well.
     """
-    blank = F.coalesce(F.trim(F.col("text")) == "", F.lit(True))
+    blank = F.coalesce(X.strip(F.col("text")) == "", F.lit(True))
     method = F.coalesce("method", F.lit("text")) if "method" in docs.columns else F.lit("text")
     order = F.col("inv_ord") if "inv_ord" in docs.columns else F.lit(None).cast("long")
     rows = docs.select(order.alias("inv_ord"), "source_file", X.normalise(F.coalesce("text", F.lit(""))).alias("t"), F.when(blank, "none").otherwise(method).alias("extraction_method"))
@@ -29,7 +29,7 @@ def extract_invoices(docs: DataFrame) -> DataFrame:
 def _vendor() -> Column:
     """A labelled name if it reads like one, else the first of the first lines that does once it is cleaned."""
     lines, cleaned = F.col("lines"), F.col("cleaned")
-    labelled = [F.when((F.get(lines, F.lit(k)) != "") & X.looks_like_a_name(X._strip(F.get(lines, F.lit(k)))), F.get(cleaned, F.lit(k))) for k in (0, 1)]
+    labelled = [F.when((F.get(lines, F.lit(k)) != "") & X.looks_like_a_name(X.strip(F.get(lines, F.lit(k)))), F.get(cleaned, F.lit(k))) for k in (0, 1)]
     heads = F.filter(F.slice(cleaned, F.lit(3), F.lit(X.SCAN_LINES)), lambda c: (c != "") & X.looks_like_a_name(c))
     return F.coalesce(*labelled, F.get(heads, F.lit(0)))
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 
 @dataclass(frozen=True)
 class Profile:
@@ -77,12 +79,12 @@ def ledger_rows(grid: DataFrame, profiles: tuple[Profile, ...] = PROFILES) -> Da
     cell = lambda f: F.get("cells", F.lit(at[f]))
     value = lambda f: _number(cell(f)) if f in at else F.lit(None).cast("double")
     amount = value("amount") if "amount" in at else F.when(value("debit").isNotNull() & (value("debit") != 0), value("debit")).otherwise(value("credit"))
-    reference = F.when(~_falsy(cell("reference")), F.trim(_shown(cell("reference")))) if "reference" in at else F.lit(None).cast("string")
+    reference = F.when(~_falsy(cell("reference")), strip(_shown(cell("reference")))) if "reference" in at else F.lit(None).cast("string")
     body = grid.where((F.col("row_index") > 1) & F.exists("cells", lambda c: c.isNotNull() & c["kind"].isNotNull()))
     return body.select(
         F.col("row_index").cast("int").alias("row_index"),
         F.when(cell("date")["kind"] == "date", cell("date")["dt"]).alias("ledger_date"),
-        F.when(_falsy(cell("description")), F.lit("")).otherwise(F.trim(_shown(cell("description")))).alias("description"),
+        F.when(_falsy(cell("description")), F.lit("")).otherwise(strip(_shown(cell("description")))).alias("description"),
         reference.alias("reference"),
         amount.alias("amount"),
     )

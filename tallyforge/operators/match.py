@@ -2,37 +2,23 @@
 
 Combined payments are settled first, as sets. Then each invoice, in order, takes
 all rows of its number if they add up to it, else the first row of its number,
-else the one row that is near in amount and date. An invoice whose candidate
-rows nobody else may want is decided by column expressions. Of invoices that
-carry one number, the k-th takes the k-th row of it, until the rows from there
-on add up to it, if no other invoice is near to these rows; and an invoice that
-comes after as many of its number as there are rows finds none left in any case.
-The others form components of a graph of invoices, numbers and rows; each
-component is decided by a small loop of its own, as an invoice's choice depends
-on nothing outside.
+else the one row that is near in amount and date (`assign`).
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import ratio_possible, vendor_contained, vendor_similar
-from ..model import AMOUNT_MISMATCH, AMOUNT_TOLERANCE, COMBINED, DATE_WINDOW_DAYS, DUPLICATE, INSTALMENTS, NO_INVOICE, NO_LEDGER_ENTRY, UNREADABLE
-from .lineage import cut, ranked, spread
-
-
-def amounts_close(a: Column, b: Column) -> Column:
-    return F.coalesce(F.abs(a - b) <= AMOUNT_TOLERANCE, F.lit(False))
-
-
-def has_number(number: Column) -> Column:
-    return F.coalesce(number != "", F.lit(False))
+from ..functions.text import BLANK, strip
+from ..model import AMOUNT_MISMATCH, COMBINED, DUPLICATE, INSTALMENTS, NO_INVOICE, NO_LEDGER_ENTRY, UNREADABLE
+from .assign import CLASS, SPOT, close, dated, decide, exact_sum, has_number, near_classes, row_class
+from .lineage import cut
 
 
 def reference_tokens(reference: Column) -> Column:
-    return F.split(F.trim(reference), r"[\s,;+/&]+")
+    """Parts of a reference between white space of any kind, commas, semicolons, plus signs, slashes and ampersands."""
+    return F.split(strip(reference), rf"(?U)[{BLANK},;+/&]+")
 
 
 def unreadable(invoice) -> Column:
@@ -52,7 +38,7 @@ def duplicate_numbers(invoices: DataFrame) -> DataFrame:
 def by_reference(invoices: DataFrame, ledger: DataFrame) -> DataFrame:
     """(inv_ord, first_row, n_rows, total) of invoices whose number is the reference of ledger rows."""
     rows = ledger.where(has_number(F.col("reference"))).groupBy("reference").agg(
-        F.min("row_index").alias("first_row"), F.count(F.lit(1)).alias("n_rows"), F.sum(F.coalesce("amount", F.lit(0.0))).alias("total")
+        F.min("row_index").alias("first_row"), F.count(F.lit(1)).alias("n_rows"), exact_sum(F.col("amount")).alias("total")
     )
     own = invoices.where(has_number(F.col("invoice_number"))).select("inv_ord", F.col("invoice_number").alias("reference"))
     return own.join(rows, "reference").select("inv_ord", "first_row", "n_rows", "total")
@@ -66,186 +52,39 @@ def combined_payments(invoices: DataFrame, ledger: DataFrame) -> DataFrame:
     first = named.groupBy("invoice_number").agg(F.min(F.struct("row_index", "row_amount")).alias("r"))
     hits = invoices.where(has_number(F.col("invoice_number"))).select("inv_ord", "invoice_number", "amount").join(first, "invoice_number")
     hits = hits.select("inv_ord", "amount", F.col("r.row_index").alias("row_index"), F.col("r.row_amount").alias("row_amount"))
-    sums = hits.groupBy("row_index", "row_amount").agg(F.count(F.lit(1)).alias("n"), F.count("amount").alias("known"), F.sum("amount").alias("total"))
-    good = sums.where((F.col("n") >= 2) & (F.col("known") == F.col("n")) & amounts_close(F.col("total"), F.col("row_amount"))).select("row_index")
+    sums = hits.groupBy("row_index", "row_amount").agg(F.count(F.lit(1)).alias("n"), F.count("amount").alias("known"), exact_sum(F.col("amount")).alias("total"))
+    good = sums.where((F.col("n") >= 2) & (F.col("known") == F.col("n")) & close(F.col("total"), F.col("row_amount"))).select("row_index")
     return hits.join(good, "row_index").select("inv_ord", "row_index")
 
 
-def near_pairs(invoices: DataFrame, ledger: DataFrame) -> DataFrame:
-    """(inv_ord, row_index, vendor, description) of all pairs near in amount and date.
+def near_places(invoices: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Near classes of invoices and rows with their counts and first members, not all pairs of members.
 
-    Rows fall into buckets of cents and of days as wide as the window; an
-    invoice looks into its own and the neighbouring buckets. A pair meets in
-    just one bucket, so the join is an equi join without duplicates.
+    (amount, invoice_date, vendor, n_invoices, first_invoice, row_amount, ledger_date, text, n_rows, first_row)
     """
-    # Amounts too large to have cents are near only to equal ones.
-    large = F.abs("amount") >= 1e15
-    cents = lambda c: F.when(large, F.xxhash64(c)).otherwise(F.floor(F.when(~large, c) * 100))
-    span = DATE_WINDOW_DAYS + 1
-    days = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / span)
-    usable = F.col("amount").isNotNull() & ~F.isnan("amount")
-    left = invoices.where(usable & F.col("invoice_date").isNotNull()).select("inv_ord", "vendor", "invoice_date", "amount", F.explode(F.when(large, F.array(F.lit(0))).otherwise(F.array(*[F.lit(k) for k in range(-2, 3)]))).alias("dc"))
-    left = left.select("*", (cents(F.col("amount")) + F.col("dc")).alias("c"), F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)])).alias("dd"))
-    left = left.select("inv_ord", "vendor", "invoice_date", F.col("amount").alias("inv_amount"), "c", (days(F.col("invoice_date")) + F.col("dd")).alias("d"))
-    right = ledger.where(usable & F.col("ledger_date").isNotNull()).select("row_index", "description", "ledger_date", "amount", cents(F.col("amount")).alias("c"), days(F.col("ledger_date")).alias("d"))
-    near = amounts_close(F.col("amount"), F.col("inv_amount")) & (F.abs(F.datediff("ledger_date", "invoice_date")) <= DATE_WINDOW_DAYS)
-    return left.join(right, ["c", "d"]).where(near).select("inv_ord", "row_index", "vendor", "description")
-
-
-def with_vendor_hits(pairs: DataFrame) -> DataFrame:
-    """(inv_ord, row_index, hit): the vendor test, made only where an invoice has more than one candidate."""
-    pairs = cut(pairs)
-    many = cut(pairs.groupBy("inv_ord").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("inv_ord"))
-    single = pairs.join(many, "inv_ord", "left_anti").select("inv_ord", "row_index", F.lit(True).alias("hit"))
-    open_ = pairs.join(many, "inv_ord").withColumn("inside", vendor_contained(F.col("vendor"), F.col("description")))
-    sure = open_.where("inside").select("inv_ord", "row_index", F.lit(True).alias("hit"))
-    possible = ratio_possible(F.col("vendor"), F.col("description"))
-    never = open_.where(~F.col("inside") & ~possible).select("inv_ord", "row_index", F.lit(False).alias("hit"))
-    tested = spread(open_.where(~F.col("inside") & possible), "inv_ord", "row_index").select("inv_ord", "row_index", F.coalesce(vendor_similar(F.col("vendor"), F.col("description")), F.lit(False)).alias("hit"))
-    return single.unionByName(sure).unionByName(never).unionByName(tested)
-
-
-_DECISION = "inv_ord long, row_index int, extra array<int>, kind string"
-
-
-def _decide_component(key, invoices: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-    """The rule itself, in invoice order, over one component."""
-    amounts, by_number = {}, {}
-    for r in rows.sort_values("row_index").itertuples(index=False):
-        amounts[r.row_index] = r.amount
-        if r.reference:
-            by_number.setdefault(r.reference, []).append(r.row_index)
-    free = set(amounts)
-    out = []
-    for inv in invoices.sort_values("inv_ord").itertuples(index=False):
-        own = [r for r in by_number.get(inv.invoice_number, []) if r in free] if inv.invoice_number else []
-        known = inv.amount is not None and not pd.isna(inv.amount)
-        row, extra, kind = None, [], "none"
-        total = sum(0.0 if pd.isna(amounts[r]) else amounts[r] for r in own)
-        if len(own) >= 2 and known and abs(total - inv.amount) <= AMOUNT_TOLERANCE:
-            row, extra, kind = own[0], own[1:], "instalments"
-        elif own:
-            row, kind = own[0], "match"
-        else:
-            near = [(c["row_index"], c["hit"]) for c in (inv.near if inv.near is not None else []) if c["row_index"] in free]
-            if len(near) != 1:
-                near = [c for c in near if c[1]]
-            if len(near) == 1:
-                row, kind = near[0][0], "match"
-        if row is not None:
-            free -= {row, *extra}
-        out.append((inv.inv_ord, row, extra, kind))
-    frame = pd.DataFrame(out, columns=["inv_ord", "row_index", "extra", "kind"])
-    frame["row_index"] = frame["row_index"].astype("Int32")
-    return frame
-
-
-def _components(edges: DataFrame) -> DataFrame:
-    """(node, root): least node of each component; labels fall to neighbours' until none changes."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
-    while True:
-        near = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near")).withColumnRenamed("a", "node")
-        jump = label.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        new = cut(label.join(jump, "root", "left").join(near, "node", "left").select("node", F.col("root").alias("was"), F.least("root", "near", "far").alias("root")))
-        if new.where(F.col("root") != F.col("was")).isEmpty():
-            return new.select("node", "root")
-        label = new.select("node", "root")
-
-
-def _settle_copies(open_: DataFrame, rows: DataFrame, near: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
-    """What is known of invoices whose number several carry and rows have: decided ones, late ones, and rows of closed numbers; None without such invoices.
-
-    A number is closed if no invoice of another number is near to its rows; it
-    is decided whole. Late invoices, (inv_ord, invoice_number), find no row of
-    their number left, be it closed or not.
-    """
-    several = open_.where(has_number(F.col("invoice_number"))).groupBy("invoice_number").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("invoice_number")
-    carried = cut(open_.join(several, "invoice_number").join(refs, "inv_ord").select("inv_ord", "invoice_number", "amount", "n_rows"))
-    if carried.isEmpty():
-        return None
-    copies = cut(ranked(carried, "invoice_number", "inv_ord"))
-    numbers = cut(copies.where("nth = 1").select("invoice_number", "n_rows"))
-    theirs = cut(rows.select("row_index", F.col("reference").alias("invoice_number"), "amount").join(numbers, "invoice_number"))
-    own = open_.select("inv_ord", F.col("invoice_number").alias("own"))
-    others = near.join(theirs, "row_index").join(own, "inv_ord").where(~F.col("own").eqNullSafe(F.col("invoice_number"))).select("invoice_number").distinct()
-    closed = cut(theirs.join(others, "invoice_number", "left_anti"))
-    # From the last row on, so that the sum so far is that of a row and all after it.
-    back = ranked(closed.withColumn("back", -F.col("row_index")), "invoice_number", "back", "amount")
-    back = back.select("invoice_number", "row_index", (F.col("n_rows") - F.col("nth") + 1).alias("nth"), F.col("upto").alias("rest"))
-    turns = cut(copies.join(back, ["invoice_number", "nth"]))
-    whole = turns.where((F.col("nth") < F.col("n_rows")) & amounts_close(F.col("rest"), F.col("amount"))).groupBy("invoice_number").agg(F.min("nth").alias("stop"))
-    turns = cut(turns.join(whole, "invoice_number", "left"))
-    extra = turns.where("nth = stop").select("invoice_number", "inv_ord", "row_index").join(closed.select("invoice_number", F.col("row_index").alias("r")), "invoice_number").where("r > row_index")
-    extra = extra.groupBy("inv_ord").agg(F.array_sort(F.collect_list("r")).alias("extra"))
-    decided = turns.where("stop is null or nth <= stop").join(extra, "inv_ord", "left")
-    decided = decided.select("inv_ord", F.col("row_index").cast("int").alias("row_index"), F.coalesce("extra", F.array().cast("array<int>")).alias("extra"), F.when(F.col("extra").isNotNull(), "instalments").otherwise("match").alias("kind"))
-    late = copies.where("nth > n_rows").select("inv_ord", "invoice_number").unionByName(turns.where("nth > stop").select("inv_ord", "invoice_number"))
-    return cut(decided), cut(late), closed.select("row_index")
+    rows = row_class(ledger).where(dated(F.col("row_amount"), F.col("ledger_date"))).groupBy(*CLASS).agg(F.count(F.lit(1)).alias("n_rows"), F.min("row_index").alias("first_row"))
+    spots = invoices.where(dated(F.col("amount"), F.col("invoice_date"))).groupBy(*SPOT, "vendor").agg(F.count(F.lit(1)).alias("n_invoices"), F.min("inv_ord").alias("first_invoice"))
+    return near_classes(spots, rows).select(*SPOT, "vendor", "n_invoices", "first_invoice", *CLASS, "n_rows", "first_row")
+
+
+def near_pairs(invoices: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(inv_ord, row_index, vendor, description) of all pairs near in amount and date, one by one; `near_places` has them by class."""
+    rows = row_class(ledger).where(dated(F.col("row_amount"), F.col("ledger_date"))).select("row_index", "description", *CLASS)
+    spots = invoices.where(dated(F.col("amount"), F.col("invoice_date"))).select("inv_ord", "vendor", *SPOT)
+    return near_classes(spots, rows).select("inv_ord", "row_index", "vendor", "description")
 
 
 def assign(invoices: DataFrame, ledger: DataFrame) -> DataFrame:
     """(inv_ord, row_index, extra, kind): what each invoice takes; kind is combined, instalments, match, none or skipped."""
     combined = cut(combined_payments(invoices, ledger))
     rows = ledger.join(combined.select("row_index").distinct(), "row_index", "left_anti")
-    open_ = cut(invoices.where(searchable()).join(combined.select("inv_ord"), "inv_ord", "left_anti"))
+    open_ = cut(invoices.where(searchable()).join(combined.select("inv_ord"), "inv_ord", "left_anti").select("inv_ord", "invoice_number", "vendor", "invoice_date", "amount"))
     rows = cut(rows.select("row_index", "ledger_date", "description", "reference", "amount"))
-    near = cut(with_vendor_hits(near_pairs(open_, rows)))
-    refs = cut(by_reference(open_, rows))
-    settled = _settle_copies(open_, rows, near, refs)
-    if settled is not None:
-        early, late, closed = settled
-        gone = early.select("inv_ord")
-        named = near.join(late, "inv_ord").join(rows.select("row_index", "reference"), "row_index").where("reference = invoice_number").select("inv_ord", "row_index")
-        near = cut(near.join(gone, "inv_ord", "left_anti").join(closed, "row_index", "left_anti").join(named, ["inv_ord", "row_index"], "left_anti"))
-        refs = cut(refs.join(gone.unionByName(late.select("inv_ord")), "inv_ord", "left_anti"))
-        rows = cut(rows.join(closed, "row_index", "left_anti"))
-        late = late.select("inv_ord", F.lit(True).alias("late"))
-        open_ = open_.join(gone, "inv_ord", "left_anti").join(late, "inv_ord", "left")
-        open_ = cut(open_.withColumn("invoice_number", F.when(F.col("late").isNull(), F.col("invoice_number"))).drop("late"))
-    # Who may want a row: invoices near to it, and invoices of its number; of a number that several carry, all rows are contested.
-    copies = open_.where(has_number(F.col("invoice_number"))).groupBy("invoice_number").agg(F.count(F.lit(1)).alias("copies"), F.min("inv_ord").alias("inv_ord"))
-    owned = rows.where(has_number(F.col("reference"))).select("row_index", F.col("reference").alias("invoice_number")).join(copies, "invoice_number")
-    owned = cut(owned)
-    wanted = near.select("row_index", "inv_ord", F.lit(1).alias("copies")).unionByName(owned.select("row_index", "inv_ord", F.col("copies").cast("int").alias("copies")))
-    shared = cut(wanted.groupBy("row_index").agg((F.count_distinct("inv_ord") + F.max("copies") - 1).alias("n")).where("n > 1").select("row_index"))
-    numbers = owned.join(shared, "row_index").select("invoice_number").distinct()
-    contested = near.join(shared, "row_index").select("inv_ord").unionByName(open_.join(numbers, "invoice_number").select("inv_ord")).distinct()
-    contested = cut(contested)
-
-    one = near.groupBy("inv_ord").agg(F.count(F.lit(1)).alias("n"), F.min("row_index").alias("only"), F.count_if("hit").alias("hits"), F.min(F.when(F.col("hit"), F.col("row_index"))).alias("hit_row"))
-    calm = open_.join(contested, "inv_ord", "left_anti").join(refs, "inv_ord", "left").join(one, "inv_ord", "left")
-    sums_up = (F.col("n_rows") >= 2) & amounts_close(F.col("total"), F.col("amount"))
-    chosen = F.coalesce("first_row", F.when(F.col("n") == 1, F.col("only")).when(F.col("hits") == 1, F.col("hit_row")))
-    kind = F.when(sums_up, "instalments").when(chosen.isNotNull(), "match").otherwise("none")
-    calm = cut(calm.select("inv_ord", "invoice_number", chosen.cast("int").alias("row_index"), kind.alias("kind")))
-    extras = calm.where("kind = 'instalments'").join(rows.select(F.col("reference").alias("invoice_number"), F.col("row_index").alias("r")), "invoice_number").where("r != row_index")
-    extras = extras.groupBy("inv_ord").agg(F.array_sort(F.collect_list("r")).alias("extra"))
     none = F.array().cast("array<int>")
-    decided = calm.join(extras, "inv_ord", "left").select("inv_ord", "row_index", F.coalesce("extra", none).alias("extra"), "kind")
-
-    if not contested.isEmpty():
-        who = cut(open_.join(contested, "inv_ord").select("inv_ord", "invoice_number", "amount"))
-        i = lambda c: F.concat(F.lit("i"), c.cast("string"))
-        r = lambda c: F.concat(F.lit("r"), c.cast("string"))
-        n = lambda c: F.concat(F.lit("n"), c)
-        theirs = cut(rows.select("row_index", F.col("reference").alias("invoice_number")).join(who.select("invoice_number").where(has_number(F.col("invoice_number"))).distinct(), "invoice_number"))
-        near_them = cut(near.join(contested, "inv_ord"))
-        edges = near_them.select(i(F.col("inv_ord")).alias("a"), r(F.col("row_index")).alias("b"))
-        edges = edges.unionByName(theirs.select(n(F.col("invoice_number")).alias("a"), r(F.col("row_index")).alias("b")))
-        edges = edges.unionByName(who.where(has_number(F.col("invoice_number"))).select(i(F.col("inv_ord")).alias("a"), n(F.col("invoice_number")).alias("b")))
-        roots = _components(edges)
-        lists = near_them.groupBy("inv_ord").agg(F.array_sort(F.collect_list(F.struct("row_index", "hit"))).alias("near"))
-        left = who.join(lists, "inv_ord", "left").withColumn("node", i(F.col("inv_ord"))).join(roots, "node").select("root", "inv_ord", "invoice_number", "amount", "near")
-        right = rows.withColumn("node", r(F.col("row_index"))).join(roots, "node").select(F.concat("root", F.lit("")).alias("root"), "row_index", "reference", "amount")
-        decided = decided.unionByName(spread(left, "root").groupBy("root").cogroup(spread(right, "root").groupBy("root")).applyInPandas(_decide_component, _DECISION))
-
-    if settled is not None:
-        decided = decided.unionByName(early)
     in_sets = combined.select("inv_ord", "row_index", none.alias("extra"), F.lit("combined").alias("kind"))
     skipped = invoices.where(~searchable()).join(combined.select("inv_ord"), "inv_ord", "left_anti")
     skipped = skipped.select("inv_ord", F.lit(None).cast("int").alias("row_index"), none.alias("extra"), F.lit("skipped").alias("kind"))
-    return cut(decided.unionByName(in_sets).unionByName(skipped))
+    return cut(decide(open_, rows).unionByName(in_sets).unionByName(skipped))
 
 
 def reconcile(invoices: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -256,7 +95,7 @@ def reconcile(invoices: DataFrame, ledger: DataFrame) -> DataFrame:
     more = taken.select("inv_ord", F.explode("extra").alias("_row")).join(rows, "_row").groupBy("inv_ord").agg(F.array_sort(F.collect_list("ledger_row")).alias("extra_rows"))
     copies = duplicate_numbers(invoices)
     full = invoices.join(taken.select("inv_ord", F.col("row_index").alias("_row"), "kind"), "inv_ord").join(rows, "_row", "left").join(more, "inv_ord", "left").join(copies, "invoice_number", "left")
-    mismatch = (F.col("kind") == "match") & F.col("amount").isNotNull() & ~amounts_close(F.col("amount"), F.col("ledger_row.amount"))
+    mismatch = (F.col("kind") == "match") & F.col("amount").isNotNull() & ~close(F.col("amount"), F.col("ledger_row.amount"))
     about = F.when(F.col("kind") == "combined", COMBINED).when(F.col("kind") == "instalments", INSTALMENTS).when(F.col("kind") == "none", NO_LEDGER_ENTRY).when(mismatch, AMOUNT_MISMATCH)
     flags = F.array_compact(F.array(F.when(unreadable(None), UNREADABLE), about, F.when(F.col("copies").isNotNull(), DUPLICATE)))
     empty = F.array().cast(ledger_array := f"array<{ledger.select(row.alias('r')).schema['r'].dataType.simpleString()}>")

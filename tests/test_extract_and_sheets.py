@@ -52,6 +52,34 @@ def test_ratio_order_matters(spark):
     assert (row.x, row.y) == (0.25, 0.5)
 
 
+PAIRS = [
+    ("acme co", "payment to acme co", 0.56), ("Bluefern Supplies Ltd", "Payment to Bluefern Supplies Ltd", 0.7924528301886793),
+    ("nordway logistics", "wire transfer - amberlake facilities", 0.33962264150943394), ("wire transfer - amberlake facilities", "nordway logistics", 0.22641509433962265),
+    ("", "", 1.0), ("abc", "", 0.0), ("abcdef", "abcdef", 1.0), ("kitten", "sitting", 0.6153846153846154), ("a", "b", 0.0), ("aaaa", "aa", 0.6666666666666666),
+    ("cedar & finch consulting", "consulting retainer - march", 0.39215686274509803), ("meridian print services", "payment to meridian print services", 0.8070175438596491),
+    ("acme corporation limited", "payment to acme corporation limited " + "x" * 180, 0.2),
+]
+
+
+def test_ratio_of_known_pairs():
+    from tallyforge.functions.similarity import ratios
+
+    assert ratios([a for a, _, _ in PAIRS], [b for _, b, _ in PAIRS]).tolist() == pytest.approx([r for _, _, r in PAIRS], abs=1e-12)
+
+
+def test_ratio_against_the_standard_library():
+    import random
+    from difflib import SequenceMatcher
+
+    from tallyforge.functions.similarity import ratios
+
+    rng = random.Random(1)
+    word = lambda letters, most: "".join(rng.choices(letters, k=rng.randint(0, most)))
+    pairs = [(word("ab" + "cdefgh" * rng.randint(0, 2), 30), word("abcdé🙂", 40)) for _ in range(1500)]
+    pairs += [(word("abcdefghijklm ", 60), word("aaaabcdefgh ", 150) + "ab" * 80) for _ in range(30)]
+    assert ratios([a for a, _ in pairs], [b for _, b in pairs]).tolist() == [SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+
+
 def test_workbook_round_trip(spark, tmp_path):
     rows = [(["Date", "Description", "Reference", "Amount"], 1), (["not a date", "=SUM(A1)", "R-1", 12.5], 2), ([], 0), ([None, 0, 1001, 7], 3)]
     sheets.write_workbook(str(tmp_path / "a.xlsx"), {"Ledger": rows})
@@ -59,6 +87,13 @@ def test_workbook_round_trip(spark, tmp_path):
     assert [tuple(r) for r in got] == [(2, None, "=SUM(A1)", "R-1", 12.5), (4, None, "", "1001", 7.0)]
 
 
+def test_white_space_in_cells(spark, tmp_path):
+    rows = [(["\u00a0Date", "Description\t", "Reference", "Amount"], 1), ([None, "\tpaid\n", "INV-1\u00a0", 5], 0), ([None, "\u2003", "\u3000INV-2", 6], 0)]
+    sheets.write_workbook(str(tmp_path / "w.xlsx"), {"Ledger": rows})
+    got = ledger_rows(sheets.read_workbooks(spark, str(tmp_path / "w.xlsx"))).orderBy("row_index").collect()
+    assert [(r.description, r.reference) for r in got] == [("paid", "INV-1"), ("", "INV-2")]
+
+
 def test_csv(spark, tmp_path):
     (tmp_path / "l.csv").write_text('Date,Description,Debit,Credit\n2025-01-02,"two\nlines",0,5.5\n,,,\n2025-01-03,x,8,\n')
     got = ledger_rows(sheets.read_csv(spark, str(tmp_path / "l.csv"))).orderBy("row_index").collect()

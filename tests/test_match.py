@@ -1,14 +1,14 @@
 """One scenario for each rule of the reconciliation, all in one job: scenarios don't share numbers or amounts."""
 
 import datetime
+import difflib
 import random
 
-import pandas as pd
 import pytest
 from pyspark.sql import Row
 
 from tallyforge.model import INVOICE, LEDGER_ROW
-from tallyforge.operators import match, report, statement
+from tallyforge.operators import assign, match, report, statement
 from tallyforge.operators.ledger import UnknownLayout, detect
 
 D = datetime.date
@@ -99,28 +99,136 @@ def test_summary_and_statements(results):
     assert statement.statement_totals(lines).where("grand").first().invoice_count == len(INVOICES)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+def plain_rule(invoices, ledger):
+    """The rule itself, in one loop: {inv_ord: (row, extra, kind)} of invoices (inv_ord, file, number, vendor, day, amount, method)."""
+    free = {r[0]: r for r in sorted(ledger)}
+    out = {}
+
+    def names(vendor, text):
+        v, t = (vendor or "").lower(), (text or "").lower()
+        return bool(v) and (v in t or difflib.SequenceMatcher(None, v, t).ratio() >= 0.5)
+
+    for k, _, number, vendor, when, amount, _ in sorted(invoices):
+        if not number and (amount is None or when is None):
+            continue
+        own = [r for r in free.values() if number and r[3] == number]
+        row, extra, kind = None, [], "none"
+        if len(own) >= 2 and amount is not None and abs(sum(r[4] or 0.0 for r in own) - amount) <= 0.01:
+            row, extra, kind = own[0][0], [r[0] for r in own[1:]], "instalments"
+        elif own:
+            row, kind = own[0][0], "match"
+        elif amount is not None and when is not None:
+            near = [r for r in free.values() if r[4] is not None and r[1] is not None and abs(r[4] - amount) <= 0.01 and abs((r[1] - when).days) <= 5]
+            if len(near) != 1:
+                near = [r for r in near if names(vendor, r[2])]
+            if len(near) == 1:
+                row, kind = near[0][0], "match"
+        for r in [row, *extra]:
+            free.pop(r, None)
+        out[k] = (row, extra, kind)
+    return out
+
+
+def assigned(spark, invoices, ledger, few=None, monkeypatch=None):
+    if few is not None:
+        monkeypatch.setattr(match, "decide", lambda open_, rows: assign.decide(open_, rows, few))
+    got = match.assign(spark.createDataFrame(invoices, INVOICE), spark.createDataFrame(ledger, LEDGER_ROW)).where("kind != 'skipped'").collect()
+    out = {r.inv_ord: (r.row_index, list(r.extra), r.kind) for r in got}
+    assert len(out) == len(got)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4, 5])
+def test_passes_against_the_plain_rule(spark, monkeypatch, seed):
+    """Passes alone, to the last invoice, over a few that contest numbers and amounts."""
+    rng = random.Random(seed)
+    numbers = [None, None, *(f"X-{k}" for k in range(6))]
+    invoices = [(k, f"{k}.pdf", rng.choice(numbers), rng.choice(["Acme", "Birch", None]), day(rng.randrange(25)), rng.choice([10.0, 10.01, 20.0, 30.0]), "text") for k in range(24)]
+    ledger = [(k, day(rng.randrange(25)), rng.choice(["acme paid", "birch", "x", "ceda"]), rng.choice(numbers), rng.choice([10.0, 10.01, 20.0])) for k in range(2, 26)]
+    assert assigned(spark, invoices, ledger, 0, monkeypatch) == plain_rule(invoices, ledger)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
 def test_against_the_plain_rule(spark, seed):
-    """Invoices and rows that contest few numbers and amounts, against the rule over all of them in one loop."""
+    """A pass and the loop: invoices and rows that contest few numbers and amounts."""
     rng = random.Random(seed)
-    numbers = [None, *(f"X-{k}" for k in range(12))]
-    invoices = [(k, f"{k}.pdf", rng.choice(numbers), rng.choice(["Acme", "Birch"]), day(rng.randrange(12)), rng.choice([10.0, 20.0, 30.0, 50.0, None]), "text") for k in range(60)]
-    ledger = [(k, day(rng.randrange(12)), rng.choice(["acme paid", "birch", "x"]), rng.choice(numbers), rng.choice([10.0, 20.0, 30.0])) for k in range(2, 72)]
+    numbers = [None, *(f"X-{k}" for k in range(12 if seed < 3 else 40))]
+    days, amounts = (12, [10.0, 20.0, 30.0, 50.0]) if seed < 3 else (60, [10.0, 10.01, 10.02, 20.0, 20.01, 30.0])
+    invoices = [(k, f"{k}.pdf", rng.choice(numbers), rng.choice(["Acme", "Birch", "Cedar", None]), day(rng.randrange(days)), rng.choice([*amounts, None]), "text") for k in range(60)]
+    ledger = [(k, day(rng.randrange(days)), rng.choice(["acme paid", "birch", "x", "ceda", "acm birc", None]), rng.choice(numbers), rng.choice(amounts)) for k in range(2, 72)]
     # One number that most carry, whose rows no other invoice is near to, and one whose rows others are near to.
     invoices += [(k, f"{k}.pdf", "HOT", "Acme", day(rng.randrange(12)), rng.choice([1.5, 3.0, 10.0]), "text") for k in range(60, 130)]
     ledger += [(k, day(40 + rng.randrange(12)), "x", "HOT", 1.5) for k in range(72, 90)]
     invoices += [(k, f"{k}.pdf", "WARM", "Acme", day(rng.randrange(12)), 10.0, "text") for k in range(130, 150)]
     ledger += [(k, day(rng.randrange(12)), "x", "WARM", 10.0) for k in range(90, 95)]
-    inv, led = spark.createDataFrame(invoices, INVOICE), spark.createDataFrame(ledger, LEDGER_ROW)
-    near = match.with_vendor_hits(match.near_pairs(inv.where(match.searchable()), led)).toPandas()
-    near = {k: [{"row_index": r.row_index, "hit": r.hit} for r in g.sort_values("row_index").itertuples()] for k, g in near.groupby("inv_ord")}
-    plain = inv.where(match.searchable()).toPandas()
-    plain["near"] = [near.get(k) for k in plain.inv_ord]
-    none = lambda x: None if pd.isna(x) else int(x)
-    want = {r.inv_ord: (none(r.row_index), list(r.extra), r.kind) for r in match._decide_component(None, plain, led.toPandas()).itertuples()}
-    got = {r.inv_ord: (r.row_index, list(r.extra), r.kind) for r in match.assign(inv, led).where("kind != 'skipped'").collect()}
-    assert got == want
-    assert {"instalments", "match", "none"} <= {kind for _, _, kind in want.values()}
+    turns = list(range(150))
+    rng.shuffle(turns)
+    invoices = [(turns[k], *rest) for k, *rest in invoices]
+    want = plain_rule(invoices, ledger)
+    assert assigned(spark, invoices, ledger) == want
+    assert {"match", "none"} <= {kind for _, _, kind in want.values()}
+
+
+@pytest.mark.parametrize("late", [False, True])
+def test_one_hot_amount(spark, late):
+    """Very many invoices and rows of one amount and day cost their sum: owners take their own, the others find several."""
+    n = 20_000
+    named = [(k, f"{k}.pdf", f"N-{k}", "Acme", day(0), 9.99, "text") for k in range(n)]
+    lone = [(n + k if late else -1 - k, f"l{k}.pdf", None, rng_vendor(k), day(0), 9.99, "text") for k in range(500)]
+    rows = [(k + 2, day(1), f"payment {k % 50}", f"N-{k}", 9.99) for k in range(n)]
+    rows += [(n + 2 + k, day(1), "payment", None, 9.99) for k in range(3)] + [(n + 5, day(1), "to vendor 7 gmbh", None, 9.99)]
+    got = assigned(spark, named + lone, rows)
+    assert all(got[k] == (k + 2, [], "match") for k in range(n))
+    lone_rows = [got[k][0] for k, *_ in sorted(lone) if got[k][0] is not None]
+    assert lone_rows == [n + 5] and len(got) == n + 500
+
+
+def rng_vendor(k):
+    return "to vendor 7 gmbh" if k == 7 else f"{k:05}" * 8
+
+
+def test_one_giant_component(spark):
+    """Amounts a cent apart chain all invoices and rows into one component, which no task meets whole."""
+    rng = random.Random(5)
+    n = 3000
+    turns = list(range(n))
+    rng.shuffle(turns)
+    invoices = [(turns[k], f"{k}.pdf", None, f"vendor {k:04}", day(0), round(100 + k * 0.009, 3), "text") for k in range(n)]
+    ledger = [(k + 2, day(1), f"to vendor {k:04}" if k % 3 else "x", None, round(100 + k * 0.009, 3)) for k in range(n)]
+    near_only = {k: v for k, v in assigned(spark, invoices, ledger).items()}
+    assert near_only == plain_rule_by_amount(invoices, ledger)
+
+
+def plain_rule_by_amount(invoices, ledger):
+    """The loop over rows of neighbouring amounts only."""
+    by = {r[4]: r for r in ledger}
+    free, out = set(by), {}
+    for k, _, _, vendor, _, amount, _ in sorted(invoices):
+        near = [by[a] for a in (round(amount + d * 0.009, 3) for d in (-1, 0, 1)) if a in free and abs(a - amount) <= 0.01]
+        if len(near) != 1:
+            near = [r for r in near if vendor in r[2] or difflib.SequenceMatcher(None, vendor, r[2]).ratio() >= 0.5]
+        if len(near) == 1:
+            free.discard(near[0][4])
+        out[k] = (near[0][0], [], "match") if len(near) == 1 else (None, [], "none")
+    return out
+
+
+def test_sums_do_not_depend_on_order(spark):
+    parts = [0.1] * 10 + [1e15, -1e15]
+    sums = set()
+    for seed in range(4):
+        random.Random(seed).shuffle(parts)
+        rows = spark.createDataFrame([(k, day(0), "x", "S", a) for k, a in enumerate(parts, 2)], LEDGER_ROW).repartition(4)
+        sums.add(match.by_reference(spark.createDataFrame([(1, "f", "S", "v", day(0), 1.0, "text")], INVOICE), rows).first().total)
+    assert sums == {1.0}
+
+
+def test_white_space_of_any_kind(spark):
+    from pyspark.sql import functions as F
+
+    refs = {"\tINV-1\u00a0INV-2 ": ["INV-1", "INV-2"], "INV-1\u2003/\u2003INV-2": ["INV-1", "INV-2"], "\u00a0INV-1\n": ["INV-1"], "A\x1fB": ["A", "B"], "A,": ["A", ""]}
+    got = spark.createDataFrame([(r,) for r in refs], "r string").select("r", match.reference_tokens(F.col("r")).alias("t")).collect()
+    assert {x.r: list(x.t) for x in got} == refs
 
 
 def test_coverage_error(spark, results):
