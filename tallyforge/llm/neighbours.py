@@ -44,6 +44,8 @@ from . import blocks
 NEAREST, QUERY_STEP = 20, 20
 SAMPLE, TREES, DEPTH, CHUNK, FROM_CHUNK = 8192, 8, 9, 1024, 24
 DEGREE, BACK = 48, 32
+#: Neighbourhoods whose finds are merged before they are passed on: few, so that what is passed on grows in step with the nodes.
+JOINED = 64
 #: Rounds of NN-descent end when a smaller share of entries changes, or after so many.
 LEAST_CHANGE, MOST_ROUNDS = 0.25, 8
 #: Nodes that a query opens in each hop after its own; what it keeps meanwhile and hands to the exact products.
@@ -164,8 +166,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a node's neighbours (id, code, worst score kept) to what these met in each other."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            lists = batch.column(0).slice(at, 512)
+        for at in range(0, batch.num_rows, JOINED):
+            lists = batch.column(0).slice(at, JOINED)
             size = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten()
             member, worst, v = flat.field("member").to_numpy(zero_copy_only=False), flat.field("worst").to_numpy(zero_copy_only=False), decode(flat.field("code"))
