@@ -192,9 +192,3 @@ BROADCAST_KEYS = 300_000
 def bounded(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
     """`keys` marked for broadcast if they are few; `keys` should be a written step, as it is counted."""
     return keys.hint("broadcast") if keys.limit(most + 1).count() <= most else keys
-
-
-def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id isn't among `ids`; rows without an id stay."""
-    ids = Tables(docs.sparkSession).keep(ids.distinct(), "ids")
-    return docs.join(bounded(ids), "doc_id", "left_anti")

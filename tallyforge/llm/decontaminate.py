@@ -17,7 +17,9 @@ sentence or line.
 
 Defined results: null and empty texts match nothing, on either side; an item of
 fewer than eight words is one window of its own length; an item of one word is
-held by documents of that word only; repeated items are items of their own; repeated rows of one doc_id count
+held by documents of that word only; a very long text is a slice of its own; of
+items that a document holds alike all are named; an empty table gives an empty
+result; repeated items are items of their own; repeated rows of one doc_id count
 as one document; other columns are ignored.
 """
 
@@ -209,5 +211,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
-    return blocks.drop_ids(docs, contaminated(docs, benchmark).select("doc_id"))
+    """The documents that hold no benchmark item, with all their columns.
+
+    Rows are told apart by a hash of id and text, so that of rows of one id, or
+    of none, only those go that hold an item.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text))
+    found = contaminated(docs.select(key.alias("doc_id"), text.alias("text")), benchmark).select(F.col("doc_id").alias("_key")).distinct()
+    found = blocks.Tables(docs.sparkSession).keep(found, "held")
+    return docs.withColumn("_key", key).join(blocks.bounded(found), "_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by inner product: NN-descent builds a graph, queries search it greedily.
 
-Equal vectors are one node. A node carries a code of its vector: bytes of its
+Equal vectors are one node. A node carries a code of its vector: two bytes for each of its
 components over its own largest one. The vector has one more component that
 brings all vectors to one length, so that the graph's nearness is a metric for
 vectors of any lengths; a query has none there, which leaves the inner product.
@@ -14,7 +14,7 @@ go on until few entries change.
 
 A query begins at its own node. Each hop opens its best unopened nodes, joined
 to their neighbours' codes in a table that is bucketed by node, and keeps the best it
-has seen. Codes choose what is nearest; the vectors themselves then give exact
+has seen, until the nearest of few queries change. Codes choose what is nearest; the vectors themselves then give exact
 products and ranks.
 
 Bounds: trees are fitted on SAMPLE nodes; a node keeps DEGREE neighbours, and of
@@ -48,8 +48,10 @@ DEGREE, BACK = 48, 32
 JOINED = 64
 #: Rounds of NN-descent end when a smaller share of entries changes, or after so many.
 LEAST_CHANGE, MOST_ROUNDS = 0.25, 8
-#: Nodes that a query opens in each hop after its own; what it keeps meanwhile and hands to the exact products.
-HOPS, BEAM, EXACT = (20, 40, 80), 192, 48
+#: Nodes that a query opens in each hop after its own, the last number in all further ones; hops end when the nearest of a smaller share of queries change.
+HOPS, LEAST_BETTER, MOST_HOPS = (1, 20, 40, 80), 0.2, 12
+#: What a query keeps meanwhile, and what of it goes to the exact products.
+BEAM, EXACT = 192, 64
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -67,9 +69,9 @@ def nodes_of(rows: DataFrame, nearest: int) -> DataFrame:
 
 
 def encode(v: np.ndarray) -> pa.Array:
-    """Codes of vectors: a byte for each component, and the factor of all as the last four."""
-    factor = np.maximum(np.abs(v).max(1), 1e-30) / 127
-    coded = np.concatenate([np.rint(v / factor[:, None]).astype(np.int8).view(np.uint8), factor.astype("<f4")[:, None].view(np.uint8)], axis=1)
+    """Codes of vectors: two bytes for each component, and the factor of all as the last four."""
+    factor = np.maximum(np.abs(v).max(1), 1e-30) / 32767
+    coded = np.concatenate([np.rint(v / factor[:, None]).astype("<i2").view(np.uint8), factor.astype("<f4")[:, None].view(np.uint8)], axis=1)
     offsets = np.arange(len(v) + 1, dtype=np.int32) * coded.shape[1]
     return pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(coded))])
 
@@ -80,7 +82,7 @@ def decode(codes: pa.Array) -> np.ndarray:
     _, offsets, data = codes.buffers()
     offsets = np.frombuffer(offsets, np.int32)[codes.offset : codes.offset + len(codes) + 1]
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].reshape(len(codes), -1)
-    return raw[:, :-4].view(np.int8).astype(np.float32) * np.ascontiguousarray(raw[:, -4:]).view("<f4")
+    return np.ascontiguousarray(raw[:, :-4]).view("<i2").astype(np.float32) * np.ascontiguousarray(raw[:, -4:]).view("<f4")
 
 
 def _coder(largest: float, longest: float):
@@ -268,30 +270,32 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _hop(opened: int):
-    """A function from rows (node, query, beam, opened so far, list of finds) to the next beam and the nodes to open."""
+    """A function from rows (node, query, beam, done, finds) to the next beam and the nodes to open; `better` says whether the nearest changed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            beams, fronts, limits, seen = [], [], [], []
-            for name, beam, open_, finds in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            beams, fronts, limits, seen, better = [], [], [], [], []
+            for name, beam, done, finds in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
                 best = {e["id"]: e["score"] for e in beam}
                 for f in finds:
                     best.update(zip(f["ids"], f["scores"], strict=True))
                 best.pop(name, None)
                 kept = sorted(best.items(), key=lambda e: (-e[1], e[0]))[:BEAM]
-                done = set(open_)
-                front = [i for i, _ in kept if i not in done][:opened]
+                past = set(done)
+                front = [i for i, _ in kept if i not in past][:opened]
                 beams.append([{"id": i, "score": s} for i, s in kept])
                 fronts.append(front)
-                seen.append([i for i, _ in kept if i in done] + front)
+                seen.append([i for i, _ in kept if i in past] + front)
                 limits.append(kept[-1][1] if len(kept) == BEAM else float("-inf"))
+                better.append([e["id"] for e in beam[:NEAREST]] != [i for i, _ in kept[:NEAREST]])
             kind = pa.list_(pa.struct([("id", pa.int64()), ("score", pa.float32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(beams, kind), pa.array(seen, pa.list_(pa.int64())), pa.array(fronts, pa.list_(pa.int64())), pa.array(limits, pa.float32())], ["node", "query", "beam", "done", "front", "least"])
+            columns = [batch.column(0), batch.column(1), pa.array(beams, kind), pa.array(seen, pa.list_(pa.int64())), pa.array(fronts, pa.list_(pa.int64())), pa.array(limits, pa.float32()), pa.array(better, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "query", "beam", "done", "front", "least", "better"])
 
     return run
 
 
-_STATE = "node long, query binary, beam array<struct<id:long,score:float>>, done array<long>, front array<long>, least float"
+_STATE = "node long, query binary, beam array<struct<id:long,score:float>>, done array<long>, front array<long>, least float, better boolean"
 
 
 def search(tables: blocks.Tables, asked: DataFrame, graph: DataFrame, codes: DataFrame, n: int) -> DataFrame:
@@ -303,13 +307,15 @@ def search(tables: blocks.Tables, asked: DataFrame, graph: DataFrame, codes: Dat
     try:
         hood = spark.table(name).withColumnRenamed("node", "opened")
         none = F.array().cast("array<struct<id:long,score:float>>")
-        state = tables.keep(asked.select("node", "query", none.alias("beam"), F.array("node").alias("done"), F.array("node").alias("front"), F.lit(float("-inf")).cast("float").alias("least")), "hop0")
-        for k, opened in enumerate([*HOPS, 0], 1):
+        state = tables.keep(asked.select("node", "query", none.alias("beam"), F.array("node").alias("done"), F.array("node").alias("front"), F.lit(float("-inf")).cast("float").alias("least"), F.lit(True).alias("better")), "hop0")
+        for k in range(1, MOST_HOPS + 1):
             front = state.select("node", "query", "least", F.explode("front").alias("opened"))
             finds = front.join(hood, "opened").select("node", "query", "least", "m").mapInArrow(_scored, _GRAPH)
             finds = finds.where(F.size("ids") > 0).groupBy("node").agg(F.collect_list(F.struct("ids", "scores")).alias("finds"))
             both = state.join(finds, "node", "left").select("node", "query", "beam", "done", F.coalesce("finds", F.array().cast("array<struct<ids:array<long>,scores:array<float>>>")).alias("finds"))
-            state = tables.keep(both.mapInArrow(_hop(opened), _STATE), f"hop{k}")
+            state = tables.keep(both.mapInArrow(_hop(HOPS[min(k, len(HOPS) - 1)]), _STATE), f"hop{k}")
+            if k >= len(HOPS) and (state.agg(F.avg(F.col("better").cast("int")).alias("share")).first().share or 0) < LEAST_BETTER:
+                break
         return state.select("node", F.explode(F.slice("beam.id", 1, EXACT)).alias("near"))
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -2,8 +2,9 @@
 
 Words carry hashed features: the word itself and its first and last bytes.
 Labelled tokens for training come from the labelled documents by distant
-supervision: a feature that occurs in toxic documents almost only marks the
-words that carry it there. The chain (two states) is trained on sentences by
+supervision: a feature that occurs in toxic documents almost only, and more than
+chance would have it, marks the words that carry it there; how strict chance is
+taken is chosen by cross-fitting on the labelled documents. The chain (two states) is trained on sentences by
 its exact gradient; forward-backward marginals of every word of a text then
 give offending offsets, and their sum and maximum give the document's score
 through a logistic curve fitted on the same labelled documents.
@@ -36,6 +37,8 @@ BUCKETS = 1 << 18
 #: A marking feature occurs in so many toxic documents, and these are such a share of its documents.
 LEAST_DOCS, LEAST_SHARE = 8, 0.8
 N_FEATURES = 5
+#: False-discovery rates of marking features, one of which is chosen on the learning documents.
+LIMITS = (1e-4, 3e-3, 5e-2)
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
@@ -130,7 +133,45 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.evidence(tokens, p) @ self.curve, -30, 30)))
 
 
-def fit(texts: list[str], toxic: np.ndarray, share: float = 0.5, *, epochs: int = 12, chains: int = 30_000, seed: int = 11) -> Model:
+def marking(bad: np.ndarray, good: np.ndarray, limit: float) -> np.ndarray:
+    """Which features mark: their share of toxic documents is high, and beyond chance with a false-discovery rate of `limit`.
+
+    A bound on the rate, unlike one on any false mark, lets through what is rare
+    where many marks are true, such as those of a language with few labels.
+    """
+    total = bad + good
+    at = np.clip(bad / np.maximum(total, 1), 1e-9, 1 - 1e-9)
+    tried = np.flatnonzero(bad >= LEAST_DOCS)
+    chance = np.where(at > 0.5, np.exp(-total * (at * np.log(2 * at) + (1 - at) * np.log(2 * (1 - at)))), 1.0)[tried]  # Chernoff's bound
+    ordered = np.sort(chance)
+    found = np.flatnonzero(ordered <= limit * np.arange(1, len(ordered) + 1) / max(1, len(ordered)))
+    marks = np.zeros(len(bad), bool)
+    if len(found):
+        marks[tried[chance <= ordered[found[-1]]]] = True
+    return marks & (at >= LEAST_SHARE)
+
+
+def choose_limit(texts: list[str], toxic: np.ndarray) -> float:
+    """The limit on false marks under which models of two thirds of the learning documents do best on the other third.
+
+    Toxic and other documents weigh alike, of equal limits the strictest wins.
+    """
+    right = np.zeros((len(LIMITS), 2))
+    part = np.arange(len(texts)) % 3
+    for k in range(3):
+        here = np.flatnonzero(part != k)
+        if toxic[here].all() or not toxic[here].any():
+            return LIMITS[0]
+        away = np.flatnonzero(part == k)
+        tokens = Tokens(pa.array([texts[i] for i in away], pa.string()))
+        for at, limit in enumerate(LIMITS):
+            model = fit([texts[i] for i in here], toxic[here], limit=limit, epochs=5, chains=10_000)
+            said = model.scores(tokens, model.words(tokens)) >= 0.5
+            right[at] += (said & toxic[away]).sum(), (~said & ~toxic[away]).sum()
+    return LIMITS[int(np.argmax((right / np.maximum([toxic.sum(), (~toxic).sum()], 1)).mean(1)))]
+
+
+def fit(texts: list[str], toxic: np.ndarray, share: float = 0.5, *, limit: float = LIMITS[0], epochs: int = 12, chains: int = 30_000, seed: int = 11) -> Model:
     rng = np.random.default_rng(seed)
     tokens = Tokens(pa.array(texts, pa.string()))
     label = toxic[tokens.row]
@@ -140,12 +181,7 @@ def fit(texts: list[str], toxic: np.ndarray, share: float = 0.5, *, epochs: int
         row, feature = pair // BUCKETS, pair % BUCKETS
         bad = np.bincount(feature[toxic[row]], minlength=BUCKETS)
         good = np.bincount(feature[~toxic[row]], minlength=BUCKETS) * (toxic.sum() / max((~toxic).sum(), 1))
-        # Its share must be beyond chance among all features that are frequent enough to be tried (Chernoff's bound).
-        total = bad + good
-        at = np.clip(bad / np.maximum(total, 1), 1e-9, 1 - 1e-9)
-        beyond = total * (at * np.log(2 * at) + (1 - at) * np.log(2 * (1 - at))) >= np.log(N_FEATURES * max(1, (total >= LEAST_DOCS).sum()))
-        marks = (bad >= LEAST_DOCS) & (at >= LEAST_SHARE) & beyond
-        marked |= marks[tokens.features[:, k]]
+        marked |= marking(bad, good, limit)[tokens.features[:, k]]
     gold = (marked & label).astype(np.float64)
     chain = np.repeat(np.arange(len(tokens.first)), tokens.length)
     has = np.bincount(chain, weights=gold, minlength=len(tokens.first)) > 0
@@ -207,7 +243,8 @@ def fit_documents(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> M
     if not toxic.any() or toxic.all():
         return None
     order = np.argsort(drawn.doc_id.to_numpy(), kind="stable")
-    return fit([drawn.text.iloc[i] for i in order], toxic[order], float(share))
+    texts = [drawn.text.iloc[i] for i in order]
+    return fit(texts, toxic[order], float(share), limit=choose_limit(texts, toxic[order]))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = FIT_ROWS) -> DataFrame:

@@ -360,6 +360,36 @@ def test_toxicity(spark):
     assert {r.score for r in none} == {0.0}
 
 
+def test_toxicity_of_a_rare_language(spark):
+    """Few labels of a second language, whose marks are frequent in them alone, are learned beside many of another."""
+    rng = random.Random(8)
+    other = ["".join(random.Random(9000 + k).choices("qrstuvwxyz", k=6)) for k in range(300)]
+    rows, labels = [], []
+    for k in range(900):
+        rare, bad = k % 12 == 0, rng.random() < 0.4
+        text = [rng.choice(other if rare else VOCABULARY) for _ in range(50)]
+        for _ in range(4 if bad else 0):
+            text.insert(rng.randrange(50), rng.choice(["wwfeo", "wwmalo"] if rare else ["zznasty", "zzvile", "zzrude"]))
+        rows.append((k, " ".join(text)))
+        labels.append((k, int(bad)))
+    got = toxicity.toxicity_scores(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).where("held_out").collect()
+    truth = dict(labels)
+    for rare in (True, False):
+        mine = [r.predicted for r in got if (r.doc_id % 12 == 0) == rare and truth[r.doc_id]]
+        assert len(mine) > 3 and np.mean(mine) >= 0.9
+    assert np.mean([r.predicted for r in got if not truth[r.doc_id]]) <= 0.03
+
+
+def test_contaminated_rows_without_an_id_go(spark):
+    item = "the quick brown fox jumps over the lazy dog and runs far away from every hound in town"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, f"so {item} it ends"), (None, "another text without an id"), (7, f"again {item}"), (7, "the same id with a harmless text"), (8, None)]
+    kept = sorted((str(r.doc_id), r.text or "") for r in decontaminate.drop_contaminated(frame(spark, rows), bench).collect())
+    assert kept == [("7", "the same id with a harmless text"), ("8", ""), ("None", "another text without an id")]
+    assert decontaminate.drop_contaminated(frame(spark, rows), bench).columns == frame(spark, rows).columns
+    assert decontaminate.drop_contaminated(frame(spark, []), bench).count() == 0
+
+
 def test_marginals_against_enumeration():
     import itertools
 
