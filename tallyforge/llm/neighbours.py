@@ -30,13 +30,14 @@ come; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
 import math
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import blocks
@@ -44,6 +45,8 @@ from . import blocks
 NEAREST, QUERY_STEP = 20, 20
 SAMPLE, TREES, DEPTH, CHUNK, FROM_CHUNK = 8192, 8, 9, 1024, 24
 DEGREE, BACK = 48, 32
+#: Rows that a Python worker gets at a time.
+BATCH = 1024
 #: Neighbourhoods whose finds are merged before they are passed on: few, so that what is passed on grows in step with the nodes.
 JOINED = 64
 #: Rounds of NN-descent end when a smaller share of entries changes, or after so many.
@@ -321,6 +324,18 @@ def search(tables: blocks.Tables, asked: DataFrame, graph: DataFrame, codes: Dat
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Neighbourhoods are some kilobytes a row: Python workers get few of them at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def nearest(vectors: DataFrame, step: int = QUERY_STEP, most: int = NEAREST) -> DataFrame:
     """(query_id, rank, vec_id, score) of the `most` nearest found for every id that `step` divides."""
     spark = vectors.sparkSession
@@ -337,7 +352,8 @@ def nearest(vectors: DataFrame, step: int = QUERY_STEP, most: int = NEAREST) ->
     codes = tables.keep(coded, "codes")
     own = tables.keep(rows.where(F.col("vec_id") % step == 0).join(nodes.select("node", "v"), "v").select(F.col("vec_id").alias("query_id"), "node"), "queries")
     asked = codes.select("node", "query").join(own.select("node").distinct(), "node", "left_semi")
-    found = search(tables, asked, build(tables, codes, square.n), codes, square.n)
+    with _small_batches(spark):
+        found = tables.keep(search(tables, asked, build(tables, codes, square.n), codes, square.n), "found")
 
     # Exact products; a query's own node stays a candidate for its other copies.
     pairs = tables.keep(asked.select("node", F.col("node").alias("near")).unionByName(found), "pairs")
