@@ -7,7 +7,9 @@ else the one row that is near in amount and date (`assign`).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import BLANK, strip
@@ -16,6 +18,43 @@ from .assign import CLASS, SPOT, close, dated, decide, exact_sum, has_number, ne
 from .lineage import cut
 
 
+class CoverageError(Exception):
+    """Rows went in that didn't come back out."""
+
+
+class Coverage:
+    """Counts of what went into a reconciliation and came out of it, taken from the one run that writes the results."""
+
+    def __init__(self):
+        self.invoices, self.ledger, self.results, self.left = (Observation() for _ in range(4))
+
+    def counts(self, invoices: DataFrame, ledger: DataFrame) -> dict[str, tuple[int, int]]:
+        """{side: (went in, came out)} once results are written. A side that Spark could leave out of the plan, as the other is empty, is counted."""
+        seen = lambda watched, df: n if (n := watched.get.get("n")) is not None else df.count()
+        out = self.results.get
+        return {"invoices": (seen(self.invoices, invoices), out.get("n", 0)), "ledger rows": (seen(self.ledger, ledger), out.get("rows", 0) + self.left.get.get("n", 0))}
+
+    def verify(self, invoices: DataFrame, ledger: DataFrame) -> None:
+        for side, (went_in, came_out) in self.counts(invoices, ledger).items():
+            if went_in != came_out:
+                raise CoverageError(f"{went_in} {side} went in, {came_out} came back out: {went_in - came_out} were dropped.")
+
+
+def write_results(invoices: DataFrame, ledger: DataFrame, path: str) -> None:
+    """Reconcile and write the results as Parquet. They get their name only if nothing was dropped; else there is an error and no result."""
+    spark = invoices.sparkSession
+    watch, half = Coverage(), f"{path}.{uuid.uuid4().hex}"
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = name(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        reconcile(invoices, ledger, watch).write.parquet(half)
+        watch.verify(invoices, ledger)
+        if store.exists(name(path)) or not store.rename(name(half), name(path)):
+            raise FileExistsError(path)
+    finally:
+        store.delete(name(half), True)
+
+
 def reference_tokens(reference: Column) -> Column:
     """Parts of a reference between white space of any kind, commas, semicolons, plus signs, slashes and ampersands."""
     return F.split(strip(reference), rf"(?U)[{BLANK},;+/&]+")
@@ -75,26 +114,38 @@ def near_pairs(invoices: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def assign(invoices: DataFrame, ledger: DataFrame) -> DataFrame:
-    """(inv_ord, row_index, extra, kind): what each invoice takes; kind is combined, instalments, match, none or skipped."""
+    """(inv_ord, row_index, extra, kind, leads): what each invoice takes; kind is combined, instalments, match, none or skipped.
+
+    Of the invoices of a combined payment the first one `leads`, so that each row counts once.
+    """
     combined = cut(combined_payments(invoices, ledger))
     rows = ledger.join(combined.select("row_index").distinct(), "row_index", "left_anti")
     open_ = cut(invoices.where(searchable()).join(combined.select("inv_ord"), "inv_ord", "left_anti").select("inv_ord", "invoice_number", "vendor", "invoice_date", "amount"))
     rows = cut(rows.select("row_index", "ledger_date", "description", "reference", "amount"))
     none = F.array().cast("array<int>")
-    in_sets = combined.select("inv_ord", "row_index", none.alias("extra"), F.lit("combined").alias("kind"))
+    first = combined.groupBy("row_index").agg(F.min("inv_ord").alias("first"))
+    in_sets = combined.join(first, "row_index").select("inv_ord", "row_index", none.alias("extra"), F.lit("combined").alias("kind"), (F.col("inv_ord") == F.col("first")).alias("leads"))
     skipped = invoices.where(~searchable()).join(combined.select("inv_ord"), "inv_ord", "left_anti")
     skipped = skipped.select("inv_ord", F.lit(None).cast("int").alias("row_index"), none.alias("extra"), F.lit("skipped").alias("kind"))
-    return cut(decide(open_, rows).unionByName(in_sets).unionByName(skipped))
+    return cut(decide(open_, rows).unionByName(skipped).withColumn("leads", F.lit(True)).unionByName(in_sets))
+
 
+def reconcile(invoices: DataFrame, ledger: DataFrame, watch: Coverage | None = None) -> DataFrame:
+    """(result_ord, invoice, ledger_row, flags, extra_rows): one result for each invoice, in order, then the rows left over.
 
-def reconcile(invoices: DataFrame, ledger: DataFrame) -> DataFrame:
-    """(result_ord, invoice, ledger_row, flags, extra_rows): one result for each invoice, in order, then the rows left over."""
+    `watch` sees what goes in and comes out as the results are written.
+    """
     taken = assign(invoices, ledger)
     row = F.struct("row_index", "ledger_date", "description", "reference", "amount")
     rows = ledger.select(F.col("row_index").alias("_row"), row.alias("ledger_row"))
     more = taken.select("inv_ord", F.explode("extra").alias("_row")).join(rows, "_row").groupBy("inv_ord").agg(F.array_sort(F.collect_list("ledger_row")).alias("extra_rows"))
     copies = duplicate_numbers(invoices)
-    full = invoices.join(taken.select("inv_ord", F.col("row_index").alias("_row"), "kind"), "inv_ord").join(rows, "_row", "left").join(more, "inv_ord", "left").join(copies, "invoice_number", "left")
+    one = F.count(F.lit(1)).alias
+    seen = invoices.observe(watch.invoices, one("n")) if watch else invoices
+    full = seen.join(taken.select("inv_ord", F.col("row_index").alias("_row"), "kind", "leads"), "inv_ord").join(rows, "_row", "left").join(more, "inv_ord", "left").join(copies, "invoice_number", "left")
+    if watch:
+        held = F.count_if(F.col("leads") & F.col("ledger_row").isNotNull()) + F.coalesce(F.sum(F.size(F.coalesce("extra_rows", F.array()))), F.lit(0))
+        full = full.observe(watch.results, one("n"), held.alias("rows"))
     mismatch = (F.col("kind") == "match") & F.col("amount").isNotNull() & ~close(F.col("amount"), F.col("ledger_row.amount"))
     about = F.when(F.col("kind") == "combined", COMBINED).when(F.col("kind") == "instalments", INSTALMENTS).when(F.col("kind") == "none", NO_LEDGER_ENTRY).when(mismatch, AMOUNT_MISMATCH)
     flags = F.array_compact(F.array(F.when(unreadable(None), UNREADABLE), about, F.when(F.col("copies").isNotNull(), DUPLICATE)))
@@ -102,7 +153,8 @@ def reconcile(invoices: DataFrame, ledger: DataFrame) -> DataFrame:
     inv = F.struct("inv_ord", "source_file", "invoice_number", "vendor", "invoice_date", "amount", "extraction_method")
     matched = full.select(F.struct(F.lit(0).alias("side"), F.col("inv_ord").alias("ord")).alias("result_ord"), inv.alias("invoice"), "ledger_row", flags.alias("flags"), F.coalesce("extra_rows", empty).alias("extra_rows"))
     used = taken.select(F.col("row_index").alias("_row")).unionByName(taken.select(F.explode("extra").alias("_row"))).where("_row is not null").distinct()
-    left = rows.join(used, "_row", "left_anti")
+    left = (rows.observe(watch.ledger, one("n")) if watch else rows).join(used, "_row", "left_anti")
+    left = left.observe(watch.left, one("n")) if watch else left
     left = left.select(
         F.struct(F.lit(1).alias("side"), F.col("_row").cast("long").alias("ord")).alias("result_ord"),
         F.lit(None).cast(matched.schema["invoice"].dataType).alias("invoice"), "ledger_row", F.array(F.lit(NO_INVOICE)).alias("flags"), F.lit(None).cast(ledger_array).alias("extra_rows"),
@@ -114,9 +166,6 @@ def status(flags: Column) -> Column:
     return F.when(F.size(flags) == 0, "matched").otherwise(F.array_join(flags, ", "))
 
 
-class CoverageError(Exception):
-    """Rows went in that didn't come back out."""
-
 
 def coverage(invoices: DataFrame, ledger: DataFrame, results: DataFrame) -> DataFrame:
     """(side, went_in, came_out) for invoices and ledger rows."""

@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..functions.similarity import vendor_contained
 from ..operators import extract, match, report, statement
 from ..operators import ledger as sheets
+from ..operators.lineage import spread
 from ..operators.lines import line_totals
 from ..sources import documents
 from .fixtures import PAGE_VENDOR, RESULTS, VIEWS, invoices, ledger, page_invoices
@@ -86,6 +87,37 @@ def best_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source_file", "invoice_number", "vendor", F.date_format("invoice_date", "yyyy-MM-dd").alias("invoice_date"), "amount", "extraction_method")
 
 
+def staged_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three attempts at each page one after another, each of which misses other fields, and none after one that has all four."""
+    pages = spread(page_invoices(spark, sf_dir), "inv_ord")
+
+    def attempt(n: int):
+        def read(open_: DataFrame) -> DataFrame:
+            line = lambda label, m, c: F.concat(F.lit(label), F.when((F.col("inv_ord") * n) % m != 0, c))
+            lines = [line("From: ", 4, F.col("vendor")), line("Invoice No: ", 3, F.col("invoice_number"))]
+            lines += [line("Invoice date: ", 5, F.date_format("invoice_date", "yyyy-MM-dd")), line("Total due: ", 2, X.format_amount(F.col("amount"), F.lit("plain")))]
+            return open_.select("source_file", F.concat_ws("\n", F.lit(f"page {n}"), *lines).alias("text"))
+
+        return read
+
+    return extract.staged_readings(pages, [attempt(n) for n in (1, 2, 3)]).select("source_file", "attempt", "fields")
+
+
+def flag_meanings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each kind of flag with its label, its meaning and how often it was raised."""
+    counts = report.flag_counts(_results(spark, sf_dir))
+    return counts.select("flag", report.flag_label(F.col("flag")).alias("label"), report.flag_meaning(F.col("flag")).alias("meaning"), "n")
+
+
+def impossible_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days up to 31 in every month: a date that no calendar has isn't read."""
+    k = F.col("inv_ord")
+    day, month, year = F.lpad((k % 31 + 1).cast("string"), 2, "0"), F.lpad((k % 12 + 1).cast("string"), 2, "0"), F.date_format("invoice_date", "yyyy")
+    written = F.when(k % 2 == 0, F.concat_ws("-", year, month, day)).otherwise(F.concat_ws("/", day, month, year))
+    lines = F.concat_ws("\n", F.lit("page one"), F.concat(F.lit("Invoice date: "), F.when(year.isNotNull(), written)))
+    return _fields(invoices(spark, sf_dir).select("inv_ord", "source_file", lines.alias("text"))).select("inv_ord", "invoice_date")
+
+
 def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat("inv_ord", F.element_at(F.array(*map(F.lit, _ENDS)), (F.col("inv_ord") % len(_ENDS) + 1).cast("int")))
     return invoices(spark, sf_dir).groupBy(documents.file_kind(name).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
@@ -150,7 +182,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         report_detail, report_summary_lines, console_line, statement_ages, amount_round_trip, invoice_line_totals, hinted_dates, unlabelled_vendors,
-        best_readings, file_kinds, page_texts, ledger_layouts, named_vendors,
+        best_readings, file_kinds, page_texts, ledger_layouts, named_vendors, staged_readings, flag_meanings, impossible_dates,
     )
 }
 
@@ -165,6 +197,7 @@ _GROUPED = "CASE WHEN amount IS NULL THEN NULL ELSE format('{:,.2f}', CASE WHEN
 _SUM = "CAST(sum(CAST(round(CASE WHEN outstanding > 0 THEN outstanding ELSE 0 END * 100) AS bigint)) AS bigint) / 100"
 _COUNTS = "count(*) AS total, count(*) FILTER (status = 'matched') AS clean"
 _AGE_LABEL = "CASE bucket " + " ".join(f"WHEN '{b}' THEN '{v}'" for b, v in statement.AGE_LABELS.items()) + " END"
+_MEANING = "CASE flag " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in report.FLAG_MEANINGS.items()) + " END"
 _KEPT = {"invoice_number": 3, "vendor": 4, "invoice_date": 5, "amount": 2}
 _READ = ", ".join(f"CASE WHEN (inv_ord * attempt) % {m} != 0 THEN {c} END AS {c}" for c, m in _KEPT.items())
 _FIELDS = " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE 1 END" for c in _KEPT)
@@ -185,6 +218,11 @@ ORACLES = {
     "unlabelled_vendors": f"WITH {VIEWS} SELECT inv_ord, {PAGE_VENDOR} AS vendor FROM inv",
     "best_readings": f"WITH {VIEWS}, tries AS (SELECT source_file, attempt, concat('ocr', attempt) AS extraction_method, {_READ} FROM (SELECT *, unnest([1, 2, 3]) AS attempt FROM inv)) "
     f"SELECT source_file, invoice_number, vendor, strftime(invoice_date, '%Y-%m-%d') AS invoice_date, amount, extraction_method FROM tries QUALIFY row_number() OVER (PARTITION BY source_file ORDER BY {_FIELDS} DESC, attempt) = 1",
+    "staged_readings": f"WITH {VIEWS}, pages AS (SELECT * REPLACE ({PAGE_VENDOR} AS vendor) FROM inv), tries AS (SELECT source_file, attempt, {_FIELDS} AS fields FROM (SELECT source_file, attempt, {_READ} FROM (SELECT *, unnest([1, 2, 3]) AS attempt FROM pages))), "
+    "made AS (SELECT *, coalesce(max(fields) OVER (PARTITION BY source_file ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM tries) "
+    "SELECT source_file, attempt, fields FROM made WHERE before < 4 QUALIFY row_number() OVER (PARTITION BY source_file ORDER BY fields DESC, attempt) = 1",
+    "flag_meanings": RESULTS + f"SELECT flag, {_labelled('flag')} AS label, {_MEANING} AS meaning, count(*) AS n FROM (SELECT unnest(string_split(status, ', ')) AS flag FROM results) WHERE flag != 'matched' GROUP BY flag",
+    "impossible_dates": f"WITH {VIEWS} SELECT inv_ord, strftime(try_cast(concat(strftime(invoice_date, '%Y'), '-', lpad(CAST(inv_ord % 12 + 1 AS varchar), 2, '0'), '-', lpad(CAST(inv_ord % 31 + 1 AS varchar), 2, '0')) AS date), '%Y-%m-%d') AS invoice_date FROM inv",
     "file_kinds": f"WITH {VIEWS}, f AS (SELECT lower(concat(inv_ord, {list(_ENDS)}[inv_ord % {len(_ENDS)} + 1])) AS name FROM inv) "
     "SELECT CASE WHEN suffix(name, '.pdf') THEN 'pdf' WHEN suffix(name, '.xlsx') OR suffix(name, '.xlsm') OR suffix(name, '.xls') OR suffix(name, '.csv') THEN 'spreadsheet' ELSE 'ignored' END AS kind, count(*) AS n FROM f GROUP BY 1",
     "page_texts": f"WITH {VIEWS} SELECT source_file, concat(coalesce({PAGE_VENDOR}, 'Unknown'), chr(10), concat_ws(' ', 'Invoice No:', invoice_number), chr(10), 'Read by text layer') AS text FROM inv",

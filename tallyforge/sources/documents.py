@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.lineage import numbered
+from ..operators.extract import staged_readings
+from ..operators.lineage import cut, numbered
 
 
 def file_kind(name: Column) -> Column:
@@ -27,6 +28,8 @@ def check_inputs(files: DataFrame) -> None:
     if sheets != 1 or not pdfs:
         ignored = f"; ignored {counts['ignored'].n} files such as {counts['ignored'].one}" if "ignored" in counts else ""
         raise InputError(f"one ledger and at least one invoice are needed, not {sheets} and {pdfs}{ignored}")
+    if counts["spreadsheet"].one.lower().endswith(".xls"):
+        raise InputError(f"{counts['spreadsheet'].one} is a workbook of the old binary format; save it as .xlsx or .csv")
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -39,34 +42,49 @@ def _ordered(rows: DataFrame) -> DataFrame:
     return numbered(rows, "path").withColumnRenamed("n", "inv_ord").drop("path")
 
 
-def read_invoices(spark: SparkSession, folder: str, text_layer: Callable[[bytes], str | None], ocr: Callable[[bytes], str | None] | None = None) -> DataFrame:
-    """(source_file, text, method, inv_ord) of the PDFs of a folder.
+Reader = Callable[[bytes], str | None]
 
-    `text_layer` reads a file's first page; `ocr` is asked only where it finds
-    nothing. A file that neither can read stays, without a text and with the
-    method `none`; no file can fail the job.
-    """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder).select("path", "content")
 
-    def attempt(reader: Callable[[bytes], str | None] | None, data: bytes) -> str | None:
-        try:
-            return reader(bytes(data)) if reader else None
-        except Exception:  # a damaged file reads as nothing
-            return None
+def _reading(files: DataFrame, reader: Reader) -> DataFrame:
+    """(path, source_file, text): what one reader finds; a file that it can't read has no text."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for path, data in zip(batch.path, batch.content, strict=True):
-                text, method = attempt(text_layer, data), "text"
-                if not (text or "").strip():
-                    text, method = attempt(ocr, data), "ocr"
-                if not (text or "").strip():
-                    text, method = None, "none"
-                out.append((path, path.rsplit("/", 1)[-1], text, method))
-            yield pd.DataFrame(out, columns=["path", "source_file", "text", "method"])
-
-    return _ordered(files.mapInPandas(read, "path string, source_file string, text string, method string"))
+                try:
+                    text = reader(bytes(data))
+                except Exception:  # a damaged file reads as nothing
+                    text = None
+                out.append((path, path.rsplit("/", 1)[-1], text if (text or "").strip() else None))
+            yield pd.DataFrame(out, columns=["path", "source_file", "text"])
+
+    return files.select("path", "content").mapInPandas(read, "path string, source_file string, text string")
+
+
+def read_invoices(spark: SparkSession, folder: str, text_layer: Reader, ocr: Reader | Sequence[Reader] | None = None) -> DataFrame:
+    """(source_file, text, method, inv_ord) of the PDFs of a folder.
+
+    `text_layer` reads a file's first page. Only files where it finds nothing go
+    through `ocr`, one reader or several in the order in which they are tried: a
+    file goes on to the next only as long as no reading has given all four
+    fields, and keeps the reading of most fields, the earliest of equal ones. A
+    file that nobody can read stays, without a text and with the method `none`;
+    no file can fail the job.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder).select("path", "content")
+    layer = cut(_reading(files, text_layer))
+    readers = [ocr] if callable(ocr) else list(ocr or [])
+    blank = layer.where(F.col("text").isNull()).select("path")
+
+    def tried(reader: Reader) -> Callable[[DataFrame], DataFrame]:
+        return lambda open_: _reading(files.join(open_.select("path"), "path", "left_semi"), reader).drop("source_file")
+
+    best = staged_readings(blank, [tried(r) for r in readers], "path") if readers else None
+    found = layer.select("path", "source_file", F.col("text").alias("layer"))
+    found = found.join(best.select("path", F.col("text").alias("read")), "path", "left") if best is not None else found.withColumn("read", F.lit(None).cast("string"))
+    method = F.when(F.col("layer").isNotNull(), "text").when(F.col("read").isNotNull(), "ocr").otherwise("none")
+    return _ordered(found.select("path", "source_file", F.coalesce("layer", "read").alias("text"), method.alias("method")))
 
 
 # Points within which fragments share a line, and beyond which a gap is a space.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import io
+import json
 import re
 import zipfile
 from collections.abc import Iterable, Iterator
@@ -42,7 +43,9 @@ def workbook_rows(data: bytes, sheet: str | None = None) -> Iterator[tuple[int,
     """(row number, cells) of one sheet, the first by default, with the values as last computed."""
     with zipfile.ZipFile(io.BytesIO(data)) as book:
         names = ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_MAIN}sheet")
-        chosen = next(s for s in names if sheet is None or s.get("name") == sheet)
+        chosen = next((s for s in names if sheet is None or s.get("name") == sheet), None)
+        if chosen is None:
+            raise ValueError(f"no sheet {sheet}" if sheet else "no sheet")
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
         target = targets[chosen.get(f"{_REL}id")].lstrip("/")
         shared = []
@@ -85,16 +88,27 @@ def _cell(c, shared: list[str], dated: set[int]):
 
 
 def read_workbooks(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """(sheet, row_index, cells) of one or many workbooks; `sheet` is the file, blank rows keep their number."""
+    """(sheet, row_index, cells, error) of one or many workbooks; `sheet` is the file, blank rows keep their number.
+
+    A file that can't be read is one row of number 0 with its error; no file fails the job.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, data in zip(batch.path, batch.content, strict=True):
-                rows = [(name, at, cells) for at, cells in workbook_rows(bytes(data), sheet)]
-                yield pd.DataFrame(rows, columns=["sheet", "row_index", "cells"])
+                try:
+                    rows = [(name, at, cells, None) for at, cells in workbook_rows(bytes(data), sheet)]
+                except Exception as e:  # damaged, encrypted, or no workbook
+                    rows = [(name, 0, None, f"{type(e).__name__}: {e}"[:500])]
+                yield pd.DataFrame(rows, columns=["sheet", "row_index", "cells", "error"])
+
+    return files.mapInPandas(read, f"{GRID}, error string")
 
-    return files.mapInPandas(read, GRID)
+
+def unread(grid: DataFrame) -> DataFrame:
+    """(sheet, error) of the files that couldn't be read."""
+    return grid.where(F.col("error").isNotNull()).select("sheet", "error")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -138,8 +152,12 @@ def _xml_cell(value, style: int) -> str:
     return f'<c s="{style}" t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>'
 
 
-def write_workbook(path: str, sheets: dict[str, Iterable[tuple[list, int]]]) -> None:
-    """Write sheets of (values, style) rows: style 0 plain, 1 head, 2 clean, 3 flagged. Rows are streamed, not gathered."""
+def row_xml(values: Iterable, style: int) -> str:
+    return "<row>" + "".join(_xml_cell(v, style) for v in values) + "</row>"
+
+
+def write_workbook(path, sheets: dict[str, Iterable[tuple[list, int] | str]]) -> None:
+    """Write sheets of (values, style) rows, or of rows that are XML already: style 0 plain, 1 head, 2 clean, 3 flagged. Rows are streamed, not gathered."""
     names = list(sheets)
     head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
     main, office = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -155,25 +173,39 @@ def write_workbook(path: str, sheets: dict[str, Iterable[tuple[list, int]]]) ->
         for k, n in enumerate(names, 1):
             with book.open(f"xl/worksheets/sheet{k}.xml", "w") as f:
                 f.write(f'{head}<worksheet xmlns="{main}"><sheetData>'.encode())
-                for values, style in sheets[n]:
-                    f.write(("<row>" + "".join(_xml_cell(v, style) for v in values) + "</row>").encode())
+                for row in sheets[n]:
+                    f.write((row if isinstance(row, str) else row_xml(*row)).encode())
                 f.write(b"</sheetData></worksheet>")
 
 
-def write_report(path: str, results: DataFrame) -> None:
-    """The workbook with the sheets Summary and Detail. For reports that people read; large ones go to Parquet by report.detail()."""
+def _summary_rows(results: DataFrame) -> list[tuple[list, int]]:
     from ..operators import report
 
     total = report.summary(results).first()
-    counts = report.flag_counts(results).orderBy("flag").collect()
-    rate = "n/a" if total.match_rate is None else f"{total.match_rate:.0%}"
-    summary = [(["Reconciliation Summary"], 1), ([], 0), *[([k, v], 0) for k, v in (("Total items", total.total), ("Matched clean", total.matched), ("Flagged", total.flagged), ("Match rate", rate))], ([], 0), *[([f"  {r.flag}", r.n], 0) for r in counts]]
-    columns = ["status", "invoice_number", "vendor", "invoice_date", "invoice_amount", "ledger_row", "ledger_date", "ledger_description", "ledger_amount", "source_file", "read_via"]
-    rows = report.detail(results).orderBy("result_ord").select(*columns).toLocalIterator()
-    detail = ((list(r), 2 if r.status == "matched" else 3) for r in rows)
-    from itertools import chain
+    counts = report.flag_counts(results).orderBy("flag").collect()  # one row for each kind of flag
+    rate = "n/a" if total.match_rate is None else f"{int(total.match_rate * 100 + 0.5)}%"
+    head = [(["Reconciliation Summary"], 1), ([], 0), *[([k, v], 0) for k, v in (("Total items", total.total), ("Matched clean", total.matched), ("Flagged", total.flagged), ("Match rate", rate))], ([], 0)]
+    flags = [([f"  {report.FLAG_LABELS.get(r.flag, r.flag)}", r.n], 0) for r in counts]
+    now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+    return [*head, *flags, ([], 0), (["Generated", now], 0), (["Note", report.NOTE], 0)]
+
 
-    write_workbook(path, {"Summary": summary, "Detail": chain([(list(report.DETAIL_COLUMNS), 1)], detail)})
+def write_report(path: str, results: DataFrame, labels: bool = False) -> None:
+    """The workbook with the sheets Summary and Detail, through the sink: tasks write the rows, the driver only the summary.
+
+    With `labels` the status column shows the flags' labels instead of their names.
+    """
+    from ..operators import report
+    from .sink import WorkbookSink
+
+    spark = results.sparkSession
+    spark.dataSource.register(WorkbookSink)
+    columns = ["status", "invoice_number", "vendor", "invoice_date", "invoice_amount", "ledger_row", "ledger_date", "ledger_description", "ledger_amount", "source_file", "read_via"]
+    rows = report.detail(results).orderBy("result_ord")
+    if labels:
+        rows = rows.withColumn("status", F.when(F.col("status") == "matched", F.col("status")).otherwise(F.col("label")))
+    out = rows.select(*columns).write.format(WorkbookSink.name()).mode("overwrite")
+    out.option("status", "status").option("titles", json.dumps(report.DETAIL_COLUMNS)).option("before", json.dumps([["Summary", _summary_rows(results)]])).save(path)
 
 
 def manifest_files(spark: SparkSession, path: str) -> DataFrame:

@@ -25,17 +25,20 @@ def test_pages(spark):
 
 
 def test_fields_of_documents(spark, tmp_path):
+    """Heads in front of prose of any kind are read whole, and missing ones aren't made up."""
+    duckdb = pytest.importorskip("duckdb")
     from tallyforge.plans import catalog
 
-    rows = [(k, t) for k, (t, _) in enumerate(PAGES.values())]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: (r.invoice_number, r.vendor, r.invoice_date, r.amount) for r in catalog.QUERIES["document_field_values"](spark, str(tmp_path)).collect()}
-    assert got == dict(enumerate(v for _, v in PAGES.values()))
-    counted = catalog.QUERIES["document_fields"](spark, str(tmp_path))
-    assert [tuple(r) for r in counted.collect()] == [(len(PAGES),)]
-    # Its count needs the texts and all four fields.
-    plan = counted._jdf.queryExecution().optimizedPlan().toString()
-    assert "text#" in plan and all(f"isnotnull({c}#" in plan for c in ("invoice_number", "vendor", "invoice_date", "amount"))
+    rows = [(k, t) for k, t in enumerate([None, "", "plain prose. " * 3000, "two\nlines", "émigré 漢字"] * 9)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("document_field_values", "document_fields"):
+        got = catalog.QUERIES[name](spark, str(tmp_path))
+        cur = con.execute(catalog.ORACLES[name])
+        names = [x[0] for x in cur.description]
+        at = [names.index(c) for c in got.columns]
+        assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, (tuple(r[k] for k in at) for r in cur.fetchall()))), name
 
 
 def test_amounts_and_dates(spark):
@@ -137,3 +140,73 @@ def test_queries_match_sql(spark):
         names = [x[0] for x in cur.description]
         at = [names.index(c) for c in df.columns]
         assert sorted(map(str, ([*r] for r in df.collect()))) == sorted(map(str, ([r[k] for k in at] for r in cur.fetchall()))), name
+
+
+def test_staged_readers_stop_early(spark, tmp_path):
+    """Each reader is asked only for files of which no reading so far had all four fields."""
+    whole, part = PAGES["plain"][0], "Invoice No: HG-2041"
+    for name, data in (("a.pdf", "layer"), ("b.pdf", "first"), ("c.pdf", "second"), ("d.pdf", "never"), ("e.pdf", "equal"), ("f.pdf", "broken")):
+        (tmp_path / name).write_bytes(data.encode())
+    asked = [spark.sparkContext.accumulator(0) for _ in range(3)]
+
+    def reader(k, of):
+        def read(data):
+            asked[k].add(1)
+            if data == b"broken" and k == 0:
+                raise ValueError
+            return of.get(data.decode())
+
+        return read
+
+    readers = [reader(0, {"first": whole, "second": part, "equal": part + "\n1"}), reader(1, {"second": whole, "equal": part + "\n2"}), reader(2, {"broken": part})]
+    got = documents.read_invoices(spark, str(tmp_path), lambda d: "words" if d == b"layer" else None, readers).orderBy("inv_ord").collect()
+    assert [(r.source_file, r.text, r.method) for r in got] == [
+        ("a.pdf", "words", "text"), ("b.pdf", whole, "ocr"), ("c.pdf", whole, "ocr"), ("d.pdf", None, "none"), ("e.pdf", part + "\n1", "ocr"), ("f.pdf", part, "ocr"),
+    ]
+    assert [a.value for a in asked] == [5, 4, 3]
+
+
+def test_damaged_workbooks_stay_apart(spark, tmp_path):
+    sheets.write_workbook(str(tmp_path / "good.xlsx"), {"Ledger": [(["Date", "Description", "Amount"], 1), ([None, "x", 5], 0)]})
+    (tmp_path / "bad.xlsx").write_bytes(b"no workbook")
+    grid = sheets.read_workbooks(spark, str(tmp_path)).cache()
+    assert [(r.description, r.amount) for r in ledger_rows(grid).collect()] == [("x", 5.0)]
+    errors = sheets.unread(grid).collect()
+    assert len(errors) == 1 and errors[0].sheet.endswith("bad.xlsx") and "BadZipFile" in errors[0].error
+    old = spark.createDataFrame([("a.pdf",), ("Ledger.XLS",)], "name string")
+    with pytest.raises(documents.InputError, match="Ledger.XLS"):
+        documents.check_inputs(old)
+
+
+def test_report_through_the_sink(spark, tmp_path):
+    import zipfile
+
+    from tallyforge.model import INVOICE, LEDGER_ROW
+    from tallyforge.operators import match, report
+
+    day = datetime.date(2025, 1, 1)
+    invoices = [(k, f"{k:04}.pdf", f"N-{k}", "A & <B>", day, float(k), "text") for k in range(300)]
+    ledger = [(k + 2, day, "=1+1", f"N-{k}", float(k) + (5 if k % 7 == 0 else 0)) for k in range(0, 300, 2)]
+    results = match.reconcile(spark.createDataFrame(invoices, INVOICE), spark.createDataFrame(ledger, LEDGER_ROW)).cache()
+    path = str(tmp_path / "report.xlsx")
+    sheets.write_report(path, results)
+    assert [p.name for p in tmp_path.iterdir()] == ["report.xlsx"]
+    with zipfile.ZipFile(path) as book:
+        assert book.testzip() is None
+    rows = [[c and c[1] if c and c[0] == "string" else c and c[2] for c in cells] for _, cells in sheets.workbook_rows((tmp_path / "report.xlsx").read_bytes(), "Detail")]
+    want = report.detail(results).orderBy("result_ord").select("status", "invoice_number", "vendor", "invoice_date", "invoice_amount", "ledger_row", "ledger_date", "ledger_description", "ledger_amount", "source_file", "read_via").collect()
+    assert rows[0] == list(report.DETAIL_COLUMNS) and len(rows) == len(want) + 1
+    for mine, other in zip(rows[1:], want, strict=True):
+        assert mine + [None] * (11 - len(mine)) == list(other)
+    summary = {cells[0][1]: cells[1] for _, cells in sheets.workbook_rows((tmp_path / "report.xlsx").read_bytes(), "Summary") if len(cells) == 2}
+    assert summary["Total items"][2] == 300 and "Generated" in summary and summary["Note"][1] == report.NOTE
+
+
+def test_failed_report_leaves_nothing(spark, tmp_path):
+    from tallyforge.sources.sink import WorkbookSink
+
+    spark.dataSource.register(WorkbookSink)
+    bad = spark.range(100).repartition(4).select(F.when(F.col("id") == 50, F.raise_error(F.lit("no"))).otherwise(F.col("id").cast("string")).alias("a"))
+    with pytest.raises(Exception, match="no"):
+        bad.write.format("tally_workbook").mode("overwrite").save(str(tmp_path / "r.xlsx"))
+    assert list(tmp_path.iterdir()) == []

@@ -237,6 +237,23 @@ def test_coverage_error(spark, results):
         match.assert_coverage(invoices, spark.createDataFrame([], LEDGER_ROW), results.limit(0))
 
 
+def test_results_are_final_only_if_covered(spark, tmp_path, monkeypatch):
+    invoices = spark.createDataFrame([(k, f"{k:03}.pdf", n, v, None if d is None else day(d), a, "text") for k, (n, v, d, a) in enumerate(INVOICES)], INVOICE)
+    ledger = spark.createDataFrame([(k, day(d), t, r, a) for k, (d, t, r, a) in enumerate(LEDGER, 2)], LEDGER_ROW)
+    match.write_results(invoices, ledger, str(tmp_path / "good"))
+    assert spark.read.parquet(str(tmp_path / "good")).count() == 26
+    whole = match.assign
+    monkeypatch.setattr(match, "assign", lambda i, r: whole(i, r).where("inv_ord != 3"))
+    with pytest.raises(match.CoverageError, match="20 invoices went in, 19 came back out"):
+        match.write_results(invoices, ledger, str(tmp_path / "bad"))
+    monkeypatch.setattr(match, "assign", whole)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["good"]
+    none = spark.createDataFrame([], INVOICE)
+    match.write_results(none, ledger, str(tmp_path / "rows"))
+    match.write_results(none, spark.createDataFrame([], LEDGER_ROW), str(tmp_path / "nothing"))
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == len(LEDGER) and spark.read.parquet(str(tmp_path / "nothing")).count() == 0
+
+
 def test_empty(spark):
     out = match.reconcile(spark.createDataFrame([], INVOICE), spark.createDataFrame([], LEDGER_ROW))
     assert out.count() == 0 and report.summary(out).first().match_rate is None
