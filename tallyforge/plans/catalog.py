@@ -93,7 +93,7 @@ def extracted_fields(spark, sf_dir):
 
 
 def extraction_accuracy(spark, sf_dir):
-    truth = page_invoices(spark, sf_dir).select(F.col("source_file").alias("file"), "vendor", "invoice_number", "invoice_date", "amount", F.lit("").alias("scanned"), F.concat(F.lit("t"), F.col("inv_ord") % 3).alias("template"))
+    truth = page_invoices(spark, sf_dir).select(F.col("source_file").alias("file"), "vendor", "invoice_number", "invoice_date", "amount", F.when(F.col("extraction_method") == "ocr", "phone").otherwise("").alias("scanned"), F.concat(F.lit("t"), F.col("inv_ord") % 3).alias("template"))
     return extract.score_against_truth(extract.extract_invoices(doc_text(spark, sf_dir)), truth)
 
 
@@ -203,8 +203,8 @@ ORACLES = {
     "combined_payments": RESULTS + "SELECT inv_ord, row_index FROM combined",
     "near_pairs": f"WITH {VIEWS} SELECT inv_ord, row_index FROM (SELECT *, unnest([-2, -1, 0, 1, 2]) AS dc FROM inv) inv JOIN led ON floor(led.amount * 100) = floor(inv.amount * 100) + dc AND abs(led.amount - inv.amount) <= 0.01 AND abs(ledger_date - invoice_date) <= 5",
     "latest_date": RESULTS + "SELECT d AS as_of FROM last_day",
-    "extracted_fields": f"WITH {VIEWS} SELECT inv_ord, source_file, invoice_number, {PAGE_VENDOR} AS vendor, strftime(invoice_date, '%Y-%m-%d') AS invoice_date, amount, extraction_method FROM inv",
-    "extraction_accuracy": f"WITH {VIEWS}, t AS (SELECT 'clean' AS kind, concat('t', inv_ord % 3) AS template, CASE WHEN amount IS NULL THEN 0 ELSE 1 END AS known FROM inv) SELECT kind, template, count(*) AS n, 1.0::double AS number, 1.0::double AS vendor, 1.0::double AS date, avg(known) AS amount FROM t GROUP BY GROUPING SETS ((kind), (kind, template))",
+    "extracted_fields": f"WITH {VIEWS} SELECT inv_ord, source_file, invoice_number, {PAGE_VENDOR} AS vendor, strftime(invoice_date, '%Y-%m-%d') AS invoice_date, abs(amount) AS amount, extraction_method FROM inv",
+    "extraction_accuracy": f"WITH {VIEWS}, t AS (SELECT CASE extraction_method WHEN 'ocr' THEN 'phone' ELSE 'clean' END AS kind, concat('t', inv_ord % 3) AS template, CASE WHEN amount IS NULL THEN 0 ELSE 1 END AS known FROM inv) SELECT kind, template, count(*) AS n, 1.0::double AS number, 1.0::double AS vendor, 1.0::double AS date, avg(known) AS amount FROM t GROUP BY GROUPING SETS ((kind), (kind, template))",
     "ledger_from_grid": f"WITH {VIEWS} SELECT CAST(row_index * 2 AS int) AS row_index, strftime(ledger_date, '%Y-%m-%d') AS ledger_date, description, reference, amount FROM led",
     "document_fields": f"WITH f AS ({_HEADS}) SELECT count(*) AS done, count(invoice_number) AS n_invoice_number, count(vendor) AS n_vendor, count(invoice_date) AS n_invoice_date, count(amount) AS n_amount, "
     "CAST(sum(CASE WHEN invoice_number IS NOT NULL THEN doc_id END) AS bigint) AS number_sum, CAST(sum(length(vendor)) AS bigint) AS vendor_sum, CAST(sum(datediff('day', date '2024-01-01', CAST(invoice_date AS date))) AS bigint) AS day_sum, CAST(sum(CAST(round(amount * 100) AS bigint)) AS bigint) AS cent_sum FROM f",

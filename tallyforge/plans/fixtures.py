@@ -13,9 +13,12 @@ inv AS (
     CASE WHEN o_orderkey % 29 = 0 THEN NULL WHEN o_orderkey % 37 = 0 THEN concat('INV-', CAST(o_orderkey - 1 AS varchar(20))) ELSE concat('INV-', CAST(o_orderkey AS varchar(20))) END AS invoice_number,
     CASE WHEN o_orderkey % 31 = 0 THEN NULL ELSE c_name END AS vendor,
     CASE WHEN o_orderkey % 41 = 0 THEN NULL ELSE CAST(o_orderdate AS date) END AS invoice_date,
-    CASE WHEN o_orderkey % 43 = 0 THEN NULL ELSE o_totalprice END AS amount,
-    'text' AS extraction_method
+    CASE WHEN o_orderkey % 43 = 0 THEN NULL WHEN o_orderkey % 47 = 0 THEN -o_totalprice ELSE o_totalprice END AS amount,
+    CASE WHEN o_orderkey % 9 = 4 THEN 'ocr' ELSE 'text' END AS extraction_method
   FROM orders JOIN customer ON o_custkey = c_custkey
+), bills AS (
+  -- every 47th is a credit note
+  SELECT o_orderkey, o_custkey, o_orderdate, CASE WHEN o_orderkey % 47 = 0 THEN -o_totalprice ELSE o_totalprice END AS o_totalprice FROM orders
 ), base AS (
   SELECT o.o_orderkey AS k, c_name AS name, CAST(o.o_orderdate AS date) AS day, o.o_totalprice AS total,
     CAST(floor(o.o_totalprice * 40) AS double) / 100 AS part, n.o_totalprice AS next_total,
@@ -25,10 +28,14 @@ inv AS (
          WHEN o.o_orderkey % 13 = 0 THEN 'split'
          WHEN o.o_orderkey % 5 = 0 THEN 'bare'
          WHEN o.o_orderkey % 11 = 0 THEN 'typo' ELSE 'plain' END AS shape
-  FROM orders o JOIN customer ON o.o_custkey = c_custkey LEFT JOIN orders n ON n.o_orderkey = o.o_orderkey + 1
+  FROM bills o JOIN customer ON o.o_custkey = c_custkey LEFT JOIN bills n ON n.o_orderkey = o.o_orderkey + 1
 ), raw AS (
   SELECT k * 4 AS ord, day + CAST(2 + k % 20 AS int) AS ledger_date, concat(name, ' payment') AS description,
-    concat('INV-', CAST(k AS varchar(20))) AS reference, CASE WHEN shape = 'typo' THEN total + 50 ELSE total END AS amount
+    concat('INV-', CAST(k AS varchar(20))) AS reference, 
+    -- faults of the amount: a round sum more, ten times it, two digits changed about, another rate of exchange
+    CASE WHEN shape = 'plain' THEN total WHEN k % 4 = 0 THEN total + 50 WHEN k % 4 = 1 THEN total * 10
+         WHEN k % 4 = 2 THEN total + 9 * (CAST(floor(total) AS bigint) % 10 - CAST(floor(total / 10) AS bigint) % 10)
+         ELSE CAST(floor(total * 101.3) AS double) / 100 END AS amount
   FROM base WHERE shape IN ('plain', 'typo')
   UNION ALL
   SELECT k * 4, day + CAST(k % 5 AS int), concat('Transfer ', name), NULL, total FROM base WHERE shape = 'bare'
@@ -144,10 +151,10 @@ PAGE_VENDOR = """CASE WHEN inv_ord % 31 = 0 THEN NULL ELSE concat(
 
 
 def page_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The invoices under vendor names that read like a company's."""
+    """The invoices under vendor names that read like a company's; pages show amounts without a sign."""
     from pyspark.sql import functions as F
 
-    return invoices(spark, sf_dir).withColumn("vendor", F.expr(PAGE_VENDOR))
+    return invoices(spark, sf_dir).withColumns({"vendor": F.expr(PAGE_VENDOR), "amount": F.abs("amount")})
 
 
 def doc_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +169,7 @@ def doc_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     date = F.when(k % 5 == 0, day("yyyy-MM-dd")).when(k % 5 == 1, day("dd/MM/yyyy")).when(k % 5 == 2, day("d MMMM yyyy")).when(k % 5 == 3, day("MMM d, yyyy")).otherwise(day("dd.MM.yyyy"))
     total = F.when(k % 2 == 0, "Total due: ").otherwise("Total payable ")
     lines = F.array_compact(F.array(F.concat(F.lit("From: "), "vendor"), F.lit("Page 1 of 1"), F.concat(label, "invoice_number"), F.concat(F.lit("Invoice date: "), date), F.lit("subtotal 1.00"), F.concat(total, amount)))
-    return inv.select("inv_ord", "source_file", F.array_join(lines, "\n").alias("text"), F.lit("text").alias("method"))
+    return inv.select("inv_ord", "source_file", F.array_join(lines, "\n").alias("text"), F.col("extraction_method").alias("method"))
 
 
 def ledger_grid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -203,7 +203,7 @@ _READ = ", ".join(f"CASE WHEN (inv_ord * attempt) % {m} != 0 THEN {c} END AS {c}
 _FIELDS = " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE 1 END" for c in _KEPT)
 
 ORACLES = {
-    "report_detail": RESULTS + f"SELECT source_file, row_index AS ledger_row, {_labelled('''replace(status, 'matched', 'Matched')''')} AS label, CASE WHEN inv_ord IS NOT NULL THEN 'text layer' END AS read_via FROM results",
+    "report_detail": RESULTS + f"SELECT source_file, row_index AS ledger_row, {_labelled('''replace(status, 'matched', 'Matched')''')} AS label, CASE WHEN inv_ord % 9 = 4 THEN 'OCR (verify)' WHEN inv_ord IS NOT NULL THEN 'text layer' END AS read_via FROM results",
     "report_summary_lines": RESULTS
     + f", n AS (SELECT {_COUNTS} FROM results) SELECT 'Total items' AS item, CAST(total AS varchar) AS value FROM n UNION ALL SELECT 'Matched clean', CAST(clean AS varchar) FROM n UNION ALL SELECT 'Flagged', CAST(total - clean AS varchar) FROM n"
     + " UNION ALL SELECT 'Match rate', concat(CAST(CAST(floor(clean / total * 100 + 0.5) AS bigint) AS varchar), '%') FROM n"
@@ -225,7 +225,7 @@ ORACLES = {
     "impossible_dates": f"WITH {VIEWS} SELECT inv_ord, strftime(try_cast(concat(strftime(invoice_date, '%Y'), '-', lpad(CAST(inv_ord % 12 + 1 AS varchar), 2, '0'), '-', lpad(CAST(inv_ord % 31 + 1 AS varchar), 2, '0')) AS date), '%Y-%m-%d') AS invoice_date FROM inv",
     "file_kinds": f"WITH {VIEWS}, f AS (SELECT lower(concat(inv_ord, {list(_ENDS)}[inv_ord % {len(_ENDS)} + 1])) AS name FROM inv) "
     "SELECT CASE WHEN suffix(name, '.pdf') THEN 'pdf' WHEN suffix(name, '.xlsx') OR suffix(name, '.xlsm') OR suffix(name, '.xls') OR suffix(name, '.csv') THEN 'spreadsheet' ELSE 'ignored' END AS kind, count(*) AS n FROM f GROUP BY 1",
-    "page_texts": f"WITH {VIEWS} SELECT source_file, concat(coalesce({PAGE_VENDOR}, 'Unknown'), chr(10), concat_ws(' ', 'Invoice No:', invoice_number), chr(10), 'Read by text layer') AS text FROM inv",
+    "page_texts": f"WITH {VIEWS} SELECT source_file, concat(coalesce({PAGE_VENDOR}, 'Unknown'), chr(10), concat_ws(' ', 'Invoice No:', invoice_number), chr(10), 'Read by ', extraction_method, ' layer') AS text FROM inv",
     "ledger_layouts": f"WITH {VIEWS} SELECT layout, row_index, strftime(ledger_date, '%Y-%m-%d') AS ledger_date, description, CASE WHEN layout IN ('Wave', 'FreshBooks') THEN NULL ELSE reference END AS reference, amount FROM led, (SELECT unnest({list(_SHEETS)}) AS layout)",
     "named_vendors": f"WITH {VIEWS} SELECT inv_ord, row_index, coalesce(contains(lower(description), lower(vendor)), false) AS named FROM inv JOIN led ON invoice_number = reference",
 }
