@@ -100,7 +100,7 @@ def _latest(turn: Column) -> list[Column]:
 
 def _second() -> Column:
     """A lower bound of the second latest turn: of two rows, one at least is taken in this turn or later."""
-    return F.coalesce(F.sort_array(F.array(*[F.col(f"_p{k}") for k in range(PARTS)]), asc=False)[1], F.lit(-1))
+    return F.coalesce(F.sort_array(F.array(*[F.col(f"_p{k}") for k in range(PARTS)]), asc=False)[1], F.lit(-NEVER))
 
 
 def _classes(rows: DataFrame, owned: DataFrame) -> DataFrame:
