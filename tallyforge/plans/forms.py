@@ -11,9 +11,10 @@ from ..functions import text as X
 from ..functions.similarity import vendor_contained
 from ..operators import extract, match, report, statement
 from ..operators import ledger as sheets
-from ..operators.lineage import spread
+from ..operators.lineage import shared_folder, spread
 from ..operators.lines import line_totals
 from ..sources import documents
+from ..sources import sheets as sheets_source
 from .fixtures import PAGE_VENDOR, RESULTS, VIEWS, invoices, ledger, page_invoices
 
 #: Share of tax in the query over line items.
@@ -171,6 +172,25 @@ def ledger_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+#: Rows of each CSV file of the query over them.
+FILE_ROWS = 5000
+
+
+def csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger written as CSV files, with quotes, commas and line breaks in fields, and read again by splits."""
+    rows = ledger(spark, sf_dir).withColumn("file", F.floor(F.col("row_index") / FILE_ROWS))
+    break_ = F.when(F.col("row_index") % 7 == 0, "\n").when(F.col("row_index") % 11 == 0, '"",').otherwise(" ")
+    note = F.concat(F.lit('"'), "description", break_, F.lit('by transfer"'))
+    line = F.concat_ws(",", "row_index", F.coalesce(F.col("ledger_date").cast("string"), F.lit("")), note, F.coalesce("reference", F.lit("")), F.coalesce(F.col("amount").cast("decimal(15,2)").cast("string"), F.lit("")))
+    folder = shared_folder(spark, "csv")
+    written = rows.repartition("file").sortWithinPartitions("file", "row_index").select("file", line.alias("value"))
+    written.write.partitionBy("file").text(folder)
+    out = sheets_source.read_csv(spark, f"{folder}/file=*")
+    cell = lambda k, slot: F.get("cells", F.lit(k))[slot]
+    part = F.regexp_extract("sheet", r"file=(\d+)", 1).cast("long")
+    return out.select(cell(0, "num").cast("long").alias("ledger_row"), part.alias("file"), "row_index", F.date_format(cell(1, "dt"), "yyyy-MM-dd").alias("ledger_date"), cell(2, "str").alias("note"), cell(3, "str").alias("reference"), F.round(cell(4, "num") * 100).cast("long").alias("cents"))
+
+
 def named_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invoices whose vendor stands in the description of the row of their number, in other letters."""
     inv = invoices(spark, sf_dir).select("inv_ord", F.upper("vendor").alias("vendor"), F.col("invoice_number").alias("reference"))
@@ -182,7 +202,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         report_detail, report_summary_lines, console_line, statement_ages, amount_round_trip, invoice_line_totals, hinted_dates, unlabelled_vendors,
-        best_readings, file_kinds, page_texts, ledger_layouts, named_vendors, staged_readings, flag_meanings, impossible_dates,
+        best_readings, file_kinds, page_texts, ledger_layouts, named_vendors, staged_readings, flag_meanings, impossible_dates, csv_records,
     )
 }
 
@@ -227,5 +247,7 @@ ORACLES = {
     "SELECT CASE WHEN suffix(name, '.pdf') THEN 'pdf' WHEN suffix(name, '.xlsx') OR suffix(name, '.xlsm') OR suffix(name, '.xls') OR suffix(name, '.csv') THEN 'spreadsheet' ELSE 'ignored' END AS kind, count(*) AS n FROM f GROUP BY 1",
     "page_texts": f"WITH {VIEWS} SELECT source_file, concat(coalesce({PAGE_VENDOR}, 'Unknown'), chr(10), concat_ws(' ', 'Invoice No:', invoice_number), chr(10), 'Read by ', extraction_method, ' layer') AS text FROM inv",
     "ledger_layouts": f"WITH {VIEWS} SELECT layout, row_index, strftime(ledger_date, '%Y-%m-%d') AS ledger_date, description, CASE WHEN layout IN ('Wave', 'FreshBooks') THEN NULL ELSE reference END AS reference, amount FROM led, (SELECT unnest({list(_SHEETS)}) AS layout)",
+    "csv_records": f"WITH {VIEWS} SELECT CAST(row_index AS bigint) AS ledger_row, CAST(row_index // {FILE_ROWS} AS bigint) AS file, CAST(row_number() OVER (PARTITION BY row_index // {FILE_ROWS} ORDER BY row_index) AS bigint) AS row_index, strftime(ledger_date, '%Y-%m-%d') AS ledger_date, "
+    "concat(description, CASE WHEN row_index % 7 = 0 THEN chr(10) WHEN row_index % 11 = 0 THEN '\",' ELSE ' ' END, 'by transfer') AS note, reference, CAST(round(amount * 100) AS bigint) AS cents FROM led",
     "named_vendors": f"WITH {VIEWS} SELECT inv_ord, row_index, coalesce(contains(lower(description), lower(vendor)), false) AS named FROM inv JOIN led ON invoice_number = reference",
 }

@@ -12,9 +12,11 @@ from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut
+
 GRID = "sheet string, row_index long, cells array<struct<kind:string,str:string,num:double,dt:date>>"
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -111,14 +113,83 @@ def unread(grid: DataFrame) -> DataFrame:
     return grid.where(F.col("error").isNotNull()).select("sheet", "error")
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(row_index, cells) of a CSV file: numbers are numbers, year-first dates are dates, empty fields are blank.
+def _ends_inside(line: Column, inside: bool) -> Column:
+    """Whether a quoted field is open at the end of a line, by whether one is where the line begins.
+
+    The pieces between quotes are folded: 0 at the begin of a field, 1 in quotes, 2 behind a quote in quotes, 3 within a plain text.
+    """
+
+    def passed(state: Column, piece: Column) -> Column:
+        return F.when((piece == "") | (state == 1), state).when(F.endswith(piece, F.lit(",")), 0).otherwise(3)
+
+    def quote(state: Column) -> Column:
+        return F.when(state.isin(0, 2), 1).when(state == 1, 2).otherwise(3)
+
+    pieces = F.split(line, '"')
+    start = passed(F.lit(int(inside)), F.get(pieces, F.lit(0))).cast("int")
+    end = F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), start, lambda state, piece: passed(quote(state), piece).cast("int"))
+    return F.when(F.contains(line, F.lit('"')), end == 1).otherwise(inside)
+
+
+def _in_quotes(lines: DataFrame) -> DataFrame:
+    """Adds inside, whether a quoted field is open where a line begins, and row, the number of the record that the line belongs to.
 
-    The file is read whole, so that quoted line breaks and the row order hold.
+    Each line turns either state into one of the two. What a block of a file
+    does to a state is the last line that forgets it, and how often the lines
+    since have swapped it, so blocks are read side by side and then chained: the
+    chain has one row a block.
+    """
+    lines = lines.withColumns({"to_out": _ends_inside(F.col("value"), False), "to_in": _ends_inside(F.col("value"), True)})
+    lines = lines.withColumn("fixed", F.when(F.col("to_out") == F.col("to_in"), F.col("to_out").cast("int")))
+    lines = lines.withColumn("swap", (F.col("to_out") & ~F.col("to_in")).cast("long"))
+
+    block = Window.partitionBy("sheet", "block").orderBy("at")
+    upto, before = block.rowsBetween(Window.unboundedPreceding, Window.currentRow), block.rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("swaps", F.sum("swap").over(upto))
+    told = F.when(F.col("fixed").isNotNull(), F.struct("fixed", "swaps"))
+    lines = lines.withColumns({"told": F.last(told, ignorenulls=True).over(before), "swaps_before": F.coalesce(F.sum("swap").over(before), F.lit(0)), "told_here": told})
+
+    def state(told, swaps, start):
+        """0 outside and 1 inside, after the last line that forgets the state, or after `start`."""
+        return F.when(told.isNull(), (start + swaps) % 2).otherwise((told["fixed"] + swaps - told["swaps"]) % 2)
+
+    # Lines that begin a record, for both states in which their block may begin.
+    lines = lines.withColumns({f"s{k}": state(F.col("told"), F.col("swaps_before"), F.lit(k)) for k in (0, 1)})
+    ends = F.max_by("told_here", F.when(F.col("told_here").isNotNull(), F.col("at")))
+    blocks = lines.groupBy("sheet", "block").agg(ends.alias("told"), F.sum("swap").alias("swaps"), *[F.sum(1 - F.col(f"s{k}")).alias(f"n{k}") for k in (0, 1)])
+    chain = F.array_sort(F.collect_list(F.struct("block", *[state(F.col("told"), F.col("swaps"), F.lit(k)).cast("int").alias(f"e{k}") for k in (0, 1)], "n0", "n1")))
+
+    def step(acc, b):
+        inside = acc["inside"] == 1
+        link = F.struct(b["block"].alias("block"), acc["inside"].alias("start"), acc["rows"].alias("first"))
+        return F.struct(F.when(inside, b["e1"]).otherwise(b["e0"]).alias("inside"), (acc["rows"] + F.when(inside, b["n1"]).otherwise(b["n0"])).alias("rows"), F.concat(acc["links"], F.array(link)).alias("links"))
+
+    zero = F.struct(F.lit(0).alias("inside"), F.lit(0).cast("long").alias("rows"), F.array().cast("array<struct<block:bigint,start:int,first:bigint>>").alias("links"))
+    starts = blocks.groupBy("sheet").agg(chain.alias("blocks")).select("sheet", F.inline(F.aggregate("blocks", zero, step)["links"]))
+    lines = lines.join(starts, ["sheet", "block"]).withColumn("inside", F.when(F.col("start") == 1, F.col("s1")).otherwise(F.col("s0")) == 1)
+    return lines.withColumn("row", F.sum((~F.col("inside")).cast("long")).over(upto) + F.col("first")).select("sheet", "block", "at", "value", "inside", "row")
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(sheet, row_index, cells) of CSV files: numbers are numbers, year-first dates are dates, empty fields are blank.
+
+    `sheet` is the file. Files are read in the splits that Spark makes of them,
+    and records are put together and numbered from 1 over the splits of their
+    file, blank lines included. A quote opens a field at its begin only; a line
+    break in a quoted field, of any kind, becomes a newline; a quoted field that
+    never ends takes the rest of its file, less its last break. An empty file has
+    no row.
     """
     import csv
 
-    files = spark.read.format("binaryFile").load(path).select("content")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("sheet"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    lines = lines.withColumn("value", F.when(F.col("block") == 0, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")))
+    lines = cut(_in_quotes(cut(lines)))
+    # Only records of several lines are grouped.
+    several = lines.where("inside").select("sheet", "row").distinct()
+    one = lines.join(several, ["sheet", "row"], "left_anti").select("sheet", "row", F.col("value").alias("text"))
+    parts = F.array_sort(F.collect_list(F.struct("block", "at", "value")))
+    joined = lines.join(several, ["sheet", "row"], "left_semi").groupBy("sheet", "row").agg(F.array_join(F.transform(parts, lambda p: p["value"]), "\n").alias("text"))
 
     def typed(v: str):
         if v == "":
@@ -133,12 +204,12 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
             return ("string", v, None, None)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(2**31 - 1)
         for batch in batches:
-            for data in batch.content:
-                lines = csv.reader(io.StringIO(bytes(data).decode("utf-8-sig"), newline=""))
-                yield pd.DataFrame([("", k, [typed(v) for v in line]) for k, line in enumerate(lines, 1)], columns=["sheet", "row_index", "cells"])
+            cells = [[typed(v) for v in next(csv.reader(io.StringIO(text, newline="")), [])] for text in batch.text]
+            yield pd.DataFrame({"sheet": batch.sheet, "row_index": batch.row, "cells": cells})
 
-    return files.mapInPandas(read, GRID)
+    return one.unionByName(joined).mapInPandas(read, GRID)
 
 
 def _xml_cell(value, style: int) -> str:

@@ -97,6 +97,44 @@ def test_white_space_in_cells(spark, tmp_path):
     assert [(r.description, r.reference) for r in got] == [("paid", "INV-1"), ("", "INV-2")]
 
 
+def _csv_rows(texts):
+    """The plain way: each file read from its begin to its end."""
+    import csv
+    import io
+
+    out = set()
+    for name, text in texts.items():
+        for k, line in enumerate(csv.reader(io.StringIO(text, newline="")), 1):
+            out.add((name, k, tuple(v.replace("\r\n", "\n").replace("\r", "\n") or None for v in line)))
+    return out
+
+
+def test_csv_in_splits(spark, tmp_path):
+    """Records, numbers and quoted breaks don't depend on where a file is split."""
+    import random
+
+    rng = random.Random(5)
+    field = lambda: rng.choice(["", "x", 'a "b" c', '"q,""r"""', '"one\ntwo"', '"\n\n"', '"a\r\nb"', '"z"tail', 'é 漢', '"long ' + "w" * 90 + '\n"'])
+    texts = {f"f{k}.csv": "".join(",".join(field() for _ in range(rng.randint(1, 4))) + rng.choice(["\n", "\r\n", "\n\n"]) for _ in range(300)) for k in range(3)}
+    wide = '"' + '""' * 60000 + '\n",' + 'x,' * 30000 + '"y"\nlast\n'
+    texts |= {"wide.csv": wide, "none.csv": "", "open.csv": 'a,b\n"never\nends\n' + "x,y\n" * 200, "end.csv": "a,b\nc", "quotes.csv": '""\n"""\n"""\n""""\n' * 80}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    expected = _csv_rows(texts | {"open.csv": texts["open.csv"].rstrip("\n")})
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("700b", "100m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "10b")
+            rows = sheets.read_csv(spark, str(tmp_path)).collect()
+            got = {(r.sheet.rsplit("/", 1)[-1], r.row_index, tuple(c and c.str for c in r.cells)) for r in rows}
+            assert len(got) == len(rows)
+            assert got == expected
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_csv(spark, tmp_path):
     (tmp_path / "l.csv").write_text('Date,Description,Debit,Credit\n2025-01-02,"two\nlines",0,5.5\n,,,\n2025-01-03,x,8,\n')
     got = ledger_rows(sheets.read_csv(spark, str(tmp_path / "l.csv"))).orderBy("row_index").collect()
