@@ -12,6 +12,8 @@ _I = "(?iU)"
 
 # Month names, label patterns, boilerplate and money and date shapes decide what is read.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+ONES = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen")
+TENS = ("", "", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety")
 MONEY = r"(?:[-−]\s*)?(?:[$€£₺]\s*)?(?:[A-Z]{3}\s*)?(-?\d{1,3}(?:[.,\s]\d{3})*(?:[.,]\d{2})|-?\d+[.,]\d{2})(?:\s*[A-Z]{3})?"
 DATE = r"(\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[./-]\d{1,2}[./-]\d{2,4}|\d{1,2}\s+[A-Za-z]{3,9}\.?,?\s+\d{4}|[A-Za-z]{3,9}\.?\s+\d{1,2},?\s+\d{4})"
 NUMBER_LABELS = (
@@ -77,6 +79,39 @@ def format_amount(amount: Column, style: Column) -> Column:
     return F.when(style == "eu", F.translate(us, ",.", ".,")).when(style == "plain", F.translate(us, ",", "")).otherwise(us)
 
 
+def _below_thousand(n: Column) -> Column:
+    """1 to 999 in words, empty for 0."""
+    word = lambda words, k: F.get(F.array(*map(F.lit, words)), k.cast("int"))
+    rest, unit = n % 100, n % 10
+    hundreds = F.when(n >= 100, F.concat(word(ONES, F.floor(n / 100)), F.lit(" hundred")))
+    tens = F.concat_ws("-", word(TENS, F.floor(rest / 10)), F.when(unit > 0, word(ONES, unit)))
+    return F.concat_ws(" ", hundreds, F.when(rest >= 20, tens).when(rest > 0, word(ONES, rest)))
+
+
+def amount_words(amount: Column, currency: Column) -> Column:
+    """Thousands and units in words and cents in figures, as on a cheque: `One hundred two eur and 05/100`.
+
+    Groups of three digits are folded, so that a million is `one thousand
+    thousand`. A negative amount begins with `minus`; null, and what isn't below ten million
+    millions, is null.
+    """
+
+    def spell(cents: Column) -> Column:
+        whole = (cents - cents % 100) / 100
+        groups = F.transform(F.array(*[F.lit(1000**k) for k in range(4, -1, -1)]), lambda p: F.floor(whole / p) % 1000)
+
+        def add(acc: Column, n: Column) -> Column:
+            more = F.concat_ws(" ", acc, F.lit("thousand"), F.when(n > 0, _below_thousand(n)))
+            return F.when(acc == "", _below_thousand(n)).otherwise(more)
+
+        spelled = F.aggregate(groups, F.lit(""), add, lambda acc: F.when(acc == "", ONES[0]).otherwise(acc))
+        text = F.concat_ws(" ", F.when(amount < 0, "minus"), spelled, F.lower(currency), F.lit("and"))
+        text = F.concat(text, F.lit(" "), F.lpad((cents % 100).cast("string"), 2, "0"), F.lit("/100"))
+        return F.concat(F.upper(F.substring(text, 1, 1)), F.substr(text, F.lit(2)))
+
+    return F.when(F.abs(amount) < 1e13, let(F.round(F.abs(amount) * 100).cast("long"), spell))
+
+
 def _day(y: Column, m: Column, d: Column) -> Column:
     text = F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
     return F.when(F.length(y) > 0, F.try_to_date(text, "yyyy-MM-dd"))

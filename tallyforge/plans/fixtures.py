@@ -74,6 +74,25 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(raw, "ord").select((F.col("n") + 1).cast("int").alias("row_index"), "ledger_date", "description", "reference", "amount")
 
 
+#: Invoices by key, and whether a fault is planted: in the ledger, in their number, or their sign.
+PLANTED = "SELECT k AS key, shape IN ('combined', 'gone', 'split', 'typo') OR k % 37 = 0 OR (k + 1) % 37 = 0 OR k % 47 = 0 AS planted FROM base"
+
+#: The keys of the invoices that a row of the ledger settles.
+OWNERS = "CASE WHEN ord % 4 = 2 THEN array() WHEN description = 'Combined transfer' THEN array(CAST(floor(ord / 4) AS bigint), CAST(floor(ord / 4) AS bigint) + 1) ELSE array(CAST(floor(ord / 4) AS bigint)) END"
+
+
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _views(spark, sf_dir)
+    return spark.sql(f"WITH {VIEWS} {PLANTED}".replace("varchar(20)", "string"))
+
+
+def owned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledger rows by their sheet numbers, with the keys of the invoices that they settle."""
+    _views(spark, sf_dir)
+    raw = spark.sql(f"WITH {VIEWS} SELECT ord, {OWNERS} AS owners FROM raw".replace("varchar(20)", "string"))
+    return numbered(raw, "ord").selectExpr("n + 1 AS row_index", "owners")
+
+
 #: Engines that don't keep the result of a view that is read often are told to.
 _ONCE = VIEWS.replace("inv AS (", "inv AS MATERIALIZED (").replace("led AS (", "led AS MATERIALIZED (")
 

@@ -7,15 +7,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import images
 from ..functions import text as X
 from ..functions.similarity import vendor_contained
-from ..operators import extract, match, report, statement
+from ..operators import extract, match, report, statement, subset
 from ..operators import ledger as sheets
-from ..operators.lineage import shared_folder, spread
+from ..operators.lineage import cut, shared_folder, spread
 from ..operators.lines import line_totals
 from ..sources import documents
 from ..sources import sheets as sheets_source
-from .fixtures import PAGE_VENDOR, RESULTS, VIEWS, invoices, ledger, page_invoices
+from .fixtures import OWNERS, PAGE_VENDOR, PLANTED, RESULTS, VIEWS, doc_text, invoices, ledger, owned_rows, page_invoices, planted
 
 #: Share of tax in the query over line items.
 TAX_RATE = 0.19
@@ -191,6 +192,70 @@ def csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(cell(0, "num").cast("long").alias("ledger_row"), part.alias("file"), "row_index", F.date_format(cell(1, "dt"), "yyyy-MM-dd").alias("ledger_date"), cell(2, "str").alias("note"), cell(3, "str").alias("reference"), F.round(cell(4, "num") * 100).cast("long").alias("cents"))
 
 
+def amounts_in_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every invoice's amount as it is and without its last three figures, in words."""
+    cents = F.round(F.col("amount") * 100).cast("long")
+    inv = invoices(spark, sf_dir).select("inv_ord", F.explode(F.array(cents, F.signum(cents).cast("long") * F.floor(F.abs(cents) / 1000))).alias("cents"))
+    return inv.select("inv_ord", "cents", X.amount_words(F.col("cents") / 100, F.when(F.col("inv_ord") % 2 == 0, "EUR").otherwise("USD")).alias("words"))
+
+
+#: Width, height, distance and thickness of lines, tones of paper and ink of the pages that are drawn.
+SCAN = {"width": 260, "height": 300, "step": 10, "line": 4, "paper": 235, "ink": 40}
+
+
+def _draw(batches):
+    """Pages of bars, one for each word, turned by their angle, with specks."""
+    import numpy as np
+    import pandas as pd
+
+    w, h, step, margin = SCAN["width"], SCAN["height"], SCAN["step"], 14
+    y, x = np.mgrid[0:h, 0:w]
+    y, x = y - (h - 1) / 2, x - (w - 1) / 2
+    for batch in batches:
+        pages = []
+        for key, angle, text in zip(batch.inv_ord, batch.angle, batch.text, strict=True):
+            rng, words = np.random.default_rng(key), text.split()
+            mask = np.zeros((h // step + 1, w), bool)
+            for line in range(2, h // step - 2):
+                at = margin
+                while at < w - margin:
+                    n = 3 * len(words[rng.integers(len(words))])
+                    mask[line, at : min(at + n, w - margin)] = True
+                    at += n + 4
+            a = np.radians(angle)
+            # the pixel of the level page that each pixel shows
+            up = np.rint(y * np.cos(a) - x * np.sin(a) + (h - 1) / 2).astype(int)
+            over = np.rint(x * np.cos(a) + y * np.sin(a) + (w - 1) / 2).astype(int)
+            on = (up >= 0) & (up < h) & (over >= 0) & (over < w)
+            up, over = np.clip(up, 0, h - 1), np.clip(over, 0, w - 1)
+            page = np.where(on & mask[up // step, over] & (up % step < SCAN["line"]), SCAN["ink"], SCAN["paper"]).astype(np.uint8)
+            pages.append(np.where(rng.random(page.shape) < 0.004, 0, page).astype(np.uint8).tobytes())
+        yield pd.DataFrame({"source_file": batch.source_file, "width": w, "height": h, "pixels": pages})
+
+
+def page_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scanned pages, laid askew, levelled and made black and white: the turn that was found, to half a degree, and what is left over."""
+    pages = doc_text(spark, sf_dir).where("method = 'ocr'").select("inv_ord", "source_file", "text", (F.col("inv_ord") % 11 * 0.5 - 2.5).alias("angle"))
+    scans = pages.mapInPandas(_draw, "source_file string, width int, height int, pixels binary")
+    once = images.prepare_scans(scans)
+    half = lambda c: F.round(F.col(c) * 2) / 2 + 0.0
+    again = images.prepare_scans(once.select(F.concat_ws("|", "source_file", "angle").alias("source_file"), "width", "height", "pixels"))
+    name, found = (F.split("source_file", r"\|")[k] for k in (0, 1))
+    return again.select(name.alias("source_file"), found.cast("double").alias("angle"), F.col("angle").alias("left_over")).select("source_file", half("angle").alias("angle"), half("left_over").alias("left_over"))
+
+
+#: Share of the invoices that a sample shows.
+SAMPLE_SHARE = 0.6
+
+
+def sample_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample: every invoice with a planted fault, others by rank of a hash, and the rows that concern these or nobody."""
+    files = planted(spark, sf_dir)
+    chosen = cut(subset.choose(files, SAMPLE_SHARE))
+    rows = subset.concerned(owned_rows(spark, sf_dir), chosen)
+    return chosen.select(F.lit("invoice").alias("kind"), F.col("key").alias("id")).unionByName(rows.select(F.lit("row").alias("kind"), F.col("row_index").alias("id")))
+
+
 def named_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invoices whose vendor stands in the description of the row of their number, in other letters."""
     inv = invoices(spark, sf_dir).select("inv_ord", F.upper("vendor").alias("vendor"), F.col("invoice_number").alias("reference"))
@@ -202,7 +267,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         report_detail, report_summary_lines, console_line, statement_ages, amount_round_trip, invoice_line_totals, hinted_dates, unlabelled_vendors,
-        best_readings, file_kinds, page_texts, ledger_layouts, named_vendors, staged_readings, flag_meanings, impossible_dates, csv_records,
+        best_readings, file_kinds, page_texts, ledger_layouts, named_vendors, staged_readings, flag_meanings, impossible_dates, csv_records, amounts_in_words, page_angles, sample_subset,
     )
 }
 
@@ -222,6 +287,12 @@ _KEPT = {"invoice_number": 3, "vendor": 4, "invoice_date": 5, "amount": 2}
 _READ = ", ".join(f"CASE WHEN (inv_ord * attempt) % {m} != 0 THEN {c} END AS {c}" for c, m in _KEPT.items())
 _FIELDS = " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE 1 END" for c in _KEPT)
 
+def _words(n: str) -> str:
+    ones, tens = list(X.ONES), list(X.TENS)
+    rest = f"CASE WHEN {n} % 100 >= 20 THEN concat_ws('-', {tens}[{n} % 100 // 10 + 1], CASE WHEN {n} % 10 > 0 THEN {ones}[{n} % 10 + 1] END) WHEN {n} % 100 > 0 THEN {ones}[{n} % 100 + 1] END"
+    return f"concat_ws(' ', CASE WHEN {n} >= 100 THEN concat({ones}[{n} // 100 + 1], ' hundred') END, {rest})"
+
+
 ORACLES = {
     "report_detail": RESULTS + f"SELECT source_file, row_index AS ledger_row, {_labelled('''replace(status, 'matched', 'Matched')''')} AS label, CASE WHEN inv_ord % 9 = 4 THEN 'OCR (verify)' WHEN inv_ord IS NOT NULL THEN 'text layer' END AS read_via FROM results",
     "report_summary_lines": RESULTS
@@ -249,5 +320,15 @@ ORACLES = {
     "ledger_layouts": f"WITH {VIEWS} SELECT layout, row_index, strftime(ledger_date, '%Y-%m-%d') AS ledger_date, description, CASE WHEN layout IN ('Wave', 'FreshBooks') THEN NULL ELSE reference END AS reference, amount FROM led, (SELECT unnest({list(_SHEETS)}) AS layout)",
     "csv_records": f"WITH {VIEWS} SELECT CAST(row_index AS bigint) AS ledger_row, CAST(row_index // {FILE_ROWS} AS bigint) AS file, CAST(row_number() OVER (PARTITION BY row_index // {FILE_ROWS} ORDER BY row_index) AS bigint) AS row_index, strftime(ledger_date, '%Y-%m-%d') AS ledger_date, "
     "concat(description, CASE WHEN row_index % 7 = 0 THEN chr(10) WHEN row_index % 11 = 0 THEN '\",' ELSE ' ' END, 'by transfer') AS note, reference, CAST(round(amount * 100) AS bigint) AS cents FROM led",
+    "amounts_in_words": f"WITH {VIEWS}, c AS (SELECT inv_ord, unnest([round(amount * 100)::bigint, sign(amount)::bigint * (round(abs(amount) * 100)::bigint // 1000)]) AS cents FROM inv), "
+    "w AS (SELECT *, abs(cents) // 100000 AS t, abs(cents) // 100 % 1000 AS u FROM c), "
+    f"s AS (SELECT *, concat_ws(' ', CASE WHEN cents < 0 THEN 'minus' END, CASE WHEN t > 0 THEN concat({_words('t')}, ' thousand') END, CASE WHEN u > 0 THEN {_words('u')} END, CASE WHEN t + u = 0 THEN 'zero' END, CASE inv_ord % 2 WHEN 0 THEN 'eur' ELSE 'usd' END, 'and', concat(lpad(CAST(abs(cents) % 100 AS varchar), 2, '0'), '/100')) AS words FROM w) "
+    "SELECT inv_ord, cents, CASE WHEN cents IS NOT NULL THEN concat(upper(words[1]), words[2:]) END AS words FROM s",
+    "page_angles": f"WITH {VIEWS} SELECT source_file, CAST(inv_ord % 11 * 0.5 - 2.5 AS double) AS angle, CAST(0 AS double) AS left_over FROM inv WHERE extraction_method = 'ocr'",
+    "sample_subset": f"WITH {VIEWS}, files AS ({PLANTED}), n AS (SELECT CAST(floor(count(*) * {SAMPLE_SHARE}) AS bigint) - count(*) FILTER (planted) AS fill FROM files), "
+    "others AS (SELECT key, row_number() OVER (ORDER BY md5(CAST(key AS varchar)), key) AS place FROM files WHERE NOT planted), "
+    "chosen AS (SELECT key FROM files WHERE planted UNION ALL SELECT key FROM others, n WHERE place <= fill), "
+    f"owned AS (SELECT row_number() OVER (ORDER BY ord) + 1 AS row_index, {OWNERS.replace('array(', 'list_value(').replace('list_value()', '[]::bigint[]')} AS owners FROM raw) "
+    "SELECT 'invoice' AS kind, key AS id FROM chosen UNION ALL SELECT 'row', row_index FROM owned WHERE len(owners) = 0 OR row_index IN (SELECT row_index FROM (SELECT row_index, unnest(owners) AS key FROM owned) WHERE key IN (SELECT key FROM chosen))",
     "named_vendors": f"WITH {VIEWS} SELECT inv_ord, row_index, coalesce(contains(lower(description), lower(vendor)), false) AS named FROM inv JOIN led ON invoice_number = reference",
 }

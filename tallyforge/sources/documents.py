@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import images
 from ..operators.extract import staged_readings
 from ..operators.lineage import cut, numbered
 
@@ -87,6 +89,24 @@ def read_invoices(spark: SparkSession, folder: str, text_layer: Reader, ocr: Rea
     return _ordered(found.select("path", "source_file", F.coalesce("layer", "read").alias("text"), method.alias("method")))
 
 
+Raster = Callable[[bytes], np.ndarray]
+Recogniser = Callable[[np.ndarray, str], str | None]
+
+
+def scan_readers(raster: Raster, recognise: Recogniser) -> list[Reader]:
+    """Readers for `read_invoices`: the page as it is, then made ready, both as a `block` of text, then in `column`s.
+
+    `raster` gives a file's first page as a grey image, `recognise` the text of
+    an image. The untouched page goes first, for thin type suffers from the
+    threshold; pages that lie askew or have specks need the second.
+    """
+
+    def ready(data: bytes) -> np.ndarray:
+        return images.prepared(raster(data))
+
+    return [lambda data: recognise(raster(data), "block"), lambda data: recognise(ready(data), "block"), lambda data: recognise(ready(data), "column")]
+
+
 # Points within which fragments share a line, and beyond which a gap is a space.
 LINE_HEIGHT, GAP = 2, 1
 

@@ -10,7 +10,7 @@ from tallyforge.plans import catalog, forms
 from tallyforge.sources import documents
 
 D = "/root/testdata/sf0.001"
-FAST = ("amount_round_trip", "invoice_line_totals", "hinted_dates", "unlabelled_vendors", "best_readings", "file_kinds", "page_texts", "ledger_layouts", "named_vendors", "staged_readings", "impossible_dates", "csv_records", "near_places", "vendor_ratios")
+FAST = ("amount_round_trip", "invoice_line_totals", "hinted_dates", "unlabelled_vendors", "best_readings", "file_kinds", "page_texts", "ledger_layouts", "named_vendors", "staged_readings", "impossible_dates", "csv_records", "amounts_in_words", "page_angles", "sample_subset", "near_places", "vendor_ratios")
 
 
 @pytest.fixture(scope="module")
