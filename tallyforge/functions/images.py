@@ -27,7 +27,7 @@ def _shrunk(grey: np.ndarray) -> np.ndarray:
 def skew(grey: np.ndarray) -> float:
     """The turn, in degrees counter-clockwise, that levels the lines of a page; 0 for a page without ink.
 
-    Ink is projected on the rows that it would have after a turn. Level lines
+    Ink is projected on rows along lines of that slope. Level lines
     give few full rows and empty ones between, so the sum of squares is largest.
     """
     small = _shrunk(grey).astype(np.float64)
@@ -37,15 +37,16 @@ def skew(grey: np.ndarray) -> float:
     y, x = np.nonzero(ink > 8)
     if not y.size:
         return 0.0
-    weight = ink[y, x]
-    y, x = y - (small.shape[0] - 1) / 2, x - (small.shape[1] - 1) / 2
-    half = int(np.hypot(*small.shape) / 2) + 2
+    weight, x = ink[y, x], x.astype(np.int32)
+    y = (y * PARTS).astype(np.int32)
+    across = np.arange(small.shape[1]) - (small.shape[1] - 1) / 2
+    most = int(np.ceil(np.tan(np.radians(LARGEST + 1)) * small.shape[1] / 2 * PARTS)) + 1
 
     def sharpness(angle: float) -> float:
-        a = np.radians(angle)
-        at = np.rint((y * np.cos(a) - x * np.sin(a) + half) * PARTS).astype(np.int64)
+        # a column moves as a whole, as far as it is off the middle
+        moved = np.rint(most - across * np.tan(np.radians(angle)) * PARTS).astype(np.int32)
         # a pixel is as high as all parts of a row, wherever between rows it falls
-        rows = np.convolve(np.bincount(at, weight, (2 * half + 1) * PARTS), np.ones(PARTS))
+        rows = np.convolve(np.bincount(y + moved[x], weight), np.ones(PARTS))
         return float((rows * rows).sum())
 
     def best(angles: np.ndarray) -> float:
@@ -87,11 +88,19 @@ def despeckled(grey: np.ndarray) -> np.ndarray:
     padded, out = np.pad(grey, 1, mode="edge"), np.empty_like(grey)
     for top in range(0, grey.shape[0], STRIP):
         n = min(STRIP, grey.shape[0] - top)
-        near = [padded[top + i : top + i + n, j : j + grey.shape[1]] for i in range(3) for j in range(3)]
-        out[top : top + n] = np.partition(np.stack(near), 4, axis=0)[4]
+        a, b, c = (padded[top + i : top + i + n] for i in range(3))
+        low, mid, high = np.minimum(np.minimum(a, b), c), _middle(a, b, c), np.maximum(np.maximum(a, b), c)
+        left, here, right = slice(None, -2), slice(1, -1), slice(2, None)
+        lowest = np.maximum(np.maximum(low[:, left], low[:, here]), low[:, right])
+        highest = np.minimum(np.minimum(high[:, left], high[:, here]), high[:, right])
+        out[top : top + n] = _middle(lowest, _middle(mid[:, left], mid[:, here], mid[:, right]), highest)
     return out
 
 
+def _middle(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))
+
+
 def prepared(grey: np.ndarray, angle: float | None = None) -> np.ndarray:
     """A levelled page of black and white; the angle is looked for unless it is given."""
     if not grey.size:
