@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import ratios, vendor_names
+from ..functions.sums import exact_sum
 from ..model import AMOUNT_TOLERANCE, DATE_WINDOW_DAYS, VENDOR_SIMILARITY
 from .lineage import cut, ranked, spread
 
@@ -55,12 +56,6 @@ def close(a: Column, b: Column) -> Column:
     return F.coalesce(F.abs(a - b) <= AMOUNT_TOLERANCE, F.lit(False))
 
 
-def exact_sum(amount: Column) -> Column:
-    """A sum that doesn't depend on the order of rows: in decimals, if all amounts have a decimal form."""
-    decimal = amount.try_cast("decimal(38,12)")
-    return F.when(F.count_if(decimal.isNull() & amount.isNotNull()) == 0, F.coalesce(F.try_sum(decimal).cast("double"), F.lit(0.0))).otherwise(F.sum(F.coalesce(amount, F.lit(0.0))))
-
-
 def has_number(number: Column) -> Column:
     return F.coalesce(number != "", F.lit(False))
 

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.sums import parts, total
+
 
 def _shared(spark: SparkSession) -> str:
     """The folder of checkpoints, which the driver and all executors share; the session's is kept where it has one."""
@@ -54,13 +56,17 @@ def ranked(df: DataFrame, key: str, by: str, amount: str | None = None) -> DataF
 
     Rows are range partitioned by both, so that a key of very many rows is dealt over tasks.
     """
+    added = list(parts(F.lit(0.0))) if amount else []
+    if amount:
+        df = df.withColumns(parts(F.col(amount)))
     pieces = cut(df.repartitionByRange(key, by).withColumn("_p", F.spark_partition_id()))
-    value = F.coalesce(F.col(amount), F.lit(0.0)) if amount else F.lit(0.0)
-    sizes = pieces.groupBy(key, "_p").agg(F.count(F.lit(1)).alias("_size"), F.sum(value).alias("_sum"))
+    sizes = pieces.groupBy(key, "_p").agg(F.count(F.lit(1)).alias("_size"), *[F.sum(c).alias(c) for c in added])
     earlier = Window.partitionBy(key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition at most
-    sizes = sizes.select(key, "_p", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_rows"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_total"))
+    before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before")
+    sizes = sizes.select(key, "_p", *[before(c) for c in ("_size", *added)])
     here = Window.partitionBy(key, "_p").orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = pieces.join(sizes, [key, "_p"]).withColumn("nth", F.row_number().over(here) + F.col("_rows"))
+    out = pieces.join(sizes, [key, "_p"]).withColumn("nth", F.row_number().over(here) + F.col("_size_before"))
     if amount:
-        out = out.withColumn("upto", F.sum(value).over(here) + F.col("_total"))
-    return out.drop("_p", "_rows", "_total")
+        so_far = {c: F.sum(c).over(here) + F.col(f"{c}_before") for c in added}
+        out = out.withColumn("upto", total(so_far.__getitem__))
+    return out.drop("_p", *added, *[f"{c}_before" for c in ("_size", *added)])

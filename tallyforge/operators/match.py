@@ -12,9 +12,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..functions.sums import exact_sum
 from ..functions.text import BLANK, strip
 from ..model import AMOUNT_MISMATCH, COMBINED, DUPLICATE, INSTALMENTS, NO_INVOICE, NO_LEDGER_ENTRY, UNREADABLE
-from .assign import CLASS, SPOT, close, dated, decide, exact_sum, has_number, near_classes, row_class
+from .assign import CLASS, SPOT, close, dated, decide, has_number, near_classes, row_class
 from .lineage import cut
 
 

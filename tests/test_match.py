@@ -2,14 +2,18 @@
 
 import datetime
 import difflib
+import math
 import random
 
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
+from tallyforge.functions.sums import exact_sum
 from tallyforge.model import INVOICE, LEDGER_ROW
 from tallyforge.operators import assign, match, report, statement
 from tallyforge.operators.ledger import UnknownLayout, detect
+from tallyforge.operators.lineage import ranked
 
 D = datetime.date
 
@@ -223,9 +227,24 @@ def test_sums_do_not_depend_on_order(spark):
     assert sums == {1.0}
 
 
-def test_white_space_of_any_kind(spark):
-    from pyspark.sql import functions as F
+def test_sums_are_rounded_once(spark):
+    """Groups and running sums equal correctly rounded ones, to the last bit; they decide at the tolerance."""
+    rng = random.Random(2)
+    make = [lambda: round(rng.uniform(-100, 100), 2), lambda: rng.choice([10.0, 10.01, 20.01]), lambda: rng.uniform(-1e9, 1e9), lambda: rng.choice([0.001, -0.003, None]), lambda: rng.uniform(-1e12, 1e12)]
+    rows = [(g, k, make[g % len(make)]()) for g in range(60) for k in range(rng.randrange(1, 30))]
+    df = spark.createDataFrame(rows, "g int, k int, a double").repartition(5)
+    values = {}
+    for g, _, a in rows:
+        values.setdefault(g, []).append(a or 0.0)
+    got = df.groupBy("g").agg(exact_sum(F.col("a")).alias("s")).collect()
+    assert {r.g: r.s for r in got} == {g: math.fsum(v) for g, v in values.items()}
+    running = {(r.g, r.k): r.upto for r in ranked(df, "g", "k", "a").collect()}
+    assert running == {(g, k): math.fsum(values[g][: k + 1]) for g, k, _ in rows}
+    odd = spark.createDataFrame([(0, math.inf), (1, math.nan), (2, 1e300), (2, 1.0), (3, None)], "g int, a double").groupBy("g").agg(exact_sum(F.col("a")).alias("s"))
+    assert {r.g: str(r.s) for r in odd.collect()} == {0: "inf", 1: "nan", 2: "1e+300", 3: "0.0"}
+
 
+def test_white_space_of_any_kind(spark):
     refs = {"\tINV-1\u00a0INV-2 ": ["INV-1", "INV-2"], "INV-1\u2003/\u2003INV-2": ["INV-1", "INV-2"], "\u00a0INV-1\n": ["INV-1"], "A\x1fB": ["A", "B"], "A,": ["A", ""]}
     got = spark.createDataFrame([(r,) for r in refs], "r string").select("r", match.reference_tokens(F.col("r")).alias("t")).collect()
     assert {x.r: list(x.t) for x in got} == refs
