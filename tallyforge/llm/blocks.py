@@ -54,6 +54,12 @@ class Tables:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep_parts(self, df: DataFrame, name: str, by: str) -> DataFrame:
+        """A step in folders by the value of a column, so that one value is read without the others."""
+        path = f"{self.folder}/{name}"
+        df.write.partitionBy(by).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def forget(self, *names: str) -> None:
         """Delete steps that no later one reads."""
         for name in names:

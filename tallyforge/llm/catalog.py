@@ -48,9 +48,9 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks the hosts of the corpus that have a label of games of chance."""
+    """Blocks the hosts of the corpus of which much is junk, and those that have a label of games of chance."""
     pages = _table(spark, sf_dir, "pages")
-    return urlfilter.judge_urls(pages, urlfilter.listed_hosts(pages))
+    return urlfilter.judge_urls(pages, urlfilter.junk_hosts(pages).unionByName(urlfilter.listed_hosts(pages)))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,13 +10,19 @@ corpus, so pages are judged by bit tests against the filters, without a join.
 The bits of a level are set in tasks and combined by words; the filters go to
 the tasks as binary arrays. Their size is known before they are built:
 BITS_PER_KEY bits for each encoded key. Where a level would exceed what is left
-of MAX_BYTES, some ten million listed hosts, the operator joins the listed
-hosts instead, with the same result.
+of MAX_BYTES, some ten million listed hosts, keys and pages are dealt by a hash
+of the host into parts, each judged by a cascade of its own, one part after
+another; a part that is still too large is dealt again. So neither the driver
+nor a task ever holds more than MAX_BYTES of filters.
+
+The list may come from any table (host). Two sources are at hand: hosts with a
+listed label, and hosts of which a tenth of the pages or more is junk, which no
+url tells: symbols in runs of three make up a fiftieth of a junk page's text.
 
 Defined results: a null url, or one without `://`, has an empty host and path,
 which can be listed like any other; a host listed twice is listed; of rules of
 equal length the later one wins; very long urls and repeated rows are judged like
-others; an empty table gives an empty result; other columns are ignored.
+others; a null or empty html is no junk, and very long ones are read whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +42,10 @@ RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 LISTED_LABELS = ("casino", "casino-win", "bet", "bets", "free-bets", "poker", "slots", "jackpot", "win")
 BITS_PER_KEY, HASHES, MAX_LEVELS = 12, 5, 64
 MAX_BYTES = 16 << 20
+#: Parts of at most so many listed keys aren't dealt again, whatever the bound.
+LEAST_KEYS = 16
+#: A page is junk if runs of symbols are at least one in so many characters of its text; a host is, if one in so many of its pages are.
+JUNK_TEXT, JUNK_PAGES = 50, 10
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -106,7 +116,7 @@ class Cascade:
         return out.mapInArrow(test, rows.withColumn(name, F.lit(True)).schema)
 
 
-def build_cascade(universe: DataFrame, key: str = "key", listed: str = "listed", max_bytes: int = MAX_BYTES) -> Cascade | None:
+def build_cascade(universe: DataFrame, key: str = "key", listed: str = "listed", max_bytes: int | None = MAX_BYTES) -> Cascade | None:
     """The cascade of the keys with `listed` true; None if it would exceed `max_bytes`."""
     spark = universe.sparkSession
     tables = Tables(spark)
@@ -119,7 +129,7 @@ def build_cascade(universe: DataFrame, key: str = "key", listed: str = "listed",
         if not n and level:
             return Cascade(spark, levels)
         size = max(1, -(-n * BITS_PER_KEY // 64))
-        if 8 * (sum(map(len, levels)) + size) > max_bytes:
+        if max_bytes is not None and 8 * (sum(map(len, levels)) + size) > max_bytes:
             return None
 
         def fill(batches: Iterator[pa.RecordBatch], level=level, size=size) -> Iterator[pa.RecordBatch]:
@@ -154,27 +164,57 @@ def listed_hosts(pages: DataFrame, labels=LISTED_LABELS) -> DataFrame:
     return pages.select(host_and_path(F.col("url"))[0].alias("host")).distinct().where(listed_label(F.col("host"), labels))
 
 
+def junk_hosts(pages: DataFrame) -> DataFrame:
+    """(host): the hosts of which a tenth of the pages or more is junk."""
+    text = F.regexp_replace(F.coalesce("html", F.lit("")), "<[^<>]*>", " ")
+    marks = F.length(text) - F.length(F.regexp_replace(text, "[%#*]{3}", ""))
+    junk = (marks > 0) & (marks * JUNK_TEXT >= F.length(text))
+    hosts = pages.select(host_and_path(F.col("url"))[0].alias("host"), junk.alias("junk")).groupBy("host")
+    return hosts.agg(F.count(F.lit(1)).alias("n"), F.count_if("junk").alias("bad")).where(F.col("bad") * JUNK_PAGES >= F.col("n")).select("host")
+
+
+def with_listed(rows: DataFrame, universe: DataFrame, max_bytes: int = MAX_BYTES, depth: int = 0) -> DataFrame:
+    """`rows` (host, ...) with the boolean `is_listed`, by cascades of `universe` (key, listed), which holds every host of the rows."""
+    cascade = build_cascade(universe, max_bytes=max_bytes)
+    if cascade is not None:
+        return cascade.contains(rows, "host", "is_listed")
+    n = universe.where("listed").count()
+    if n <= LEAST_KEYS:
+        return build_cascade(universe, max_bytes=None).contains(rows, "host", "is_listed")
+    # Twice the room that the listed keys need, as the further levels need some too.
+    parts = min(max(2, -(-2 * n * BITS_PER_KEY // (8 * max(max_bytes, 1)))), 1 + n // LEAST_KEYS)
+    # Other levels of dealing take other hashes.
+    part = lambda key: F.pmod(F.xxhash64(key, F.lit(f"part {depth}")), F.lit(parts)).alias("_part")
+    tables = Tables(rows.sparkSession)
+    keys = tables.keep_parts(universe.select("*", part("key")), "keys", "_part")
+    dealt = tables.keep_parts(rows.select("*", part("host")), "rows", "_part")
+    done = []
+    for k in range(parts):
+        mine = with_listed(dealt.where(F.col("_part") == k).drop("_part"), keys.where(F.col("_part") == k).drop("_part"), max_bytes, depth + 1)
+        done.append(tables.keep(mine, f"done/part={k}"))
+    tables.forget("keys", "rows")
+    return rows.sparkSession.read.schema(done[0].schema).parquet(*[f"{tables.folder}/done/part={k}" for k in range(parts)])
+
+
 def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every page: the rule's verdict, else block for a host of `listed` (host) and allow for others."""
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     blocked = listed.select(F.col("host").cast("string").alias("key")).distinct().withColumn("listed", F.lit(True))
     universe = rows.select(F.col("host").alias("key")).distinct().join(blocked, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed"))
-    cascade = build_cascade(universe, max_bytes=max_bytes)
-    if cascade is not None:
-        judged = cascade.contains(rows, "host", "is_listed")
-    else:
-        judged = rows.join(blocked.select(F.col("key").alias("host"), F.col("listed").alias("is_listed")), "host", "left")
+    judged = with_listed(rows, universe, max_bytes)
     judged = judged.withColumn("found", matching_rule(F.col("host"), F.col("path"), rules))
-    verdict = F.coalesce("found.verdict", F.when(F.coalesce("is_listed", F.lit(False)), "block").otherwise("allow"))
+    verdict = F.coalesce("found.verdict", F.when(F.col("is_listed"), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"))
 
 
 ORACLE = """
-WITH parts AS (
-  SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+WITH texts AS (
+  SELECT page_id, url, regexp_replace(coalesce(html, ''), '<[^<>]*>', ' ', 'g') AS text FROM pages
+), parts AS (
+  SELECT page_id, length(text) AS size, length(text) - length(regexp_replace(text, '[%#*]{3}', '', 'g')) AS marks, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM texts
 ), split AS (
-  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, size, marks, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts
 ), ruled AS (
   SELECT *, CASE
@@ -183,10 +223,13 @@ WITH parts AS (
     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM split
+), junk AS (
+  SELECT host FROM split GROUP BY host HAVING 10 * count(*) FILTER (marks > 0 AND 50 * marks >= size) >= count(*)
 )
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
     WHEN rule IS NOT NULL THEN 'block'
+    WHEN host IN (SELECT host FROM junk) THEN 'block'
     WHEN list_has_any(list_concat(string_split(host, '.'), string_split(replace(host, '-', '.'), '.')),
          ['casino', 'casino-win', 'bet', 'bets', 'free-bets', 'poker', 'slots', 'jackpot', 'win']) THEN 'block'
     ELSE 'allow' END AS verdict

@@ -412,7 +412,7 @@ def test_urls(spark):
     assert urlfilter.judge_urls(pages.limit(0), urlfilter.listed_hosts(pages)).count() == 0
     own = spark.createDataFrame([("org",), ("org",), ("win.net",), ("elsewhere.net",)], "host string")
     clash = pages.unionByName(pages).select("*", F.lit("h").alias("host"), F.lit("v").alias("verdict"), F.lit(1).alias("listed"), F.lit(2).alias("key"))
-    for limit in (urlfilter.MAX_BYTES, 0):  # the cascade, and the join beyond its bound
+    for limit in (urlfilter.MAX_BYTES, 0):  # in the bound and beyond it
         got = urlfilter.judge_urls(clash, own, rules=(), max_bytes=limit).where("verdict = 'block'").collect()
         assert sorted(r.host for r in got) == ["org", "org", "win.net", "win.net"]
     long = spark.createDataFrame([(1, "http://x.org/" + "a" * 300_000)], "page_id long, url string")
@@ -426,6 +426,23 @@ def test_cascade_is_exact(spark):
     assert cascade.contains(keys, "key", "found").where(F.col("found") != F.col("listed")).count() == 0
 
 
+def test_cascades_of_parts_are_exact(spark):
+    """Beyond the bound keys and pages are dealt by hash, more than once if need be; a third of the pages has one host."""
+    for rows, limit in ((6000, 600), (300, 0)):
+        urls = spark.range(rows).select(F.col("id").alias("page_id"), F.when(F.col("id") % 3 == 0, "http://h0.net/x").otherwise(F.concat(F.lit("http://h"), "id", F.lit(".net/"))).alias("url"))
+        listed = spark.range(rows).where("id % 7 = 0").select(F.concat(F.lit("h"), "id", F.lit(".net")).alias("host"))
+        got = urlfilter.judge_urls(urls, listed, rules=(), max_bytes=limit).collect()
+        assert len(got) == rows and {r.page_id: r.verdict == "block" for r in got} == {k: k % 3 == 0 or k % 7 == 0 for k in range(rows)}
+
+
+def test_junk_hosts(spark):
+    good, bad = "<p>plain text of a page</p>" * 9, "<b>words ### and *** more %%%</b>"
+    rows = [("http://a.net", good)] * 10 + [("http://a.net", bad)] + [("http://b.net", good)] * 9 + [("http://b.net/", bad), ("http://c.net", None), ("http://c.net", ""), (None, bad), ("http://d.net", "<#" * 100_000)]
+    got = urlfilter.junk_hosts(spark.createDataFrame(rows, "url string, html string"))
+    assert {r.host for r in got.collect()} == {"b.net", ""}
+    assert urlfilter.junk_hosts(spark.createDataFrame([], "url string, html string")).count() == 0
+
+
 def test_sharding(spark, tmp_path, tables):
     docs, _ = tables
     store = sharding.ShardStore(spark, str(tmp_path / "s"), fan_in=3, target=1 << 20)
