@@ -14,8 +14,11 @@ KEPT_VERSIONS versions stay readable, and a sweep deletes older manifests and th
 shards that only they name. Readers take the highest version, so a lost
 executor or driver leaves the last version whole.
 
-The main path consists of DataFrame reads and writes; the driver sees the
-manifest and file sizes, a row for each shard.
+The main path consists of DataFrame reads and writes. The small merges of a round
+share jobs: a job unites many runs, each read and written by one task without a
+shuffle. What was written is counted and its files are listed by Spark, once a
+write; the driver sees the manifest, a row for each shard. A merge that holds
+other rows than its run is an error, and no version names it.
 
 Defined results: null and empty texts are rows like others; rows are kept as
 they are, repeated ones too, with all columns, whatever their names or types; a
@@ -29,11 +32,13 @@ import json
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .blocks import ensure_checkpoint_dir
 
@@ -43,8 +48,8 @@ TARGET_BYTES = 128 << 20
 ARRIVALS = 16
 #: Powers of FAN_IN below the target that are tiers of their own.
 TIERS = 6
-#: Merges that run at once; each is a job of one task or few.
-MERGES = 16
+#: Runs that one job merges, and such jobs that run at once.
+RUNS_A_JOB, JOBS = 64, 4
 #: Versions that stay readable.
 KEPT_VERSIONS = 2
 
@@ -65,6 +70,10 @@ def _unused(name: str, taken: list[str]) -> str:
     return name
 
 
+def parent(path: str) -> str:
+    return path.rsplit("/", 1)[0]
+
+
 class ShardStore:
     """A folder of immutable shards and manifests `v00000001.json`, `v00000002.json`, ...; the highest is the state."""
 
@@ -115,15 +124,27 @@ class ShardStore:
         versions = self.versions()
         old, new = versions[: -self.kept], versions[-self.kept :]
         named = {s.path for v in new for s in self.live(v)}
-        for path in {s.path for v in old for s in self.live(v)} - named:
+        # Shards are folders, or files in a folder of one job; such a folder goes with its last shard.
+        gone = {s.path for v in old for s in self.live(v)} - named
+        jobs = {parent(p) for p in gone if parent(p) != f"{self.folder}/shards"} - {parent(p) for p in named}
+        for path in [*jobs, *(p for p in gone if parent(p) not in jobs)]:
             self._fs.delete(self._path(path), True)
         for v in old:
             self._fs.delete(self._path(f"{self.folder}/manifest/v{v:08d}.json"), False)
 
-    def _measured(self, path: str) -> tuple[int, int]:
-        """(bytes, number) of a shard's files."""
-        sizes = [f.getLen() for f in self._fs.listStatus(self._path(path)) if f.getPath().getName().startswith("part-")]
-        return sum(sizes), len(sizes)
+    def _files(self, name: str, schema: StructType) -> DataFrame:
+        """(file, rows, bytes) of the files of one write, the file by its path below the folder of shards."""
+        below = lambda path: F.regexp_extract(path, "/shards/([^/]+/.*)$", 1).alias("file")
+        read = self.spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*")
+        sizes = read.format("binaryFile").load(name).select(below(F.col("path")), F.col("length").alias("bytes"))
+        rows = read.format("parquet").schema(schema).load(name).groupBy(below(F.input_file_name())).agg(F.count(F.lit(1)).alias("rows"))
+        return sizes.join(rows, "file", "left").select("file", F.coalesce("rows", F.lit(0)).alias("rows"), "bytes")
+
+    def _folders(self, name: str, schema: StructType) -> list[Shard]:
+        """The folders of one write as shards."""
+        each = self._files(name, schema).groupBy(F.regexp_replace("file", "/[^/]*$", "").alias("at"))
+        each = each.agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("files")).orderBy("at").collect()
+        return [Shard(f"{self.folder}/shards/{r['at']}", r["rows"], r["bytes"], self.tier(r["bytes"]), r["files"]) for r in each]
 
     def tier(self, size: int) -> int:
         """TIERS and more for sizes that reach the target, one less for each power of `fan_in` below it, 0 at least."""
@@ -141,23 +162,19 @@ class ShardStore:
         """The files of a shard of that size: each holds the target at least, where the shard does."""
         return max(1, size // self.target)
 
-    def _shard(self, path: str, rows: int) -> Shard:
-        size, files = self._measured(path)
-        return Shard(path, rows, size, self.tier(size), max(1, files))
-
-    def _write(self, df: DataFrame, rows: int, size: int) -> Shard:
+    def _write(self, df: DataFrame, size: int) -> Shard:
         files = self._fitting(size)
         name = f"{self.folder}/shards/{uuid.uuid4().hex}"
         # One file is written by one task without a shuffle. Several are dealt evenly without a key: no source or length can fill one.
         (df.coalesce(1) if files == 1 else df.repartition(files)).write.parquet(name)
-        return self._shard(name, rows)
+        return self._folders(name, df.schema)[0]
 
     def append(self, df: DataFrame) -> Shard:
         """One arrival becomes a shard."""
         base = self.version()
         name = f"{self.folder}/shards/{uuid.uuid4().hex}"
         df.write.parquet(name)
-        shard = self._shard(name, self.spark.read.schema(df.schema).parquet(name).count())
+        shard = self._folders(name, df.schema)[0]
         self.commit([*self.live(base), shard], base)
         return shard
 
@@ -166,10 +183,8 @@ class ShardStore:
         base = self.version()
         name = f"{self.folder}/shards/{uuid.uuid4().hex}"
         df.write.partitionBy(arrival).parquet(name)
-        each = self.spark.read.schema(df.schema).parquet(name).groupBy(arrival).agg(F.count(F.lit(1)).alias("n")).orderBy(arrival).collect()
-        shards = [self._shard(f"{name}/{arrival}={r[0]}", r.n) for r in each]
-        if not shards:
-            shards = [self._write(self.spark.createDataFrame([], df.drop(arrival).schema), 0, 0)]
+        schema = df.drop(arrival).schema
+        shards = self._folders(name, schema) or [self._write(self.spark.createDataFrame([], schema), 0)]
         self.commit([*self.live(base), *shards], base)
         return shards
 
@@ -190,21 +205,40 @@ class ShardStore:
         gone = {s for run in out for s in run}
         return out + [[s] for s in shards if s not in gone and s.files > self._fitting(s.bytes)]
 
-    def compact(self, schema) -> int:
+    def _merge(self, job: list[list[Shard]], schema: StructType) -> list[Shard]:
+        """One new shard for each run of a job."""
+        parts = [self.spark.read.schema(schema).parquet(*[s.path for s in run]) for run in job]
+        if len(parts) == 1:
+            out = [self._write(parts[0], sum(s.bytes for s in job[0]))]
+        else:
+            name = f"{self.folder}/shards/{uuid.uuid4().hex}"
+            # A union of single partitions alone would be one partition; with an empty range, which has none, each keeps its task.
+            none = self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+            reduce(DataFrame.union, [*(part.coalesce(1) for part in parts), none]).write.parquet(name)
+            # The number of a file is that of its task, thus of its run.
+            number = F.regexp_extract("file", r"/part-(\d+)[^/]*$", 1).cast("int")
+            files = self._files(name, schema).orderBy(number).collect()  # one row a run
+            out = [Shard(f"{self.folder}/shards/{r.file}", r.rows, r.bytes, self.tier(r.bytes), 1) for r in files]
+        if [s.rows for s in out] != [sum(s.rows for s in run) for run in job]:
+            raise RuntimeError(f"a merge wrote {[s.rows for s in out]} rows of {[sum(s.rows for s in run) for run in job]}")
+        return out
+
+    def compact(self, schema: StructType) -> int:
         """Merge until nothing is left to be merged; returns the version reached."""
         version = self.version()
 
-        def merge(run: list[Shard]) -> Shard:
-            rows = self.spark.read.schema(schema).parquet(*[s.path for s in run])
-            return self._write(rows, sum(s.rows for s in run), sum(s.bytes for s in run))
-
         while True:
             shards = self.live(version)
             runs = self.runs(shards)
             if not runs:
                 return version
-            with ThreadPoolExecutor(MERGES) as pool:
-                merged = [f.result() for f in [pool.submit(inheritable_thread_target(self.spark)(merge), run) for run in runs]]
+            # Runs of several files deserve a job of their own; so do empty ones, as an empty task leaves a file only if it is the first.
+            alone = [run for run in runs if self._fitting(sum(s.bytes for s in run)) > 1 or not sum(s.rows for s in run)]
+            small = [run for run in runs if run not in alone]
+            jobs = [[run] for run in alone] + [small[k : k + RUNS_A_JOB] for k in range(0, len(small), RUNS_A_JOB)]
+            merge = inheritable_thread_target(self.spark)(lambda job: self._merge(job, schema))
+            with ThreadPoolExecutor(JOBS) as pool:
+                merged = [s for shards in pool.map(merge, jobs) for s in shards]
             gone = {s for run in runs for s in run}
             version = self.commit([s for s in shards if s not in gone] + merged, version)
             self.sweep()
