@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -23,6 +24,16 @@ class CoverageError(Exception):
     """Rows went in that didn't come back out."""
 
 
+def observed(watched: Observation) -> dict:
+    """The counts of an observation; none where Spark left the observed side out of the plan, whose row then has no schema."""
+    try:
+        return watched.get
+    except Py4JJavaError as e:
+        if "AssertionError" not in e.java_exception.getClass().getName():
+            raise
+        return {}
+
+
 class Coverage:
     """Counts of what went into a reconciliation and came out of it, taken from the one run that writes the results."""
 
@@ -31,9 +42,9 @@ class Coverage:
 
     def counts(self, invoices: DataFrame, ledger: DataFrame) -> dict[str, tuple[int, int]]:
         """{side: (went in, came out)} once results are written. A side that Spark could leave out of the plan, as the other is empty, is counted."""
-        seen = lambda watched, df: n if (n := watched.get.get("n")) is not None else df.count()
-        out = self.results.get
-        return {"invoices": (seen(self.invoices, invoices), out.get("n", 0)), "ledger rows": (seen(self.ledger, ledger), out.get("rows", 0) + self.left.get.get("n", 0))}
+        seen = lambda watched, df: n if (n := observed(watched).get("n")) is not None else df.count()
+        out = observed(self.results)
+        return {"invoices": (seen(self.invoices, invoices), out.get("n", 0)), "ledger rows": (seen(self.ledger, ledger), out.get("rows", 0) + observed(self.left).get("n", 0))}
 
     def verify(self, invoices: DataFrame, ledger: DataFrame) -> None:
         for side, (went_in, came_out) in self.counts(invoices, ledger).items():
