@@ -6,6 +6,7 @@ import io
 import math
 import random
 import re
+import time
 import wave
 
 import numpy as np
@@ -286,6 +287,46 @@ def test_every_position_is_labelled_as_in_one_pass(spark):
     assert len([r for r in out if r.doc_id >= 900]) == 3 and len({(r.lang_pred, r.score) for r in out if r.doc_id == 901}) == 1
 
 
+def test_network_passes():
+    """Both passes against a plain loop in double precision, also where exp overflows; their time is held against that of tanh on as many numbers."""
+    rng = np.random.default_rng(3)
+    net = language.Network(["a", "b", "c", "d"], rng)
+    logistic = lambda a: 0.5 * np.tanh(0.5 * a) + 0.5
+    for scale in (1, 60):
+        net.params = {k: (v * scale).astype(np.float32) for k, v in net.params.items()}
+        length = np.array([30, 4, 17, 30, 1])
+        rows = rng.integers(0, 256, (5, 30)).astype(np.uint8) * (np.arange(30) < length[:, None])
+        rows, begin, end = rows.astype(np.uint8), np.array([0, 1, 3, 5, 0]), np.array([30, 4, 9, 25, 1])
+        p, h, want = {k: v.astype(float) for k, v in net.params.items()}, net.hidden, []
+        for w, n, low, high in zip(rows, length, begin, end, strict=True):
+            both = np.zeros((2, n, h))
+            for side, places in ((0, range(n)), (1, range(n - 1, -1, -1))):
+                state = np.zeros(h)
+                for t in places:
+                    a, b = p[f"x{side}"][w[t]], state @ p[f"u{side}"]
+                    z, r = np.split(logistic(a[: 2 * h] + b[: 2 * h]), 2)
+                    state = z * state + (1 - z) * np.tanh(a[2 * h :] + r * b[2 * h :])
+                    both[side, t] = state
+            logits = np.concatenate([both[0], both[1]], axis=1) @ p["v"] + p["c"]
+            e = np.exp(logits - logits.max(1, keepdims=True))
+            want.append((e / e.sum(1, keepdims=True))[low:high].sum(0))
+        got = net.label(rows, length, begin, end)
+        assert np.isfinite(got).all() and np.allclose(got.sum(1), end - begin, atol=1e-4)
+        assert scale > 1 or np.allclose(got, want, atol=1e-4)
+    net = language.Network(["a", "b", "c", "d"], rng)
+    rows = rng.integers(32, 127, (2000, 300)).astype(np.uint8)
+    n, x = np.full(2000, 300), rng.normal(0, 1, (2000, 36)).astype(np.float32)
+
+    def seconds(work):
+        begin = time.process_time()
+        work()
+        return time.process_time() - begin
+
+    passes = [seconds(lambda: net.label(rows, n, 0 * n, n)) for _ in range(3)]
+    plain = [seconds(lambda: [np.tanh(x) for _ in range(600)]) for _ in range(3)]
+    assert min(passes) < 2 * min(plain)
+
+
 def test_language_gradient():
     rng = np.random.default_rng(0)
     net = language.Network(["a", "b", "c"], rng, 4)
