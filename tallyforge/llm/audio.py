@@ -7,9 +7,9 @@ classes compare the energy of neighbouring areas; sixteen filters of two bits
 each pack a 32-bit integer for every frame.
 
 Two neighbouring integers make a window. For each of a few orders of its bits,
-the first bits are a key; there are as many bits as the corpus has frames to tell
-apart, so chance meetings stay in proportion to the queries. A query looks up
-its keys and all keys that differ in one bit. Every meeting votes for the shift
+the first KEY_BITS bits are a key, whatever the size of the corpus, so that a pair
+of recordings gets the same result among any others; chance meetings grow with
+queries times frames. A query looks up its keys and all keys that differ in one bit. Every meeting votes for the shift
 at which it occurs, and every shift with a vote is verified: the stretch of the
 overlap whose bits agree best, by the greatest sum of BIT_ERRORS less the share of
 different bits, must be long enough. Within a run of equal keys, as of a steady
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Tables
@@ -45,9 +45,9 @@ BIT_ERRORS, LEAST_FRAMES = 0.25, 8
 #: Frames that a stretch must have where the overlap is longer than itself.
 LEAST_PART = 16
 #: Orders of the bits of a window that have a key each, and the bits of a key.
-ORDERS, LEAST_BITS, MOST_BITS = 2, 16, 48
-#: Bits of a key beyond those that tell the corpus's frames apart, since the bits of a window aren't independent.
-SPARE_BITS = 8
+ORDERS, KEY_BITS = 2, 24
+#: Frames of overlaps that are verified together.
+TOGETHER = 1 << 18
 _WIDTH = 8
 
 
@@ -134,11 +134,11 @@ def fingerprint(energy: np.ndarray) -> np.ndarray:
 
 
 def windows(prints: np.ndarray) -> np.ndarray:
-    """(ORDERS x n) leading MOST_BITS bits of every pair of neighbouring integers, in orders by rule; the last frame has none."""
+    """(ORDERS x n) leading KEY_BITS bits of every pair of neighbouring integers, in orders by rule; the last frame has none."""
     pair = prints[:-1].astype(np.uint64) << np.uint64(32) | prints[1:].astype(np.uint64)
     out = np.zeros((ORDERS, len(pair)), np.uint64)
     for k in range(ORDERS):
-        for j in range(MOST_BITS):
+        for j in range(KEY_BITS):
             out[k] = out[k] << np.uint64(1) | pair >> np.uint64((13 * j + 31 * k + 5) % 64) & np.uint64(1)
     return out
 
@@ -154,19 +154,19 @@ def fingerprints(recordings: DataFrame) -> DataFrame:
                 prints = [fingerprint(e) for e in energies]
                 sounds = [(e[: len(p)].any(1) if len(p) else np.zeros(0, bool)) for e, p in zip(energies, prints, strict=True)]
                 marks = [hashlib.md5(p.tobytes() if len(p) else f"empty {i.as_py()}".encode()).digest() for p, i in zip(prints, part.column(0), strict=True)]
-                keys = [[w.view(np.int64) for w in windows(p)] if len(p) > 1 else [[]] * ORDERS for p in prints]
-                arrays = [part.column(0), pa.array(marks, pa.binary()), pa.array([p.view(np.int32) for p in prints], pa.list_(pa.int32())), pa.array(sounds, pa.list_(pa.bool_())), pa.array(keys, pa.list_(pa.list_(pa.int64())))]
+                keys = [[w.astype(np.int32) for w in windows(p)] if len(p) > 1 else [[]] * ORDERS for p in prints]
+                arrays = [part.column(0), pa.array(marks, pa.binary()), pa.array([p.view(np.int32) for p in prints], pa.list_(pa.int32())), pa.array(sounds, pa.list_(pa.bool_())), pa.array(keys, pa.list_(pa.list_(pa.int32())))]
                 yield pa.RecordBatch.from_arrays(arrays, ["rec_id", "cls", "prints", "sounds", "keys"])
 
     rows = recordings.select(F.col("rec_id").cast("long").alias("rec_id"), F.col("wav").cast("binary").alias("wav"))
-    return rows.mapInArrow(run, "rec_id long, cls binary, prints array<int>, sounds array<boolean>, keys array<array<bigint>>")
+    return rows.mapInArrow(run, "rec_id long, cls binary, prints array<int>, sounds array<boolean>, keys array<array<int>>")
 
 
-def _keyed(classes: DataFrame, bits: int) -> DataFrame:
+def _keyed(classes: DataFrame) -> DataFrame:
     """(class_id, nth, at, key): the keys of every class, without the inner places of runs of equal ones."""
     out = None
     for nth in range(ORDERS):
-        keys = F.transform(F.get("keys", F.lit(nth)), lambda w: F.shiftright(w, MOST_BITS - bits))
+        keys = F.get("keys", F.lit(nth))
         k = F.col("k")
         inner = lambda i: (F.get(k, i - 1) == F.get(k, i)) & (F.get(k, i + 1) == F.get(k, i))
         voting = lambda i: F.get("sounds", i) & F.get("sounds", i + 1) & ~F.coalesce(inner(i), F.lit(False))
@@ -178,22 +178,56 @@ def _keyed(classes: DataFrame, bits: int) -> DataFrame:
     return out
 
 
-def stretch(errors: Column) -> Column:
-    """struct(at, size, wrong): the stretch of the greatest sum of 32 * BIT_ERRORS - errors, null frames counting 0."""
-    gain = lambda e: F.coalesce(F.lit(32 * BIT_ERRORS) - e, F.lit(0.0))
-    start = F.struct(*[F.lit(v).cast(t).alias(n) for n, v, t in (("i", 0, "int"), ("sum", 0, "double"), ("from", 0, "int"), ("best", 0, "double"), ("at", 0, "int"), ("end", 0, "int"))])
+def stretches(a: list[np.ndarray], b: list[np.ndarray], shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(frames, share of different bits) of the stretch that agrees best in the overlap of each pair at its shift; 0 frames where none fits.
 
-    def step(acc: Column, e: Column) -> Column:
-        total = acc["sum"] + gain(e)
-        low = total <= 0
-        now, begin = F.when(low, 0.0).otherwise(total), F.when(low, acc["i"] + 1).otherwise(acc["from"])
-        better = now > acc["best"]
-        return F.struct(
-            (acc["i"] + 1).alias("i"), now.alias("sum"), begin.alias("from"), F.when(better, now).otherwise(acc["best"]).alias("best"),
-            F.when(better, begin).otherwise(acc["at"]).alias("at"), F.when(better, acc["i"] + 1).otherwise(acc["end"]).alias("end"),
-        )
+    `a` and `b` hold packed integers, whether a frame has sound, and the n + 1 offsets of the rows in them. The stretch
+    has the greatest sum of 32 * BIT_ERRORS less the different bits of its frames, those without sound counting 0.
+    """
+    (x, x_heard, x_at), (y, y_heard, y_at) = a, b
+    begin, stop = np.maximum(0, -shift), np.minimum(np.diff(x_at), np.diff(y_at) - shift)
+    overlap = np.maximum(stop - begin, 0)
+    frames, share = np.zeros(len(shift), np.int64), np.zeros(len(shift))
+    order, k = np.flatnonzero(overlap >= LEAST_FRAMES), 0
+    order = order[np.argsort(-overlap[order], kind="stable")]
+    while k < len(order):
+        width = int(overlap[order[k]])
+        rows = order[k : k + max(1, TOGETHER // width)]
+        k += len(rows)
+        place, each = np.arange(width), np.arange(len(rows))
+        inside = place < overlap[rows, None]
+        i = np.where(inside, (x_at[rows] + begin[rows])[:, None] + place, 0)
+        j = np.where(inside, (y_at[rows] + begin[rows] + shift[rows])[:, None] + place, 0)
+        heard = inside & x_heard[i] & y_heard[j]
+        wrong = np.where(heard, np.bitwise_count(x[i] ^ y[j]), 0).astype(np.int64)
+        sums = lambda v: np.concatenate([np.zeros((len(rows), 1), np.int64), np.cumsum(v, axis=1)], axis=1)
+        wrong, heard = sums(wrong), sums(heard)
+        total = int(32 * BIT_ERRORS) * heard - wrong
+        total -= np.minimum.accumulate(total, axis=1)  # the greatest sum that ends at each place
+        end = total.argmax(1)
+        start = np.maximum.accumulate(np.where(total == 0, np.arange(width + 1), 0), axis=1)[each, end]
+        size = heard[each, end] - heard[each, start]
+        error = (wrong[each, end] - wrong[each, start]) / np.maximum(32 * size, 1)
+        fits = (size >= np.maximum(LEAST_FRAMES, np.minimum(LEAST_PART, overlap[rows]))) & (error <= BIT_ERRORS)
+        frames[rows], share[rows] = np.where(fits, size, 0), error
+    return frames, share
+
+
+def verified(pairs: DataFrame) -> DataFrame:
+    """(query, class_id, shift, overlap, bit_errors) of the pairs (with a, a_sounds, b, b_sounds) whose stretch fits."""
+
+    def flat(prints: pa.ListArray, sounds: pa.ListArray) -> list[np.ndarray]:
+        return [prints.flatten().to_numpy().view(np.uint32), sounds.flatten().to_numpy(zero_copy_only=False).astype(bool), np.concatenate([[0], np.cumsum(prints.value_lengths().to_numpy())])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shift = batch.column("shift").to_numpy().astype(np.int64)
+            frames, share = stretches(flat(batch.column("a"), batch.column("a_sounds")), flat(batch.column("b"), batch.column("b_sounds")), shift)
+            fits = np.flatnonzero(frames)
+            ids = [batch.column(name).take(pa.array(fits)) for name in ("query", "class_id", "shift")]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(frames[fits].astype(np.int32)), pa.array(share[fits])], ["query", "class_id", "shift", "overlap", "bit_errors"])
 
-    return F.aggregate(errors, start, step, lambda acc: F.struct(acc["at"].alias("at"), (acc["end"] - acc["at"]).alias("size")))
+    return pairs.select("query", "class_id", "shift", "a", "a_sounds", "b", "b_sounds").mapInArrow(run, "query long, class_id long, shift int, overlap int, bit_errors double")
 
 
 def align(recordings: DataFrame, queries: DataFrame) -> DataFrame:
@@ -210,26 +244,14 @@ def align(recordings: DataFrame, queries: DataFrame) -> DataFrame:
     classes = tables.keep(own.groupBy("cls").agg(F.min("rec_id").alias("class_id"), *firsts), "classes")
     asked = own.join(queries.select("rec_id"), "rec_id", "left_semi").select("cls").distinct()
     wanted = tables.keep(classes.join(asked, "cls", "left_semi").select("class_id", "prints", "sounds", "keys"), "wanted")
-    frames = classes.agg(F.coalesce(F.sum(F.size("prints")), F.lit(0)).alias("n")).first().n
-    bits = min(MOST_BITS, max(LEAST_BITS, int(frames).bit_length() + SPARE_BITS))
-    near = F.concat(F.array("key"), *[F.array(F.col("key").bitwiseXOR(F.lit(1 << j))) for j in range(bits)])
-    probes = _keyed(wanted, bits).select(F.col("class_id").alias("query"), "nth", F.col("at").alias("q_at"), F.explode(near).alias("key"))
+    near = F.concat(F.array("key"), *[F.array(F.col("key").bitwiseXOR(F.lit(1 << j))) for j in range(KEY_BITS)])
+    probes = _keyed(wanted).select(F.col("class_id").alias("query"), "nth", F.col("at").alias("q_at"), F.explode(near).alias("key"))
     shift = (F.col("at") - F.col("q_at")).alias("shift")
-    votes = probes.join(_keyed(classes, bits), ["nth", "key"]).where("query != class_id").select("query", "class_id", shift)
+    votes = probes.join(_keyed(classes), ["nth", "key"]).where("query != class_id").select("query", "class_id", shift)
     voted = tables.keep(votes.groupBy("query", "class_id", "shift").agg(F.count(F.lit(1)).alias("votes")), "voted")
     side = lambda df, who, p, q: df.select(F.col("class_id").alias(who), F.col("prints").alias(p), F.col("sounds").alias(q))
     pairs = voted.join(side(classes, "class_id", "b", "b_sounds"), "class_id").join(side(wanted, "query", "a", "a_sounds"), "query")
-    begin, stop = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("a"), F.size("b") - F.col("shift"))
-    overlap = F.greatest(stop - begin, F.lit(0))
-    cut = lambda c, at: F.slice(c, at, overlap)
-    wrong = F.zip_with(cut("a", begin + 1), cut("b", begin + F.col("shift") + 1), lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))  # a negative integer would be counted with its sign
-    heard = F.zip_with(cut("a_sounds", begin + 1), cut("b_sounds", begin + F.col("shift") + 1), lambda x, y: x & y)
-    judged = pairs.select("query", "class_id", "shift", overlap.alias("all"), F.zip_with(wrong, heard, lambda e, h: F.when(h, e)).alias("e")).withColumn("s", stretch(F.col("e")))
-    inside = F.filter(F.slice("e", F.col("s.at") + 1, F.col("s.size")), lambda e: e.isNotNull())
-    judged = judged.where(F.col("s.size") >= LEAST_FRAMES).select("query", "class_id", "shift", "all", inside.alias("e"))
-    size = F.size("e")
-    judged = judged.where(size >= F.greatest(F.lit(LEAST_FRAMES), F.least(F.lit(LEAST_PART), F.col("all"))))
-    each = judged.select("query", "class_id", "shift", size.alias("overlap"), (F.aggregate("e", F.lit(0), lambda s, x: s + x) / (32 * size)).alias("bit_errors")).where(F.col("bit_errors") <= BIT_ERRORS)
+    each = verified(pairs)
     best = each.groupBy("query", "class_id").agg(F.max_by(F.struct("shift", "overlap", "bit_errors"), F.struct("overlap", -F.col("bit_errors"), -F.col("shift"))).alias("m")).select("query", "class_id", "m.*")
     named = classes.select("cls", "class_id")
     members = own.select("rec_id", "cls").join(named, "cls").select(F.lit("member").alias("kind"), "rec_id", "class_id", F.lit(None).cast("long").alias("match_id"), F.lit(None).cast("int").alias("shift"), F.lit(None).cast("int").alias("overlap"), F.lit(None).cast("double").alias("bit_errors"))

@@ -657,6 +657,53 @@ def test_alignment_against_brute_force(spark):
         assert np.mean([bin(int(p) ^ int(q)).count("1") for p, q in zip(other[:n], prints[0][:n])]) < 3
 
 
+def test_alignment_ignores_the_size_of_the_corpus(spark):
+    """Very noisy copies are found or not by themselves, however many other recordings there are."""
+    rng, npr = random.Random(7), np.random.default_rng(8)
+    rows = []
+    for k in range(12):
+        base = [rng.randrange(36) for _ in range(64)]
+        rows.append((100 * k, wav(base)))
+        for j, noise in enumerate((8000, 10000, 12000, 12000)):
+            x = np.frombuffer(wav(base[8:60])[44:], "<i2") + npr.normal(0, noise, 52 * audio.HOP)
+            rows.append((100 * k + j + 1, riff(np.clip(x, -32000, 32000))))
+    few = spark.createDataFrame(rows, "rec_id long, wav binary")
+    others = spark.createDataFrame([(100_000 + k, npr.normal(0, 0.15, 160).tolist()) for k in range(400)], "vec_id long, embedding array<double>")
+    found = []
+    for recordings in (few, few.unionByName(audio.sonify(others))):
+        got = audio.align(recordings, few.where("rec_id % 100 = 0").select("rec_id")).where("kind = 'match' AND match_id < 100000").collect()
+        found.append({(r.rec_id, r.match_id, r.shift, r.overlap, r.bit_errors) for r in got})
+    assert found[0] == found[1] and len(found[0]) > 20
+
+
+def test_stretches():
+    """The best stretch of each overlap against a loop; rows of different lengths, silence, shifts beyond the ends."""
+    npr, want = np.random.default_rng(2), []
+    rows, shift = [], npr.integers(-50, 50, 400)
+    for k, at in enumerate(shift):
+        a, b = (npr.integers(0, 1 << 32, n, dtype=np.uint32) for n in npr.integers(0, 70, 2))
+        for i in range(max(0, -at), min(len(a), len(b) - at)):
+            b[i + at] = a[i] ^ np.uint32(sum(1 << int(j) for j in npr.choice(32, npr.integers(0, 14 + k % 9), replace=False)))
+        heard = [npr.random(len(x)) < 0.95 for x in (a, b)]
+        rows.append((a, heard[0], b, heard[1]))
+        places = range(max(0, -at), min(len(a), len(b) - at))
+        best, total, start, stretch = 0, 0, places.start, (0, 0)
+        errors = {i: bin(int(a[i]) ^ int(b[i + at])).count("1") for i in places if heard[0][i] and heard[1][i + at]}
+        for i in places:
+            total += 8 - errors.get(i, 8)
+            if total <= 0:
+                total, start = 0, i + 1
+            elif total > best:
+                best, stretch = total, (start, i + 1)
+        inner = [errors[i] for i in range(*stretch) if i in errors]
+        fits = len(inner) >= max(8, min(16, len(places))) and sum(inner) <= 8 * len(inner)
+        want.append((len(inner), sum(inner) / len(inner) / 32) if fits else (0, None))
+    flat = lambda x, y: [np.concatenate([r[x] for r in rows]), np.concatenate([r[y] for r in rows]), np.concatenate([[0], np.cumsum([len(r[x]) for r in rows])])]
+    frames, share = audio.stretches(flat(0, 1), flat(2, 3), shift)
+    assert frames.tolist() == [n for n, _ in want] and 20 < np.count_nonzero(frames) < 380
+    assert all(abs(x - y) < 1e-12 for x, (n, y) in zip(share, want, strict=True) if n)
+
+
 def riff(x, rate=audio.RATE, width=2):
     data = np.round(x * 256.0 ** (width - 2)).astype(np.int64) + (128 if width == 1 else 0)
     raw = data.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
