@@ -6,15 +6,19 @@ twelve pitch classes. Filters over the integral image of frames and pitch
 classes compare the energy of neighbouring areas; sixteen filters of two bits
 each pack a 32-bit integer for every frame.
 
-Two neighbouring integers make a window. For each of a few orders of its bits,
-the first KEY_BITS bits are a key, whatever the size of the corpus, so that a pair
-of recordings gets the same result among any others; chance meetings grow with
-queries times frames. A query looks up its keys and all keys that differ in one bit. Every meeting votes for the shift
-at which it occurs, and every shift with a vote is verified: the stretch of the
+Two neighbouring integers make a key: from one the signs of half of the filters,
+from the next those of the other half, 16 bits whatever the size of the corpus, so
+that a pair of recordings gets the same result among any others. A query looks up
+its keys and all keys that differ in one bit. Where two keys meet, every second
+frame around them is compared at once (AROUND, those that both have), and the place
+votes for its shift if no more than NEAR_ERRORS of these bits differ, as they do in a
+stretch that agrees. Meetings grow with queries times frames, and few of them vote.
+Every shift with a vote is verified: the stretch of the
 overlap whose bits agree best, by the greatest sum of BIT_ERRORS less the share of
 different bits, must be long enough. Within a run of equal keys, as of a steady
 tone, the first and the last place vote, since equal stretches agree at one end
-of the run. Frames without sound neither vote nor count.
+of the run; there the frames on the side of the run may agree alone. Frames without
+sound neither vote nor count.
 
 Recordings of the same fingerprint are one class, so copies never multiply.
 
@@ -34,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Tables
@@ -44,8 +48,8 @@ RATE, FRAME, HOP = 11025, 2048, 1024
 BIT_ERRORS, LEAST_FRAMES = 0.25, 8
 #: Frames that a stretch must have where the overlap is longer than itself.
 LEAST_PART = 16
-#: Orders of the bits of a window that have a key each, and the bits of a key.
-ORDERS, KEY_BITS = 2, 24
+#: Frames around a meeting of keys that are compared before it votes, and the share of their bits that may differ.
+AROUND, NEAR_ERRORS = (-7, -5, -3, -1, 1, 3, 5, 7), 0.27
 #: Frames of overlaps that are verified together.
 TOGETHER = 1 << 18
 _WIDTH = 8
@@ -133,18 +137,22 @@ def fingerprint(energy: np.ndarray) -> np.ndarray:
     return out
 
 
-def windows(prints: np.ndarray) -> np.ndarray:
-    """(ORDERS x n) leading KEY_BITS bits of every pair of neighbouring integers, in orders by rule; the last frame has none."""
-    pair = prints[:-1].astype(np.uint64) << np.uint64(32) | prints[1:].astype(np.uint64)
-    out = np.zeros((ORDERS, len(pair)), np.uint64)
-    for k in range(ORDERS):
-        for j in range(KEY_BITS):
-            out[k] = out[k] << np.uint64(1) | pair >> np.uint64((13 * j + 31 * k + 5) % 64) & np.uint64(1)
-    return out
+def _signs() -> tuple[int, int]:
+    """Sign bits of the filters, as a chequered board of shapes and places: those taken from a frame, and from the next."""
+    out = [0, 0]
+    for shape in range(4):
+        for k in range(4):
+            out[(shape + k) % 2] |= 1 << 31 - 2 * (4 * shape + k)
+    return out[0], out[1]
+
+
+SIGNS = _signs()
+#: The bits of a key, as 32-bit integers.
+KEY_BITS = [(1 << j) - (j == 31) * (1 << 32) for j in range(1, 32, 2)]
 
 
 def fingerprints(recordings: DataFrame) -> DataFrame:
-    """(rec_id, cls, prints, sounds, keys): class, packed integers, whether a frame has sound, and windows of every recording (rec_id, wav)."""
+    """(rec_id, cls, prints, sounds): class, packed integers and whether a frame has sound of every recording (rec_id, wav)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,30 +162,73 @@ def fingerprints(recordings: DataFrame) -> DataFrame:
                 prints = [fingerprint(e) for e in energies]
                 sounds = [(e[: len(p)].any(1) if len(p) else np.zeros(0, bool)) for e, p in zip(energies, prints, strict=True)]
                 marks = [hashlib.md5(p.tobytes() if len(p) else f"empty {i.as_py()}".encode()).digest() for p, i in zip(prints, part.column(0), strict=True)]
-                keys = [[w.astype(np.int32) for w in windows(p)] if len(p) > 1 else [[]] * ORDERS for p in prints]
-                arrays = [part.column(0), pa.array(marks, pa.binary()), pa.array([p.view(np.int32) for p in prints], pa.list_(pa.int32())), pa.array(sounds, pa.list_(pa.bool_())), pa.array(keys, pa.list_(pa.list_(pa.int32())))]
-                yield pa.RecordBatch.from_arrays(arrays, ["rec_id", "cls", "prints", "sounds", "keys"])
+                arrays = [part.column(0), pa.array(marks, pa.binary()), pa.array([p.view(np.int32) for p in prints], pa.list_(pa.int32())), pa.array(sounds, pa.list_(pa.bool_()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["rec_id", "cls", "prints", "sounds"])
 
     rows = recordings.select(F.col("rec_id").cast("long").alias("rec_id"), F.col("wav").cast("binary").alias("wav"))
-    return rows.mapInArrow(run, "rec_id long, cls binary, prints array<int>, sounds array<boolean>, keys array<array<int>>")
+    return rows.mapInArrow(run, "rec_id long, cls binary, prints array<int>, sounds array<boolean>")
 
 
-def _keyed(classes: DataFrame) -> DataFrame:
-    """(class_id, nth, at, key): the keys of every class, without the inner places of runs of equal ones."""
-    out = None
-    for nth in range(ORDERS):
-        keys = F.get("keys", F.lit(nth))
-        k = F.col("k")
-        inner = lambda i: (F.get(k, i - 1) == F.get(k, i)) & (F.get(k, i + 1) == F.get(k, i))
-        voting = lambda i: F.get("sounds", i) & F.get("sounds", i + 1) & ~F.coalesce(inner(i), F.lit(False))
-        at = F.filter(F.sequence(F.lit(0), F.size(k) - 1), voting)
-        each = classes.where(F.size("prints") > 1).select("class_id", "sounds", keys.alias("k"))
-        each = each.select("class_id", F.explode(F.transform(at, lambda i: F.struct(i.alias("at"), F.get(k, i).alias("key")))).alias("r"))
-        each = each.select("class_id", F.lit(nth).alias("nth"), "r.at", "r.key")
-        out = each if out is None else out.unionByName(each)
+def _flat(prints: pa.ListArray, sounds: pa.ListArray) -> list[np.ndarray]:
+    return [prints.flatten().to_numpy().view(np.uint32), sounds.flatten().to_numpy(zero_copy_only=False).astype(bool), np.concatenate([[0], np.cumsum(prints.value_lengths().to_numpy())])]
+
+
+def places(x: np.ndarray, heard: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+    """The places that vote, without the inner ones of runs of equal keys: row, at, key, first, last, s0 ..., m0 ...
+
+    `first` and `last` tell the ends of such runs. The frames around follow, two to
+    a long, and the bits of those there are that have sound.
+    """
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    start, stop = offsets[row], offsets[row + 1]
+    here = np.arange(len(x))
+    keyed = here + 1 < stop
+    key = (x & np.uint32(SIGNS[0]) | np.roll(x, -1) & np.uint32(SIGNS[1])).view(np.int32)
+    after = keyed & (here + 2 < stop) & (key == np.roll(key, -1))
+    before = keyed & (here > start) & (key == np.roll(key, 1))
+    at = np.flatnonzero(keyed & heard & np.roll(heard, -1) & ~(before & after))
+    out = {"row": row[at], "at": (at - start[at]).astype(np.int32), "key": key[at], "first": after[at], "last": before[at]}
+    bits, there = [], []
+    for o in AROUND:
+        inside = (at + o >= start[at]) & (at + o < stop[at])
+        k = np.where(inside, at + o, at)
+        inside &= heard[k]
+        bits.append(np.where(inside, x[k], 0).astype(np.uint64))
+        there.append(np.where(inside, 0xFFFFFFFF, 0).astype(np.uint64))
+    for name, v in (("s", bits), ("m", there)):
+        out |= {f"{name}{n // 2}": (v[n] << np.uint64(32) | v[n + 1]).view(np.int64) for n in range(0, len(AROUND), 2)}
     return out
 
 
+def _keyed(classes: DataFrame) -> DataFrame:
+    """(class_id, at, key, first, last, s0 ..., m0 ...): the places of every class that vote."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                found = places(*_flat(part.column(1), part.column(2)))
+                yield pa.RecordBatch.from_pydict({"class_id": part.column(0).take(pa.array(found.pop("row"))), **found})
+
+    around = ", ".join(f"{name}{n} long" for name in "sm" for n in range(len(AROUND) // 2))
+    return classes.select("class_id", "prints", "sounds").mapInArrow(run, f"class_id long, at int, key int, first boolean, last boolean, {around}")
+
+
+def _agree() -> Column:
+    """Whether the frames around a meeting agree: all of them, or those in a run that ends or begins there."""
+
+    def near(pairs: range) -> Column:
+        wrong, seen = F.lit(0), F.lit(0)
+        for n in pairs:
+            both = F.col(f"m{n}").bitwiseAND(F.col(f"q_m{n}"))
+            wrong = wrong + F.bit_count(F.col(f"s{n}").bitwiseXOR(F.col(f"q_s{n}")).bitwiseAND(both))
+            seen = seen + F.bit_count(both)
+        return (seen > 0) & (wrong <= seen * F.lit(NEAR_ERRORS))
+
+    n = len(AROUND) // 2
+    return near(range(n)) | (F.col("last") | F.col("q_last")) & near(range(n // 2)) | (F.col("first") | F.col("q_first")) & near(range(n // 2, n))
+
+
 def stretches(a: list[np.ndarray], b: list[np.ndarray], shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(frames, share of different bits) of the stretch that agrees best in the overlap of each pair at its shift; 0 frames where none fits.
 
@@ -216,13 +267,10 @@ def stretches(a: list[np.ndarray], b: list[np.ndarray], shift: np.ndarray) -> tu
 def verified(pairs: DataFrame) -> DataFrame:
     """(query, class_id, shift, overlap, bit_errors) of the pairs (with a, a_sounds, b, b_sounds) whose stretch fits."""
 
-    def flat(prints: pa.ListArray, sounds: pa.ListArray) -> list[np.ndarray]:
-        return [prints.flatten().to_numpy().view(np.uint32), sounds.flatten().to_numpy(zero_copy_only=False).astype(bool), np.concatenate([[0], np.cumsum(prints.value_lengths().to_numpy())])]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shift = batch.column("shift").to_numpy().astype(np.int64)
-            frames, share = stretches(flat(batch.column("a"), batch.column("a_sounds")), flat(batch.column("b"), batch.column("b_sounds")), shift)
+            frames, share = stretches(_flat(batch.column("a"), batch.column("a_sounds")), _flat(batch.column("b"), batch.column("b_sounds")), shift)
             fits = np.flatnonzero(frames)
             ids = [batch.column(name).take(pa.array(fits)) for name in ("query", "class_id", "shift")]
             yield pa.RecordBatch.from_arrays([*ids, pa.array(frames[fits].astype(np.int32)), pa.array(share[fits])], ["query", "class_id", "shift", "overlap", "bit_errors"])
@@ -240,14 +288,15 @@ def align(recordings: DataFrame, queries: DataFrame) -> DataFrame:
     """
     tables = Tables(recordings.sparkSession)
     own = tables.keep(fingerprints(recordings), "own")
-    firsts = [F.first(c).alias(c) for c in ("prints", "sounds", "keys")]
+    firsts = [F.first(c).alias(c) for c in ("prints", "sounds")]
     classes = tables.keep(own.groupBy("cls").agg(F.min("rec_id").alias("class_id"), *firsts), "classes")
     asked = own.join(queries.select("rec_id"), "rec_id", "left_semi").select("cls").distinct()
-    wanted = tables.keep(classes.join(asked, "cls", "left_semi").select("class_id", "prints", "sounds", "keys"), "wanted")
-    near = F.concat(F.array("key"), *[F.array(F.col("key").bitwiseXOR(F.lit(1 << j))) for j in range(KEY_BITS)])
-    probes = _keyed(wanted).select(F.col("class_id").alias("query"), "nth", F.col("at").alias("q_at"), F.explode(near).alias("key"))
+    wanted = tables.keep(classes.join(asked, "cls", "left_semi").select("class_id", "prints", "sounds"), "wanted")
+    probes = _keyed(wanted)
+    near = F.concat(F.array("key"), *[F.array(F.col("key").bitwiseXOR(F.lit(j))) for j in KEY_BITS])
+    probes = probes.select(F.col("class_id").alias("query"), F.explode(near).alias("key"), *[F.col(c).alias(f"q_{c}") for c in probes.columns if c not in ("class_id", "key")])
     shift = (F.col("at") - F.col("q_at")).alias("shift")
-    votes = probes.join(_keyed(classes), ["nth", "key"]).where("query != class_id").select("query", "class_id", shift)
+    votes = _keyed(classes).join(probes, "key").where((F.col("query") != F.col("class_id")) & _agree()).select("query", "class_id", shift)
     voted = tables.keep(votes.groupBy("query", "class_id", "shift").agg(F.count(F.lit(1)).alias("votes")), "voted")
     side = lambda df, who, p, q: df.select(F.col("class_id").alias(who), F.col("prints").alias(p), F.col("sounds").alias(q))
     pairs = voted.join(side(classes, "class_id", "b", "b_sounds"), "class_id").join(side(wanted, "query", "a", "a_sounds"), "query")

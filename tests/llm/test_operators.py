@@ -676,6 +676,55 @@ def test_alignment_ignores_the_size_of_the_corpus(spark):
     assert found[0] == found[1] and len(found[0]) > 20
 
 
+def test_few_meetings_by_chance_vote(spark, monkeypatch):
+    """Unrelated recordings give few shifts to verify, and similar ones are found all the same."""
+    npr, counts = np.random.default_rng(12), {}
+    base = npr.normal(0, 0.125, (300, 64))
+    near = 1 - 10 ** npr.uniform(-4, -1.6, (300, 1))
+    like = near * base + np.sqrt(1 - near**2) * npr.normal(0, 0.125, (300, 64))
+    rows = [(100 * k + j, v.tolist()) for j, part in enumerate((base, like)) for k, v in enumerate(part)]
+    recordings = audio.sonify(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).cache()
+    prints = {r.rec_id: audio.fingerprint(audio.chroma(audio.samples(bytes(r.wav)))) for r in recordings.collect()}
+    want = set()
+    for k in range(300):
+        a, b = prints[100 * k], prints[100 * k + 1]
+        shift = np.arange(1 - len(a), len(b))
+        tiled = [[np.tile(x, len(shift)), np.ones(len(x) * len(shift), bool), np.arange(len(shift) + 1) * len(x)] for x in (a, b)]
+        if audio.stretches(*tiled, shift)[0].any() and not np.array_equal(a, b):
+            want.add((100 * k, 100 * k + 1))
+    keep = audio.Tables.keep
+
+    def counted(self, df, name):
+        out = keep(self, df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(audio.Tables, "keep", counted)
+    got = audio.align(recordings, recordings.where("rec_id % 100 = 0").select("rec_id")).where("kind = 'match'").collect()
+    assert len(want) > 150 and len(want & {(r.rec_id, r.match_id) for r in got}) >= 0.97 * len(want)
+    assert counts["voted"] < 10_000
+
+
+def test_voting_places():
+    """Places, ends of runs and the frames around against a loop; silence, runs, rows of no and one frame."""
+    npr = np.random.default_rng(4)
+    rows = [npr.choice(npr.integers(0, 1 << 32, 4, dtype=np.uint32), n) for n in (0, 1, 2, 3, 40, 0, 60, 1)]
+    heard = [npr.random(len(x)) < 0.9 for x in rows]
+    want = []
+    for row, (x, h) in enumerate(zip(rows, heard, strict=True)):
+        key = [(int(p) & audio.SIGNS[0] | int(q) & audio.SIGNS[1]) for p, q in zip(x[:-1], x[1:])]
+        for i, k in enumerate(key):
+            first, last = i + 1 < len(key) and key[i + 1] == k, i > 0 and key[i - 1] == k
+            if h[i] and h[i + 1] and not (first and last):
+                around = [(int(x[i + o]), 0xFFFFFFFF) if 0 <= i + o < len(x) and h[i + o] else (0, 0) for o in audio.AROUND]
+                longs = [around[n][side] << 32 | around[n + 1][side] for side in (0, 1) for n in range(0, 8, 2)]
+                want.append((row, i, k, first, last, *longs))
+    found = audio.places(np.concatenate(rows), np.concatenate(heard), np.concatenate([[0], np.cumsum([len(x) for x in rows])]))
+    unsigned = [v.view(f"u{v.itemsize}") if name in ("key", *(f"{c}{n}" for c in "sm" for n in range(4))) else v for name, v in found.items()]
+    assert list(zip(*(v.tolist() for v in unsigned), strict=True)) == want and {w[3:5] for w in want} >= {(True, False), (False, True), (False, False)}
+    assert sorted(j % (1 << 32) for j in audio.KEY_BITS) == [1 << n for n in range(1, 32, 2)] and audio.SIGNS[0] ^ audio.SIGNS[1] == 0xAAAAAAAA
+
+
 def test_stretches():
     """The best stretch of each overlap against a loop; rows of different lengths, silence, shifts beyond the ends."""
     npr, want = np.random.default_rng(2), []
