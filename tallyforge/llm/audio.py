@@ -296,7 +296,8 @@ def align(recordings: DataFrame, queries: DataFrame) -> DataFrame:
     near = F.concat(F.array("key"), *[F.array(F.col("key").bitwiseXOR(F.lit(j))) for j in KEY_BITS])
     probes = probes.select(F.col("class_id").alias("query"), F.explode(near).alias("key"), *[F.col(c).alias(f"q_{c}") for c in probes.columns if c not in ("class_id", "key")])
     shift = (F.col("at") - F.col("q_at")).alias("shift")
-    votes = _keyed(classes).join(probes, "key").where((F.col("query") != F.col("class_id")) & _agree()).select("query", "class_id", shift)
+    # The few queries become very many probes, which the planner takes for few and would send through the driver.
+    votes = _keyed(classes).join(probes.hint("merge"), "key").where((F.col("query") != F.col("class_id")) & _agree()).select("query", "class_id", shift)
     voted = tables.keep(votes.groupBy("query", "class_id", "shift").agg(F.count(F.lit(1)).alias("votes")), "voted")
     side = lambda df, who, p, q: df.select(F.col("class_id").alias(who), F.col("prints").alias(p), F.col("sounds").alias(q))
     pairs = voted.join(side(classes, "class_id", "b", "b_sounds"), "class_id").join(side(wanted, "query", "a", "a_sounds"), "query")
