@@ -203,43 +203,90 @@ def amounts_in_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCAN = {"width": 260, "height": 300, "step": 10, "line": 4, "paper": 235, "ink": 40}
 
 
+#: Pages that are drawn before they are handed on.
+DRAWN = 64
+
+
 def _draw(batches):
     """Pages of bars, one for each word, turned by their angle, with specks."""
+    from bisect import bisect_left
+
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     w, h, step, margin = SCAN["width"], SCAN["height"], SCAN["step"], 14
     y, x = np.mgrid[0:h, 0:w]
     y, x = y - (h - 1) / 2, x - (w - 1) / 2
+    lines = range(2, h // step - 2)
+    paper, inked = np.array([SCAN["paper"]], np.uint8), np.array([SCAN["ink"]], np.uint8)
+    most = len(lines) * (w // 7)  # a word has a letter at least
+    chance = np.empty((h, w))
+
+    def view(angle):
+        """The place in its line that each pixel shows; paper beside the lines is the last."""
+        a = np.radians(angle)
+        # the pixel of the level page that each pixel shows
+        up = np.rint(y * np.cos(a) - x * np.sin(a) + (h - 1) / 2).astype(int)
+        over = np.rint(x * np.cos(a) + y * np.sin(a) + (w - 1) / 2).astype(int)
+        on = (up >= 0) & (up < h) & (over >= 0) & (over < w) & (up % step < SCAN["line"])
+        return np.where(on, up // step * w + over, (h // step + 1) * w)
+
+    def drawn(key, text, shown, page):
+        lengths = np.array([3 * len(word) for word in text.split()])
+        rng = np.random.default_rng(key)
+        start = rng.bit_generator.state
+        sizes = lengths[rng.integers(len(lengths), size=most)]
+        ends = np.cumsum(sizes + 4)
+        begins, upto, used, places = ends - sizes - 4, ends.tolist(), 0, []
+        for line in lines:
+            # words of a line, up to the first that reaches the margin
+            first, gone = used, upto[used - 1] if used else 0
+            used = bisect_left(upto, gone + w - 2 * margin, first) + 1
+            places.append((used - first, line * w + margin - gone, (line + 1) * w - margin))
+        shift, last = np.repeat([x[1:] for x in places], [x[0] for x in places], 0).T
+        # steps from paper to ink and back, which may wrap around
+        steps = np.zeros((h // step + 1) * w + 1, np.uint8)
+        steps[0] = paper[0]
+        steps[begins[:used] + shift] = inked - paper
+        steps[np.minimum(ends[:used] - 4 + shift, last)] = paper - inked
+        cells = np.cumsum(steps, dtype=np.uint8)
+        # specks follow on the words that were used
+        rng.bit_generator.state = start
+        rng.integers(len(lengths), size=used)
+        np.take(cells, shown, out=page, mode="clip")
+        np.multiply(page, rng.random(out=chance) >= 0.004, out=page)
+
     for batch in batches:
-        pages = []
-        for key, angle, text in zip(batch.inv_ord, batch.angle, batch.text, strict=True):
-            rng, words = np.random.default_rng(key), text.split()
-            mask = np.zeros((h // step + 1, w), bool)
-            for line in range(2, h // step - 2):
-                at = margin
-                while at < w - margin:
-                    n = 3 * len(words[rng.integers(len(words))])
-                    mask[line, at : min(at + n, w - margin)] = True
-                    at += n + 4
-            a = np.radians(angle)
-            # the pixel of the level page that each pixel shows
-            up = np.rint(y * np.cos(a) - x * np.sin(a) + (h - 1) / 2).astype(int)
-            over = np.rint(x * np.cos(a) + y * np.sin(a) + (w - 1) / 2).astype(int)
-            on = (up >= 0) & (up < h) & (over >= 0) & (over < w)
-            up, over = np.clip(up, 0, h - 1), np.clip(over, 0, w - 1)
-            page = np.where(on & mask[up // step, over] & (up % step < SCAN["line"]), SCAN["ink"], SCAN["paper"]).astype(np.uint8)
-            pages.append(np.where(rng.random(page.shape) < 0.004, 0, page).astype(np.uint8).tobytes())
-        yield pd.DataFrame({"source_file": batch.source_file, "width": w, "height": h, "pixels": pages})
+        angles, shown, at = batch["angle"].to_numpy(), None, None
+        rows = np.argsort(angles, kind="stable")
+        for part in (rows[k : k + DRAWN] for k in range(0, len(rows), DRAWN)):
+            some = batch.take(pa.array(part))
+            pages = np.empty((len(part), h, w), np.uint8)
+            for page, key, angle, text in zip(pages, some["inv_ord"].to_pylist(), some["angle"].to_pylist(), some["text"].to_pylist(), strict=True):
+                if angle != at:
+                    shown, at = view(angle), angle
+                drawn(key, text, shown, page)
+            columns = [some["source_file"], pa.array([w] * len(part), pa.int32()), pa.array([h] * len(part), pa.int32()), images.page_bytes(pages)]
+            yield pa.RecordBatch.from_arrays(columns, images.SCAN)
+
+
+def _levelled(batches):
+    """Pages as they are drawn and made ready, and the turn that is left over; their pixels stay in the task."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def named(ready):
+        for batch in ready:
+            yield batch.set_column(0, "source_file", pc.binary_join_element_wise(batch["source_file"], pc.cast(batch["angle"], pa.string()), "|"))
+
+    return images.angle_batches(named(images.ready_batches(_draw(batches))))
 
 
 def page_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scanned pages, laid askew, levelled and made black and white: the turn that was found, to half a degree, and what is left over."""
-    pages = doc_text(spark, sf_dir).where("method = 'ocr'").select("inv_ord", "source_file", "text", (F.col("inv_ord") % 11 * 0.5 - 2.5).alias("angle"))
-    scans = pages.mapInPandas(_draw, "source_file string, width int, height int, pixels binary")
-    once = images.prepare_scans(scans)
+    pages = doc_text(spark, sf_dir).where("method = 'ocr'").select("inv_ord", "source_file", "text", (F.col("inv_ord") % 11 * 0.5 - 2.5).cast("double").alias("angle"))
     half = lambda c: F.round(F.col(c) * 2) / 2 + 0.0
-    again = images.prepare_scans(once.select(F.concat_ws("|", "source_file", "angle").alias("source_file"), "width", "height", "pixels"))
+    again = pages.mapInArrow(_levelled, "source_file string, angle double")
     name, found = (F.split("source_file", r"\|")[k] for k in (0, 1))
     return again.select(name.alias("source_file"), found.cast("double").alias("angle"), F.col("angle").alias("left_over")).select("source_file", half("angle").alias("angle"), half("left_over").alias("left_over"))
 

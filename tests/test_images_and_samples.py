@@ -119,3 +119,90 @@ def test_rows_that_concern_a_sample(spark):
     assert sorted(r.row_index for r in subset.concerned(rows, chosen).collect()) == [1, 3, 4, 5, 6, 7]
     assert sorted(r.row_index for r in subset.concerned(rows, chosen.limit(0)).collect()) == [5, 6]
     assert subset.concerned(rows.limit(0), chosen).count() == 0
+
+
+def _plain_skew(grey):
+    """The search one page and one angle at a time, by sums over pixels."""
+    k = max(1, min(4, grey.shape[1] // images.SEARCH_WIDTH))
+    h, w = grey.shape[0] // k * k, grey.shape[1] // k * k
+    small = (grey[:h, :w].reshape(h // k, k, w // k, k).mean((1, 3)) if k > 1 and h else grey).astype(np.float64)
+    ink = np.clip(np.median(small) - small, 0, None)
+    y, x = np.nonzero(ink > 8)
+    if not y.size:
+        return 0.0
+    weight, across = ink[y, x], np.arange(small.shape[1]) - (small.shape[1] - 1) / 2
+
+    def sharpness(angle):
+        moved = np.rint(-across * np.tan(np.radians(angle)) * images.PARTS).astype(int)
+        moved -= moved.min()
+        rows = np.convolve(np.bincount(y * images.PARTS + moved[x], weight), np.ones(images.PARTS))
+        return float((rows * rows).sum())
+
+    best = lambda angles: max(sorted(angles, key=abs), key=sharpness)
+    rough = best(np.arange(-6, 7) * images.COARSE)
+    return round(float(best(rough + np.arange(-4, 5) * images.FINE)), 1)
+
+
+def _plain_prepared(grey, angle):
+    """A page turned pixel by pixel, stretched and freed of specks by the functions for each."""
+    h, w = grey.shape
+    c, s = np.cos(np.radians(angle)), np.sin(np.radians(angle))
+    padded = np.pad(grey, 1, constant_values=255).astype(np.float32)
+    y, x = np.arange(h)[:, None] - (h - 1) / 2, np.arange(w) - (w - 1) / 2
+    from_y, from_x = np.clip(c * y + s * x + (h + 1) / 2, 0, h + 0.999), np.clip(c * x - s * y + (w + 1) / 2, 0, w + 0.999)
+    i, j = from_y.astype(int), from_x.astype(int)
+    v, u = (from_y - i).astype(np.float32), (from_x - j).astype(np.float32)
+    upper, lower = (padded[i + k, j] * (1 - u) + padded[i + k, j + 1] * u for k in (0, 1))
+    level = np.rint(upper * (1 - v) + lower * v).astype(np.uint8) if abs(angle) >= 0.1 else grey
+    upto = np.cumsum(np.bincount(level.ravel(), minlength=256))
+    low, high = np.searchsorted(upto, upto[-1] * images.CUTOFF, "right"), np.searchsorted(upto, upto[-1] * (1 - images.CUTOFF), "left")
+    spread = np.clip((np.arange(256) - low) * 255.0 / (high - low), 0, 255).astype(np.uint8)[level] if high > low else level
+    assert (images.stretched(level) == spread).all()
+    return np.where(images.despeckled(spread) > images.WHITE, 255, 0)
+
+
+def _kinds_of_pages(rng, size):
+    """Pages of one size: text, noise, two tones of which each is half of the page, paper that isn't even, no ink."""
+    yield from (_page(angle, seed=int(rng.integers(1000)), size=size) for angle in (-2.5, 0.0, 1.2) if min(size) > 60)
+    yield rng.integers(0, 256, size).astype(np.uint8)
+    yield np.where(np.arange(size[0] * size[1]).reshape(size) % 2, 41, 200).astype(np.uint8)
+    yield np.clip(rng.normal(200, 20, size), 0, 255).astype(np.uint8)
+    yield np.full(size, 7, np.uint8)
+
+
+@pytest.mark.parametrize("size", [(300, 260), (90, 70), (1, 9), (9, 1), (5, 5), (2, 900), (131, 801), (640, 1205), (300, 1700)])
+def test_stacks_of_pages_in_the_plain_way(size):
+    pages = list(_kinds_of_pages(np.random.default_rng(size[0]), size))
+    angles = images.skews(np.stack(pages)).tolist()
+    assert angles == [_plain_skew(page) for page in pages]
+    for page, angle in zip(pages, angles, strict=True):
+        assert images.skew(page) == angle
+        for turn in {angle, -1.3, 3.4}:
+            assert (images.prepared(page, turn) == _plain_prepared(page, turn)).all()
+
+
+def test_a_stack_costs_less_than_its_pages_alone():
+    import time
+
+    pages, seconds = np.stack([_page(1.0, seed=k) for k in range(64)]), []
+    for search in (lambda: images.skews(pages), lambda: [_plain_skew(page) for page in pages]):
+        search()
+        began = time.process_time()
+        search()
+        seconds.append(time.process_time() - began)
+    assert seconds[0] < seconds[1] / 2
+
+
+def test_drawn_pages_stay_in_their_task(spark):
+    """Pages are drawn, made ready and measured a few at a time; none goes through the engine between."""
+    import pyarrow as pa
+
+    from tallyforge.plans import forms
+
+    plan = forms.page_angles(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "MapInPandas" not in plan and "binary" not in plan
+    keys = [9 * k + 4 for k in range(2 * forms.DRAWN + 5)]
+    batch = pa.RecordBatch.from_pydict({"inv_ord": keys, "source_file": list(map(str, keys)), "text": ["a bc def"] * len(keys), "angle": [k % 11 * 0.5 - 2.5 for k in keys]})
+    drawn = list(forms._draw(iter([batch])))
+    assert [len(x) for x in drawn] == [forms.DRAWN, forms.DRAWN, 5]
+    assert sorted(int(x) for y in drawn for x in y["source_file"].to_pylist()) == keys
